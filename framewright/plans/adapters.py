@@ -25,7 +25,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if int(size.toString()) < cores * _SMALL_INPUT else df
+    return df.repartition(cores, key) if int(str(size)) < cores * _SMALL_INPUT else df
 
 
 def div(a: Column, n: int) -> Column:

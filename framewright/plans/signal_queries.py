@@ -150,13 +150,13 @@ def a08(spark, sf):
 
 # 80-sample frames keep the direct DFT of the SQL twin affordable on whole texts.
 @query("a09_stft_magnitude", f"""WITH {_spectrum_sql(80, 20, False)}
-SELECT clip_id, frame_idx, count(*) AS bins, {r('sum(mag)', 7)} AS total, {r('max(mag)', 7)} AS peak,
+SELECT clip_id, frame_idx, count(*) AS bins, {r('sum(mag)', 9)} AS total, {r('max(mag)', 10)} AS peak,
   {r('sum(mag * (bin + 1))', 7)} AS chk FROM spectrum GROUP BY 1, 2""")
 def a09(spark, sf):
     out = S.stft_magnitude(text_blocks(spark, sf, 20), 80, 20, span=512)
     total = F.aggregate("mag", F.lit(0.0), lambda a, b: a + b)
     return out.select("clip_id", "frame_idx", F.size("mag").cast("long").alias("bins"),
-                      rnd(total, 7).alias("total"), rnd(F.array_max("mag"), 7).alias("peak"),
+                      rnd(total, 9).alias("total"), rnd(F.array_max("mag"), 10).alias("peak"),
                       rnd(weigh(F.col("mag")), 7).alias("chk"))
 
 

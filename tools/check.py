@@ -28,9 +28,9 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     for rec in df.itertuples(index=False, name=None):
         row = []
         for v in rec:
-            if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+            if v is None or pd.isna(v):
                 row.append(None)
-            elif isinstance(v, float) and v == int(v) if isinstance(v, float) and abs(v) < 1e15 else False:
+            elif isinstance(v, float) and abs(v) < 1e15 and v == int(v):
                 row.append(int(v))
             elif hasattr(v, "item"):
                 row.append(v.item())
