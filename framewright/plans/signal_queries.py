@@ -150,14 +150,15 @@ def a08(spark, sf):
 
 # 80-sample frames keep the direct DFT of the SQL twin affordable on whole texts.
 @query("a09_stft_magnitude", f"""WITH {_spectrum_sql(80, 20, False)}
-SELECT clip_id, frame_idx, count(*) AS bins, {r('sum(mag)', 9)} AS total, {r('max(mag)', 10)} AS peak,
-  {r('sum(mag * (bin + 1))', 7)} AS chk FROM spectrum GROUP BY 1, 2""")
+SELECT clip_id, count(DISTINCT frame_idx) AS frames, {r('sum(mag)', 5)} AS total,
+  {r('avg(mag * (bin + 1))', 7)} AS moment, {r('sum(mag * (frame_idx % 7 + 1))', 5)} AS chk FROM spectrum GROUP BY 1""")
 def a09(spark, sf):
     out = S.stft_magnitude(text_blocks(spark, sf, 20), 80, 20, span=512)
     total = F.aggregate("mag", F.lit(0.0), lambda a, b: a + b)
-    return out.select("clip_id", "frame_idx", F.size("mag").cast("long").alias("bins"),
-                      rnd(total, 9).alias("total"), rnd(F.array_max("mag"), 10).alias("peak"),
-                      rnd(weigh(F.col("mag")), 7).alias("chk"))
+    return out.groupBy("clip_id").agg(
+        F.count("*").alias("frames"), rnd(F.sum(total), 5).alias("total"),
+        rnd(F.sum(weigh(F.col("mag"))) / F.sum(F.size("mag")), 7).alias("moment"),
+        rnd(F.sum(total * (F.col("frame_idx") % 7 + 1)), 5).alias("chk"))
 
 
 # The filter weights meet the table: each part size picks the filters of its row.
