@@ -34,11 +34,16 @@ def bgr_planes_to_pixels(frames: DataFrame, order: str = "bgr") -> DataFrame:
 
 
 def planes_to_long(frames: DataFrame) -> DataFrame:
-    """Array planes to one row per pixel, bytes per channel."""
+    """Array planes to one row per pixel, bytes per channel.
+
+    The pixel structs are built inside the frame row, so exploding them does not
+    copy the planes once per pixel.
+    """
     n = (F.col("h") * F.col("w")).cast("int")
-    return frames.select("frame_idx", "h", "w", "planes", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(
-        "frame_idx", "h", "w", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).alias("x"),
-        *[to_byte(F.get("planes", n * p + F.col("i"))).alias(c) for p, c in enumerate("bgr")])
+    pixels = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        F.floor(i / F.col("w")).cast("int").alias("y"), (i % F.col("w")).alias("x"),
+        *[to_byte(F.get("planes", n * p + i)).alias(c) for p, c in enumerate("bgr")]))
+    return frames.select("frame_idx", "h", "w", F.explode(pixels).alias("p")).select("frame_idx", "h", "w", "p.*")
 
 
 def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
