@@ -5,30 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import OrderedParts
+from framewright.operators.segments import OrderedParts, salted_attach
 
 MODEL = "model_id"
 IDX = "frame_idx"
 
 
-def salted_attach(rows: DataFrame, per_key: DataFrame, key: str, salt_from: list[str],
-                  salts: int = 32, how: str = "inner") -> DataFrame:
-    """Join one value row per key to many rows, each key over ``salts`` tasks.
-
-    ``per_key`` holds a few numbers per key, so its ``salts`` copies stay small
-    next to ``rows``; every row finds its key in exactly one copy.
-    """
-    salt = F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int")
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
-
-
 def ring_sizes(ring: DataFrame) -> DataFrame:
     return ring.groupBy(MODEL).agg((F.max("ring_idx") + 1).alias("ring_size"))
 
 
 def _ring_join(frames: DataFrame, ring: DataFrame, position) -> DataFrame:
-    keyed = salted_attach(frames, ring_sizes(ring), MODEL, [IDX])
+    keyed = salted_attach(frames, ring_sizes(ring), [MODEL], [IDX])
     return keyed.withColumn("ring_idx", position(F.col("ring_size"))).drop("ring_size") \
         .join(ring, [MODEL, "ring_idx"])
 
@@ -73,7 +61,7 @@ def align_modalities(images: DataFrame, landmarks: DataFrame, contexts: DataFram
     """Training rows: image i, landmarks i and the context window at i, for i < features - 1."""
     length = features.groupBy(MODEL).agg(F.max(IDX).alias("_limit"))
     rows = images.join(landmarks, [MODEL, IDX]).join(contexts, [MODEL, IDX])
-    return salted_attach(rows, length, MODEL, [IDX]).filter(F.col(IDX) < F.col("_limit")).drop("_limit")
+    return salted_attach(rows, length, [MODEL], [IDX]).filter(F.col(IDX) < F.col("_limit")).drop("_limit")
 
 
 def hash_order(seed: int, *cols: str) -> Column:
@@ -85,7 +73,7 @@ def hash_order(seed: int, *cols: str) -> Column:
 def exemplar_pairs(frames: DataFrame, seed: int = 0) -> DataFrame:
     """Each row with a random row of its model (``exemplar_idx``); same seed, same pairs."""
     sizes = frames.groupBy(MODEL).agg((F.max(IDX) + 1).alias("_n"))
-    keyed = salted_attach(frames, sizes, MODEL, [IDX]).withColumn(
+    keyed = salted_attach(frames, sizes, [MODEL], [IDX]).withColumn(
         "exemplar_idx", F.pmod(hash_order(seed, MODEL, IDX), F.col("_n"))).drop("_n")
     other = frames.select(MODEL, F.col(IDX).alias("exemplar_idx"),
                           *[F.col(c).alias(f"exemplar_{c}") for c in frames.columns if c not in (MODEL, IDX)])

@@ -83,6 +83,18 @@ def spread_join(rows: DataFrame, per_key: DataFrame, last_idx: str, key: str = "
     )
 
 
+def salted_attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salt_from: Sequence[str],
+                  salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join one value row per key to many rows, each key over ``salts`` tasks.
+
+    ``per_key`` holds a few numbers per key, so its ``salts`` copies stay small
+    next to ``rows``; every row finds its key in exactly one copy.
+    """
+    salt = F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int")
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 class OrderedParts:
     """Ordered analytics over keys of any size.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import OrderedParts
+from framewright.operators.segments import OrderedParts, salted_attach
 
 STAGES = ["audio_ms", "inference_ms", "composite_ms"]
 
@@ -39,11 +39,10 @@ def exact_quantiles(log: DataFrame, by: list[str], value: str, percents: list[fl
     picks = totals.select(*by, F.explode(wanted).alias("w")).select(*by, "w.*")
     lo = F.floor(F.col("pos")).cast("long")
     picks = picks.withColumn("rank", F.explode(F.array(lo, lo + 1) if rule == "linear" else F.array(lo)))
-    # Few rows per group meet the value ladder; the ladder is aggregated, not the log.
     ladder = cum.select(*by, F.col(value).alias("_v"), (F.col("_cum") - F.col("_n")).alias("_from"), "_cum")
     need = picks.groupBy(*by).agg(F.collect_list(F.struct("p", "pos", "rank")).alias("need"))
     hits = (
-        ladder.join(need, by)
+        salted_attach(ladder, need, by, ["_v"])
         .withColumn("h", F.explode(F.filter("need", lambda t: (t["rank"] >= F.col("_from")) & (t["rank"] < F.col("_cum")))))
         .select(*by, "h.*", "_v")
     )

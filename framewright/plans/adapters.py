@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Files without a time zone read as TIMESTAMP_NTZ; the operators use session time.
+    ntz = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
 _SMALL_INPUT = 16 * 2**20

@@ -13,10 +13,10 @@ def _round(df, digits=6):
     return df.withColumns({f.name: rnd(F.col(f.name), digits) for f in df.schema if f.dataType.typeName() == "double"})
 
 
-@query("t01_model_stats", f"""WITH {REQUEST_SQL} SELECT model_id, count(*) AS requests, {r('sum(total_ms)')} AS total_ms, max(ts) AS last_used,
+@query("t01_model_stats", f"""WITH {REQUEST_SQL} SELECT model_id, count(*) AS requests, {r('sum(total_ms)')} AS total_ms, epoch_us(max(ts)) AS last_used,
   sum(bytes)::BIGINT AS memory_bytes, {r('avg(total_ms)')} AS avg_ms FROM req GROUP BY 1""")
 def t01(spark, sf):
-    return _round(T.model_stats(request_log(spark, sf)))
+    return _round(T.model_stats(request_log(spark, sf))).withColumn("last_used", F.unix_micros("last_used"))
 
 
 def _latency_sql(p95: str, p99: str) -> str:
@@ -100,7 +100,7 @@ _USERS = "u AS (SELECT user_id AS model_id, count(*) AS requests, max(ts) AS las
 
 def _user_stats(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("model_id")).agg(
-        F.count("*").alias("requests"), F.max("ts").alias("last_used"))
+        F.count("*").alias("requests"), F.max(F.col("ts").cast("timestamp")).alias("last_used"))
 
 
 @query("t11_eviction_lfu", f"""WITH {_USERS}, k AS (SELECT *, row_number() OVER (ORDER BY requests, model_id) AS evict_rank FROM u)
@@ -110,9 +110,10 @@ def t11(spark, sf):
 
 
 @query("t11_eviction_lru", f"""WITH {_USERS}, k AS (SELECT *, row_number() OVER (ORDER BY last_used, model_id) AS evict_rank FROM u)
-SELECT model_id, last_used, evict_rank FROM k WHERE evict_rank <= (SELECT count(*) FROM u) - 100""")
+SELECT model_id, epoch_us(last_used) AS last_used, evict_rank FROM k WHERE evict_rank <= (SELECT count(*) FROM u) - 100""")
 def t11b(spark, sf):
-    return T.eviction_candidates(_user_stats(spark, sf), 100, "lru")
+    return T.eviction_candidates(_user_stats(spark, sf), 100, "lru").withColumn(
+        "last_used", F.unix_micros("last_used"))
 
 
 @query("t12_sample_requests", "SELECT event_id AS request_id, value AS total_ms FROM events WHERE event_id % 10 = 0")
