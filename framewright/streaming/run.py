@@ -10,21 +10,32 @@ from framewright.session import scratch_path
 def drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """Process all available input into Parquet in the shared folder and read it back.
 
-    ``complete`` and ``update`` results are written per trigger with the trigger
+    Batches without data are switched off: with a processing-time timeout they
+    would follow each other for ever.  ``complete`` and ``update`` results are written per trigger with the trigger
     number in ``_batch``; the caller keeps the last version it wants.
     """
     spark: SparkSession = stream.sparkSession
     base = scratch_path(spark, tag)
     out, state = f"{base}/rows", f"{base}/state"
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    flag = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "false")
+    try:
+        _run(stream, out, state, mode)
+    finally:
+        spark.conf.set(flag, before)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).outputMode("append").start()
-        query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
+
+
+def _run(stream: DataFrame, out: str, state: str, mode: str) -> None:
+    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+        return
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/_batch={number}")
 
-    query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
+    writer.outputMode(mode).foreachBatch(save).start().awaitTermination()
