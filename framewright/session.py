@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_FALLBACK = "spark.framewright.scratch"
 
 
 def local_session(cores: str = "*", app: str = "framewright") -> SparkSession:
@@ -31,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only an unset value (tests) falls back to a fresh local folder.
     """
-    path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    path = spark.conf.get(_KEY, None) or spark.conf.get(_FALLBACK, None)
     if not path:
         path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(_KEY, path)
+        spark.conf.set(_FALLBACK, path)
     return path.rstrip("/")
 
 
