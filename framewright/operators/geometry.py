@@ -145,29 +145,34 @@ def nms(boxes: DataFrame, score_thr: float = 0.5, iou_thr: float = 0.5, image: s
         .select(image, (-F.col("_r._neg")).alias(box), "x", "y", "w", "h", F.col("_r.score").alias("score"))
     )
 
+    def overlaps(k: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """[kept][boxes] flags: intersection over union above the threshold."""
+        iw = np.minimum(k[:, None, 0] + k[:, None, 2], b[:, 0] + b[:, 2]) - np.maximum(k[:, None, 0], b[:, 0])
+        ih = np.minimum(k[:, None, 1] + k[:, None, 3], b[:, 1] + b[:, 3]) - np.maximum(k[:, None, 1], b[:, 1])
+        inter = np.maximum(iw, 0) * np.maximum(ih, 0)
+        return inter > iou_thr * (k[:, None, 2] * k[:, None, 3] + b[:, 2] * b[:, 3] - inter)
+
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, np.zeros((16, 4))
-        n = 0
+        current, kept = None, np.zeros((0, 4))
         for pdf in batches:
-            take = np.zeros(len(pdf), dtype=bool)
             ids = pdf[image].to_numpy()
             rects = pdf[["x", "y", "w", "h"]].to_numpy(dtype=np.float64)
-            for i in range(len(pdf)):
-                if ids[i] != current:
-                    current, n = ids[i], 0
-                x, y, w, h = rects[i]
-                k = kept[:n]
-                iw = np.minimum(k[:, 0] + k[:, 2], x + w) - np.maximum(k[:, 0], x)
-                ih = np.minimum(k[:, 1] + k[:, 3], y + h) - np.maximum(k[:, 1], y)
-                inter = np.maximum(iw, 0) * np.maximum(ih, 0)
-                union = k[:, 2] * k[:, 3] + w * h - inter
-                if n and bool((inter > iou_thr * union).any()):
-                    continue
-                take[i] = True
-                if n == len(kept):
-                    kept = np.concatenate([kept, np.zeros_like(kept)])
-                kept[n] = rects[i]
-                n += 1
+            take = np.zeros(len(pdf), dtype=bool)
+            # Runs of one image, in stretches that bound the overlap matrix.
+            edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
+            cuts = sorted({int(e) for e in edges} | set(range(0, len(ids), 256)) | {len(ids)})
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if ids[lo] != current:
+                    current, kept = ids[lo], np.zeros((0, 4))
+                alive = np.ones(hi - lo, dtype=bool)
+                for at in range(0, len(kept), 4096):
+                    alive &= ~overlaps(kept[at:at + 4096], rects[lo:hi]).any(axis=0)
+                inside = overlaps(rects[lo:hi], rects[lo:hi])
+                for i in range(hi - lo):
+                    if alive[i]:
+                        alive[i + 1:] &= ~inside[i, i + 1:]
+                take[lo:hi] = alive
+                kept = np.concatenate([kept, rects[lo:hi][alive]])
             yield pdf[take]
 
     schema = ", ".join(f"`{c}` {best.schema[c].dataType.simpleString()}" for c in names)

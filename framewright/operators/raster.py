@@ -183,7 +183,7 @@ def composite_frames(regions: DataFrame, rects: DataFrame, backgrounds: DataFram
     rect keeps an error and no picture.  With ``border`` the region replaces the
     inside of the crop enlarged to ``w + 2*border`` first.
     """
-    looked = cyclic_join(strict_lookup(bgr_planes_to_pixels(regions), rects), backgrounds)
+    looked = cyclic_join(strict_lookup(regions, rects), backgrounds)
     schema = T.StructType([looked.schema["model_id"], looked.schema["frame_idx"],
                            T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()),
                            T.StructField("rgb", T.ArrayType(T.ShortType())), T.StructField("error", T.StringType())])
@@ -191,7 +191,8 @@ def composite_frames(regions: DataFrame, rects: DataFrame, backgrounds: DataFram
     def paste(row) -> np.ndarray:
         out = np.array(row.bg, dtype=np.int16).reshape(row.bg_h, row.bg_w, 3)
         x1, y1, x2, y2 = int(row.x1), int(row.y1), int(row.x2), int(row.y2)
-        patch = np.asarray(row.rgb, dtype=np.int16).reshape(row.h, row.w, 3)
+        planes = np.asarray(row.planes, dtype=np.float32).reshape(3, row.h, row.w)[::-1]
+        patch = np.clip(planes * np.float32(255), 0, 255).astype(np.int16).transpose(1, 2, 0)
         left, top = max(x1, 0), max(y1, 0)
         right, bottom = min(x2, row.bg_w), min(y2, row.bg_h)
         if right <= left or bottom <= top:

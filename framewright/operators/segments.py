@@ -44,6 +44,8 @@ def halo_segments(
     return (
         df.select(F.col(key), i.cast("long").alias("i"), value.alias("v"),
                   F.explode(F.array_compact(F.array(*homes))).alias("seg"))
+        # Collecting before the shuffle would only buffer rows, so shuffle them first.
+        .repartition(F.col(key), F.col("seg"))
         .groupBy(key, "seg")
         .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("rows"))
     )
@@ -124,26 +126,26 @@ class OrderedParts:
         """1-based position within the key."""
         before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
         offsets = (
-            self.rows.groupBy(*self.keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+            self.rows.groupBy(*self.keys, "_part").agg(F.count(F.lit(1)).alias("_op_n"))
             .select(*self.keys, "_part",
-                    F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+                    F.coalesce(F.sum("_op_n").over(before), F.lit(0)).alias("_op_off"))
         )
         local = self.rows.withColumn(name, F.row_number().over(self._local).cast("long"))
         return (self._with_carry(local, offsets)
-                .withColumn(name, F.col(name) + F.col("_off")).drop("_off", "_part"))
+                .withColumn(name, F.col(name) + F.col("_op_off")).drop("_op_off", "_part"))
 
     def lag(self, col: str, name: str) -> DataFrame:
         """Value of ``col`` in the previous row of the key."""
         last = (
             self.rows.groupBy(*self.keys, "_part")
-            .agg(F.max_by(F.col(col), F.struct(*self.order)).alias("_last"))
-            .select(*self.keys, "_part", F.lag("_last").over(self._parts).alias("_prev"))
+            .agg(F.max_by(F.col(col), F.struct(*self.order)).alias("_op_last"))
+            .select(*self.keys, "_part", F.lag("_op_last").over(self._parts).alias("_op_prev"))
         )
         local = self.rows.withColumn(name, F.lag(col).over(self._local)) \
-            .withColumn("_first", F.row_number().over(self._local) == 1)
+            .withColumn("_op_first", F.row_number().over(self._local) == 1)
         return (self._with_carry(local, last)
-                .withColumn(name, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col(name)))
-                .drop("_first", "_prev", "_part"))
+                .withColumn(name, F.when(F.col("_op_first"), F.col("_op_prev")).otherwise(F.col(name)))
+                .drop("_op_first", "_op_prev", "_part"))
 
     def running(self, col: str, name: str, kind: str = "sum", inclusive: bool = True) -> DataFrame:
         """Running sum, min, max, or last non-null value of ``col``."""
@@ -161,11 +163,11 @@ class OrderedParts:
         else:
             part = agg(F.col(col))
         carry = (
-            self.rows.groupBy(*self.keys, "_part").agg(part.alias("_agg"))
-            .select(*self.keys, "_part", agg("_agg").over(before).alias("_carry"))
+            self.rows.groupBy(*self.keys, "_part").agg(part.alias("_op_agg"))
+            .select(*self.keys, "_part", agg("_op_agg").over(before).alias("_op_carry"))
         )
         frame = self._local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         local = self.rows.withColumn(name, agg(col).over(frame))
         return (self._with_carry(local, carry)
-                .withColumn(name, join2(F.col("_carry"), F.col(name)))
-                .drop("_carry", "_part"))
+                .withColumn(name, join2(F.col("_op_carry"), F.col(name)))
+                .drop("_op_carry", "_part"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import halo_segments, spread_join
+from framewright.operators.segments import halo_segments, salted_attach, spread_join
 
 KEY = "clip_id"
 
@@ -422,7 +422,7 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
     spf = sr * 40 // 1000
     raw = F.greatest(F.col("start_frame") - 8, F.lit(0)).cast("long") * spf
     req = (
-        requests.join(clip_lengths(blocks), KEY)
+        salted_attach(requests, clip_lengths(blocks), [KEY], ["request_id"])
         .withColumn("start", F.when(raw >= F.col("n_samples"), raw % F.col("n_samples")).otherwise(raw))
         .withColumn("stop", F.least(F.col("start") + (F.col("batch") + 15).cast("long") * spf,
                                     F.col("n_samples")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import halo_segments, with_bounds
+from framewright.operators.segments import halo_segments, salted_attach, with_bounds
 
 KEY = "clip_id"
 IDX = "frame_idx"
@@ -224,7 +224,7 @@ def tile_feature(flat: Column, times: int = 16) -> Column:
 def clamped_features(requests: DataFrame, feats: DataFrame, vec: str) -> DataFrame:
     """Feature row of each requested frame; an index past the end takes the last row."""
     lens = feats.groupBy(KEY).agg(F.max(IDX).alias("_last"))
-    keyed = requests.join(lens, KEY).withColumn("src_idx", F.least(IDX, "_last")).drop("_last")
+    keyed = salted_attach(requests, lens, [KEY], [IDX]).withColumn("src_idx", F.least(IDX, "_last")).drop("_last")
     return keyed.join(feats.select(KEY, F.col(IDX).alias("src_idx"), vec), [KEY, "src_idx"])
 
 

@@ -1,14 +1,20 @@
 """Driver tables as inputs, and the same mappings as SQL text.
 
-The mappings are narrow (no shuffle): every index is derived from a dense key or
-from positions inside a text, so nothing has to be ranked per group.
+Every index is derived from a dense key or from positions inside a text, so
+nothing has to be ranked per group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.schemas import SIGNAL_BLOCKS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,25 +42,27 @@ def div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(n)).cast("long")
 
 
-# Fixed mapping: code point modulo 256, centred, over 128 (exact in float32).
-def _level(char: Column) -> Column:
-    return ((F.ascii(char) % 256 - 128) / F.lit(128.0)).cast("float")
-
-
 def text_blocks(spark: SparkSession, sf_dir: str, hop: int = 200) -> DataFrame:
-    """``documents`` as signal blocks: a clip is a text, a sample is a character."""
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), "text"),
-                  "clip_id")
-    levels = F.transform(F.split("text", ""), _level)
-    n_blocks = F.ceil(F.length("text") / F.lit(hop)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n_blocks - 1),
-                      lambda b: F.struct(b.cast("long").alias("block_idx"),
-                                         F.slice(F.col("s"), b * hop + 1, F.lit(hop)).alias("samples")))
-    return (
-        docs.filter(F.length("text") > 0).withColumn("s", levels)
-        .select("clip_id", F.explode(cut).alias("b"))
-        .select("clip_id", "b.block_idx", F.size("b.samples").alias("n"), "b.samples")
-    )
+    """``documents`` as signal blocks: a clip is a text, a sample is a character.
+
+    Fixed mapping: code point modulo 256, centred, over 128 (exact in float32).
+    """
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), "text")
+                  .filter(F.length("text") > 0), "clip_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for clip, text in zip(rows.column("clip_id").to_pylist(), rows.column("text")):
+                codes = np.frombuffer(text.as_py().encode("utf-32-le"), dtype="<u4").astype(np.int32)
+                level = ((codes % 256 - 128) / np.float32(128)).astype(np.float32)
+                m = -(-len(level) // hop)
+                ends = np.minimum(np.arange(m + 1) * hop, len(level)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, clip)), pa.array(np.arange(m)), pa.array(np.diff(ends)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(level))],
+                    names=["clip_id", "block_idx", "n", "samples"])
+
+    return docs.mapInArrow(cut, SIGNAL_BLOCKS)
 
 
 CLIPS_SQL = """clips AS (SELECT doc_id AS clip_id, list_transform(string_split(text, ''),

@@ -204,7 +204,7 @@ def r10s(spark, sf):
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS sess FROM k)
 SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 HOUR) AS "end", count(*) AS n FROM n GROUP BY user_id, sess""")
 def r11(spark, sf):
-    return _us(R.session_activity(table(spark, sf, "events"), "2 hours", by="user_id"), "start", "end")
+    return _us(R.session_activity(table(spark, sf, "events"), 7_200_000, by="user_id"), "start", "end")
 
 
 @query("r12_fps_counter", "SELECT event_type, epoch_us(ts) // 1000000 * 1000000 AS start, count(*) AS frames FROM events GROUP BY 1, 2")

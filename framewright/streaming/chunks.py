@@ -106,11 +106,27 @@ def content_dedup(df: DataFrame, content: str, keep: list[str], ts: str | None =
     return hashed.groupBy("content_md5").agg(*[F.min(c).alias(c) for c in keep], F.count("*").alias("copies"))
 
 
-def session_activity(df: DataFrame, gap: str, ts: str = "ts", by: str = STREAM, watermark: str | None = None) -> DataFrame:
-    """Runs of activity separated by at least ``gap``."""
-    src = df.withWatermark(ts, watermark) if watermark else df
-    return src.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(
-        by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def session_activity(df: DataFrame, gap_ms: int, ts: str = "ts", by: str = STREAM,
+                     watermark: str | None = None) -> DataFrame:
+    """Runs of activity separated by at least the gap.
+
+    A stream uses a session window.  A table is first counted into buckets one
+    gap wide (rows of a bucket always share a session); the buckets are then
+    linked in order, so a busy key is reduced before anything is ordered.
+    """
+    if df.isStreaming:
+        src = df.withWatermark(ts, watermark) if watermark else df
+        return src.groupBy(F.session_window(ts, f"{gap_ms} milliseconds").alias("w"), by).agg(
+            F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    us, gap = F.unix_micros(ts), gap_ms * 1000
+    buckets = df.groupBy(by, F.floor(us / F.lit(gap)).cast("long").alias("_b")).agg(
+        F.min(us).alias("_lo"), F.max(us).alias("_hi"), F.count("*").alias("_n"))
+    linked = OrderedParts(buckets, [by], ["_b"]).lag("_hi", "_prev").withColumn(
+        "_new", F.when(F.col("_prev").isNull() | (F.col("_lo") >= F.col("_prev") + gap), 1).otherwise(0))
+    numbered = OrderedParts(linked, [by], ["_b"]).running("_new", "_session", "sum")
+    return numbered.groupBy(by, "_session").agg(
+        F.timestamp_micros(F.min("_lo")).alias("start"), F.timestamp_micros(F.max("_hi") + gap).alias("end"),
+        F.sum("_n").alias("n")).drop("_session")
 
 
 def fps_counter(df: DataFrame, ts: str = "ts", by: str = STREAM, watermark: str | None = None,

@@ -101,3 +101,16 @@ def test_dedup_within_watermark(spark, tmp):
     df = _rows(spark).withColumn("value", F.lit(1.0))
     out = drain(R.content_dedup(_stream(spark, df, tmp / "in").withColumn("c", F.col("value").cast("string")), "c", [], "ts", "1 hour"), "t")
     assert out.count() == 1
+
+
+def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp):
+    def rows(d):
+        return {tuple(r) for r in d.collect()}
+
+    us = [0, 500_000, 1_499_999, 2_500_000, 2_500_000, 9_000_000]
+    df = spark.createDataFrame([(1, i, 1.0, u) for i, u in enumerate(us)], "stream_id int, chunk_idx long, value double, us long").select(
+        "stream_id", "chunk_idx", "value", F.timestamp_micros("us").alias("ts"))
+    table = rows(R.session_activity(df, 1000))
+    assert sorted(r[3] for r in table) == [1, 2, 3]
+    out = drain(R.session_activity(_stream(spark, df, tmp / "in", 1), 1000), "t", "complete").drop("_batch")
+    assert rows(out) == table
