@@ -437,6 +437,7 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
         wanted.join(blocks.select(KEY, "block_idx", "samples"), [KEY, "block_idx"])
         .select("request_id", KEY, "start", "stop", "block_idx",
                 F.slice("samples", a + 1, b - a).alias("part"))
+        .repartition("request_id")
         .groupBy("request_id", KEY, "start", "stop")
         .agg(F.sort_array(F.collect_list(F.struct("block_idx", "part"))).alias("parts"))
         .select("request_id", KEY, "start", "stop",

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.schemas import SIGNAL_BLOCKS
 
@@ -104,6 +106,13 @@ def weigh(vec: Column) -> Column:
         F.lit(0.0), lambda a, b: a + b)
 
 
+@F.pandas_udf(T.DoubleType())
+def weigh_flat(col: pd.Series) -> pd.Series:
+    """:func:`weigh` for long flat arrays, over Arrow."""
+    return col.map(lambda v: None if v is None else float(np.dot(
+        np.asarray(v, dtype=np.float64), np.arange(1, len(v) + 1))))
+
+
 FEATURE_SPAN = 50
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.operators import raster as R
-from framewright.plans.adapters import div, r, rnd, spread, table, weigh
+from framewright.plans.adapters import div, r, rnd, spread, table, weigh_flat
 from framewright.plans.registry import query
 
 S = 16
@@ -51,7 +51,7 @@ def _chk_sql(src: str, w: str) -> str:
 FROM pix GROUP BY 1""")
 def g11(spark, sf):
     out = R.bgr_planes_to_pixels(planes(spark, sf))
-    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh(F.col("rgb")).cast("long").alias("chk"))
+    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh_flat("rgb").cast("long").alias("chk"))
 
 
 def _bilinear_sql(w: int, h: int) -> str:
@@ -74,7 +74,7 @@ res AS (SELECT g2.frame_idx, ty AS y, tx AS x, {mix('b')}, {mix('g')}, {mix('r')
 FROM res GROUP BY 1""")
 def g12(spark, sf):
     out = R.resample_bilinear(R.bgr_planes_to_pixels(planes(spark, sf)).drop("p_size"), 11, 23)
-    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh(F.col("rgb")).cast("long").alias("chk"))
+    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh_flat("rgb").cast("long").alias("chk"))
 
 
 @query("g12_resample_bilinear_long", f"WITH {PIX_SQL}, {_bilinear_sql(11, 23)} {_chk_sql('res', '11')}")
@@ -138,7 +138,7 @@ def g14(spark, sf):
         .withColumn("frame_idx", div(F.col("frame_idx"), 4))
     out = R.composite_frames(regions, _rects(spark, sf), _backgrounds(spark, sf))
     return out.select("model_id", "frame_idx", F.coalesce(F.size("rgb"), F.lit(0)).cast("long").alias("n"),
-                      F.coalesce(weigh(F.col("rgb")).cast("long"), F.lit(0).cast("long")).alias("chk"), "error")
+                      F.coalesce(weigh_flat("rgb").cast("long"), F.lit(0).cast("long")).alias("chk"), "error")
 
 
 _LAB = "CASE WHEN (frame_idx + y * x) % 5 = 0 THEN 1 WHEN (frame_idx + y) % 7 = 0 THEN 2 ELSE 0 END"
@@ -166,7 +166,7 @@ def g16(spark, sf):
     masked = ref.select("frame_idx", F.transform("planes", lambda v, i: F.when(
         F.floor(i % (S * S) / S).between(2, 9) & (i % S).between(2, 9), F.lit(0).cast("short")).otherwise(v)).alias("planes"))
     return R.six_channel_input(ref, masked).select(
-        "frame_idx", F.size("channels").cast("long").alias("n"), rnd(weigh(F.col("channels")), 4).alias("chk"))
+        "frame_idx", F.size("channels").cast("long").alias("n"), rnd(weigh_flat("channels"), 4).alias("chk"))
 
 
 @query("g17_pixel_stats", f"""WITH {PIX_SQL}, u AS (SELECT frame_idx, b AS v FROM pix UNION ALL SELECT frame_idx, g FROM pix UNION ALL SELECT frame_idx, r FROM pix)

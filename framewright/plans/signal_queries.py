@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import signal as S
 from framewright.plans.adapters import (
-    CLIPS_SQL, SAMPLES_SQL, blocks_sql, div, r, rnd, table, text_blocks, weigh,
+    CLIPS_SQL, SAMPLES_SQL, blocks_sql, div, r, rnd, table, text_blocks, weigh, weigh_flat,
 )
 from framewright.plans.registry import query
 
@@ -18,7 +18,7 @@ BL = blocks_sql(200)
 def _checked(blocks, digits=6):
     """One row per block: size and position-weighted sum."""
     return blocks.select("clip_id", "block_idx", F.size("samples").cast("long").alias("n"),
-                         rnd(weigh(F.col("samples")), digits).alias("chk"))
+                         rnd(weigh_flat("samples"), digits).alias("chk"))
 
 
 def _wsum(x: str) -> str:
@@ -145,7 +145,7 @@ SELECT clip_id, frame_idx, len(x)::BIGINT AS n, {r(_wsum('x'))} AS chk FROM fram
 def a08(spark, sf):
     out = S.frame_signal(text_blocks(spark, sf))
     return out.select("clip_id", "frame_idx", F.size("frame").cast("long").alias("n"),
-                      rnd(weigh(F.col("frame"))).alias("chk"))
+                      rnd(weigh_flat("frame")).alias("chk"))
 
 
 # 80-sample frames keep the direct DFT of the SQL twin affordable on whole texts.
@@ -312,7 +312,7 @@ def a20(spark, sf):
         (F.col("o_orderkey") % 40).alias("start_frame"), (F.col("o_custkey") % 4 + 1).alias("batch"))
     return S.slice_for_batch(text_blocks(spark, sf), req).select(
         "request_id", "clip_id", "start", "stop", F.size("samples").cast("long").alias("n"),
-        rnd(weigh(F.col("samples"))).alias("chk"))
+        rnd(weigh_flat("samples")).alias("chk"))
 
 
 @query("a21_rate_check", """SELECT doc_id AS clip_id, (16000 + (doc_id % 3) * 8000)::BIGINT AS sample_rate,
