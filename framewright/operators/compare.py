@@ -48,10 +48,13 @@ def tensor_stats(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.col("q") / F.col("total_elements") - mean * mean, F.lit(0.0)))}).drop("s", "q")
 
 
-def paired(a: DataFrame, b: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Two runs side by side with the absolute differences; missing sides stay null."""
+def paired(a: DataFrame, b: DataFrame, key: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two runs side by side with the absolute differences; missing sides stay null.
+
+    ``keep`` names further columns of ``a``.
+    """
     on = key or [TENSOR]
-    left = a.select(*on, F.col("values").alias("va"))
+    left = a.select(*on, *keep, F.col("values").alias("va"))
     right = b.select(*on, F.col("values").alias("vb"))
     diff = F.zip_with("va", "vb", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     same = F.size("va") == F.size("vb")

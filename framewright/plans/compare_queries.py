@@ -31,7 +31,7 @@ def run_b(spark, sf):
 
 
 def pairs(spark, sf):
-    return Q.paired(run_a(spark, sf), run_b(spark, sf)).join(run_a(spark, sf).select("tensor_id", "label"), "tensor_id")
+    return Q.paired(run_a(spark, sf), run_b(spark, sf), keep=("label",))
 
 
 def _round(df, digits=9):

@@ -43,9 +43,10 @@ def test_nms_equals_plain_greedy(spark):
     rng = np.random.default_rng(4)
     rows = []
     for img in range(6):
-        for b in range(60):
-            x, y, w, h = rng.integers(0, 60, 2).tolist() + rng.integers(8, 40, 2).tolist()
-            rows.append((img, img * 100 + b, float(x), float(y), float(w), float(h), round(float(rng.random()), 2)))
+        # The last picture has more boxes than one stretch of the sweep.
+        for b in range(60 if img < 5 else 700):
+            x, y, w, h = rng.integers(0, 60 if img < 5 else 400, 2).tolist() + rng.integers(8, 40, 2).tolist()
+            rows.append((img, img * 1000 + b, float(x), float(y), float(w), float(h), round(float(rng.random()), 2)))
     rows += [(0, 900 + i, 1.0, 1.0, 30.0, 30.0, 0.9) for i in range(50)]
 
     def iou(a, b):
