@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.base import table
+from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,9 +31,26 @@ comps AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
 _JACCARD_TWIN = f"""WITH RECURSIVE {_JACCARD_SQL.strip()}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN comps USING (doc_id)"""
 
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_EMBEDDING_TWIN = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 SQL: dict[str, str] = {
     "op7_jaccard_join": _JACCARD_TWIN,
+    "op10_embedding_dedup": _EMBEDDING_TWIN,
 }
