@@ -5,14 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm.base import table
 from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
+from framewright.llm import secret_scan
+from framewright.llm.personal_data import KINDS, digest_text, personal_data
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans; ``spans`` also has those behind disguises."""
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(digest_text(base), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a file (repository) and its source the owner; n_* count the base spans."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return secret_scan.secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS], F.sha2(secret_scan.digest_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.digest_text(F.concat("base", "added")).alias("spans"), "n_live", "n_example")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -47,6 +67,8 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_personal_data": op5_personal_data,
+    "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
