@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.base import table
+from framewright.llm.bpe_automaton import encoded, vocabulary_path
 from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
 from framewright.llm import secret_scan
@@ -52,6 +53,10 @@ _JACCARD_TWIN = f"""WITH RECURSIVE {_JACCARD_SQL.strip()}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN comps USING (doc_id)"""
 
 
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_bpe_automaton": op8_bpe_automaton,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 SQL: dict[str, str] = {
