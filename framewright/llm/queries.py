@@ -12,6 +12,7 @@ from framewright.llm.bpe_automaton import encoded, vocabulary_path
 from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
 from framewright.llm import secret_scan
+from framewright.llm import url_templates
 from framewright.llm.personal_data import KINDS, digest_text, personal_data
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +58,10 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -76,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe_automaton": op8_bpe_automaton,
+    "op9_url_templates": op9_url_templates,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 SQL: dict[str, str] = {
     "op7_jaccard_join": _JACCARD_TWIN,
+    "op9_url_templates": url_templates.twin_sql(),
     "op10_embedding_dedup": _EMBEDDING_TWIN,
 }
