@@ -13,11 +13,23 @@ from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
 from framewright.llm import secret_scan
 from framewright.llm import url_templates
+from framewright.llm.language_id import fitted, languages
 from framewright.llm.personal_data import KINDS, digest_text, personal_data
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _held_out(modulus: int, remainder: int):  # noqa: ANN202
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = _held_out(5, 0)
+    model = fitted(docs.where(~held))
+    return languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_* count the base spans; ``spans`` also has those behind disguises."""
     base = F.filter("spans", lambda s: s["base"])
@@ -77,6 +89,7 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
