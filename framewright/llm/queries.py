@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.base import table
 from framewright.llm.bpe_automaton import encoded, vocabulary_path
+from framewright.llm.decontaminate import contamination
 from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
 from framewright.llm import secret_scan
@@ -19,6 +20,10 @@ from framewright.llm.personal_data import KINDS, digest_text, personal_data
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _held_out(modulus: int, remainder: int):  # noqa: ANN202
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
@@ -89,6 +94,7 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
