@@ -15,6 +15,7 @@ from framewright.llm.jaccard_join import jaccard_components
 from framewright.llm import secret_scan
 from framewright.llm import url_templates
 from framewright.llm.language_id import fitted, languages
+from framewright.llm import pitman_yor
 from framewright.llm.suffix_dedup import without_repeats
 from framewright.llm.personal_data import KINDS, digest_text, personal_data
 
@@ -33,6 +34,10 @@ def _held_out(modulus: int, remainder: int):  # noqa: ANN202
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents"), _held_out(7, 2))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = _held_out(5, 0)
@@ -100,6 +105,7 @@ FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_personal_data": op5_personal_data,
