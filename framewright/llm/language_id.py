@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,3 +144,16 @@ def languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text:
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(text).rlike(r"\p{L}").alias("letters")).mapInArrow(
         run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def identified(docs: DataFrame, model: LanguageModel, least: float = 0.3, text: str = "text") -> DataFrame:
+    """``docs`` without the texts whose language is ``und`` or whose score is below ``least``; columns as they were."""
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series, letters: pd.Series) -> pd.Series:
+        rows = [(t or "").encode() for t in texts]
+        has = [bool(x) for x in letters.fillna(False)]
+        got = iter(model.predict([t for t, ok in zip(rows, has) if ok]) if model.langs else [(UNKNOWN, 0.0)] * len(rows))
+        return pd.Series([next(got)[1] >= least if ok else False for ok in has], dtype=bool)
+
+    return docs.where(known(F.col(text), F.col(text).rlike(r"\p{L}")))
