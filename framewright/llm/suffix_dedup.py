@@ -238,8 +238,8 @@ def repeats(rows: DataFrame, kind: str, length: int) -> DataFrame:
                                                   pa.array(digest, pa.binary())], names=["h", "ctx", "back", "s"])
 
     one = around.where(F.col("m") > BUCKET).mapInArrow(strings, "h long, ctx long, back int, s binary")
-    twice = one.groupBy("s").agg(F.count("*").alias("d")).where("d > 1").select("s")
-    hot = one.join(twice, "s").groupBy("h", "ctx").agg(F.collect_set(F.struct(
+    twice = one.groupBy("h", "back", "s").agg(F.count("*").alias("d")).where("d > 1").select("h", "back", "s")
+    hot = one.join(twice, ["h", "back", "s"]).groupBy("h", "ctx").agg(F.collect_set(F.struct(
         F.xxhash64("s").alias("group"), "back", (F.lit(length) - F.col("back")).alias("ahead"))).cast(_SPANS).alias("spans"))
     spans = whole.union(part).union(hot).groupBy("h", "ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.select("key", "th", "pos", "h", "ctx").join(spans, ["h", "ctx"]).select("key", "th", "pos", F.explode("spans").alias("s")).select("key", "th", "pos", "s.*")
