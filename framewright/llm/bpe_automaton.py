@@ -59,9 +59,14 @@ class Automaton:
         self.number, self.end = number, end
         self.symbols = set(symbols)
         self._arcs: dict[tuple[int, int], bool] = {}
+        # A merge may come too late to ever apply: its parts were never neighbours when its turn came.
+        usable = [True] * len(self.labels)
+        for c in range(len(symbols), len(self.labels)):
+            a, b = self.left[c], self.right[c]
+            usable[c] = usable[a] and usable[b] and self._survives(a, b, c)
         # tokens by their symbols, without the mark of the word's end
-        self._inner = {s: i for s, i in number.items() if not s.endswith(end)}
-        self._final = {s[:-len(end)]: i for s, i in number.items() if s.endswith(end)}
+        self._inner = {s: i for s, i in number.items() if usable[i] and not s.endswith(end)}
+        self._final = {s[:-len(end)]: i for s, i in number.items() if usable[i] and s.endswith(end)}
         self._longest = max(map(len, number), default=0)
 
     def arc(self, u: int, v: int) -> bool:
@@ -73,9 +78,11 @@ class Automaton:
             known = self._arcs[u, v] = self._survives(u, v)
         return known
 
-    def _survives(self, u: int, v: int) -> bool:
-        """Undo gadgets from the youngest: the pair must not have been cut before the younger of its tokens was made."""
-        made = len(self.labels)  # cuts by merges older than this count
+    def _survives(self, u: int, v: int, made: int | None = None) -> bool:
+        """Undo gadgets from the youngest: the pair must not have been cut before the younger of its tokens was made.
+
+        Only merges before ``made`` count as cuts at first (all of them unless given)."""
+        made = len(self.labels) if made is None else made
         while True:
             cut = self.joined.get((u, v))
             if cut is not None and cut < made:
