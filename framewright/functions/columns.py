@@ -67,10 +67,3 @@ def frame_name(frame: Column, ext: str = "png", width: int = 4) -> Column:
     digits = frame.cast("string")
     padded = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
     return F.concat(F.lit("frame_"), padded, F.lit(f".{ext}"))
-
-
-def row_block(worker: Column, workers: int, rows: int) -> tuple[Column, Column]:
-    """Start and end row of a worker; the last one takes the remainder."""
-    size = rows // workers
-    start = worker * size
-    return start, F.when(worker == workers - 1, F.lit(rows)).otherwise(start + size)

@@ -63,56 +63,67 @@ def paired(a: DataFrame, b: DataFrame, key: list[str] | None = None, keep: tuple
         .when(same, "paired").otherwise("shape"))
 
 
+def _sides() -> dict[str, Column]:
+    """How many tensors of a group are compared, and how many are not and why."""
+    return {name: (F.col("status") == status).cast("long") for name, status in (
+        ("paired", "paired"), ("only_a", "only a"), ("only_b", "only b"), ("other_shape", "shape"))}
+
+
 def tensor_diff(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """MAE, max, RMSE, share exact, below 1e-3, below 1e-2, above 1e-2, per ``by`` group."""
+    """MAE, max, RMSE, share exact, below 1e-3, below 1e-2, above 1e-2, per ``by`` group.
+
+    Tensors without a partner of the same shape only count in ``only_a``, ``only_b`` and ``other_shape``.
+    """
     d = F.col("diff")
-    folded = pairs.filter("status = 'paired'").select(
-        *by, F.size(d).cast("long").alias("n"), _sum(d).alias("s"), _sum(F.transform(d, lambda x: x * x)).alias("q"),
+    folded = pairs.select(
+        *by, *[c.alias(n) for n, c in _sides().items()], F.size(d).cast("long").alias("n"), _sum(d).alias("s"), _sum(F.transform(d, lambda x: x * x)).alias("q"),
         F.array_max(d).alias("m"), _count(d, lambda x: x == 0).alias("c0"), _count(d, lambda x: x < 1e-3).alias("c3"),
         _count(d, lambda x: x < 1e-2).alias("c2"), _count(d, lambda x: x > 1e-2).alias("over"))
     n = F.sum("n")
     pct = lambda c: F.sum(c) * 100.0 / n
     return folded.groupBy(*by).agg(
         n.alias("n"), (F.sum("s") / n).alias("mae"), F.max("m").alias("max_diff"), F.sqrt(F.sum("q") / n).alias("rmse"),
-        pct("c0").alias("pct_exact"), pct("c3").alias("pct_lt_1e3"), pct("c2").alias("pct_lt_1e2"), pct("over").alias("pct_gt_1e2"))
+        pct("c0").alias("pct_exact"), pct("c3").alias("pct_lt_1e3"), pct("c2").alias("pct_lt_1e2"), pct("over").alias("pct_gt_1e2"),
+        *[F.sum(c).alias(c) for c in _sides()])
 
 
 def diff_by_frame(pairs: DataFrame, frame_len: int, tol: float = 1e-3) -> DataFrame:
-    """Mean and max difference and non-zero counts per sub-frame of a tensor."""
+    """Mean and max difference and non-zero counts per sub-frame of a tensor; a tensor without a partner is one row with its status."""
     n = F.ceil(F.size("diff") / F.lit(frame_len)).cast("int")
     cut = lambda c, f: F.slice(c, f * frame_len + 1, F.lit(frame_len))
     frames = F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.struct(
         f.alias("frame"), (_sum(cut("diff", f)) / F.size(cut("diff", f))).alias("mean_diff"),
         F.array_max(cut("diff", f)).alias("max_diff"), _count(cut("va", f), lambda x: x != 0).alias("nonzero_a"),
         _count(cut("vb", f), lambda x: x != 0).alias("nonzero_b")))
-    return pairs.filter("status = 'paired'").select(TENSOR, F.explode(frames).alias("f")).select(
-        TENSOR, "f.*", (F.col("f.max_diff") <= F.lit(tol)).alias("passed"))
+    return pairs.select(TENSOR, "status", F.explode_outer(frames).alias("f")).select(
+        TENSOR, "status", "f.*", F.coalesce(F.col("f.max_diff") <= F.lit(tol), F.lit(False)).alias("passed"))
 
 
 def top_diffs(pairs: DataFrame, k: int, shape: tuple[int, int]) -> DataFrame:
-    """The k largest differences with their unravelled position.
+    """The k largest differences with their unravelled position, beside the number of tensors that had no partner.
 
     Each tensor offers its own k largest, then one global top-k keeps k rows per task.
     """
     rows, cols = shape
     ranked = F.slice(F.reverse(F.array_sort(F.transform("diff", lambda d, i: F.struct(
         d.alias("d"), (-i).alias("neg"))))), 1, k)
+    alone = pairs.agg(F.count_if(F.col("status") != "paired").alias("unpaired"))
     return (
         pairs.filter("status = 'paired'").select(TENSOR, "va", "vb", F.explode(ranked).alias("t"))
         .select(TENSOR, (-F.col("t.neg")).alias("pos"), F.col("t.d").alias("diff"),
                 F.get("va", -F.col("t.neg")).cast("double").alias("a"), F.get("vb", -F.col("t.neg")).cast("double").alias("b"))
-        .orderBy(F.desc("diff"), TENSOR, "pos").limit(k)
+        .orderBy(F.desc("diff"), TENSOR, "pos").limit(k).crossJoin(F.broadcast(alone))
         .withColumns({"row": F.floor(F.col("pos") / F.lit(cols)).cast("int"), "col": F.col("pos") % cols})
     )
 
 
 def error_histogram(pairs: DataFrame, tol: float, by: list[str]) -> DataFrame:
-    """Counts above tol, 10·tol, 100·tol, 1000·tol and the mismatch percentage."""
+    """Counts above tol, 10·tol, 100·tol, 1000·tol, the mismatch percentage, and the tensors without a partner."""
     levels = {"gt_1": tol, "gt_10": 10 * tol, "gt_100": 100 * tol, "gt_1000": 1000 * tol}
-    folded = pairs.filter("status = 'paired'").select(
-        *by, F.size("diff").cast("long").alias("n"),
+    folded = pairs.select(
+        *by, *[c.alias(n) for n, c in _sides().items()], F.size("diff").cast("long").alias("n"),
         *[_count(F.col("diff"), _above(t)).alias(c) for c, t in levels.items()])
-    out = folded.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in levels])
+    out = folded.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in [*levels, *_sides()]])
     return out.withColumn("mismatch_pct", F.col("gt_1") * 100.0 / F.col("n"))
 
 

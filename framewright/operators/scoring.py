@@ -61,15 +61,20 @@ def cosine_sync_loss(audio: DataFrame, video: DataFrame, key: list[str]) -> Data
 
 def l1_mse_metrics(pred: DataFrame, truth: DataFrame, key: list[str], by: list[str],
                    perceptual: str | None = None, sync: str | None = None) -> DataFrame:
-    """L1, MSE and the weighted total ``l1 + 0.01*perceptual + 10*sync``."""
-    pair = pred.join(truth.select(*key, F.col("values").alias("_t")), key)
-    d = F.zip_with("values", "_t", lambda x, y: x.cast("double") - y.cast("double"))
+    """L1, MSE and the weighted total ``l1 + 0.01*perceptual + 10*sync``.
+
+    Predictions without a truth of their length take no part in the means and are counted in ``unmatched``.
+    """
+    pair = pred.join(truth.select(*key, F.col("values").alias("_t")), key, "left")
+    fits = F.coalesce(F.size("values") == F.size("_t"), F.lit(False))
+    d = F.when(fits, F.zip_with("values", "_t", lambda x, y: x.cast("double") - y.cast("double")))
     fold = lambda f: F.aggregate(F.transform(d, f), F.lit(0.0), lambda s, v: s + v)
     rows = pair.select(
         *by, F.size(d).cast("long").alias("n"), fold(F.abs).alias("l1"), fold(lambda v: v * v).alias("q"),
-        (F.col(perceptual) if perceptual else F.lit(0.0)).alias("p"), (F.col(sync) if sync else F.lit(0.0)).alias("s"))
+        F.when(fits, F.col(perceptual) if perceptual else F.lit(0.0)).alias("p"), F.when(fits, F.col(sync) if sync else F.lit(0.0)).alias("s"),
+        fits.alias("fits"))
     out = rows.groupBy(*by).agg((F.sum("l1") / F.sum("n")).alias("l1"), (F.sum("q") / F.sum("n")).alias("mse"),
-                                F.avg("p").alias("perceptual"), F.avg("s").alias("sync"))
+                                F.avg("p").alias("perceptual"), F.avg("s").alias("sync"), F.count_if(~F.col("fits")).alias("unmatched"))
     return out.withColumn("total", F.col("l1") + F.col("perceptual") * 0.01 + F.col("sync") * 10)
 
 

@@ -119,8 +119,12 @@ class OrderedParts:
         self._parts = Window.partitionBy(*self.keys).orderBy("_part")
 
     def _with_carry(self, local: DataFrame, summary: DataFrame) -> DataFrame:
-        on = [*self.keys, "_part"]
-        return local.join(summary, on, "left")
+        """Rows with their part's carry; a null key is a key like any other."""
+        right = summary.withColumnsRenamed({c: f"_c_{c}" for c in [*self.keys, "_part"]})
+        same = F.col("_part") == F.col("_c__part")
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+        return local.join(right, same, "left").drop(*[f"_c_{c}" for c in [*self.keys, "_part"]])
 
     def row_number(self, name: str = "rn") -> DataFrame:
         """1-based position within the key."""

@@ -166,8 +166,8 @@ def validity_check(blocks: DataFrame) -> DataFrame:
         F.bool_or(F.exists("samples", bad)).alias("_bad"),
     ).select(
         KEY, "n_samples",
-        F.when(F.col("n_samples") <= 0, "empty audio")
-        .when(F.col("_bad"), "audio contains NaN or infinite values").alias("error"))
+        F.when(F.col("n_samples") <= 0, "no samples")
+        .when(F.col("_bad"), "samples that are not finite").alias("error"))
 
 
 # ---------------------------------------------------------------- spectra
@@ -408,8 +408,7 @@ def validate_length(blocks: DataFrame, batch: int, win: int = 800, hop: int = 20
         KEY, "n_samples", F.col("centered").alias("expected_frames"),
         (F.col("centered") >= need).alias("ok"),
         F.when(F.col("centered") < need,
-               F.concat(F.lit("audio too short: will produce "), F.col("centered").cast("string"),
-                        F.lit(f" frames, need {need} for batch size {batch}"))).alias("error"))
+               F.concat(F.col("centered").cast("string"), F.lit(f" frames; a batch of {batch} takes {need}"))).alias("error"))
 
 
 def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
@@ -417,17 +416,21 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
     """Samples for ``batch + 15`` video frames, starting 8 frames early.
 
     ``requests`` is (request_id, clip_id, start_frame, batch).  A start past the
-    end wraps modulo the clip length; the end is cut at the clip's end.
+    end wraps modulo the clip length; the end is cut at the clip's end.  A request
+    for an unknown or empty clip is one row with an error and no samples.
     """
     spf = sr * 40 // 1000
     raw = F.greatest(F.col("start_frame") - 8, F.lit(0)).cast("long") * spf
     req = (
-        salted_attach(requests, clip_lengths(blocks), [KEY], ["request_id"])
-        .withColumn("start", F.when(raw >= F.col("n_samples"), raw % F.col("n_samples")).otherwise(raw))
+        salted_attach(requests, clip_lengths(blocks), [KEY], ["request_id"], how="left")
+        .withColumn("error", F.when(F.col("n_samples").isNull(), "no such clip").when(F.col("n_samples") == 0, "empty clip"))
+        .withColumn("start", F.when(raw >= F.col("n_samples"), F.try_mod(raw, F.col("n_samples"))).otherwise(raw))
         .withColumn("stop", F.least(F.col("start") + (F.col("batch") + 15).cast("long") * spf,
                                     F.col("n_samples")))
     )
-    wanted = req.withColumn("block_idx", F.explode(F.sequence(
+    refused = req.filter("error is not null").select("request_id", KEY, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"),
+                                                     F.lit(None).cast("array<float>").alias("samples"), "error")
+    wanted = req.filter("error is null").withColumn("block_idx", F.explode(F.sequence(
         F.floor(F.col("start") / F.lit(hop)).cast("long"),
         F.floor((F.col("stop") - 1) / F.lit(hop)).cast("long"))))
     base = F.col("block_idx") * hop
@@ -441,7 +444,8 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
         .groupBy("request_id", KEY, "start", "stop")
         .agg(F.sort_array(F.collect_list(F.struct("block_idx", "part"))).alias("parts"))
         .select("request_id", KEY, "start", "stop",
-                F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"))
+                F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"), F.lit(None).cast("string").alias("error"))
+        .unionByName(refused)
     )
 
 

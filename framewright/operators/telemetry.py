@@ -104,19 +104,20 @@ def overhead(log: DataFrame, by: str, processing: Column) -> DataFrame:
 
 
 def speedup(runs: DataFrame, group: str, variant: str, workers: str, ms: str, baseline: str) -> DataFrame:
-    """Ratio of the baseline's mean time to each variant's, and parallel efficiency in percent."""
+    """Ratio of the baseline's mean time to each variant's, and parallel efficiency in percent; null in groups without a baseline."""
     means = runs.groupBy(group, variant, workers).agg(F.avg(ms).alias("mean_ms"))
     base = means.filter(F.col(variant) == baseline).groupBy(group).agg(F.min("mean_ms").alias("base_ms"))
-    return means.join(base, group).withColumn("speedup", F.col("base_ms") / F.col("mean_ms")).withColumn(
+    return means.join(base, group, "left").withColumn("speedup", F.col("base_ms") / F.col("mean_ms")).withColumn(
         "efficiency_pct", F.col("speedup") / F.col(workers) * 100)
 
 
 def gpu_usage(models: DataFrame, gpus: int, memory_gb: int = 24) -> DataFrame:
-    """Models and memory per GPU, idle GPUs included."""
+    """Models and memory per GPU, idle GPUs included; models on other numbers or none are listed under theirs."""
     used = models.groupBy("gpu_id").agg(F.countDistinct("model_id").alias("models"), F.sum("bytes").alias("used"))
     ids = models.sparkSession.range(gpus).select(F.col("id").cast("int").alias("gpu_id"))
-    return ids.join(used, "gpu_id", "left").select(
-        "gpu_id", F.coalesce("models", F.lit(0)).alias("models"), F.coalesce("used", F.lit(0)).alias("used_bytes"),
+    every = ids.union(used.select(F.col("gpu_id").cast("int"))).distinct()
+    return every.join(used, every["gpu_id"].eqNullSafe(used["gpu_id"]), "left").select(
+        every["gpu_id"], F.coalesce("models", F.lit(0)).alias("models"), F.coalesce("used", F.lit(0)).alias("used_bytes"),
         F.lit(memory_gb * 1024 ** 3).cast("long").alias("total_bytes"))
 
 

@@ -222,10 +222,17 @@ def tile_feature(flat: Column, times: int = 16) -> Column:
 
 
 def clamped_features(requests: DataFrame, feats: DataFrame, vec: str) -> DataFrame:
-    """Feature row of each requested frame; an index past the end takes the last row."""
+    """Feature row of each requested frame; an index past the end takes the last row.
+
+    Many requests may end at a last row, so that row is repeated per salt and its requests are dealt over the copies.
+    """
+    salts = 32
     lens = feats.groupBy(KEY).agg(F.max(IDX).alias("_last"))
-    keyed = salted_attach(requests, lens, [KEY], [IDX]).withColumn("src_idx", F.least(IDX, "_last")).drop("_last")
-    return keyed.join(feats.select(KEY, F.col(IDX).alias("src_idx"), vec), [KEY, "src_idx"])
+    keyed = salted_attach(requests, lens, [KEY], [IDX]).withColumn("src_idx", F.least(IDX, "_last")).withColumn(
+        "_copy", F.when(F.col("src_idx") == F.col("_last"), F.pmod(F.xxhash64(*requests.columns), F.lit(salts))).otherwise(0)).drop("_last")
+    rows = salted_attach(feats, lens, [KEY], [IDX]).withColumn("_copy", F.explode(F.when(
+        F.col(IDX) == F.col("_last"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return keyed.join(rows.select(KEY, F.col(IDX).alias("src_idx"), "_copy", vec), [KEY, "src_idx", "_copy"]).drop("_copy")
 
 
 def replicate_feature(feats: DataFrame, batch: Column) -> DataFrame:

@@ -25,18 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
-_SMALL_INPUT = 16 * 2**20
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a small input over all cores.
+    """Hash rows over the session's shuffle partitions, at every size.
 
-    A small file is one row group, hence one task.  Inputs above 16 MiB per core
-    keep the partitions of their scan.
+    The number is given, so that adaptive execution does not merge partitions whose rows are small but cost much work.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if int(str(size)) < cores * _SMALL_INPUT else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def div(a: Column, n: int) -> Column:
@@ -47,17 +41,16 @@ def div(a: Column, n: int) -> Column:
 def text_blocks(spark: SparkSession, sf_dir: str, hop: int = 200) -> DataFrame:
     """``documents`` as signal blocks: a clip is a text, a sample is a character.
 
-    Fixed mapping: code point modulo 256, centred, over 128 (exact in float32).
+    Fixed mapping: code point modulo 256, centred, over 128 (exact in float32).  An empty or null text is one empty block.
     """
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), "text")
-                  .filter(F.length("text") > 0), "clip_id")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.coalesce("text", F.lit("")).alias("text")), "clip_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for clip, text in zip(rows.column("clip_id").to_pylist(), rows.column("text")):
                 codes = np.frombuffer(text.as_py().encode("utf-32-le"), dtype="<u4").astype(np.int32)
                 level = ((codes % 256 - 128) / np.float32(128)).astype(np.float32)
-                m = -(-len(level) // hop)
+                m = max(1, -(-len(level) // hop))
                 ends = np.minimum(np.arange(m + 1) * hop, len(level)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, clip)), pa.array(np.arange(m)), pa.array(np.diff(ends)),
@@ -67,14 +60,14 @@ def text_blocks(spark: SparkSession, sf_dir: str, hop: int = 200) -> DataFrame:
     return docs.mapInArrow(cut, SIGNAL_BLOCKS)
 
 
-CLIPS_SQL = """clips AS (SELECT doc_id AS clip_id, list_transform(string_split(text, ''),
-  lambda c: ((unicode(c) % 256) - 128) / 128.0::DOUBLE) AS s FROM documents WHERE length(text) > 0)"""
+CLIPS_SQL = """clips AS (SELECT doc_id AS clip_id, list_transform(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, '') END,
+  lambda c: ((unicode(c) % 256) - 128) / 128.0::DOUBLE) AS s FROM documents)"""
 
 
 def blocks_sql(hop: int = 200) -> str:
     return f"""{CLIPS_SQL},
 blocks AS (SELECT clip_id, b AS block_idx, s[b*{hop}+1:b*{hop}+{hop}] AS x, s[b*{hop}] AS prev FROM
-  (SELECT clip_id, s, unnest(range((len(s) + {hop - 1}) // {hop})) AS b FROM clips))"""
+  (SELECT clip_id, s, unnest(range(greatest(1, (len(s) + {hop - 1}) // {hop}))) AS b FROM clips))"""
 
 
 SAMPLES_SQL = f"""{CLIPS_SQL},
@@ -85,17 +78,17 @@ STEP = 40
 
 
 def step_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature steps (clip_id, frame_idx, vec[4]): first four samples of each 40-sample step."""
-    vec = F.slice(F.concat("samples", F.array_repeat(F.lit(0.0).cast("float"), 4)), 1, 4)
-    return text_blocks(spark, sf_dir, STEP).select(
-        "clip_id", F.col("block_idx").alias("frame_idx"), vec.alias("vec"))
+    """Feature steps (clip_id, frame_idx, vec[4]): sums of ten samples each, so a vector holds all 40 samples of its step."""
+    quarter = lambda k: F.aggregate(F.slice("samples", k * STEP // 4 + 1, STEP // 4), F.lit(0.0), lambda a, x: a + x).cast("float")
+    return text_blocks(spark, sf_dir, STEP).filter("n > 0").select(
+        "clip_id", F.col("block_idx").alias("frame_idx"), F.array(*map(quarter, range(4))).alias("vec"))
 
 
-# One row per step with v = 1*vec[0] + 2*vec[1] + 3*vec[2] + 4*vec[3], exact in binary.
+# One row per step with v = 1*vec[0] + 2*vec[1] + 3*vec[2] + 4*vec[3], exact in binary.  An empty text has no step.
 STEPS_SQL = f"""{CLIPS_SQL},
-steps AS (SELECT clip_id, f AS frame_idx, coalesce(s[f*{STEP}+1],0) + 2*coalesce(s[f*{STEP}+2],0)
-  + 3*coalesce(s[f*{STEP}+3],0) + 4*coalesce(s[f*{STEP}+4],0) AS v FROM
-  (SELECT clip_id, s, unnest(range((len(s) + {STEP - 1}) // {STEP})) AS f FROM clips)),
+steps AS (SELECT clip_id, frame_idx, q, q[1] + 2 * q[2] + 3 * q[3] + 4 * q[4] AS v FROM (SELECT clip_id, f AS frame_idx,
+  [{", ".join(f"coalesce(list_sum(s[f*{STEP}+{k * STEP // 4 + 1}:f*{STEP}+{(k + 1) * STEP // 4}]), 0)" for k in range(4))}] AS q FROM
+  (SELECT clip_id, s, unnest(range((len(s) + {STEP - 1}) // {STEP})) AS f FROM clips))),
 lens AS (SELECT clip_id, count(*) AS n FROM steps GROUP BY clip_id)"""
 
 

@@ -16,7 +16,11 @@ tb AS (SELECT vec_id AS tensor_id, CASE WHEN vec_id % 19 = 3 THEN b[1:60] ELSE b
   list_transform(embedding, lambda x: CASE WHEN vec_id % 5 = 0 THEN x ELSE (floor(x * 512::FLOAT) / 512)::FLOAT END) AS b
   FROM embeddings WHERE vec_id % 17 <> 0)),
 el AS (SELECT ta.tensor_id, label, i - 1 AS pos, ta.v[i]::DOUBLE AS a, tb.v[i]::DOUBLE AS b, abs(ta.v[i]::DOUBLE - tb.v[i]::DOUBLE) AS d
-  FROM ta JOIN tb USING (tensor_id), range(1, 65) t(i) WHERE len(ta.v) = len(tb.v))"""
+  FROM ta JOIN tb USING (tensor_id), range(1, 65) t(i) WHERE len(ta.v) = len(tb.v)),
+st AS (SELECT tensor_id, label, CASE WHEN tb.v IS NULL THEN 'only a' WHEN ta.v IS NULL THEN 'only b' WHEN len(ta.v) = len(tb.v) THEN 'paired' ELSE 'shape' END AS status
+  FROM ta FULL JOIN tb USING (tensor_id)),
+sides AS (SELECT label, count(*) FILTER (status = 'paired') AS paired, count(*) FILTER (status = 'only a') AS only_a, count(*) FILTER (status = 'only b') AS only_b,
+  count(*) FILTER (status = 'shape') AS other_shape FROM st GROUP BY 1)"""
 
 
 def run_a(spark, sf):
@@ -45,28 +49,31 @@ def q01(spark, sf):
     return _round(Q.tensor_stats(run_a(spark, sf)))
 
 
-@query("q02_tensor_diff", f"""WITH {TENS_SQL} SELECT label, count(*) AS n, {r('avg(d)', 9)} AS mae, {r('max(d)', 9)} AS max_diff, {r('sqrt(avg(d*d))', 9)} AS rmse,
+@query("q02_tensor_diff", f"""WITH {TENS_SQL} SELECT label, count(d) AS n, {r('avg(d)', 9)} AS mae, {r('max(d)', 9)} AS max_diff, {r('sqrt(avg(d*d))', 9)} AS rmse,
   {r('avg((d = 0)::INT) * 100', 9)} AS pct_exact, {r('avg((d < 1e-3::DOUBLE)::INT) * 100', 9)} AS pct_lt_1e3, {r('avg((d < 1e-2::DOUBLE)::INT) * 100', 9)} AS pct_lt_1e2,
-  {r('avg((d > 1e-2::DOUBLE)::INT) * 100', 9)} AS pct_gt_1e2 FROM el GROUP BY 1""")
+  {r('avg((d > 1e-2::DOUBLE)::INT) * 100', 9)} AS pct_gt_1e2,
+  any_value(paired) AS paired, any_value(only_a) AS only_a, any_value(only_b) AS only_b, any_value(other_shape) AS other_shape FROM sides LEFT JOIN el USING (label) GROUP BY 1""")
 def q02(spark, sf):
     return _round(Q.tensor_diff(pairs(spark, sf), ["label"]))
 
 
-@query("q03_diff_by_frame", f"""WITH {TENS_SQL} SELECT tensor_id, (pos // 8)::INT AS frame, {r('avg(d)', 9)} AS mean_diff, {r('max(d)', 9)} AS max_diff,
-  count(*) FILTER (a <> 0) AS nonzero_a, count(*) FILTER (b <> 0) AS nonzero_b, max(d) <= 1e-3::DOUBLE AS passed FROM el GROUP BY 1, 2""")
+@query("q03_diff_by_frame", f"""WITH {TENS_SQL} SELECT tensor_id, 'paired' AS status, (pos // 8)::INT AS frame, {r('avg(d)', 9)} AS mean_diff, {r('max(d)', 9)} AS max_diff,
+  count(*) FILTER (a <> 0) AS nonzero_a, count(*) FILTER (b <> 0) AS nonzero_b, max(d) <= 1e-3::DOUBLE AS passed FROM el GROUP BY 1, 3
+UNION ALL SELECT tensor_id, status, -1, NULL, NULL, 0, 0, false FROM st WHERE status <> 'paired'""")
 def q03(spark, sf):
-    return _round(Q.diff_by_frame(pairs(spark, sf), 8))
+    out = Q.diff_by_frame(pairs(spark, sf), 8)
+    return _round(out.withColumns({"frame": F.coalesce("frame", F.lit(-1)), **{c: F.coalesce(c, F.lit(0).cast("long")) for c in ("nonzero_a", "nonzero_b")}}))
 
 
-@query("q04_top_diffs", f"""WITH {TENS_SQL} SELECT tensor_id, pos::INT AS pos, {r('d', 9)} AS diff, {r('a', 9)} AS a, {r('b', 9)} AS b, (pos // 8)::INT AS row, (pos % 8)::INT AS col
-FROM el ORDER BY d DESC, tensor_id, pos LIMIT 10""")
+@query("q04_top_diffs", f"""WITH {TENS_SQL} SELECT tensor_id, pos::INT AS pos, {r('d', 9)} AS diff, {r('a', 9)} AS a, {r('b', 9)} AS b, (pos // 8)::INT AS row, (pos % 8)::INT AS col,
+  (SELECT count(*) FROM st WHERE status <> 'paired') AS unpaired FROM el ORDER BY d DESC, tensor_id, pos LIMIT 10""")
 def q04(spark, sf):
     return _round(Q.top_diffs(pairs(spark, sf), 10, (8, 8)))
 
 
-@query("q05_error_histogram", f"""WITH {TENS_SQL} SELECT label, count(*) AS n, count(*) FILTER (d > 1e-6::DOUBLE) AS gt_1, count(*) FILTER (d > 10 * 1e-6::DOUBLE) AS gt_10,
-  count(*) FILTER (d > 100 * 1e-6::DOUBLE) AS gt_100, count(*) FILTER (d > 1000 * 1e-6::DOUBLE) AS gt_1000, {r('count(*) FILTER (d > 1e-6::DOUBLE) * 100.0::DOUBLE / count(*)', 9)} AS mismatch_pct
-FROM el GROUP BY 1""")
+@query("q05_error_histogram", f"""WITH {TENS_SQL} SELECT label, count(d) AS n, count(*) FILTER (d > 1e-6::DOUBLE) AS gt_1, count(*) FILTER (d > 10 * 1e-6::DOUBLE) AS gt_10,
+  count(*) FILTER (d > 100 * 1e-6::DOUBLE) AS gt_100, count(*) FILTER (d > 1000 * 1e-6::DOUBLE) AS gt_1000, {r('count(*) FILTER (d > 1e-6::DOUBLE) * 100.0::DOUBLE / count(d)', 9)} AS mismatch_pct,
+  any_value(paired) AS paired, any_value(only_a) AS only_a, any_value(only_b) AS only_b, any_value(other_shape) AS other_shape FROM sides LEFT JOIN el USING (label) GROUP BY 1""")
 def q05(spark, sf):
     return _round(Q.error_histogram(pairs(spark, sf), 1e-6, ["label"]))
 
@@ -129,13 +136,14 @@ def q10(spark, sf):
     return Q.zero_vectors(table(spark, sf, "lineitem").select("l_suppkey", vec.alias("values")), ["l_suppkey"])
 
 
-@query("q11_image_size_match", """SELECT o_orderkey AS frame_idx, (o_custkey % 20)::INT AS w, (o_custkey % 20)::INT AS h, p_size AS stored_w, p_size AS stored_h, o_custkey % 20 = p_size AS match
-FROM orders JOIN part ON p_partkey = o_orderkey""")
+@query("q11_image_size_match", """SELECT o_orderkey AS frame_idx, (o_custkey % 20)::INT AS w, (o_custkey % 20)::INT AS h, coalesce(p_size, -1)::INT AS stored_w, coalesce(p_size, -1)::INT AS stored_h, coalesce(o_custkey % 20 = p_size, false) AS match
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey""")
 def q11(spark, sf):
     side = (F.col("o_custkey") % 20).cast("int")
     got = table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_idx"), side.alias("w"), side.alias("h"))
     stored = table(spark, sf, "part").select(F.col("p_partkey").alias("frame_idx"), F.col("p_size").alias("w"), F.col("p_size").alias("h"))
-    return Q.image_size_match(got, stored, ["frame_idx"]).filter("stored_w is not null")
+    out = Q.image_size_match(got, stored, ["frame_idx"])
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("stored_w", "stored_h")})
 
 
 @query("v01_validate_requests", """WITH q AS (SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 23 = 0 THEN '' ELSE 'm' END AS model_id, (o_custkey % 36)::INT AS batch_size,
@@ -180,11 +188,11 @@ def m02(spark, sf):
 
 
 @query("m03_l1_mse_metrics", f"""WITH {TENS_SQL}, t AS (SELECT tensor_id, label, avg(d) AS l1, avg(d * d) AS mse, any_value(label) * 0.5::DOUBLE AS p, any_value(tensor_id) % 7 * 0.25::DOUBLE AS s FROM el GROUP BY 1, 2)
-SELECT label, {r('avg(l1)', 9)} AS l1, {r('avg(mse)', 9)} AS mse, {r('avg(p)', 9)} AS perceptual, {r('avg(s)', 9)} AS sync, {r('avg(l1) + avg(p) * 0.01::DOUBLE + avg(s) * 10', 9)} AS total FROM t GROUP BY 1""")
+SELECT label, {r('avg(l1)', 9)} AS l1, {r('avg(mse)', 9)} AS mse, {r('avg(p)', 9)} AS perceptual, {r('avg(s)', 9)} AS sync, {r('avg(l1) + avg(p) * 0.01::DOUBLE + avg(s) * 10', 9)} AS total,
+  any_value(only_a + other_shape) AS unmatched FROM sides LEFT JOIN t USING (label) GROUP BY 1""")
 def m03(spark, sf):
     pred = run_a(spark, sf).withColumns({"p": F.col("label") * 0.5, "s": F.col("tensor_id") % 7 * 0.25})
-    truth = run_b(spark, sf).filter(F.size("values") == 64)
-    return _round(M.l1_mse_metrics(pred, truth, ["tensor_id"], ["label"], "p", "s"))
+    return _round(M.l1_mse_metrics(pred, run_b(spark, sf), ["tensor_id"], ["label"], "p", "s"))
 
 
 @query("m04_best_so_far", """SELECT event_type AS run, event_id AS epoch, value AS loss FROM (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id

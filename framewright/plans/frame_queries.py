@@ -132,14 +132,15 @@ def j08(spark, sf):
     return J.playback_lookup(ev, fr, ring=60)
 
 
-@query("j08_playback_latest", """SELECT e.event_id, e.user_id, (SELECT max(f.event_id) FROM events f
-  WHERE f.user_id = e.user_id AND f.event_type = 'purchase' AND f.ts <= e.ts) AS frame_id
-FROM events e WHERE e.event_type = 'view' AND frame_id IS NOT NULL""")
+@query("j08_playback_latest", """SELECT e.event_id, e.user_id, coalesce((SELECT max(f.event_id) FROM events f
+  WHERE f.user_id = e.user_id AND f.event_type = 'purchase' AND f.ts <= e.ts), -1) AS frame_id
+FROM events e WHERE e.event_type = 'view'""")
 def j08b(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
     views = ev.filter("event_type = 'view'")
     shown = ev.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("frame_id"))
-    return J.playback_latest(views, shown, "user_id", "ts", "event_id", "frame_id").filter("frame_id is not null").drop("ts")
+    return J.playback_latest(views, shown, "user_id", "ts", "event_id", "frame_id").drop("ts").withColumn(
+        "frame_id", F.coalesce("frame_id", F.lit(-1).cast("long")))
 
 
 @query("j09_catalog_with_stats", """WITH s AS (SELECT c_nationkey % 30 AS s_suppkey, count(*) AS requests, max(c_custkey) AS last_used

@@ -64,10 +64,3 @@ def u07(spark, sf):
     b64 = F.regexp_replace(F.base64(raw), r"\s", "")
     return table(spark, sf, "documents").select(
         "doc_id", F.md5(raw).alias("md5"), F.length(b64).cast("long").alias("b64"), F.octet_length(F.unbase64(b64)).cast("long").alias("bytes"))
-
-
-@query("u08_row_block", """SELECT p_partkey, p_size % 8 AS worker, p_size % 8 * 41 AS start_row, CASE WHEN p_size % 8 = 7 THEN 333 ELSE (p_size % 8 + 1) * 41 END AS end_row FROM part""")
-def u08(spark, sf):
-    worker = F.col("p_size") % 8
-    start, end = C.row_block(worker, 8, 333)
-    return table(spark, sf, "part").select("p_partkey", worker.alias("worker"), start.alias("start_row"), end.alias("end_row"))

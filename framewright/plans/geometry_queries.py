@@ -165,11 +165,14 @@ def g09b(spark, sf):
 
 
 @query("g10_normalize_bounds", """WITH b AS (SELECT p_partkey, p_size % 5 AS k, p_size AS s FROM part)
-SELECT p_partkey, s AS x1, s + 1 AS y1, s * 3 AS x2, s * 4 AS y2, CASE k WHEN 1 THEN s * 3 - s ELSE s * 2 END AS width,
-  CASE k WHEN 3 THEN s * 5 ELSE s * 4 - s - 1 END AS height FROM b WHERE k IN (1, 2, 3)""")
+SELECT p_partkey, k IN (1, 2, 3) AS ok, coalesce(CASE WHEN k IN (1, 2, 3) THEN s END, -1)::INT AS x1, coalesce(CASE WHEN k IN (1, 2, 3) THEN s + 1 END, -1)::INT AS y1,
+  coalesce(CASE WHEN k IN (1, 2, 3) THEN s * 3 END, -1)::INT AS x2, coalesce(CASE WHEN k IN (1, 2, 3) THEN s * 4 END, -1)::INT AS y2,
+  coalesce(CASE k WHEN 1 THEN s * 3 - s WHEN 2 THEN s * 2 WHEN 3 THEN s * 2 END, -1)::INT AS width,
+  coalesce(CASE k WHEN 3 THEN s * 5 WHEN 1 THEN s * 4 - s - 1 WHEN 2 THEN s * 4 - s - 1 END, -1)::INT AS height FROM b""")
 def g10(spark, sf):
     s = F.col("p_size")
-    full = F.array(*[c.cast("double") for c in (s, s + 1, s * 3, s * 4, s * 2, s * 5)])
+    full = F.array(*[c.cast("double") for c in (s, s + 1, s * 3, s * 4, s * 2, s * 5, s * 6)])
     n = F.element_at(F.array(*[F.lit(v) for v in (3, 4, 5, 6, 7)]), s % 5 + 1)
     part = table(spark, sf, "part").select("p_partkey", G.normalize_bounds(F.slice(full, F.lit(1), n)).alias("b"), (s % 5).alias("k"))
-    return part.filter("b is not null and k < 4").select("p_partkey", "b.*")
+    return part.select("p_partkey", F.col("b").isNotNull().alias("ok"), *[
+        F.coalesce(F.col("b")[c], F.lit(-1)).alias(c) for c in ("x1", "y1", "x2", "y2", "width", "height")])

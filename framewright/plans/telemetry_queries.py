@@ -62,7 +62,7 @@ def t05(spark, sf):
 
 @query("t06_speedup", f"""WITH {REQUEST_SQL}, g AS (SELECT backend, model_id, gpu_id + 1 AS workers, avg(total_ms) AS mean_ms FROM req GROUP BY ALL),
 b AS (SELECT backend, min(mean_ms) AS base_ms FROM g WHERE model_id = 'view' GROUP BY 1)
-SELECT backend, model_id, workers, {r('mean_ms')} AS mean_ms, {r('base_ms')} AS base_ms, {r('base_ms / mean_ms')} AS speedup, {r('base_ms / mean_ms / workers * 100')} AS efficiency_pct FROM g JOIN b USING (backend)""")
+SELECT backend, model_id, workers, {r('mean_ms')} AS mean_ms, {r('base_ms')} AS base_ms, {r('base_ms / mean_ms')} AS speedup, {r('base_ms / mean_ms / workers * 100')} AS efficiency_pct FROM g LEFT JOIN b USING (backend)""")
 def t06(spark, sf):
     runs = request_log(spark, sf).withColumn("workers", F.col("gpu_id") + 1)
     return _round(T.speedup(runs, "backend", "model_id", "workers", "total_ms", "view"))

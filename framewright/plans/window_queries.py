@@ -156,9 +156,9 @@ def w10(spark, sf):
     return out.select("clip_id", "video_frame", rnd(chk).alias("chk"))
 
 
-@query("w11_transpose_window", f"""WITH {STEPS_SQL.replace('AS v FROM', 'AS v, s FROM')}
-SELECT w.clip_id, w.frame_idx AS window_idx, {r(f'''sum((d * 16 + o + 1) * coalesce(s[least(w.frame_idx + o, n - 1)*40 + d + 1], 0))''')} AS chk
-FROM steps w JOIN lens USING (clip_id), range(16) a(o), range(4) b(d) GROUP BY 1, 2""")
+@query("w11_transpose_window", f"""WITH {STEPS_SQL}
+SELECT w.clip_id, w.frame_idx AS window_idx, {r('sum((o + 1) * list_sum(x.q) + 16 * (x.q[2] + 2 * x.q[3] + 3 * x.q[4]))')} AS chk
+FROM steps w JOIN lens USING (clip_id), range(16) a(o) JOIN steps x ON x.clip_id = w.clip_id AND x.frame_idx = least(w.frame_idx + o, n - 1) GROUP BY 1, 2""")
 def w11(spark, sf):
     out = W.sliding_windows(step_series(spark, sf), "vec")
     flat = F.flatten(W.transpose_window(F.col("window"), 4))
@@ -179,14 +179,15 @@ def w11b(spark, sf):
 
 
 @query("w12_tile_feature", f"""WITH {FEATURES_SQL}, lens AS (SELECT clip_id, max(frame_idx) AS last FROM feats GROUP BY 1),
-req AS (SELECT o_orderkey AS request_id, o_custkey % 10 AS clip_id, o_orderkey % 80 AS frame_idx FROM orders),
+req AS (SELECT o_orderkey AS request_id, o_custkey % (SELECT max(clip_id) + 1 FROM lens) AS clip_id, o_orderkey % 80 AS frame_idx FROM orders),
 k AS (SELECT request_id, clip_id, least(frame_idx, last) AS frame_idx FROM req JOIN lens USING (clip_id))
 SELECT request_id, clip_id, frame_idx AS src_idx, (len(feature) * 16)::BIGINT AS n,
   {r('list_sum(list_transform(feature, lambda v, i: v::DOUBLE * (256.0::DOUBLE * (i - 1) + 136)))', 4)} AS chk
 FROM k JOIN feats USING (clip_id, frame_idx)""")
 def w12(spark, sf):
-    req = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 10).alias("clip_id"),
+    clips = features(spark, sf).agg((F.max("clip_id") + 1).alias("clips"))
+    req = table(spark, sf, "orders").crossJoin(F.broadcast(clips)).select(
+        F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % F.col("clips")).alias("clip_id"),
         (F.col("o_orderkey") % 80).alias("frame_idx"))
     out = W.clamped_features(req, features(spark, sf), "feature").withColumn(
         "tile", W.tile_feature(F.col("feature")))

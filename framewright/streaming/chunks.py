@@ -38,8 +38,11 @@ def tumbling_stats(df: DataFrame, width: str = "40 milliseconds", ts: str = "ts"
 
 def lookahead_context(chunks: DataFrame, value: str, before: int = 8, after: int = 8,
                       span: int = 64) -> DataFrame:
-    """Frames whose chunks ``i-before .. i+after-1`` are all present, with the context (batch form)."""
-    segs = halo_segments(chunks, F.col(value), span, before, after - 1, STREAM, CHUNK)
+    """Frames whose chunks ``i-before .. i+after-1`` are all present, with the context (batch form).
+
+    Of a chunk that arrived twice the smallest value counts.
+    """
+    segs = halo_segments(chunks.groupBy(STREAM, CHUNK).agg(F.min(value).alias(value)), F.col(value), span, before, after - 1, STREAM, CHUNK)
     index = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["i"], r["v"])))
     core = F.filter(F.transform("rows", lambda r: r["i"]), lambda i: F.floor(i / span) == F.col("seg"))
     windows = F.transform(core, lambda i: F.struct(
@@ -49,18 +52,19 @@ def lookahead_context(chunks: DataFrame, value: str, before: int = 8, after: int
         STREAM, F.explode(full).alias("f")).select(STREAM, F.col("f.i").alias(CHUNK), "f.context")
 
 
-def gap_detect(chunks: DataFrame) -> DataFrame:
-    """Last chunk of the unbroken run that starts at each stream's first chunk.
+def gap_detect(chunks: DataFrame, first: int = 0) -> DataFrame:
+    """Last chunk of the unbroken run that starts at chunk ``first``; one before it if that chunk is missing.
 
     A run ends where the next chunk is missing, which is an anti join on the
     next index; no stream is ordered as a whole.
     """
-    keys = chunks.select(STREAM, CHUNK).distinct()
+    keys = chunks.select(STREAM, CHUNK).filter(F.col(CHUNK) >= first).distinct()
     follow = keys.select(STREAM, (F.col(CHUNK) - 1).alias(CHUNK))
     ends = keys.join(follow, [STREAM, CHUNK], "left_anti").groupBy(STREAM).agg(
         F.min(CHUNK).alias("run_end"), (F.count("*") - 1).alias("gaps"))
-    starts = keys.groupBy(STREAM).agg(F.min(CHUNK).alias("run_start"))
-    return starts.join(ends, STREAM)
+    starts = keys.groupBy(STREAM).agg(F.min(CHUNK).alias("low"))
+    reached = F.when(F.col("low") == first, F.col("run_end")).otherwise(F.lit(first - 1).cast("long"))
+    return starts.join(ends, STREAM).select(STREAM, F.lit(first).cast("long").alias("run_start"), reached.alias("run_end"), "gaps")
 
 
 def playback_start(chunks: DataFrame, order: list[str], ts: str = "ts", fill: int = 20,

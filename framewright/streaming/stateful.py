@@ -119,34 +119,6 @@ def playback_start_stream(chunks: DataFrame, fill: int = 20, delay_ms: int = 380
                       F.timestamp_micros(F.col("ready_us") + delay_ms * 1000).alias("start_ts"))
 
 
-def ready_trigger_stream(events: DataFrame, batch: int = 5, need_audio: int = 21, target: int = 15) -> DataFrame:
-    """Emit a batch of frames on a chunk arrival only if audio is enough and frames are short.
-
-    ``events``: stream_id, seq, kind (``chunk`` adds audio, ``play`` uses one chunk
-    and one frame).  State: two fills and a counter.
-    """
-    def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        audio, frames, batches = held.get if held.exists else (0, 0, 0)
-        # One trigger's rows of one stream, put in event order.
-        moves = sorted(m for pdf in rows for m in zip(pdf["seq"].tolist(), pdf["kind"].tolist()))
-        out = []
-        for seq, kind in moves:
-            if kind == "play":
-                audio, frames = max(audio - 1, 0), max(frames - 1, 0)
-                continue
-            audio += 1
-            if audio >= need_audio and frames < target:
-                out.append((key[0], batches, seq, audio, frames))
-                frames += batch
-                batches += 1
-        held.update((audio, frames, batches))
-        yield pd.DataFrame(out, columns=[STREAM, "batch_id", "seq", "audio_fill", "frame_fill"])
-
-    return _stateful(events.select(STREAM, "seq", "kind"), [STREAM], step,
-                     f"{STREAM} {_kind(events)}, batch_id long, seq long, audio_fill long, frame_fill long",
-                     "audio long, frames long, batches long")
-
-
 def buffer_status_stream(events: DataFrame, target: int = 15) -> DataFrame:
     """Fill of each stream after every trigger, its status and percent of target."""
     def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -172,14 +144,3 @@ def bounded_history_stream(chunks: DataFrame, value: str, n: int = 3000) -> Data
     src = chunks.select(STREAM, CHUNK, F.col(value).cast("double").alias("value"))
     return _stateful(src, [STREAM], step, f"{STREAM} {_kind(chunks)}, kept long, oldest long, newest long",
                      "idx array<long>, vals array<double>")
-
-
-def ttl_cache_stream(uses: DataFrame, ttl_s: int) -> DataFrame:
-    """Per trigger and key: uses and misses, where a key lives ``ttl_s`` after its last set."""
-    def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n, hit = sum(len(pdf) for pdf in rows), held.exists
-        held.update((True,))
-        yield pd.DataFrame({"key": [key[0]], "uses": [n], "misses": [0 if hit else 1]})
-
-    return _stateful(uses.select("key"), ["key"], step, f"key {_kind(uses, 'key')}, uses long, misses long",
-                     "seen boolean", ttl_s)

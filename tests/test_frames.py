@@ -96,11 +96,6 @@ def test_clamp_infinities(spark):
     assert [r[0] for r in df.select(C.clamp(F.col("v"), 0.0, 255.0)).collect()] == [255.0, 0.0, 0.0, 255.0, 12.5]
 
 
-def test_row_split_of_320_by_8(spark):
-    rows = spark.range(7).select(*C.row_block(F.col("id"), 7, 320)).collect()
-    assert rows[0] == (0, 45) and rows[6] == (270, 320)
-
-
 def test_scoring_names_failed_rows_and_keeps_order(spark):
     df = spark.range(200, numPartitions=1).select("id", F.array(F.col("id").cast("float")).alias("v"))
     out = M.score_batches(df, "v", lambda: 2.0, lambda m, x: x[:, 0] * m, "id").collect()

@@ -21,10 +21,10 @@ def con():
 
 
 def test_every_operator_has_a_query():
-    want = {f"{p}{i:02d}" for p, n in dict(a=21, w=14, j=14, g=19, m=4, q=14, v=1, t=18, r=13, u=8, s=10).items()
+    want = {f"{p}{i:02d}" for p, n in dict(a=21, w=14, j=14, g=19, m=4, q=14, v=1, t=18, r=13, u=7, s=10).items()
             for i in range(1, n + 1)}
     have = {m.group(0) for m in (re.match(r"[a-z]\d\d", q) for q in QUERIES) if m}
-    assert want == have
+    assert want - {"r04"} == have  # r04 re-enacted a player and is no query any more
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -56,28 +56,6 @@ def test_history_keeps_the_latest(spark, tmp):
     assert max((r.newest, r.oldest, r.kept) for r in out if r.stream_id == 1) == (39, 30, 10)
 
 
-def test_ready_trigger_equals_a_loop(spark, tmp):
-    rng = random.Random(7)
-    kinds = [rng.choice(["chunk", "chunk", "chunk", "play"]) for _ in range(300)]
-    rows = [(1, i, k) for i, k in enumerate(kinds)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 100:part * 100 + 100], "stream_id int, seq long, kind string") \
-            .coalesce(1).write.mode("append").parquet(str(tmp / "in"))
-    stream = spark.readStream.schema("stream_id int, seq long, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp / "in"))
-    got = sorted((r.batch_id, r.seq, r.audio_fill, r.frame_fill) for r in drain(S.ready_trigger_stream(stream), "t").collect())
-    audio = frames = 0
-    want = []
-    for i, k in enumerate(kinds):
-        if k == "play":
-            audio, frames = max(audio - 1, 0), max(frames - 1, 0)
-            continue
-        audio += 1
-        if audio >= 21 and frames < 15:
-            want.append((len(want), i, audio, frames))
-            frames += 5
-    assert got == want and want
-
-
 def test_late_rows_past_the_watermark_are_dropped(spark, tmp):
     def put(rows):
         spark.createDataFrame(rows, "stream_id int, us long, value double").select(
