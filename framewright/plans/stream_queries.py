@@ -82,6 +82,17 @@ def r02s(spark, sf):
     return _us(_last(out), "start").withColumn("sum", rnd(F.col("sum")))
 
 
+# In append mode a window is final, and emitted, once the watermark has passed its end.
+_CLOSED = "epoch_us(max(ts)) // 1000 * 1000 - 3600 * 1000000::BIGINT"
+
+
+@query("r02_tumbling_stats_append_stream", f"""WITH w AS (SELECT user_id AS stream_id, epoch_us(ts) // 3600000000 * 3600000000 AS start, count(*) AS n, min(value) AS min, max(value) AS max,
+  {r('sum(value)')} AS sum FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + 3600000000 <= (SELECT {_CLOSED} FROM events)""")
+def r02a(spark, sf):
+    out = drain(R.tumbling_stats(_users(event_stream(spark, sf)), "1 hour", watermark="1 hour"), "r02")
+    return _us(out, "start").withColumn("sum", rnd(F.col("sum")))
+
+
 def _last(out):
     newest = out.agg(F.max("_batch").alias("_batch"))
     return out.join(F.broadcast(newest), "_batch").drop("_batch")
@@ -103,7 +114,7 @@ def r03(spark, sf):
 
 @query("r03_lookahead_context_stream", _R03)
 def r03s(spark, sf):
-    return _r03_out(drain(S.lookahead_context_stream(_shape(event_stream(spark, sf)), "value"), "r03"))
+    return _r03_out(drain(S.lookahead_context_stream(_shape(event_stream(spark, sf)), "value"), "r03", timeouts=True))
 
 
 _R05_RUNS = f"""WITH {CHUNK_SQL}, e AS (SELECT a.stream_id, a.chunk_idx FROM ck a LEFT JOIN ck b ON b.stream_id = a.stream_id AND b.chunk_idx = a.chunk_idx + 1 WHERE b.chunk_idx IS NULL),
@@ -117,7 +128,7 @@ def r05(spark, sf):
 
 @query("r05_gap_detect_stream", f"{_R05_RUNS} SELECT stream_id, run_end FROM s JOIN g USING (stream_id)")
 def r05s(spark, sf):
-    out = drain(S.gap_detect_stream(_shape(event_stream(spark, sf))), "r05")
+    out = drain(S.gap_detect_stream(_shape(event_stream(spark, sf))), "r05", timeouts=True)
     return out.groupBy("stream_id").agg(F.max("run_end").alias("run_end"))
 
 
@@ -193,6 +204,20 @@ def r11(spark, sf):
     return _us(R.session_activity(table(spark, sf, "events"), 7_200_000, by="user_id"), "start", "end")
 
 
+@query("r11_session_activity_stream", f"""WITH k AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR, true)::INT AS s FROM events),
+n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS sess FROM k),
+w AS (SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 HOUR) AS "end", count(*) AS n FROM n GROUP BY user_id, sess)
+SELECT * FROM w WHERE "end" <= (SELECT {_CLOSED} FROM events)""")
+def r11s(spark, sf):
+    return _us(drain(R.session_activity(event_stream(spark, sf), 7_200_000, by="user_id", watermark="1 hour"), "r11"), "start", "end")
+
+
+@query("r12_fps_counter_stream", f"""WITH w AS (SELECT event_type, epoch_us(ts) // 1000000 * 1000000 AS start, count(*) AS frames FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE start + 1000000 <= (SELECT {_CLOSED} FROM events)""")
+def r12s(spark, sf):
+    return _us(drain(R.fps_counter(event_stream(spark, sf), by="event_type", watermark="1 hour"), "r12"), "start")
+
+
 @query("r12_fps_counter", "SELECT event_type, epoch_us(ts) // 1000000 * 1000000 AS start, count(*) AS frames FROM events GROUP BY 1, 2")
 def r12(spark, sf):
     return _us(R.fps_counter(table(spark, sf, "events"), by="event_type"), "start")

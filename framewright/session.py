@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +33,15 @@ def local_session(cores: str = "*", app: str = "framewright") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only an unset value (tests) falls back to a fresh local folder.
+    A local session that names none gets a fresh local folder, which goes when the process ends.  Any other master must
+    name one: executors on other machines would not see a local folder.
     """
     path = spark.conf.get(_KEY, None) or spark.conf.get(_FALLBACK, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(_FALLBACK, path)
     return path.rstrip("/")
 

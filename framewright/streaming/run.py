@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from framewright.session import scratch_path
 
 
-def drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, tag: str, mode: str = "append", timeouts: bool = False) -> DataFrame:
     """Process all available input into Parquet in the shared folder and read it back.
 
-    Batches without data are switched off: with a processing-time timeout they
-    would follow each other for ever.  ``complete`` and ``update`` results are written per trigger with the trigger
+    The last batch may be one without data, which emits the windows and sessions that the watermark has closed.
+    ``timeouts`` says that the plan holds processing-time timeouts: such batches would then follow each other for ever and
+    are switched off while it runs.  ``complete`` and ``update`` results are written per trigger with the trigger
     number in ``_batch``; the caller keeps the last version it wants.
     """
     spark: SparkSession = stream.sparkSession
@@ -19,11 +20,13 @@ def drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     out, state = f"{base}/rows", f"{base}/state"
     flag = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(flag)
-    spark.conf.set(flag, "false")
+    if timeouts:
+        spark.conf.set(flag, "false")
     try:
         _run(stream, out, state, mode)
     finally:
-        spark.conf.set(flag, before)
+        if timeouts:
+            spark.conf.set(flag, before)
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     return spark.read.option("basePath", out).parquet(f"{out}/_batch=*")

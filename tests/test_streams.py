@@ -26,7 +26,7 @@ def _stream(spark, df, path, triggers=4):
 
 def test_lookahead_in_any_order(spark, tmp):
     df = _rows(spark, missing={(1, 20)})
-    got = drain(S.lookahead_context_stream(_stream(spark, df, tmp / "in"), "value", span=16), "t")
+    got = drain(S.lookahead_context_stream(_stream(spark, df, tmp / "in"), "value", span=16), "t", timeouts=True)
     want = R.lookahead_context(df, "value", span=16)
     key = lambda d: sorted((r.stream_id, r.chunk_idx, tuple(r.context)) for r in d.collect())
     assert key(got) == key(want)
@@ -43,7 +43,7 @@ def test_sixteen_chunks_make_a_context(spark, chunks, ready):
 def test_gap_and_playback(spark, tmp):
     df = _rows(spark, missing={(1, 7)})
     stream = _stream(spark, df, tmp / "in")
-    runs = drain(S.gap_detect_stream(stream), "t").groupBy("stream_id").agg(F.max("run_end")).collect()
+    runs = drain(S.gap_detect_stream(stream), "t", timeouts=True).groupBy("stream_id").agg(F.max("run_end")).collect()
     assert {tuple(r) for r in runs} == {(1, 6), (2, 39)}
     assert {(r.stream_id, r.run_end, r.gaps) for r in R.gap_detect(df).collect()} == {(1, 6, 1), (2, 39, 0)}
     started = drain(S.playback_start_stream(stream), "t").collect()
