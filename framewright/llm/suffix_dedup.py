@@ -146,8 +146,11 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> lis
     return found
 
 
-def _bucket_repeats(length: int):
-    """Over rows sorted by bucket; a bucket cut by a batch is completed first."""
+def _bucket_repeats(length: int, cover: bool):
+    """Over rows sorted by bucket; a bucket cut by a batch is completed first.
+
+    With ``cover`` only the furthest reach of a member's repeats: all of them hold its anchor, so their union is one run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows: list[tuple[int, int, bytes, bytes]] = []
@@ -155,6 +158,8 @@ def _bucket_repeats(length: int):
         def solved(rows: list[tuple[int, int, bytes, bytes]], out: tuple[list, list, list]) -> None:
             spans = maximal_repeats([r[2][::-1] for r in rows], [r[3] for r in rows], length)
             for r, s in zip(rows, spans):
+                if s and cover:
+                    s = [(0, max(x[1] for x in s), max(x[2] for x in s))]
                 if s:
                     out[0].append(r[0])
                     out[1].append(r[1])
@@ -192,8 +197,11 @@ def _packed(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"{_KEY.format(kind=kind)}, packed binary")
 
 
-def repeats(rows: DataFrame, kind: str, length: int) -> DataFrame:
-    """(key, th, pos, group, back, ahead): occurrences, each the bytes [pos - back, pos + ahead) of a text."""
+def _repeats(rows: DataFrame, kind: str, length: int, cover: bool) -> DataFrame:
+    """(key, th, pos, group, back, ahead): occurrences, each the bytes [pos - back, pos + ahead) of a text.
+
+    With ``cover`` one row per anchor that has any, reaching as far as they do.
+    """
     reach = length - GRAM
     found = written(_anchor_rows(rows, kind, length), "repeat-anchors")
     # Equal surroundings are counted first.
@@ -226,7 +234,7 @@ def repeats(rows: DataFrame, kind: str, length: int) -> DataFrame:
     around = joined.mapInArrow(cut, "h long, ctx long, m long, left binary, right binary")
     # Repeated rows of one document give equal copies of a surrounding; one is enough.
     around = written(around.dropDuplicates(["h", "ctx"]), "repeat-bytes")
-    part = around.where(F.col("m") <= BUCKET).drop("m").repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_repeats(length), f"h long, ctx long, spans {_SPANS}")
+    part = around.where(F.col("m") <= BUCKET).drop("m").repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_repeats(length, cover), f"h long, ctx long, spans {_SPANS}")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in batches:
@@ -241,7 +249,12 @@ def repeats(rows: DataFrame, kind: str, length: int) -> DataFrame:
     twice = one.groupBy("h", "back", "s").agg(F.count("*").alias("d")).where("d > 1").select("h", "back", "s")
     hot = one.join(twice, ["h", "back", "s"]).groupBy("h", "ctx").agg(F.collect_set(F.struct(
         F.xxhash64("s").alias("group"), "back", (F.lit(length) - F.col("back")).alias("ahead"))).cast(_SPANS).alias("spans"))
-    spans = whole.union(part).union(hot).groupBy("h", "ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = whole.union(part).union(hot)
+    if cover:
+        reach_of = lambda c: F.max(F.array_max(F.transform("spans", lambda s: s[c]))).alias(c)
+        spans = spans.groupBy("h", "ctx").agg(reach_of("back"), reach_of("ahead"))
+        return found.select("key", "th", "pos", "h", "ctx").join(spans, ["h", "ctx"]).select("key", "th", "pos", F.lit(0).cast("long").alias("group"), "back", "ahead")
+    spans = spans.groupBy("h", "ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.select("key", "th", "pos", "h", "ctx").join(spans, ["h", "ctx"]).select("key", "th", "pos", F.explode("spans").alias("s")).select("key", "th", "pos", "s.*")
 
 
@@ -252,7 +265,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeat_groups(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(group, key, start, n_bytes): maximal repeat groups with all occurrences; byte offsets into the UTF-8 text."""
     kind = docs.schema[key].dataType.simpleString()
-    found = repeats(_rows(docs, key, text), kind, length)
+    found = _repeats(_rows(docs, key, text), kind, length, False)
     return found.select("group", F.col("key").alias(key), F.greatest(F.col("pos") - F.col("back"), F.lit(0)).alias("start"), (F.col("back") + F.col("ahead")).alias("n_bytes")).distinct()
 
 
@@ -264,7 +277,7 @@ def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", tex
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = _rows(docs, key, text)
-    spans = repeats(rows, kind, length).select("key", "th", F.struct(F.greatest(F.col("pos") - F.col("back"), F.lit(0)).alias("a"), (F.col("pos") + F.col("ahead")).alias("b")).alias("x"))
+    spans = _repeats(rows, kind, length, True).select("key", "th", F.struct(F.greatest(F.col("pos") - F.col("back"), F.lit(0)).alias("a"), (F.col("pos") + F.col("ahead")).alias("b")).alias("x"))
     by_doc = spans.groupBy(F.col("key").alias("k2"), F.col("th").alias("t2")).agg(F.collect_set("x").alias("found"))
     texts = _packed(rows, kind)
     joined = texts.join(by_doc, texts["key"].eqNullSafe(by_doc["k2"]) & (texts["th"] == by_doc["t2"]), "left").select("key", "packed", "found")
