@@ -37,8 +37,8 @@ ROUNDS, BURN_IN, SAMPLES = 2, 3, 4
 DISCOUNT, STRENGTH = (0.5, 0.6, 0.7, 0.75, 0.8, 0.7), (1.0,) * 6  # by context length; the last is the word restaurant
 WORD = 5
 MODEL_ROWS = 2_000_000  # rows of the model broadcast at a time
-COUNT_ROWS = 500_000  # words or n-grams a task holds before it passes them on
-BATCH = 6 << 20  # bytes of text in one batch of word counts
+COUNT_ROWS = 200_000  # words or n-grams a task holds before it passes them on
+BATCH = 3 << 20  # bytes of text in one batch of word counts
 END = b"\n"
 KINDS, FREQUENT = 8, 256  # kinds of texts, and frequent words by which they are told apart
 SAMPLE, SAMPLE_CHARS = 2000, 20_000  # texts, and characters of each, that the clustering sees
@@ -390,8 +390,8 @@ class _Block:
     def spelled(self, some: list[bytes]) -> np.ndarray:
         """log10 probability of each word's spelling; the kind's byte comes first."""
         out = [np.zeros(0)]
-        for k in range(0, len(some), 20_000):
-            group = [w + END for w in some[k:k + 20_000]]
+        for k in range(0, len(some), 8_000):
+            group = [w + END for w in some[k:k + 8_000]]
             ends = np.cumsum([len(w) - 1 for w in group])
             out.append(np.add.reduceat(self.logs(_codes(group)), np.concatenate([[0], ends[:-1]])))
         return np.concatenate(out)
@@ -459,7 +459,11 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             value["block"] = _Block(*value.pop("model"))
         return value["block"]
 
+    first, single = shared(blocks[0]), len(blocks) == 1
+
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first block is applied here: a step of its own would be another Python process beside this one.
+        block = built(first.value)
         for part in chunks(batches, "text", BATCH):
             tokens = [words(t) for t in byte_texts(part.column("text"))]
             held = part.column("held").to_pylist()
@@ -482,7 +486,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                 [pa.array([uuid.uuid4().hex]), pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)), pa.array([held]),
                  pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([kind_of], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
                  pa.array([hashes[order].tobytes()], pa.binary()), pa.array([_pack(np.array([vocab[i][0] - 14 for i in order], np.uint8))], pa.binary()),
-                 pa.array([_pack(learnt)], pa.binary()), pa.array([[vocab[i] for i in order]], pa.list_(pa.binary())), pa.array([np.zeros(len(vocab)).tobytes()], pa.binary())],
+                 pa.array([_pack(learnt)], pa.binary()), pa.array([[] if single else [vocab[i] for i in order]], pa.list_(pa.binary())), pa.array([block.spelled(vocab)[order].tobytes()], pa.binary())],
                 names=["bid", "keys", "held", "n", "kinds", "ids", "hashes", "of", "learnt", "vocab", "lp"])
 
     def spelling(block, last: bool):  # noqa: ANN001, ANN202
@@ -506,10 +510,12 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         return run
 
     schema = f"bid string, keys array<{kind}>, held array<boolean>, n array<long>, kinds array<long>, ids binary, hashes binary, of binary, learnt binary, vocab array<binary>, lp binary"
-    batches, spelt = rows.mapInArrow(batch, schema), types.withColumn("lp", F.lit(0.0))
+    batches = written(rows.mapInArrow(batch, schema), "score-batches")
+    spelt = types.withColumn("lp", F.lit(0.0))
     for k, bundles in enumerate(blocks):  # one block unless the model is large
-        block = shared(bundles)
-        batches = written(batches.mapInArrow(spelling(block, k == len(blocks) - 1), schema), "score-batches")
+        block = shared(bundles) if k else first
+        if k:
+            batches = written(batches.mapInArrow(spelling(block, k == len(blocks) - 1), schema), "score-batches")
         spelt = written(spelt.mapInArrow(word_spelling(block), "word binary, n long, lp double"), "score-spelt")
 
     d, theta = DISCOUNT[WORD], STRENGTH[WORD]
