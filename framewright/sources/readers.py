@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import struct
+import io
+import wave
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,30 +19,23 @@ _CLIP_SCHEMA = ("clip_id string, sample_rate int, block_idx long, n int, samples
 
 
 def _pcm(data: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono int16 samples of a RIFF/WAVE file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("not a valid WAV file")
-    at, rate, channels, bits = 12, 0, 0, 0
-    while at + 8 <= len(data):
-        tag, size = data[at:at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        at += 8
-        if tag == b"fmt ":
-            channels, rate = struct.unpack_from("<HI", data, at + 2)
-            bits = struct.unpack_from("<H", data, at + 14)[0]
-        elif tag == b"data":
-            if bits != 16:
-                raise ValueError(f"unsupported bit depth: {bits}")
-            pcm = np.frombuffer(data, dtype="<i2", count=min(size, len(data) - at) // 2, offset=at)
-            if channels == 2:
-                pairs = pcm[:len(pcm) // 2 * 2].reshape(-1, 2).astype(np.int32).sum(axis=1)
-                pcm = np.trunc(pairs / 2).astype(np.int16)
-            return rate, pcm
-        at += size
-    raise ValueError("no audio data found in WAV file")
+    """Sample rate and mono int16 samples of a RIFF/WAVE file; ValueError says why there are none."""
+    try:
+        # Recorders that stream leave the total size wrong; the file's own length is what counts.
+        with wave.open(io.BytesIO(data[:4] + max(0, len(data) - 8).to_bytes(4, "little") + data[8:])) as f:
+            rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
+            frames = f.readframes(f.getnframes())
+    except (wave.Error, EOFError) as e:
+        raise ValueError(f"no readable wave file: {e or 'it ends too soon'}") from e
+    if width != 2 or channels > 2:
+        raise ValueError(f"{8 * width} bits and {channels} channels; 16 bits in one or two channels are read")
+    whole = len(frames) // (2 * channels) * channels
+    pcm = np.frombuffer(frames, "<i2", whole).reshape(-1, channels).astype(np.int32)
+    return rate, np.trunc(pcm.sum(axis=1) / channels).astype(np.int16)
 
 
 def parse_pcm_clips(files: DataFrame, hop: int = 200) -> DataFrame:
-    """(path, content) rows to blocks of ``hop`` float samples; a bad file is one error row.
+    """(path, content) rows to blocks of ``hop`` float samples; a bad file is one error row, one without samples an empty block.
 
     Batches hold about a million samples, so a long file never becomes one batch.
     """
@@ -50,7 +44,7 @@ def parse_pcm_clips(files: DataFrame, hop: int = 200) -> DataFrame:
     step = max(1, 2 ** 20 // hop)
 
     def batch(path: str, rate: int, first: int, x: np.ndarray) -> pa.RecordBatch:
-        m = -(-len(x) // hop)
+        m = max(1, -(-len(x) // hop))
         ends = np.minimum(np.arange(m + 1) * hop, len(x)).astype(np.int32)
         return pa.RecordBatch.from_arrays([
             pa.array([path] * m, pa.string()), pa.array([rate] * m, pa.int32()), pa.array(np.arange(first, first + m)),
@@ -61,11 +55,11 @@ def parse_pcm_clips(files: DataFrame, hop: int = 200) -> DataFrame:
             for path, content in zip(rows.column("path"), rows.column("content")):
                 try:
                     rate, pcm = _pcm(content.as_py())
-                except (ValueError, struct.error) as e:
+                except ValueError as e:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([v], t) for v, t in zip([path.as_py(), None, None, None, None, str(e)], types)], names=names)
                     continue
-                for first in range(0, -(-len(pcm) // hop), step):
+                for first in range(0, max(1, -(-len(pcm) // hop)), step):
                     part = pcm[first * hop:(first + step) * hop]
                     yield batch(path.as_py(), rate, first, (part / np.float32(32768)).astype(np.float32))
 
@@ -107,6 +101,14 @@ def rects_from_json(docs: DataFrame, text: str = "value") -> DataFrame:
         as_map.select(*rest, F.col("frame_idx").cast("long").alias("frame_idx"), *box(F.col("s.rect"))))
 
 
+def rejected_rects(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Texts that :func:`rects_from_json` takes no rect from, with the reason."""
+    keyed = F.ltrim(F.col(text)).startswith("{")
+    n = F.when(keyed, F.size(F.from_json(text, "map<string, struct<rect: array<double>>>"))).otherwise(F.size(F.from_json(text, "array<array<double>>")))
+    reason = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(n.isNull(), "not readable").when(n <= 0, "no rects")
+    return docs.withColumn("reason", reason).filter("reason is not null")
+
+
 def read_crop_rects(spark: SparkSession, path: str, model_pattern: str = r"([^/]+)/[^/]*$") -> DataFrame:
     """Crop rect files of both forms; the model comes from the path."""
     docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)

@@ -54,3 +54,14 @@ def test_spread_and_salted_joins_keep_every_row(spark):
     assert out.count() == 3000 and out.filter("n = 1000").count() == 3000
     got = salted_attach(rows, per.drop("last"), ["clip_id"], ["block_idx"])
     assert got.count() == 3000 and got.filter("n = 1000").count() == 3000
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(k, i, i % 7) for k in (None, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, i long, v long")
+    parts = OrderedParts(df, ["k"], ["i"], parts=5)
+    for k in (None, 1):
+        own = lambda d: {r.i: r[2] for r in d.select("k", "i", "x").collect() if r.k == k}  # noqa: B023, E731
+        assert own(parts.row_number("x")) == {i: i + 1 for i in range(200)}
+        assert own(parts.lag("v", "x")) == {i: (i - 1) % 7 if i else None for i in range(200)}
+        assert own(parts.running("v", "x")) == {i: sum(j % 7 for j in range(i + 1)) for i in range(200)}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from framewright.sources import readers as S
+from framewright.sources.readers import parse_pcm_clips, rejected_rects
 
 
 def wav(samples, rate=16000, channels=1, bits=16):
@@ -25,8 +26,8 @@ def test_wav_corpus(spark, tmp):
     mono = by("mono.wav")
     assert [r.n for r in mono] == [200, 200, 50] and mono[1].samples[0] == pytest.approx(200 / 32768)
     assert [round(v * 32768) for v in by("stereo.wav")[0].samples] == [3, -3]
-    assert by("eight.wav")[0].error == "unsupported bit depth: 8"
-    assert by("bad.wav")[0].error == "not a valid WAV file"
+    assert by("eight.wav")[0].error == "8 bits and 1 channels; 16 bits in one or two channels are read"
+    assert by("bad.wav")[0].error.startswith("no readable wave file")
 
 
 def test_landmark_files(spark, tmp):
@@ -70,3 +71,25 @@ def test_matrix_dump(spark, tmp):
     (tmp / "clip7.bin").write_bytes(struct.pack("<ii", 2, 3) + np.arange(6, dtype="<f4").tobytes())
     got = {(r.clip_id, r.frame_idx, tuple(r.feature)) for r in S.read_feature_dumps(spark, str(tmp)).collect()}
     assert got == {("clip7", 0, (0.0, 1.0, 2.0)), ("clip7", 1, (3.0, 4.0, 5.0))}
+
+
+def _wav(rate, channels, samples, width=2, junk=b""):
+    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * width, channels * width, 8 * width) + junk
+    body += b"data" + struct.pack("<I", len(samples)) + samples
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_odd_wave_files(spark):
+    odd = b"note" + struct.pack("<I", 3) + b"abc\0"  # a chunk of odd size has a pad byte
+    files = [("ok", _wav(8000, 1, struct.pack("<3h", 1, 2, 3), junk=odd)), ("none", _wav(8000, 1, b"")), ("four", _wav(8000, 4, b"\0" * 16)),
+             ("eight", _wav(8000, 1, b"\0" * 4, 1)), ("cut", _wav(8000, 1, b"\0\0")[:20]), ("text", b"hello")]
+    got = {r.clip_id: r for r in parse_pcm_clips(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert set(got) == {f for f, _ in files}
+    assert got["ok"].n == 3 and got["ok"].samples == [1 / 32768, 2 / 32768, 3 / 32768] and got["ok"].error is None
+    assert got["none"].n == 0 and got["none"].samples == [] and got["none"].error is None
+    assert all(got[k].error for k in ("four", "eight", "cut", "text"))
+
+
+def test_rejected_rects(spark):
+    docs = spark.createDataFrame([(1, "[[1,2,3,4]]"), (2, "[]"), (3, ""), (4, "[[1,"), (5, '{"0":{"rect":[1,2,3,4]}}'), (6, None), (7, "{}")], "id long, value string")
+    assert {r.id: r.reason for r in rejected_rects(docs).collect()} == {2: "no rects", 3: "empty", 4: "not readable", 6: "empty", 7: "no rects"}

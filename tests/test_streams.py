@@ -92,3 +92,25 @@ def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp):
     assert sorted(r[3] for r in table) == [1, 2, 3]
     out = drain(R.session_activity(_stream(spark, df, tmp / "in", 1), 1000), "t", "complete").drop("_batch")
     assert rows(out) == table
+
+
+def test_repeated_chunk_and_lost_first(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(20)] + [(1, 5, 99.0)] + [(2, i, 0.0) for i in range(3, 9)], "stream_id int, chunk_idx long, value double")
+    got = R.lookahead_context(df, "value").collect()
+    assert {(r.stream_id, r.chunk_idx) for r in got} == {(1, i) for i in range(8, 13)}
+    assert all(99.0 not in r.context for r in got)
+    assert {(r.stream_id, r.run_start, r.run_end) for r in R.gap_detect(df).collect()} == {(1, 0, 19), (2, 0, -1)}
+
+
+def test_late_rows_are_counted(spark, tmp):
+    """A window that the watermark has passed takes no more rows; the progress reports say how many were dropped."""
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    for part in ([(1, at(0)), (1, at(30))], [(1, at(31))], [(1, at(1)), (1, at(32))]):
+        spark.createDataFrame([(s, t, 1.0) for s, t in part], "stream_id int, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp / "in"))
+    src = spark.readStream.schema("stream_id int, ts timestamp, value double").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp / "in"))
+    q = R.tumbling_stats(src, "1 minute", watermark="5 minutes").writeStream.format("noop").option("checkpointLocation", str(tmp / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    assert dropped == 1
