@@ -211,10 +211,10 @@ def validate_requests(df: DataFrame, max_batch: int = 32, frame_values: int = 6
     want = batch.cast("long") * frame_values * 4
     no_raw = F.coalesce(F.col("raw_audio_bytes"), F.lit(0)) == 0
     error = (
-        F.when(F.coalesce(F.col("model_id"), F.lit("")) == "", "model_id is required")
-        .when((batch <= 0) | (batch > max_batch), F.concat(F.lit(f"batch_size must be 1-{max_batch}, got "), s(batch)))
-        .when(visual != want, F.concat(F.lit("Invalid visual frames size: got "), s(visual), F.lit(" bytes, expected "), s(want), F.lit(" bytes")))
+        F.when(F.coalesce(F.col("model_id"), F.lit("")) == "", "no model named")
+        .when((batch <= 0) | (batch > max_batch), F.concat(F.lit(f"batch outside 1 to {max_batch}: "), s(batch)))
+        .when(visual != want, F.concat(F.lit("frames have "), s(visual), F.lit(" bytes instead of "), s(want)))
         .when(no_raw & (feats > 0) & (feats != feature_values * 4), F.concat(
-            F.lit("Invalid audio features size: got "), s(feats), F.lit(f" bytes, expected {feature_values * 4} bytes")))
-        .when(no_raw & (F.coalesce(feats, F.lit(0)) == 0), "Either raw_audio or audio_features must be provided"))
+            F.lit("features have "), s(feats), F.lit(f" bytes instead of {feature_values * 4}")))
+        .when(no_raw & (F.coalesce(feats, F.lit(0)) == 0), "neither audio nor features"))
     return df.withColumn("error", error).withColumn("success", F.col("error").isNull())

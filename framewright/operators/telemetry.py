@@ -189,8 +189,8 @@ def extraction_report(frames: DataFrame, videos: DataFrame, limit_mb: int = 500)
         "model_id", "num_frames", F.round(mb(F.coalesce("_b", F.lit(0))), 2).alias("size_mb"),
         F.round(_ratio(F.coalesce("_b", F.lit(0)) / 1024.0, F.col("num_frames")), 1).alias("avg_frame_kb"),
         F.round(F.when(F.col("cached"), F.lit(0.0)).otherwise(_ratio(F.col("num_frames"), F.col("elapsed_s"))), 1).alias("frames_per_sec"),
-        "cached", F.when(big, F.concat(F.lit("Video too large: "), F.round(mb(F.col("video_bytes")), 1).cast("string"),
-                                       F.lit(f" MB (limit: {limit_mb} MB)"))).alias("error"))
+        "cached", F.when(big, F.concat(F.lit("above the limit: "), F.round(mb(F.col("video_bytes")), 1).cast("string"),
+                                       F.lit(f" MB of {limit_mb} MB"))).alias("error"))
 
 
 def cache_size_report(keys: DataFrame, key: str = "key") -> DataFrame:

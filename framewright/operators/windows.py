@@ -63,8 +63,8 @@ def sliding_windows(df: DataFrame, vec: str, size: int = 16, strict: bool = Fals
 def too_short(df: DataFrame, size: int = 16) -> DataFrame:
     """Clips a strict windowing must refuse."""
     return df.groupBy(KEY).agg((F.max(IDX) + 1).alias("n")).filter(F.col("n") < size).select(
-        KEY, "n", F.concat(F.lit("not enough frames: have "), F.col("n").cast("string"),
-                           F.lit(f", need {size}")).alias("error"))
+        KEY, "n", F.concat(F.col("n").cast("string"),
+                           F.lit(f" of {size} frames")).alias("error"))
 
 
 def batch_windows(df: DataFrame, vec: str, batch: int, start: int, size: int = 16) -> DataFrame:
@@ -210,9 +210,9 @@ def reshape_check(flat: Column, mode: Column) -> Column:
     want = F.lit(None).cast("int")
     for name, (a, b, c) in FEATURE_MODES.items():
         want = F.when(mode == name, F.lit(a * b * c)).otherwise(want)
-    return F.when(want.isNull(), F.concat(F.lit("unknown mode "), mode)).when(
+    return F.when(want.isNull(), F.concat(F.lit("no layout for "), mode)).when(
         F.size(flat) != want,
-        F.concat(F.lit("cannot reshape "), F.size(flat).cast("string"), F.lit(" values into "),
+        F.concat(F.size(flat).cast("string"), F.lit(" values do not fill "),
                  want.cast("string")))
 
 
@@ -251,8 +251,8 @@ def chunk_windows(chunks: DataFrame, requests: DataFrame, vec: str, size: int =
     status = requests.join(have, "request_id", "left").select(
         "request_id", "frames", F.coalesce("chunks", F.lit(0)).alias("chunks")).withColumn(
         "error", F.when(F.col("chunks") < F.col("frames") + (size - 1), F.concat(
-            F.lit("Insufficient audio chunks: need "), (F.col("frames") + (size - 1)).cast("string"),
-            F.lit(", got "), F.col("chunks").cast("string"))))
+            F.lit("wants "), (F.col("frames") + (size - 1)).cast("string"),
+            F.lit(" chunks, has "), F.col("chunks").cast("string"))))
     series = chunks.select(F.col("request_id").alias(KEY), F.col("chunk_idx").alias(IDX), vec)
     windows = gather_windows(series, vec, 0, size, "drop").withColumnRenamed(KEY, "request_id")
     frames = status.withColumn("window_idx", F.explode_outer(

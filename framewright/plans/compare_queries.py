@@ -149,10 +149,10 @@ def q11(spark, sf):
 @query("v01_validate_requests", """WITH q AS (SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 23 = 0 THEN '' ELSE 'm' END AS model_id, (o_custkey % 36)::INT AS batch_size,
   (o_custkey % 36) * 2457600 + CASE WHEN o_orderkey % 11 = 0 THEN 4 ELSE 0 END AS visual_bytes, CASE WHEN o_orderkey % 3 = 0 THEN 640 ELSE 0 END AS raw_audio_bytes,
   CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 32768 END AS feature_bytes FROM orders),
-e AS (SELECT request_id, CASE WHEN model_id = '' THEN 'model_id is required' WHEN batch_size <= 0 OR batch_size > 32 THEN 'batch_size must be 1-32, got ' || batch_size
-  WHEN visual_bytes <> batch_size::BIGINT * 2457600 THEN 'Invalid visual frames size: got ' || visual_bytes || ' bytes, expected ' || (batch_size::BIGINT * 2457600) || ' bytes'
-  WHEN raw_audio_bytes = 0 AND feature_bytes > 0 AND feature_bytes <> 32768 THEN 'Invalid audio features size: got ' || feature_bytes || ' bytes, expected 32768 bytes'
-  WHEN raw_audio_bytes = 0 AND feature_bytes = 0 THEN 'Either raw_audio or audio_features must be provided' END AS error FROM q)
+e AS (SELECT request_id, CASE WHEN model_id = '' THEN 'no model named' WHEN batch_size <= 0 OR batch_size > 32 THEN 'batch outside 1 to 32: ' || batch_size
+  WHEN visual_bytes <> batch_size::BIGINT * 2457600 THEN 'frames have ' || visual_bytes || ' bytes instead of ' || (batch_size::BIGINT * 2457600)
+  WHEN raw_audio_bytes = 0 AND feature_bytes > 0 AND feature_bytes <> 32768 THEN 'features have ' || feature_bytes || ' bytes instead of 32768'
+  WHEN raw_audio_bytes = 0 AND feature_bytes = 0 THEN 'neither audio nor features' END AS error FROM q)
 SELECT request_id, error, error IS NULL AS success FROM e""")
 def v01(spark, sf):
     o, c = F.col("o_orderkey"), F.col("o_custkey")

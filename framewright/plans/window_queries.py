@@ -42,7 +42,7 @@ def w01b(spark, sf):
 
 
 @query("w01_too_short", f"""WITH {STEPS_SQL} SELECT clip_id, n,
-  'not enough frames: have ' || n || ', need 16' AS error FROM lens WHERE n < 16""")
+  n || ' of 16 frames' AS error FROM lens WHERE n < 16""")
 def w01c(spark, sf):
     return W.too_short(step_series(spark, sf))
 
@@ -168,8 +168,8 @@ def w11(spark, sf):
 @query("w11_reshape_check", """WITH t AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'ave' WHEN 1 THEN 'hubert'
   WHEN 2 THEN 'wenet' ELSE 'other' END AS mode, CASE WHEN n_chars % 2 = 0 THEN 8192 ELSE 32768 END AS len FROM documents),
 u AS (SELECT *, CASE mode WHEN 'ave' THEN 8192 WHEN 'hubert' THEN 32768 WHEN 'wenet' THEN 131072 END AS want FROM t)
-SELECT doc_id, mode, CASE WHEN want IS NULL THEN 'unknown mode ' || mode WHEN want <> len THEN
-  'cannot reshape ' || len || ' values into ' || want END AS error FROM u""")
+SELECT doc_id, mode, CASE WHEN want IS NULL THEN 'no layout for ' || mode WHEN want <> len THEN
+  len || ' values do not fill ' || want END AS error FROM u""")
 def w11b(spark, sf):
     docs = table(spark, sf, "documents")
     mode = F.element_at(F.array(F.lit("ave"), F.lit("hubert"), F.lit("wenet"), F.lit("other")),
@@ -210,7 +210,7 @@ ok AS (SELECT *, unnest(range(frames)) AS i FROM req WHERE chunks >= frames + 15
 SELECT request_id, i AS window_idx, {r('(frames*16 - chunks) / (frames*16)::DOUBLE')} AS saved_share,
   {r('sum((j + 1) * v)')} AS chk, NULL AS error FROM ok, range(16) t(j) JOIN steps
   ON steps.clip_id = request_id AND frame_idx = i + j GROUP BY ALL
-UNION ALL SELECT request_id, -1, NULL, NULL, 'Insufficient audio chunks: need ' || (frames + 15) || ', got ' || chunks
+UNION ALL SELECT request_id, -1, NULL, NULL, 'wants ' || (frames + 15) || ' chunks, has ' || chunks
 FROM req WHERE chunks < frames + 15""")
 def w14(spark, sf):
     chunks = step_series(spark, sf).select(F.col("clip_id").alias("request_id"),

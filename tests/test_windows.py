@@ -91,6 +91,6 @@ def test_chunk_windows_reject(spark):
     req = spark.createDataFrame([(1, 2), (2, 2), (3, 1)], "request_id int, frames int")
     out = W.chunk_windows(chunks, req, "vec").collect()
     assert {r.request_id: r.error for r in out if r.error} == {
-        2: "Insufficient audio chunks: need 17, got 16", 3: "Insufficient audio chunks: need 16, got 0"}
+        2: "wants 17 chunks, has 16", 3: "wants 16 chunks, has 0"}
     assert sorted((r.window_idx, r.window[0][0], r.saved_share) for r in out if not r.error) == [
         (0, 0.0, 15 / 32), (1, 1.0, 15 / 32)]
