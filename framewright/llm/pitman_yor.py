@@ -410,6 +410,12 @@ def _blocks(model: DataFrame) -> list[list[int]]:
     return out
 
 
+def _log_sum(own: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10(own + 10 ** rest), also where a double cannot hold the power."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(own), rest * np.log(10)) / np.log(10)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
@@ -524,7 +530,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         """Average tables of words in the word restaurants of their kinds, which have ``tables`` in all."""
         rng, t, total = np.random.default_rng(seed), np.ones(len(n), np.int64), np.zeros(len(n))
         for _ in range(samples):
-            t = np.minimum(seat(n, t, kind_no, 10.0 ** np.maximum(lp, -300), WORD, rng, tables), n)
+            t = np.minimum(seat(n, t, kind_no, 10.0 ** np.maximum(lp, -300), WORD, rng, tables), n)  # below that there is one table either way
             total += t
         return total / samples
 
@@ -560,9 +566,9 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         total = np.bincount(word, c).astype(np.int64)
         _, first, at = np.unique(word * KINDS + of, return_index=True, return_inverse=True)
         own = np.bincount(at, c).astype(np.int64)  # tokens of the word in texts of the kind
-        q, k = np.maximum(lp[first], -300), of[first].astype(np.int64)
+        q, k = lp[first], of[first].astype(np.int64)
         t = np.where(own > 0, seats(np.maximum(own, 1), q, k, tables, int(frame["part"].iloc[0]), SAMPLES), 0.0)
-        p = np.log10((own - d * t + (theta + d * tables[k]) * 10.0 ** q) / (theta + tokens_of[k]))
+        p = _log_sum(own - d * t, np.log10(theta + d * tables[k]) + q) - np.log10(theta + tokens_of[k])
         return pd.DataFrame({"part": frame["part"], "bid": frame["bid"], "c": [_pack(x) for x in np.split(total[word], ends)], "p": [x.tobytes() for x in np.split(p[at], ends)]})
 
     asked = batches.select("bid", "hashes", "of", "learnt", "lp").mapInArrow(ask, "part int, bid string, v binary, of binary, c binary, lp binary")

@@ -176,6 +176,14 @@ def test_pitman_yor_cases(spark, messy, messy_rows, empty, monkeypatch):
     assert pitman_yor.scored(messy, F.lit(True)).count() == len(messy_rows)  # nothing to learn from
 
 
+def test_long_unknown_words_cost_their_bytes(spark):
+    import pyspark.sql.functions as F
+
+    rows = [(i, "some plain words to learn from") for i in range(8)] + [(100 + k, "Qz7" * (1000 * k)) for k in (1, 2, 3)]
+    s = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert s[101] < -3000 and np.isclose(s[101] - s[102], s[102] - s[103]) and s[101] - s[102] > 3000
+
+
 def test_spelling_adds_up_to_one():
     """Bytes after a context, and tables of a dish, have probabilities that add up."""
     words = [pitman_yor._mark(k % 2) + bytes(random.Random(k).choice(b"abcd") for _ in range(1 + k % 6)) for k in range(300)]
