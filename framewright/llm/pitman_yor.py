@@ -1,12 +1,11 @@
 """Language model scoring by a hierarchical Pitman-Yor model of words and their spelling.
 
-A text belongs to one of a few kinds, found by clustering the frequent words of a bounded sample.  Each kind has a word
-restaurant, whose customers are the training tokens (words, A-Z lower-cased, and one end per text); the parent of all of
-them spells words byte by byte, so every word, known or not, has a probability and those of all word sequences add up to
-one.  In the spelling model a restaurant is a context of up to four bytes, the kind standing before the word; its parent
+One word restaurant has all training tokens (words, A-Z lower-cased, and one end per text) as customers; its parent
+spells words byte by byte, so every word, known or not, has a probability and those of all word sequences add up to
+one.  In the spelling model a restaurant is a context of up to four bytes, a mark standing before the word; its parent
 lacks the byte furthest back; the last parent is uniform over bytes.  A context's customers are the tables of its
-children, at the longest contexts one spelling per distinct word and kind.  A text's score is its kind's log10 share of
-the training texts plus those of its tokens, so the probabilities of all texts add up to one at most.
+children, at the longest contexts one spelling per distinct word.  A text's score is the sum of its tokens' log10
+probabilities, so the probabilities of all texts add up to one at most.
 
 Seating is sampled by Gibbs on the number of tables of each dish in each restaurant, given all others: exactly, by the
 generalised Stirling numbers, for up to ``EXACT`` customers; later ones are seated in turn, in blocks of doubling size.
@@ -40,8 +39,7 @@ MODEL_ROWS = 2_000_000  # rows of the model broadcast at a time
 COUNT_ROWS = 200_000  # words or n-grams a task holds before it passes them on
 BATCH = 3 << 20  # bytes of text in one batch of word counts
 END = b"\n"
-KINDS, FREQUENT = 8, 256  # kinds of texts, and frequent words by which they are told apart
-SAMPLE, SAMPLE_CHARS = 2000, 20_000  # texts, and characters of each, that the clustering sees
+KINDS = 1  # word restaurants
 
 
 def _codes(streams: list[bytes]) -> np.ndarray:
@@ -58,42 +56,12 @@ def _codes(streams: list[bytes]) -> np.ndarray:
     return code[keep]
 
 
-class _Kinds:
-    """Spherical k-means over the relative frequencies of frequent words; always learnt from the sample given."""
-
-    def __init__(self, sample: list[list[bytes]]):
-        common = Counter(w for ws in sample for w in ws).most_common(FREQUENT)
-        self.number = {w: i for i, (w, _) in enumerate(sorted(common))}
-        x = np.stack([np.zeros(max(1, len(common))), *(self._profile(ws) for ws in sample)])
-        some = x[(x > 0).sum(1) >= 10]  # texts with too few frequent words say nothing
-        x = some if len(some) else x
-        centres = [x[np.argmax(x.sum(1))]]
-        for _ in range(KINDS - 1):  # the one least like those so far
-            centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, axis=1))])
-        self.centres = np.stack(centres)
-        for _ in range(20):
-            own = np.argmax(x @ self.centres.T, axis=1)
-            self.centres = np.stack([self._unit(x[own == k].sum(0)) if (own == k).any() else self.centres[k] for k in range(KINDS)])
-
-    @staticmethod
-    def _unit(v: np.ndarray) -> np.ndarray:
-        n = float(np.sqrt(v @ v))
-        return v / n if n else v
-
-    def _profile(self, ws: list[bytes]) -> np.ndarray:
-        at = [i for i in map(self.number.get, ws) if i is not None]
-        return self._unit(np.sqrt(np.bincount(at, minlength=len(self.number)).astype(np.float64))) if at else np.zeros(max(1, len(self.number)))
-
-    def of(self, ws: list[bytes]) -> int:
-        return int(np.argmax(self.centres @ self._profile(ws)))
-
-
 def _mark(kind: int) -> bytes:
     """The byte that stands for a kind before a word."""
     return bytes([14 + kind])
 
 
-def _types(docs: DataFrame, kinds: _Kinds) -> DataFrame:
+def _types(docs: DataFrame) -> DataFrame:
     """(word, n): training tokens by kind and word, the kind's byte first; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +74,7 @@ def _types(docs: DataFrame, kinds: _Kinds) -> DataFrame:
         for part in chunks(batches, "text"):
             for t in byte_texts(part.column("text")):
                 ws = words(t)
-                own = held[kinds.of(ws)]
+                own = held[0]
                 own.update(ws)
                 own[b""] += 1
             if sum(map(len, held)) > COUNT_ROWS:
@@ -438,10 +406,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     learn = rows.where("not held")
     texts = int(learn.count())
-    limit = int(-2**63 + min(1.0, 2 * SAMPLE / max(1, texts)) * (2**64 - 1))
-    drawn = learn.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).where(F.col("h") <= F.lit(min(limit, 2**63 - 1))).orderBy("h", "t").limit(SAMPLE)
-    kinds = _Kinds([words(r.t.encode()) for r in drawn.collect()])
-    types = written(_types(learn, kinds), "score-words")
+    types = written(_types(learn), "score-words")
     n_all = int(types.agg(F.sum("n")).first()[0] or 0)
     v_all = types.select(F.substring("word", 2, 2**31 - 2)).distinct().count()
     by_kind = {int(r.k[0]) - 14: r for r in types.groupBy(F.substring("word", 1, 1).alias("k")).agg(
@@ -473,7 +438,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         for part in chunks(batches, "text", BATCH):
             tokens = [words(t) for t in byte_texts(part.column("text"))]
             held = part.column("held").to_pylist()
-            kind_of = [kinds.of(ws) for ws in tokens]
+            kind_of = [0] * len(tokens)
             numbers: list[dict[bytes, int]] = [{} for _ in range(KINDS)]
             ids = []
             for k, ws in zip(kind_of, tokens):

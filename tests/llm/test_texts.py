@@ -184,6 +184,16 @@ def test_long_unknown_words_cost_their_bytes(spark):
     assert s[101] < -3000 and np.isclose(s[101] - s[102], s[102] - s[103]) and s[101] - s[102] > 3000
 
 
+def test_no_clustering_decides_a_score(spark):
+    """AA + BB and AB + BA hold the same words and pairs when A and B end alike, however unlike their words are."""
+    import pyspark.sql.functions as F
+
+    a, b = (" ".join(f"{p}{k % 20}" for k in range(60)) + " z" for p in "qx")
+    rows = [(i, (a, b)[i % 2]) for i in range(20)] + [(100 + i, t) for i, t in enumerate((f"{a} {a}", f"{b} {b}", f"{a} {b}", f"{b} {a}"))]
+    s = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert np.isclose(s[100] + s[101], s[102] + s[103])
+
+
 def test_spelling_adds_up_to_one():
     """Bytes after a context, and tables of a dish, have probabilities that add up."""
     words = [pitman_yor._mark(k % 2) + bytes(random.Random(k).choice(b"abcd") for _ in range(1 + k % 6)) for k in range(300)]
