@@ -1,17 +1,21 @@
 """Language model scoring by a hierarchical Pitman-Yor model of words and their spelling.
 
-One word restaurant has all training tokens (words, A-Z lower-cased, and one end per text) as customers; its parent
-spells words byte by byte, so every word, known or not, has a probability and those of all word sequences add up to
+Tokens are words, A-Z lower-cased, and one end per text.  Every word (the end before a text's first) has a restaurant of
+the training tokens that follow it.  The parent of all of these is one restaurant of words, whose customers are their
+tables; its parent spells words byte by byte, so every word, known or not, has a probability and those of all word sequences add up to
 one.  In the spelling model a restaurant is a context of up to four bytes, a mark standing before the word; its parent
 lacks the byte furthest back; the last parent is uniform over bytes.  A context's customers are the tables of its
-children, at the longest contexts one spelling per distinct word.  A text's score is the sum of its tokens' log10
+children, at the longest contexts one spelling per table of a word.  A text's score is the sum of its tokens' log10
 probabilities, so the probabilities of all texts add up to one at most.
 
 Seating is sampled by Gibbs on the number of tables of each dish in each restaurant, given all others: exactly, by the
 generalised Stirling numbers, for up to ``EXACT`` customers; later ones are seated in turn, in blocks of doubling size.
 The weights of a dish and of its parent are averaged over samples, so the averaged predictive probabilities still add up.
 
-Restaurants are dealt out by their last two bytes, so a context and its parents down to that length sit together.
+Word pairs are dealt out by the hash of the pair, so the restaurant of a frequent word is spread over all parts; its
+customers and tables are sums.  Between the rounds, all pairs are seated given those sums.
+
+Spelling restaurants are dealt out by their last two bytes, so a context and its parents down to that length sit together.
 What is above (at most 65,536 dishes of one-byte contexts) is seated on the driver between the rounds.
 """
 
@@ -28,18 +32,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import byte_texts, chunks, word_hashes, words
+from framewright.llm.base import byte_texts, chunks, mix, word_hashes, words
 from framewright.session import written
 
 EXACT = 48
 ROUNDS, BURN_IN, SAMPLES = 2, 3, 4
-DISCOUNT, STRENGTH = (0.5, 0.6, 0.7, 0.75, 0.8, 0.7), (1.0,) * 6  # by context length; the last is the word restaurant
-WORD = 5
+DISCOUNT, STRENGTH = (0.5, 0.6, 0.7, 0.75, 0.8, 0.7, 0.75), (1.0,) * 7  # by context length; then words, and words after a word
+WORD, CONTEXT = 5, 6
+PART_PAIRS = 1_000_000  # pairs asked of one part of the hash range
 MODEL_ROWS = 2_000_000  # rows of the model broadcast at a time
 COUNT_ROWS = 200_000  # words or n-grams a task holds before it passes them on
 BATCH = 3 << 20  # bytes of text in one batch of word counts
 END = b"\n"
-KINDS = 1  # word restaurants
 
 
 def _codes(streams: list[bytes]) -> np.ndarray:
@@ -56,38 +60,42 @@ def _codes(streams: list[bytes]) -> np.ndarray:
     return code[keep]
 
 
-def _mark(kind: int) -> bytes:
-    """The byte that stands for a kind before a word."""
+def _mark(kind: int = 0) -> bytes:
+    """The byte that stands before a word."""
     return bytes([14 + kind])
 
 
-def _types(docs: DataFrame) -> DataFrame:
-    """(word, n): training tokens by kind and word, the kind's byte first; the end is the empty word."""
+def _types(rows: DataFrame) -> DataFrame:
+    """(word, h, n): distinct words of all texts, a mark first, and their training tokens; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter[bytes]] = [Counter() for _ in range(KINDS)]
+        learnt: Counter[bytes] = Counter()
+        others: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([_mark(k) + w for k, h in enumerate(held) for w in h], pa.binary()),
-                                               pa.array([n for h in held for n in h.values()], pa.int64())], names=["word", "n"])
+            ws = [*learnt, *(others - learnt.keys())]
+            n = [*learnt.values()]
+            return pa.RecordBatch.from_arrays([pa.array([_mark() + w for w in ws], pa.binary()), pa.array(word_hashes(ws).view(np.int64)),
+                                               pa.array(n + [0] * (len(ws) - len(n)), pa.int64())], names=["word", "h", "n"])
 
         for part in chunks(batches, "text"):
-            for t in byte_texts(part.column("text")):
-                ws = words(t)
-                own = held[0]
-                own.update(ws)
-                own[b""] += 1
-            if sum(map(len, held)) > COUNT_ROWS:
+            for t, held in zip(byte_texts(part.column("text")), part.column("held").to_pylist()):
+                ws = [*words(t), b""]
+                if held:
+                    others.update(ws)
+                else:
+                    learnt.update(ws)
+            if len(learnt) + len(others) > COUNT_ROWS:
                 yield out()
-                for h in held:
-                    h.clear()
+                learnt.clear()
+                others.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text", "held").mapInArrow(run, "word binary, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
 def _counts(types: DataFrame) -> DataFrame:
-    """(code, n): five-byte sequences in the spellings of the distinct words."""
+    """(code, n): five-byte sequences in the spellings of the words, one spelling for each of their ``t`` tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -96,7 +104,9 @@ def _counts(types: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["code", "n"])
 
         for part in chunks(batches, "word", 1 << 20):
-            k, c = np.unique(_codes([w + END for w in part.column("word").to_pylist()]), return_counts=True)
+            ws = part.column("word").to_pylist()
+            k, at = np.unique(_codes([w + END for w in ws]), return_inverse=True)
+            c = np.bincount(at, np.repeat(part.column("t").to_numpy(), [len(w) for w in ws])).astype(np.int64)
             both = np.concatenate([keys, k])
             keys, at = np.unique(both, return_inverse=True)
             n = np.bincount(at, np.concatenate([n, c])).astype(np.int64)
@@ -105,7 +115,7 @@ def _counts(types: DataFrame) -> DataFrame:
                 keys, n = keys[:0], n[:0]
         yield out()
 
-    return types.select("word").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return types.select("word", "t").where("t > 0").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _stirling(d: float) -> np.ndarray:
@@ -394,6 +404,58 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(before) + word)
+
+
+def _pairs(asked: DataFrame) -> DataFrame:
+    """(part, what, u, w, n): training counts of word pairs, added up by their hash.
+
+    A pair seen once has one table, so what it adds to its context (what 1) and to its word (what 2) is summed here;
+    pairs seen more often (what 0) are rows of their own.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        u, w = (np.concatenate([np.frombuffer(x, np.uint64) for x in frame[k]]) for k in ("u", "w"))
+        _, first, at = np.unique(_pair_hash(u, w), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in frame["c"]])).astype(np.int64)
+        u, w = u[first], w[first]
+        once = n == 1
+        (a, ca), (b, cb) = np.unique(u[once], return_counts=True), np.unique(w[once], return_counts=True)
+        many = ~once
+        zero = lambda x: np.zeros(len(x), np.uint64)
+        return pd.DataFrame({"part": int(frame["part"].iloc[0]), "what": np.repeat([0, 1, 2], [many.sum(), len(a), len(b)]),
+                             "u": np.concatenate([u[many], a, zero(b)]).view(np.int64), "w": np.concatenate([w[many], zero(a), b]).view(np.int64),
+                             "n": np.concatenate([n[many], ca, cb])})
+
+    return written(asked.groupBy("part").applyInPandas(run, "part int, what int, u long, w long, n long"), "score-pairs")
+
+
+def _seated(rows: DataFrame, names: list[str], level: int, sweeps: int, kept: int, seed: int) -> DataFrame:
+    """``rows`` with t, the tables after the last sweep, and mean, their average over the last ``kept`` sweeps.
+
+    They have n (customers), t (tables so far), total (tables of the restaurant) and p (probability under the parent)."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = None
+        for part in data:
+            n, t, total, p = (part.column(k).to_numpy() for k in ("n", "t", "total", "p"))
+            if not len(n):
+                continue
+            rng = rng or np.random.default_rng([seed, len(n), int(n.sum()), int(np.abs(total).sum()) % 2**31])
+            t, mean = np.minimum(t, n), np.zeros(len(n))
+            others = total - t
+            for k in range(sweeps):
+                t = np.minimum(seat(n, t, np.arange(len(n)), p, level, rng, others + t), n)
+                mean += t if k >= sweeps - kept else 0
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array(t.astype(np.int64)), pa.array(mean / kept)], names=[*names, "t", "mean"])
+
+    return rows.select(*names, *(k for k in ("n", "t", "total", "p") if k not in names)).mapInArrow(
+        run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", t long, mean double")
+
+
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; log10.
 
@@ -403,24 +465,112 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    learn = rows.where("not held")
-    texts = int(learn.count())
-    types = written(_types(learn), "score-words")
-    n_all = int(types.agg(F.sum("n")).first()[0] or 0)
-    v_all = types.select(F.substring("word", 2, 2**31 - 2)).distinct().count()
-    by_kind = {int(r.k[0]) - 14: r for r in types.groupBy(F.substring("word", 1, 1).alias("k")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 1, F.col("n")).otherwise(0)).alias("texts")).collect()}
-    tokens_of = np.array([by_kind[k].n if k in by_kind else 0 for k in range(KINDS)], np.float64)
-    share = np.log10([(by_kind[k].texts if k in by_kind else 0) + 1.0 for k in range(KINDS)]) - np.log10(texts + KINDS)
-    model, top = fitted(types)
+
+    def batch(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as numbers of distinct pairs, pairs as numbers of distinct words, both in the order of their hashes."""
+        for part in chunks(data, "text", BATCH):
+            number: dict[bytes, int] = {b"": 0}
+            ids = [np.array([number.setdefault(w, len(number)) for w in words(t)] + [0], np.int64) for t in byte_texts(part.column("text"))]
+            held = part.column("held").to_pylist()
+            n = np.array([len(x) for x in ids])
+            hashes = word_hashes([*number])
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            hashes = hashes[order]
+            w = place[np.concatenate(ids)]
+            u = np.concatenate([[place[0]], w[:-1]])  # an end stands before every text
+            both, at = np.unique(u * len(order) + w, return_inverse=True)
+            learnt = np.bincount(at[np.repeat(~np.array(held, bool), n)], minlength=len(both))
+            u, w = both // len(order), both % len(order)
+            by = np.argsort(_pair_hash(hashes[u], hashes[w]), kind="stable")
+            to = np.empty(len(by), np.uint32)
+            to[by] = np.arange(len(by), dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().hex]), pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)), pa.array([held]),
+                 pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([_pack(to[at])], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                 *(pa.array([_pack(x[by].astype(np.uint32))], pa.binary()) for x in (u, w, learnt)), pa.array([len(by)], pa.int64())],
+                names=["bid", "keys", "held", "n", "ids", "hashes", "u", "w", "learnt", "pairs"])
+
+    batches = written(rows.mapInArrow(batch, f"bid string, keys array<{kind}>, held array<boolean>, n array<long>, ids binary, hashes binary, u binary, w binary, learnt binary, pairs long"), "score-batches")
+    types = written(_types(rows), "score-words")
+    n_all, v_all = (int(x or 0) for x in types.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
+    asks = int(batches.agg(F.sum("pairs")).first()[0] or 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asks // PART_PAIRS + 1)
+    edges = np.array([(2**64 * k) // parts for k in range(parts)], np.uint64)
+
+    def slices(v: np.ndarray) -> list[tuple[int, int, int]]:
+        """(part, start, end) of the parts that sorted hashes fall into."""
+        cuts = np.searchsorted(v, edges).tolist() + [len(v)]
+        return [(k, cuts[k], cuts[k + 1]) for k in range(parts) if cuts[k + 1] > cuts[k]]
+
+    def learn(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in data:
+            for hashes, u, w, learnt in zip(*(part.column(c).to_pylist() for c in ("hashes", "u", "w", "learnt"))):
+                v, c = np.frombuffer(hashes, np.uint64), _unpack(learnt, np.uint32)
+                some = c > 0
+                u, w, c = v[_unpack(u, np.uint32)[some]], v[_unpack(w, np.uint32)[some]], c[some]
+                own = slices(_pair_hash(u, w))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), *(
+                    pa.array([f(x[a:b]) for _, a, b in own], pa.binary()) for x, f in ((u, np.ndarray.tobytes), (w, np.ndarray.tobytes), (c, _pack)))], names=["part", "u", "w", "c"])
+
+    pairs = _pairs(batches.select("hashes", "u", "w", "learnt").mapInArrow(learn, "part int, u binary, w binary, c binary"))
+    once_u = pairs.where("what = 1").groupBy(F.col("u").alias("h")).agg(F.sum("n").alias("once"))
+    once_w = pairs.where("what = 2").groupBy(F.col("w").alias("h")).agg(F.sum("n").alias("once"))
+    many = pairs.where("what = 0").select("part", "u", "w", "n", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
+    # Customers of each word as a context; each pair starts with one table.
+    context = written(many.groupBy(F.col("u").alias("h")).agg(F.sum("n").alias("n")).join(once_u, "h", "full").select(
+        "h", (F.coalesce("n", F.lit(0)) + F.coalesce("once", F.lit(0))).alias("cu"), F.coalesce("once", F.lit(0)).alias("once")), "score-contexts")
+    once_w = written(once_w, "score-once")
+    d, theta = DISCOUNT[WORD], STRENGTH[WORD]
+
+    def customers(seats: DataFrame) -> DataFrame:
+        """(h, c): the tables of a word in all contexts, which are its customers in the restaurant above them."""
+        return seats.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t")).join(once_w, "h", "full").select(
+            "h", (F.coalesce("t", F.lit(0)) + F.coalesce("once", F.lit(0))).alias("c"))
+
+    def tables_of(seats: DataFrame, t: str) -> DataFrame:
+        """(h, cu, tu): customers and tables of each word as a context."""
+        return context.join(seats.groupBy(F.col("u").alias("h")).agg(F.sum(t).alias("t")), "h", "left").select(
+            "h", "cu", (F.coalesce("t", F.lit(0)) + F.col("once")).alias("tu"))
+
+    def above(lp: Column, c: int, total: float) -> Column:
+        """log10 probability of each word in the restaurant of all words, with ``mean`` tables."""
+        own = F.greatest(F.coalesce("c", F.lit(0)) - d * F.coalesce("mean", F.lit(0.0)), F.lit(0.0))
+        rest = lp + float(np.log10(theta + d * total))
+        # log10(own + 10 ** rest), from the larger of the two
+        top = F.when(own > 0, F.greatest(F.log10(own), rest)).otherwise(rest)
+        return top + F.log10(F.when(own > 0, F.pow(F.lit(10.0), F.log10(own) - top)).otherwise(0.0) + F.pow(F.lit(10.0), rest - top)) - float(np.log10(theta + c))
+
+    def unigrams(seats: DataFrame, spelt: DataFrame, total: float | None, seed: int, kept: int) -> tuple[DataFrame, int, float]:
+        """(word, h, n, lp, c, t, mean) of all words, their customers, and their tables."""
+        counted = customers(seats)
+        c_all, v = (float(x or 0) for x in counted.agg(F.sum("c"), F.count("*")).first())
+        known = spelt.join(counted, "h").select("word", "h", "n", "lp", "c", F.lit(1).cast("long").alias("t"),
+                                               F.lit(v if total is None else total).alias("total"), F.greatest(F.pow(F.lit(10.0), "lp"), F.lit(1e-300)).alias("p"))
+        seated = _seated(known.withColumnsRenamed({"n": "tokens", "c": "n"}), ["h", "n"], WORD, BURN_IN + kept, kept, seed)
+        out = written(spelt.join(seated.select("h", F.col("n").alias("c"), "t", "mean"), "h", "left"), "score-unigrams")
+        return out, int(c_all), float(out.agg(F.sum("mean")).first()[0] or 0)
+
+    total, seats = None, many
+    # Until spellings are counted a byte costs one digit.
+    start = types.withColumn("lp", -F.length("word").cast("double"))
+    for r in range(ROUNDS):
+        words_now, c_all, total = unigrams(seats, start, total, r, SAMPLES)
+        p = words_now.select(F.col("h").alias("w"), F.pow(F.lit(10.0), above(F.col("lp"), c_all, total)).alias("p"))
+        now = tables_of(seats, "t").select(F.col("h").alias("u"), F.col("tu").cast("double").alias("total"))
+        asked = seats.drop("mean").join(now, "u").join(p, "w").withColumn("p", F.greatest("p", F.lit(1e-300)))
+        seats = written(_seated(asked, ["part", "u", "w", "n"], CONTEXT, BURN_IN + SAMPLES, SAMPLES, 50 + r), "score-seats")
+
+    words_now, _, total = unigrams(seats, start, total, 90, SAMPLES)
+    model, top = fitted(words_now)
     blocks = _blocks(model)
 
     def shared(bundles: list[int]):  # noqa: ANN202
         part = model.where(F.col("bundle").isin(bundles)) if len(blocks) > 1 else model
         twos = None
         if len(blocks) > 1:
-            two = spark.range(65536).select("id", F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(parts)).cast("int").alias("b"))
+            two = spark.range(65536).select("id", F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int").alias("b"))
             twos = np.zeros(65536, bool)
             twos[[r.id for r in two.where(F.col("b").isin(bundles)).collect()]] = True
         return spark.sparkContext.broadcast({"model": (part.select("kind", "key", "value").toArrow(), top, twos)})
@@ -430,128 +580,93 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             value["block"] = _Block(*value.pop("model"))
         return value["block"]
 
-    first, single = shared(blocks[0]), len(blocks) == 1
-
-    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The first block is applied here: a step of its own would be another Python process beside this one.
-        block = built(first.value)
-        for part in chunks(batches, "text", BATCH):
-            tokens = [words(t) for t in byte_texts(part.column("text"))]
-            held = part.column("held").to_pylist()
-            kind_of = [0] * len(tokens)
-            numbers: list[dict[bytes, int]] = [{} for _ in range(KINDS)]
-            ids = []
-            for k, ws in zip(kind_of, tokens):
-                number = numbers[k]
-                ids.append(np.array([number.setdefault(w, len(number)) for w in ws] + [number.setdefault(b"", len(number))], np.int64))
-            base = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
-            vocab = [_mark(k) + w for k, x in enumerate(numbers) for w in x]
-            hashes = word_hashes([w[1:] for w in vocab])
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            n = np.array([len(x) for x in ids])
-            flat = place[np.concatenate([x + base[k] for k, x in zip(kind_of, ids)])]
-            learnt = np.bincount(flat[np.repeat(~np.array(held, bool), n)], minlength=len(vocab)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)), pa.array([held]),
-                 pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([kind_of], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
-                 pa.array([hashes[order].tobytes()], pa.binary()), pa.array([_pack(np.array([vocab[i][0] - 14 for i in order], np.uint8))], pa.binary()),
-                 pa.array([_pack(learnt)], pa.binary()), pa.array([[] if single else [vocab[i] for i in order]], pa.list_(pa.binary())), pa.array([block.spelled(vocab)[order].tobytes()], pa.binary())],
-                names=["bid", "keys", "held", "n", "kinds", "ids", "hashes", "of", "learnt", "vocab", "lp"])
-
-    def spelling(block, last: bool):  # noqa: ANN001, ANN202
-        """Adds a block's part to the spelling's log10 probabilities; the last one drops the words themselves."""
-        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = built(block.value)
-            for part in data:
-                for k in range(part.num_rows):
-                    one = part.slice(k, 1)
-                    some = one.column("vocab").to_pylist()[0]
-                    lp = np.frombuffer(one.column("lp").to_pylist()[0], np.float64) + b.spelled(some)
-                    yield pa.RecordBatch.from_arrays([*one.columns[:-2], pa.array([[] if last else some], pa.list_(pa.binary())), pa.array([lp.tobytes()], pa.binary())], names=one.schema.names)
-        return run
-
     def word_spelling(block):  # noqa: ANN001, ANN202
         def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = built(block.value)
             for part in data:
                 lp = part.column("lp").to_numpy() + b.spelled(part.column("word").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(lp)], names=["word", "n", "lp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("word", "h", "n")), pa.array(lp)], names=["word", "h", "n", "lp"])
         return run
 
-    schema = f"bid string, keys array<{kind}>, held array<boolean>, n array<long>, kinds array<long>, ids binary, hashes binary, of binary, learnt binary, vocab array<binary>, lp binary"
-    batches = written(rows.mapInArrow(batch, schema), "score-batches")
     spelt = types.withColumn("lp", F.lit(0.0))
-    for k, bundles in enumerate(blocks):  # one block unless the model is large
-        block = shared(bundles) if k else first
-        if k:
-            batches = written(batches.mapInArrow(spelling(block, k == len(blocks) - 1), schema), "score-batches")
-        spelt = written(spelt.mapInArrow(word_spelling(block), "word binary, n long, lp double"), "score-spelt")
+    for bundles in blocks:  # one block unless the model is large
+        spelt = written(spelt.mapInArrow(word_spelling(shared(bundles)), "word binary, h long, n long, lp double"), "score-spelt")
 
-    d, theta = DISCOUNT[WORD], STRENGTH[WORD]
+    last, c_all, total = unigrams(seats, spelt, total, 91, SAMPLES)
+    # Where each word's hash falls among the parts is found as it is for the batches.
+    final = last.select("h", "n", above(F.col("lp"), c_all, total).alias("p")).join(tables_of(seats, "mean"), "h", "left").select(
+        "h", "n", "p", F.coalesce("cu", F.lit(0)).alias("cu"), F.coalesce("tu", F.lit(0.0)).alias("tu"))
 
-    def seats(n: np.ndarray, lp: np.ndarray, kind_no: np.ndarray, tables: np.ndarray, seed: int, samples: int) -> np.ndarray:
-        """Average tables of words in the word restaurants of their kinds, which have ``tables`` in all."""
-        rng, t, total = np.random.default_rng(seed), np.ones(len(n), np.int64), np.zeros(len(n))
-        for _ in range(samples):
-            t = np.minimum(seat(n, t, kind_no, 10.0 ** np.maximum(lp, -300), WORD, rng, tables), n)  # below that there is one table either way
-            total += t
-        return total / samples
+    def placed(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in data:
+            k = np.searchsorted(edges, part.column("h").to_numpy().view(np.uint64), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *part.columns], names=["part", *part.schema.names])
 
-    def in_all(now: np.ndarray, seed: int):  # noqa: ANN202
-        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in data:
-                if part.num_rows:
-                    k = np.array([w[0] - 14 for w in part.column("word").to_pylist()])
-                    t = np.bincount(k, seats(part.column("n").to_numpy(), part.column("lp").to_numpy(), k, now, seed, 1), KINDS)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS)), pa.array(t)], names=["k", "t"])
-        return run
+    model_words = final.mapInArrow(placed, "part int, h long, n long, p double, cu long, tu double")
 
-    tables = np.array([by_kind[k].v if k in by_kind else 0 for k in range(KINDS)], np.float64)
-    for r in range(ROUNDS):
-        sums = {x.k: x.t for x in spelt.mapInArrow(in_all(tables, r), "k long, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()}
-        tables = np.array([sums.get(k, 0.0) for k in range(KINDS)])
+    def ask_words(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in data:
+            for bid, hashes in zip(*(part.column(c).to_pylist() for c in ("bid", "hashes"))):
+                v = np.frombuffer(hashes, np.uint64)
+                own = slices(v)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), pa.array([v[a:b].tobytes() for _, a, b in own], pa.binary())], names=["part", "bid", "v"])
 
-    # Each batch asks for the counts and probabilities of its words, part by part of the hash range, and gets them in the same order.
-    def ask(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_pairs(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in data:
-            for bid, hashes, of, learnt, lp in zip(*(part.column(c).to_pylist() for c in ("bid", "hashes", "of", "learnt", "lp"))):
-                v, c, q, k_of = np.frombuffer(hashes, np.uint64), _unpack(learnt, np.uint32), np.frombuffer(lp, np.float64), _unpack(of, np.uint8)
-                cuts = np.searchsorted(v, np.array([(2**64 * k) // parts for k in range(parts)], np.uint64)).tolist() + [len(v)]
-                own = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([bid] * len(own)), *(
-                    pa.array([x[cuts[k]:cuts[k + 1]].tobytes() for k in own], pa.binary()) for x in (v, k_of, c, q))], names=["part", "bid", "v", "of", "c", "lp"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        v, of, c, lp = ([np.frombuffer(x, k) for x in frame[name]] for name, k in (("v", np.uint64), ("of", np.uint8), ("c", np.uint32), ("lp", np.float64)))
-        ends = np.cumsum([len(x) for x in v])[:-1]
-        v, of, c, lp = (np.concatenate(x) for x in (v, of, c, lp))
-        _, word = np.unique(v, return_inverse=True)
-        total = np.bincount(word, c).astype(np.int64)
-        _, first, at = np.unique(word * KINDS + of, return_index=True, return_inverse=True)
-        own = np.bincount(at, c).astype(np.int64)  # tokens of the word in texts of the kind
-        q, k = lp[first], of[first].astype(np.int64)
-        t = np.where(own > 0, seats(np.maximum(own, 1), q, k, tables, int(frame["part"].iloc[0]), SAMPLES), 0.0)
-        p = _log_sum(own - d * t, np.log10(theta + d * tables[k]) + q) - np.log10(theta + tokens_of[k])
-        return pd.DataFrame({"part": frame["part"], "bid": frame["bid"], "c": [_pack(x) for x in np.split(total[word], ends)], "p": [x.tobytes() for x in np.split(p[at], ends)]})
-
-    asked = batches.select("bid", "hashes", "of", "learnt", "lp").mapInArrow(ask, "part int, bid string, v binary, of binary, c binary, lp binary")
-    answers = asked.groupBy("part").applyInPandas(answer, "part int, bid string, c binary, p binary")
+            for bid, hashes, u, w, learnt in zip(*(part.column(c).to_pylist() for c in ("bid", "hashes", "u", "w", "learnt"))):
+                v, c = np.frombuffer(hashes, np.uint64), _unpack(learnt, np.uint32)
+                h = _pair_hash(v[_unpack(u, np.uint32)], v[_unpack(w, np.uint32)])
+                own = slices(h)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), *(
+                    pa.array([f(x[a:b]) for _, a, b in own], pa.binary()) for x, f in ((h, np.ndarray.tobytes), (c, _pack)))], names=["part", "bid", "v", "c"])
+
+    columns = "part int, bid string, what int, a binary, b binary, c binary, d binary"
+
+    def answered(ask: pd.DataFrame, what: int, values: list[np.ndarray]) -> pd.DataFrame:
+        ends = np.cumsum([len(x) // 8 for x in ask["v"]])[:-1]
+        out = {name: [x.tobytes() for x in np.split(v, ends)] for name, v in zip("abcd", values)}
+        return pd.DataFrame({"part": ask["part"], "bid": ask["bid"], "what": what, **{name: out.get(name, b"") for name in "abcd"}})
+
+    def tell_words(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask):
+            return pd.DataFrame(columns=["part", "bid", "what", "a", "b", "c", "d"])
+        h = have["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        at = order[np.searchsorted(h[order], np.concatenate([np.frombuffer(x, np.uint64) for x in ask["v"]]))]
+        return answered(ask, 0, [have[k].to_numpy()[at] for k in ("n", "p", "cu", "tu")])
+
+    def tell_pairs(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        """Customers beyond the discounts: pairs seen once have one table, those seen more often were seated."""
+        if not len(ask):
+            return pd.DataFrame(columns=["part", "bid", "what", "a", "b", "c", "d"])
+        v, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in ask["v"]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in ask["c"]]))
+        own = np.where(n > 0, n - DISCOUNT[CONTEXT], 0.0)
+        if len(have):
+            h = _pair_hash(have["u"].to_numpy().view(np.uint64), have["w"].to_numpy().view(np.uint64))
+            own[np.searchsorted(v, h)] = have["n"].to_numpy() - DISCOUNT[CONTEXT] * have["mean"].to_numpy()
+        return answered(ask, 1, [own[at]])
+
+    by_word = batches.select("bid", "hashes").mapInArrow(ask_words, "part int, bid string, v binary").groupBy("part").cogroup(model_words.groupBy("part")).applyInPandas(tell_words, columns)
+    by_pair = batches.select("bid", "hashes", "u", "w", "learnt").mapInArrow(ask_pairs, "part int, bid string, v binary, c binary").groupBy("part").cogroup(
+        seats.select("part", "u", "w", "n", "mean").groupBy("part")).applyInPandas(tell_pairs, columns)
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         right = right.sort_values("part")
-        c = np.concatenate([np.zeros(0, np.int64), *(_unpack(x, np.int64) for x in right["c"])])
-        p = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in right["p"])])
-        logs = np.log10(c + 1.0)
+        one, two = right[right["what"] == 0], right[right["what"] == 1]
+        count, p, cu, tu = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in one[name])]) for name, k in (("a", np.int64), ("b", np.float64), ("c", np.int64), ("d", np.float64)))
+        own = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in two["a"])])
         for r in left.itertuples():
-            ids, n = _unpack(r.ids, np.uint32), np.asarray(r.n)
+            ids, n, u, w = _unpack(r.ids, np.uint32), np.asarray(r.n), _unpack(r.u, np.uint32), _unpack(r.w, np.uint32)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            known, logs = (count[w] > 0).astype(np.int64), np.log10(count[w] + 1.0)
+            d, theta = DISCOUNT[CONTEXT], STRENGTH[CONTEXT]
+            lp = _log_sum(own, np.log10(theta + d * tu[u]) + p[w]) - np.log10(theta + cu[u])
             out.append(pd.DataFrame({
-                "key": list(r.keys), "held_out": list(r.held), "n_tokens": n, "n_known": np.add.reduceat((c[ids] > 0).astype(np.int64), starts), "train_tokens": n_all,
-                "base_score": np.add.reduceat(logs[ids], starts) - n * np.log10(n_all + v_all + 1.0), "score": np.add.reduceat(p[ids], starts) + share[np.asarray(r.kinds)]}))
+                "key": list(r.keys), "held_out": list(r.held), "n_tokens": n, "n_known": np.add.reduceat(known[ids], starts), "train_tokens": n_all,
+                "base_score": np.add.reduceat(logs[ids], starts) - n * np.log10(n_all + v_all + 1.0), "score": np.add.reduceat(lp[ids], starts)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return batches.select("bid", "keys", "held", "n", "kinds", "ids").groupBy("bid").cogroup(answers.groupBy("bid")).applyInPandas(
+    return batches.select("bid", "keys", "held", "n", "ids", "u", "w").groupBy("bid").cogroup(by_word.unionByName(by_pair).groupBy("bid")).applyInPandas(
         summed, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)

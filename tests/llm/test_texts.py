@@ -194,6 +194,22 @@ def test_no_clustering_decides_a_score(spark):
     assert np.isclose(s[100] + s[101], s[102] + s[103])
 
 
+def test_word_order(spark):
+    """Shuffled words score lower, and what may follow a word has probabilities that add up to less than one."""
+    import pyspark.sql.functions as F
+
+    rng = random.Random(3)
+    train = [" ".join(rng.choice(("the cat sat down", "a dog ran off", "my bird sang well")) for _ in range(30)) for _ in range(40)]
+    vocab = sorted({w for t in train for w in t.split()})
+    held = ["the cat sat down a dog ran off", "cat off the dog sat a down ran", "the"] + [f"the {w}" for w in [*vocab, "unseen"]]
+    rows = [(i, t) for i, t in enumerate(train + held)]
+    s = {r.doc_id - len(train): r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= len(train)).collect()}
+    assert s[0] > s[1] + 5
+    assert s[3 + vocab.index("cat")] > s[3 + vocab.index("well")] and s[3] < 0
+    total = sum(10 ** s[k] for k in range(2, len(held)))
+    assert 0 < total < 1
+
+
 def test_spelling_adds_up_to_one():
     """Bytes after a context, and tables of a dish, have probabilities that add up."""
     words = [pitman_yor._mark(k % 2) + bytes(random.Random(k).choice(b"abcd") for _ in range(1 + k % 6)) for k in range(300)]
