@@ -91,6 +91,19 @@ def test_secrets(spark, messy, messy_rows, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+def test_secret_ownership(spark):
+    hot, real, jwt = "Hot5Example9Key2Val", "Real7Key3Vt9Rw4Kp8Q", "eyJhbGciOi1.eyJzdWIiOjEyMzQ1Njc4.c2lnbmF0dXJl9"
+    rows = [(i, f"page {i} of notes, password: {hot} and so on", "hot") for i in range(200)] + [(200, f"bare {hot} here", "x")]
+    near = "the settings of this machine are kept in one place: password: {} and nobody else should ever read them again"
+    rows += [(300, near.format(real + "."), "a"), (301, "Changed title. " + near.format(real + "."), "b"), (302, near.format(real + "."), "c")]
+    rows += [(303, f"auth={real} and /srv/{real}/x, x{real}, {real}.", "d"), (400, f"secret = {jwt}", "a"), (401, f"call auth={jwt}.", "e")]
+    got = {r.doc_id: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[0].n_live, got[0].n_example, got[200].added) == (0, 1, [])
+    assert all((got[i].n_live, got[i].n_example) == (1, 0) for i in (300, 301, 302))
+    t = {i: x for i, x, _ in rows}
+    assert [t[303][s.start:s.end] for s in got[303].added] == [real] * 3 and [t[401][s.start:s.end] for s in got[401].added] == [jwt]
+
+
 def test_bpe_against_the_library(spark, messy, messy_rows, empty):
     from tokenizers import Tokenizer
 
