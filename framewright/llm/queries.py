@@ -12,6 +12,8 @@ from framewright.llm.bpe_automaton import encoded, vocabulary_path
 from framewright.llm.decontaminate import contamination
 from framewright.llm.embedding_dedup import near_duplicates
 from framewright.llm.jaccard_join import jaccard_components
+from framewright.llm import graph_search
+from framewright.llm import ranked_search
 from framewright.llm import secret_scan
 from framewright.llm import url_templates
 from framewright.llm.language_id import fitted, languages
@@ -103,6 +105,15 @@ comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counts AS (SE
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pitman_yor": op2_pitman_yor,
@@ -114,9 +125,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_url_templates": op9_url_templates,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_graph_search": op13_graph_search,
 }
 SQL: dict[str, str] = {
     "op7_jaccard_join": _JACCARD_TWIN,
     "op9_url_templates": url_templates.twin_sql(),
     "op10_embedding_dedup": _EMBEDDING_TWIN,
+    "op12_ranked_search": ranked_search.twin_sql(),
 }
