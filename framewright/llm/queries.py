@@ -18,6 +18,7 @@ from framewright.llm import secret_scan
 from framewright.llm import url_templates
 from framewright.llm.language_id import fitted, languages
 from framewright.llm import pitman_yor
+from framewright.llm import turn_repair
 from framewright.llm.suffix_dedup import without_repeats
 from framewright.llm.personal_data import KINDS, digest_text, personal_data
 
@@ -106,6 +107,16 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN comps ON vec_id = comps.a LEFT JOIN counts ON vec_id = counts.a"""
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which no row is left after the damage have zeros, an empty audit and the digest of the empty string."""
+    rows = table(spark, sf_dir, "conversations")
+    done = turn_repair.audits(turn_repair.damaged(rows)).withColumnRenamed("conv_id", "c")
+    zero = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *[F.coalesce(z, F.lit(0).cast("long")).alias(z) for z in zero], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -125,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_url_templates": op9_url_templates,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_turn_repair": op11_turn_repair,
     "op12_ranked_search": op12_ranked_search,
     "op13_graph_search": op13_graph_search,
 }
