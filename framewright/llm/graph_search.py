@@ -205,7 +205,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
     classes = written(classes, "graph-classes")
     shards = classes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = classes.select("cid", "vec", "low", "dim").join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int"))
-    graphs = written(dealt.groupBy("dim", "shard").applyInPandas(_graph_of, _GRAPH), "graphs")
+    # Shards are small in bytes and heavy in work: the number of tasks is given, so that they are not merged into few.
+    tasks = max(shards.agg(F.sum("shards")).first()[0] or 1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    graphs = written(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_graph_of, _GRAPH), "graphs")
 
     wanted = written(classes.select("cid", "vec", "dim").join(rows.where("asked").select("cid").distinct(), "cid", "left_semi"), "graph-queries")
     blocks = wanted.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -214,7 +216,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
     sent = wanted.join(plan, "dim").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("shard", every("shards"))
     held = graphs.join(plan.select("dim", "blocks"), "dim").withColumn("block", every("blocks")).drop("blocks")
     at = ["dim", "shard", "block"]
-    found = written(held.groupBy(*at).cogroup(sent.groupBy(*at)).applyInPandas(_searched(k + 1), _FOUND), "graph-found")
+    found = written(held.repartition(tasks, *at).groupBy(*at).cogroup(sent.repartition(tasks, *at).groupBy(*at)).applyInPandas(_searched(k + 1), _FOUND), "graph-found")
 
     by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("low").asc_nulls_last())
     best = found.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
