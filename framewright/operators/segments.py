@@ -13,8 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from framewright.session import written
+from pyspark.sql import types as T
 
 
 def halo_segments(
@@ -97,81 +96,96 @@ def salted_attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salt
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def range_edges(df: DataFrame, cols: Sequence[str], parts: int) -> Column:
+    """Up to ``parts - 1`` edges that cut the rows, ordered by ``cols``, into parts of about equal size; a sorted array.
+
+    They come from the ``16 * parts`` rows of smallest hash, so their number does not grow with the rows and the same rows
+    give the same edges.  The column is a subquery: it runs with the query that uses it.
+    """
+    sample = df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(16 * parts).agg(
+        F.sort_array(F.collect_list(F.struct(*cols))).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: F.floor(i * F.size("s") / parts).cast("int"))
+    return sample.select(F.array_distinct(F.transform(
+        F.filter(at, lambda i: i < F.size("s")), lambda i: F.get("s", i)))).scalar()
+
+
+def part_of(edges: Column, row: Column, parts: int) -> Column:
+    """How many of the sorted ``edges`` (fewer than ``parts``) are not above ``row``, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"), edges.alias("e"), row.alias("r"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(s["e"], mid) <= s["r"]
+        wide = s["lo"] < s["hi"]
+        return F.struct(F.when(wide & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(wide & ~below, mid).otherwise(s["hi"]).alias("hi"), s["e"].alias("e"), s["r"].alias("r"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, parts.bit_length())))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def _not_null(col: str, kind: T.DataType) -> Column:
+    """The column with some value of its type in place of null (``to_json`` where the type has no simple one)."""
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(F.col(col), F.lit(0).cast(kind))
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.col(col), F.lit(""))
+    if isinstance(kind, T.TimestampType):
+        return F.coalesce(F.col(col), F.timestamp_micros(F.lit(0)))
+    return F.to_json(F.struct(col))
+
+
 class OrderedParts:
     """Ordered analytics over keys of any size.
 
-    The rows are range-partitioned on (keys, order), so a hot key spreads over
-    many parts; the part number is fixed by writing the table once.  Each
-    function works inside (keys, part) and adds a carry computed from one
-    summary row per (keys, part).  ``order`` must end in a unique column.
+    Range edges, from a bounded sample, give every row the number of its part as a plain expression, so a hot key spreads
+    over many parts and building a plan starts no job.  Each function works inside (keys, part) and adds a carry computed
+    from one summary row per (keys, part).  ``order`` must end in a unique column.  A null key is a key like any other.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  parts: int | None = None):
-        self.keys, self.order = list(keys), list(order)
+        self.keys, self.order, self.names = list(keys), list(order), df.columns
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         cols = [*self.keys, *self.order]
-        ranged = (df.repartitionByRange(parts, *cols) if parts else df.repartitionByRange(*cols))
-        self.rows = written(
-            ranged.sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id()),
-            "ordered",
-        )
-        self._local = Window.partitionBy(*self.keys, "_part").orderBy(*self.order)
-        self._parts = Window.partitionBy(*self.keys).orderBy("_part")
-
-    def _with_carry(self, local: DataFrame, summary: DataFrame) -> DataFrame:
-        """Rows with their part's carry; a null key is a key like any other."""
-        right = summary.withColumnsRenamed({c: f"_c_{c}" for c in [*self.keys, "_part"]})
-        same = F.col("_part") == F.col("_c__part")
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-        return local.join(right, same, "left").drop(*[f"_c_{c}" for c in [*self.keys, "_part"]])
+        # Rows and carries meet on columns without nulls, so that the join keeps the partitioning of the windows.
+        plain = {}
+        for i, k in enumerate(self.keys):
+            plain |= {f"_k{i}": _not_null(k, df.schema[k].dataType), f"_n{i}": F.col(k).isNull()}
+        self._by = list(plain)
+        self.rows = df.withColumn("_edges", range_edges(df, cols, parts)).withColumns(
+            {**plain, "_part": part_of(F.col("_edges"), F.struct(*cols), parts)}).drop("_edges")
+        self._local = Window.partitionBy(*self._by, "_part").orderBy(*self.order)
+        self._parts = Window.partitionBy(*self._by).orderBy("_part")
+
+    def _with_carry(self, local: DataFrame, per_part: Column, carry: Column, name: str, value: Column) -> DataFrame:
+        """Rows with ``value``, which may use ``_op_carry``: ``carry`` over the earlier parts' ``per_part`` (named ``_op``)."""
+        summary = self.rows.groupBy(*self._by, "_part").agg(per_part.alias("_op")).select(*self._by, "_part", carry.alias("_op_carry"))
+        return local.join(summary, [*self._by, "_part"], "left").withColumn(name, value).select(
+            *self.names, *[name] * (name not in self.names))
 
     def row_number(self, name: str = "rn") -> DataFrame:
         """1-based position within the key."""
         before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            self.rows.groupBy(*self.keys, "_part").agg(F.count(F.lit(1)).alias("_op_n"))
-            .select(*self.keys, "_part",
-                    F.coalesce(F.sum("_op_n").over(before), F.lit(0)).alias("_op_off"))
-        )
-        local = self.rows.withColumn(name, F.row_number().over(self._local).cast("long"))
-        return (self._with_carry(local, offsets)
-                .withColumn(name, F.col(name) + F.col("_op_off")).drop("_op_off", "_part"))
+        return self._with_carry(self.rows.withColumn(name, F.row_number().over(self._local).cast("long")), F.count(F.lit(1)),
+                                F.coalesce(F.sum("_op").over(before), F.lit(0)), name, F.col(name) + F.col("_op_carry"))
 
     def lag(self, col: str, name: str) -> DataFrame:
         """Value of ``col`` in the previous row of the key."""
-        last = (
-            self.rows.groupBy(*self.keys, "_part")
-            .agg(F.max_by(F.col(col), F.struct(*self.order)).alias("_op_last"))
-            .select(*self.keys, "_part", F.lag("_op_last").over(self._parts).alias("_op_prev"))
-        )
-        local = self.rows.withColumn(name, F.lag(col).over(self._local)) \
-            .withColumn("_op_first", F.row_number().over(self._local) == 1)
-        return (self._with_carry(local, last)
-                .withColumn(name, F.when(F.col("_op_first"), F.col("_op_prev")).otherwise(F.col(name)))
-                .drop("_op_first", "_op_prev", "_part"))
+        local = self.rows.withColumn(name, F.lag(col).over(self._local)).withColumn("_op_first", F.row_number().over(self._local) == 1)
+        return self._with_carry(local, F.max_by(F.col(col), F.struct(*self.order)), F.lag("_op").over(self._parts), name,
+                                F.when(F.col("_op_first"), F.col("_op_carry")).otherwise(F.col(name)))
 
     def running(self, col: str, name: str, kind: str = "sum", inclusive: bool = True) -> DataFrame:
         """Running sum, min, max, or last non-null value of ``col``."""
-        fns = {"sum": F.sum, "min": F.min, "max": F.max,
-               "last": lambda c: F.last(c, ignorenulls=True)}
-        join2 = {
+        agg = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[kind]
+        both = {
             "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
             "min": F.least, "max": F.greatest,
             "last": lambda a, b: F.coalesce(b, a),
         }[kind]
-        agg = fns[kind]
-        before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
-        if kind == "last":
-            part = F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*self.order)))
-        else:
-            part = agg(F.col(col))
-        carry = (
-            self.rows.groupBy(*self.keys, "_part").agg(part.alias("_op_agg"))
-            .select(*self.keys, "_part", agg("_op_agg").over(before).alias("_op_carry"))
-        )
+        part = F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*self.order))) if kind == "last" else agg(col)
         frame = self._local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = self.rows.withColumn(name, agg(col).over(frame))
-        return (self._with_carry(local, carry)
-                .withColumn(name, join2(F.col("_op_carry"), F.col(name)))
-                .drop("_op_carry", "_part"))
+        before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
+        return self._with_carry(self.rows.withColumn(name, agg(col).over(frame)), part, agg("_op").over(before), name,
+                                both(F.col("_op_carry"), F.col(name)))

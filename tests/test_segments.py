@@ -65,3 +65,36 @@ def test_null_keys_are_keys(spark):
         assert own(parts.row_number("x")) == {i: i + 1 for i in range(200)}
         assert own(parts.lag("v", "x")) == {i: (i - 1) % 7 if i else None for i in range(200)}
         assert own(parts.running("v", "x")) == {i: sum(j % 7 for j in range(i + 1)) for i in range(200)}
+
+
+def test_building_a_plan_starts_no_job(spark, tmp):
+    """Neither a write nor a scan before an action, at any operator on ordered parts."""
+    from framewright.operators import frames, scoring, telemetry
+    from framewright.streaming import chunks
+
+    df = spark.createDataFrame([(1, 1, 2.0, 3)], "stream_id int, chunk_idx long, value double, event_id long").withColumn("ts", F.current_timestamp())
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "building")
+    try:
+        plans = [
+            chunks.number_chunks(df, ["ts", "event_id"]), chunks.playback_start(df, ["ts", "event_id"]),
+            chunks.buffer_status(df, ["ts", "event_id"], "chunk_idx"), chunks.bounded_history(df, 3), chunks.ttl_cache_keys(df, "stream_id", "ts", "event_id", 3),
+            chunks.session_activity(df, 1000), chunks.generation_rate(df, "ts", "event_id", "chunk_idx"),
+            frames.playback_latest(df, df, "stream_id", "ts", "event_id", "chunk_idx"), frames.epoch_batches(df, "event_id", 3),
+            scoring.best_so_far(df, "stream_id", "chunk_idx", "value"), telemetry.latency_summary(df, ["stream_id"], "value"),
+            telemetry.eviction_candidates(df.withColumnRenamed("chunk_idx", "requests"), 0, key="event_id")]
+        assert sc.statusTracker().getJobIdsForGroup("building") == []
+    finally:
+        sc.setJobGroup("", "")
+    assert [p.count() for p in plans] == [1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+
+
+def test_parts_are_even_and_cut_one_key(spark):
+    from framewright.operators.segments import part_of, range_edges
+
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 20_000).alias("o"))
+    parts = df.withColumn("e", range_edges(df, ["k", "o"], 16)).withColumn("p", part_of(F.col("e"), F.struct("k", "o"), 16))
+    sizes = parts.groupBy("p").agg(F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi")).orderBy("p").collect()
+    assert len(sizes) == 16 and max(r.n for r in sizes) < 4 * 20_000 / 16
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+    assert parts.where("p <> size(filter(e, x -> x <= struct(k, o)))").count() == 0
