@@ -19,11 +19,13 @@ def _zero_like(v: Column) -> Column:
     return F.transform(v, lambda x: x * 0)
 
 
-def _explode_windows(segs: DataFrame, windows: Column, idx_name: str) -> DataFrame:
-    return (
-        segs.select(KEY, F.explode(windows).alias("w"))
-        .select(KEY, F.col("w.idx").alias(idx_name), F.col("w.window").alias("window"))
-    )
+def _window_rows(segs: DataFrame, first: Column, last: Column, idx_name: str, window: Column) -> DataFrame:
+    """One row per index from ``first`` to ``last`` of each segment, with its ``window`` read from the segment's rows.
+
+    Only the indexes are exploded; ``window`` uses ``w`` for the index and takes its rows by position, so no row ever
+    holds more than one window.
+    """
+    return segs.select("*", F.explode(F.sequence(first, last)).alias("w")).select(KEY, F.col("w").alias(idx_name), window.alias("window"))
 
 
 def gather_windows(df: DataFrame, vec: str, lo: int, hi: int, pad: str = "edge",
@@ -43,16 +45,14 @@ def gather_windows(df: DataFrame, vec: str, lo: int, hi: int, pad: str = "edge",
         last = F.least(last, F.col("hi") - (hi - 1)) if hi > 1 else last
     segs = segs.filter(first <= last)
 
-    def row(w: Column, off: int) -> Column:
-        pos = (w + off - F.col("lo")).cast("int")
+    def row(off: int) -> Column:
+        pos = (F.col("w") + off - F.col("lo")).cast("int")
         if pad == "zero":
             return F.coalesce(F.get("rows", pos)["v"], _zero_like(F.col("rows")[0]["v"]))
         top = (F.col("hi") - F.col("lo")).cast("int")
         return F.get("rows", F.least(F.greatest(pos, F.lit(0)), top))["v"]
 
-    windows = F.transform(F.sequence(first, last), lambda w: F.struct(
-        w.alias("idx"), F.array(*[row(w, off) for off in range(lo, hi)]).alias("window")))
-    return _explode_windows(segs, windows, idx_name)
+    return _window_rows(segs, first, last, idx_name, F.array(*[row(off) for off in range(lo, hi)]))
 
 
 def sliding_windows(df: DataFrame, vec: str, size: int = 16, strict: bool = False) -> DataFrame:
@@ -134,21 +134,16 @@ def clock_aligned_windows(df: DataFrame, vec: str, rate: int = 80, fps: int = 25
     """For video frame f the ``size`` steps from ``int(rate*f/fps)``, shifted back at the clip's end."""
     cap = batch + 16 if batch is not None else None
     segs, f_lo, f_hi = _clock_segments(df, vec, rate, fps, size, 0, span, mode, cap)
-    windows = F.transform(F.sequence(f_lo, f_hi), lambda f: F.struct(
-        f.alias("idx"), F.array(*_clock_rows(f, rate, fps, size)).alias("window")))
-    return _explode_windows(segs, windows, "video_frame")
+    return _window_rows(segs, f_lo, f_hi, "video_frame", F.array(*_clock_rows(F.col("w"), rate, fps, size)))
 
 
 def segmented_windows(df: DataFrame, vec: str, t: int = 5, rate: int = 80, fps: int = 25,
                       size: int = 16, span: int = 256) -> DataFrame:
     """For frame i the windows at clock frames i-1 .. i+3; null at i=0 or for clips shorter than a window."""
     segs, f_lo, f_hi = _clock_segments(df, vec, rate, fps, size, t - 1, span, "offline", None)
-    ok = lambda f: (f >= 1) & (F.col("hi") + 1 >= size)
-    windows = F.transform(F.sequence(f_lo, f_hi), lambda f: F.struct(
-        f.alias("idx"),
-        F.when(ok(f), F.array(*[F.array(*_clock_rows(f - 1 + k, rate, fps, size)) for k in range(t)]))
-        .alias("window")))
-    return _explode_windows(segs, windows, "video_frame")
+    ok = (F.col("w") >= 1) & (F.col("hi") + 1 >= size)
+    window = F.when(ok, F.array(*[F.array(*_clock_rows(F.col("w") - 1 + k, rate, fps, size)) for k in range(t)]))
+    return _window_rows(segs, f_lo, f_hi, "video_frame", window)
 
 
 def center_window(df: DataFrame, vec: str, size: int = 16) -> DataFrame:

@@ -38,26 +38,57 @@ def div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(n)).cast("long")
 
 
+BATCH = 1 << 20  # samples of one Arrow batch, about
+
+
+def _levels(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of all texts behind each other, and the number of each text's."""
+    codes = [np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in texts]
+    flat = np.concatenate(codes).astype(np.int32) if codes else np.zeros(0, np.int32)
+    return ((flat % 256 - 128) / np.float32(128)).astype(np.float32), np.array([len(c) for c in codes], np.int64)
+
+
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """(clip ids, texts) of about ``BATCH`` characters together, one text at least."""
+    for rows in batches:
+        clips, texts, size = [], [], 0
+        for clip, text in zip(rows.column("clip_id").to_pylist(), rows.column("text")):
+            clips.append(clip)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= BATCH:
+                yield clips, texts
+                clips, texts, size = [], [], 0
+        if clips:
+            yield clips, texts
+
+
+def _clip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.coalesce("text", F.lit("")).alias("text")), "clip_id")
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0 .. count-1 for each count, behind each other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def text_blocks(spark: SparkSession, sf_dir: str, hop: int = 200) -> DataFrame:
     """``documents`` as signal blocks: a clip is a text, a sample is a character.
 
     Fixed mapping: code point modulo 256, centred, over 128 (exact in float32).  An empty or null text is one empty block.
     """
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.coalesce("text", F.lit("")).alias("text")), "clip_id")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for clip, text in zip(rows.column("clip_id").to_pylist(), rows.column("text")):
-                codes = np.frombuffer(text.as_py().encode("utf-32-le"), dtype="<u4").astype(np.int32)
-                level = ((codes % 256 - 128) / np.float32(128)).astype(np.float32)
-                m = max(1, -(-len(level) // hop))
-                ends = np.minimum(np.arange(m + 1) * hop, len(level)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, clip)), pa.array(np.arange(m)), pa.array(np.diff(ends)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(level))],
-                    names=["clip_id", "block_idx", "n", "samples"])
+        for clips, texts in _text_groups(batches):
+            level, n = _levels(texts)
+            blocks = np.maximum(1, -(-n // hop))
+            index = _within(blocks)
+            size = np.minimum(hop, np.repeat(n, blocks) - index * hop).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(clips, np.int64), blocks)), pa.array(index), pa.array(size),
+                 pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(level))],
+                names=["clip_id", "block_idx", "n", "samples"])
 
-    return docs.mapInArrow(cut, SIGNAL_BLOCKS)
+    return _clip_texts(spark, sf_dir).mapInArrow(cut, SIGNAL_BLOCKS)
 
 
 CLIPS_SQL = """clips AS (SELECT doc_id AS clip_id, list_transform(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, '') END,
@@ -79,9 +110,19 @@ STEP = 40
 
 def step_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature steps (clip_id, frame_idx, vec[4]): sums of ten samples each, so a vector holds all 40 samples of its step."""
-    quarter = lambda k: F.aggregate(F.slice("samples", k * STEP // 4 + 1, STEP // 4), F.lit(0.0), lambda a, x: a + x).cast("float")
-    return text_blocks(spark, sf_dir, STEP).filter("n > 0").select(
-        "clip_id", F.col("block_idx").alias("frame_idx"), F.array(*map(quarter, range(4))).alias("vec"))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for clips, texts in _text_groups(batches):
+            level, n = _levels(texts)
+            steps = -(-n // STEP)
+            # Samples go where their step has room for STEP of them; missing ones stay 0, which the sums do not see.
+            room = np.zeros(int(steps.sum()) * STEP)
+            room[np.repeat((np.cumsum(steps) - steps) * STEP, n) + _within(n)] = level
+            vec = room.reshape(-1, STEP // 4).sum(1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(clips, np.int64), steps)), pa.array(_within(steps)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(vec) + 1, 4, np.int32)), pa.array(vec))], names=["clip_id", "frame_idx", "vec"])
+
+    return _clip_texts(spark, sf_dir).mapInArrow(sums, "clip_id long, frame_idx long, vec array<float>")
 
 
 # One row per step with v = 1*vec[0] + 2*vec[1] + 3*vec[2] + 4*vec[3], exact in binary.  An empty text has no step.
