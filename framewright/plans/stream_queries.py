@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from framewright.plans.adapters import div, r, rnd, table
 from framewright.plans.registry import query
+from framewright.session import scratch_path
 from framewright.streaming import chunks as R
 from framewright.streaming import stateful as S
-from framewright.streaming.run import drain
+from framewright.streaming.run import drain, published
 
 # 64 consecutive events form a stream; its numbering skips one index after every 29 chunks, so there are gaps and all events stay.
 CHUNK_SQL = """ck AS (SELECT event_id // 64 AS stream_id, event_id % 64 + event_id % 64 // 29 AS chunk_idx, ts, value, event_id FROM events)"""
@@ -19,11 +20,24 @@ def _shape(events):
     return events.select(div(F.col("event_id"), 64).alias("stream_id"), (k + div(k, 29)).alias("chunk_idx"), "ts", "value", "event_id")
 
 
-def event_stream(spark, sf):
-    """The events file as a stream."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+_PARTS: dict[tuple[str, str], str] = {}
+
+
+def event_stream(spark, sf, files: int = 4):
+    """The events as a stream that comes in order of time, one file a trigger.
+
+    The table is one file, so it is first cut by event number, which follows time, into ``files`` files, which the session keeps.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    events = table(spark, sf, "events")
+    if key not in _PARTS:
+        path = scratch_path(spark, "event-files")
+        ends = F.percentile_approx("event_id", [i / files for i in range(1, files)])
+        cut = [float("-inf"), *events.agg(ends.alias("e")).first().e, float("inf")]
+        for low, high in zip(cut, cut[1:]):  # one after another: a file stream goes by the time of writing
+            events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
+        _PARTS[key] = path
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_PARTS[key])
 
 
 def _us(df, *cols):
@@ -61,6 +75,12 @@ def r01b(spark, sf):
     return R.number_chunks(ev, ["ts", "event_id"]).drop("ts")
 
 
+@query("r01_number_chunks_stream", """SELECT user_id AS stream_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS chunk_idx FROM events""")
+def r01n(spark, sf):
+    ev = event_stream(spark, sf).select(F.col("user_id").alias("stream_id"), "ts", "event_id")
+    return R.number_chunks_stream(ev, ["ts", "event_id"]).drop("ts")
+
+
 def _tumble_sql(width_us: int) -> str:
     return f"""SELECT user_id AS stream_id, epoch_us(ts) // {width_us} * {width_us} AS start, count(*) AS n, min(value) AS min, max(value) AS max, {r('sum(value)')} AS sum
 FROM events GROUP BY 1, 2"""
@@ -128,8 +148,7 @@ def r05(spark, sf):
 
 @query("r05_gap_detect_stream", f"{_R05_RUNS} SELECT stream_id, run_end FROM s JOIN g USING (stream_id)")
 def r05s(spark, sf):
-    out = drain(S.gap_detect_stream(_shape(event_stream(spark, sf))), "r05", timeouts=True)
-    return out.groupBy("stream_id").agg(F.max("run_end").alias("run_end"))
+    return S.run_ends(drain(S.filled_segments_stream(_shape(event_stream(spark, sf)), span=16), "r05", timeouts=True), span=16)
 
 
 _R06 = """WITH k AS (SELECT user_id AS stream_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
@@ -143,7 +162,7 @@ def r06(spark, sf):
 
 @query("r06_playback_start_stream", _R06)
 def r06s(spark, sf):
-    return _us(drain(S.playback_start_stream(_users(event_stream(spark, sf))), "r06"), "ready_ts", "start_ts")
+    return _us(drain(S.playback_start_stream(_users(event_stream(spark, sf))), "r06", timeouts=True), "ready_ts", "start_ts")
 
 
 _DELTA = "CASE WHEN event_type IN ('view', 'error') THEN -1 ELSE 1 END"
@@ -161,9 +180,9 @@ def r07(spark, sf):
 @query("r07_buffer_status_stream", f"""WITH k AS (SELECT user_id AS stream_id, sum({_DELTA})::BIGINT AS fill FROM events GROUP BY 1)
 SELECT stream_id, fill, {_STATUS} AS status, {r('fill / 15.0::DOUBLE * 100')} AS percent FROM k""")
 def r07s(spark, sf):
-    """One input file is one trigger, so each stream reports its final fill once."""
+    """Published by trigger, a version of the changed streams each; read as the table stands at the end."""
     ev = event_stream(spark, sf).select(F.col("user_id").alias("stream_id"), F.expr(_DELTA).alias("delta"))
-    return drain(S.buffer_status_stream(ev), "r07").withColumn("percent", rnd(F.col("percent")))
+    return published(S.buffer_status_stream(ev), ["stream_id"], "r07").current().withColumn("percent", rnd(F.col("percent")))
 
 
 @query("r08_bounded_history", """SELECT user_id AS stream_id, event_id AS chunk_idx, value FROM events
@@ -173,11 +192,11 @@ def r08(spark, sf):
     return R.bounded_history(ev, 30)
 
 
-@query("r08_bounded_history_stream", """WITH k AS (SELECT user_id AS stream_id, event_id AS i FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30)
-SELECT stream_id, count(*) AS kept, min(i) AS oldest, max(i) AS newest FROM k GROUP BY 1""")
+@query("r08_bounded_history_stream", """SELECT user_id AS stream_id, event_id AS chunk_idx, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30""")
 def r08s(spark, sf):
     ev = event_stream(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("chunk_idx"), "value")
-    return drain(S.bounded_history_stream(ev, "value", 30), "r08")
+    return S.kept_history(drain(S.bounded_history_stream(ev, "value", 30), "r08"))
 
 
 @query("r09_ttl_cache_keys", """WITH k AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
@@ -186,6 +205,17 @@ def r09(spark, sf):
     return R.ttl_cache_keys(table(spark, sf, "events"), "user_id", "ts", "event_id", 3600).select("user_id", "event_id", "valid")
 
 
+# Rows and expiries are final, and emitted, once the watermark has passed them.
+@query("r09_ttl_cache_keys_stream", """WITH lim AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600 * 1000000::BIGINT AS w FROM events),
+k AS (SELECT user_id, event_id, epoch_us(ts) AS "at", lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p,
+  lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
+SELECT user_id, event_id, "at", coalesce("at" - p <= 3600 * 1000000::BIGINT, false) AS valid FROM k, lim WHERE "at" < w
+UNION ALL SELECT user_id, NULL, "at" + 3600 * 1000000::BIGINT, false FROM k, lim WHERE "at" < w AND "at" + 3600 * 1000000::BIGINT < w
+  AND (nx IS NULL OR nx > "at" + 3600 * 1000000::BIGINT)""")
+def r09s(spark, sf):
+    return _us(drain(S.ttl_cache_keys_stream(event_stream(spark, sf), "user_id", "ts", "event_id", 3600, "1 hour"), "r09"), "at")
+
+
 @query("r10_content_dedup", "SELECT md5(text) AS content_md5, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def r10(spark, sf):
     return R.content_dedup(table(spark, sf, "documents"), "text", ["doc_id"])
@@ -237,5 +267,5 @@ _R13 = f"SELECT event_type, count(*) AS n, {r('sum(value)')} AS total, max(value
 
 @query("r13_periodic_stats_stream", _R13)
 def r13(spark, sf):
-    out = drain(R.periodic_stats(event_stream(spark, sf), ["event_type"]), "r13", "complete")
-    return _last(out).withColumn("total", rnd(F.col("total")))
+    """Published on a clock; read as the table stands at the end."""
+    return published(R.periodic_stats(event_stream(spark, sf), ["event_type"]), ["event_type"], "r13").current().withColumn("total", rnd(F.col("total")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.segments import OrderedParts, halo_segments
+from framewright.session import scratch_path
+from framewright.streaming.run import VersionedTable
 
 STREAM = "stream_id"
 CHUNK = "chunk_idx"
@@ -27,6 +29,29 @@ def number_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
         CHUNK, F.col("_rn") - 1).drop("_rn")
 
 
+def number_chunks_stream(chunks: DataFrame, order: list[str], tag: str = "numbers") -> DataFrame:
+    """Chunk numbers by arrival on a stream, from 0 per stream: triggers as they come, rows of a trigger by ``order``.
+
+    How many chunks of each stream have come is a versioned table.  A trigger numbers its own rows, over range parts, so a busy
+    stream is split, and adds the counts before it; both it and the new counts are written under the trigger's number, so a
+    trigger that runs again gives the same numbers.  Runs to the end of the input.
+    """
+    spark = chunks.sparkSession
+    base = scratch_path(spark, tag)
+    counts = VersionedTable(spark, f"{base}/counts", [STREAM], chunks.select(STREAM, F.lit(0).cast("long").alias("n")).schema)
+
+    def number(batch: DataFrame, at: int) -> None:
+        seen = counts.current(before=at).select(F.col(STREAM).alias("_s"), F.col("n").alias("_before"))
+        known = lambda rows: rows.join(seen, F.col(STREAM).eqNullSafe(F.col("_s")), "left").withColumn("_before", F.coalesce("_before", F.lit(0))).drop("_s")
+        rows = known(OrderedParts(batch, [STREAM], order).row_number("_rn"))
+        rows.withColumn(CHUNK, F.col("_rn") - 1 + F.col("_before")).drop("_rn", "_before").write.mode("overwrite").parquet(f"{base}/rows/_batch={at}")
+        more = known(batch.groupBy(STREAM).agg(F.count("*").alias("_n")))
+        counts.put(more.select(STREAM, (F.col("_n") + F.col("_before")).alias("n")), at)
+
+    chunks.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(number).start().awaitTermination()
+    return spark.read.schema(chunks.withColumn(CHUNK, F.lit(0).cast("long")).schema).parquet(f"{base}/rows").drop("_batch")
+
+
 def tumbling_stats(df: DataFrame, width: str = "40 milliseconds", ts: str = "ts", value: str = "value",
                    watermark: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Count, min, max and sum in fixed windows of any width."""
@@ -149,5 +174,5 @@ def generation_rate(batches: DataFrame, ts: str, unique: str, count: str) -> Dat
 
 
 def periodic_stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Running totals; on a stream use the ``complete`` or ``update`` mode with a timed trigger."""
+    """Running totals; a stream of them is published on a clock by ``run.publish``."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak"))

@@ -74,31 +74,58 @@ def lookahead_context_stream(chunks: DataFrame, value: str, before: int = 8, aft
                      "idx array<long>, vals array<double>, done array<long>", ttl_s)
 
 
-def gap_detect_stream(chunks: DataFrame, ttl_s: int = 3600) -> DataFrame:
-    """Emit how far the unbroken run from chunk 0 reaches, whenever it grows.
-
-    State: the next expected chunk and those waiting behind a gap.
+def _merge(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Sorted disjoint spans with [low, high] added; touching spans become one."""
+    out = []
+    for a, b in sorted([*spans, (low, high)]):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def filled_segments_stream(chunks: DataFrame, span: int = 64, ttl_s: int = 3600) -> DataFrame:
+    """Emit (stream, seg, high) whenever a segment of ``span`` chunks is filled further from its start, up to chunk ``high``.
+
+    Keyed by (stream, segment), so a busy stream spreads, and what waits behind a gap is never more than one segment: an endless
+    gap does not grow any state.  State: the disjoint spans inside the segment.
     """
+    seg = F.floor(F.col(CHUNK) / F.lit(span)).cast("long")
+
     def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        start, waiting = held.get if held.exists else (0, [])
-        waiting, at = set(waiting), start
+        low = key[1] * span
+        spans = list(zip(*held.get)) if held.exists else []
+        start = spans[0][1] if spans and spans[0][0] == low else low - 1
         for pdf in rows:
-            waiting.update(i for i in pdf[CHUNK].tolist() if i >= at)
-            while at in waiting:
-                waiting.discard(at)
-                at += 1
-        held.update((at, sorted(waiting)))
-        if at > start:
-            yield pd.DataFrame({STREAM: [key[0]], "run_end": [at - 1]})
+            for i in sorted(set(pdf[CHUNK].tolist())):
+                spans = _merge(spans, i, i)
+        held.update(([a for a, _ in spans], [b for _, b in spans]))
+        end = spans[0][1] if spans[0][0] == low else low - 1
+        if end > start:
+            yield pd.DataFrame({STREAM: [key[0]], "seg": [key[1]], "high": [end]})
+
+    return _stateful(chunks.where(F.col(CHUNK) >= 0).select(STREAM, CHUNK, seg.alias("seg")), [STREAM, "seg"], step,
+                     f"{STREAM} {_kind(chunks)}, seg long, high long", "lows array<long>, highs array<long>", ttl_s)
+
 
-    return _stateful(chunks.select(STREAM, CHUNK), [STREAM], step, f"{STREAM} {_kind(chunks)}, run_end long",
-                     "next long, waiting array<long>", ttl_s)
+def run_ends(filled: DataFrame, span: int = 64) -> DataFrame:
+    """How far the unbroken run from chunk 0 reaches, from the rows of :func:`filled_segments_stream` so far.
+
+    A run ends in the first segment that is not full or has no filled successor, which is an anti join.
+    """
+    segs = filled.groupBy(STREAM, "seg").agg(F.max("high").alias("high"))
+    follow = segs.select(STREAM, (F.col("seg") - 1).alias("seg"), F.lit(1).alias("_more"))
+    full = F.col("high") == (F.col("seg") + 1) * span - 1
+    ends = segs.join(follow, [STREAM, "seg"], "left").where(~full | F.col("_more").isNull())
+    first = ends.groupBy(STREAM).agg(F.min_by("high", "seg").alias("run_end"))
+    return first.join(segs.where("seg = 0").select(STREAM), STREAM, "left_semi")
 
 
-def playback_start_stream(chunks: DataFrame, fill: int = 20, delay_ms: int = 380) -> DataFrame:
+def playback_start_stream(chunks: DataFrame, fill: int = 20, delay_ms: int = 380, ttl_s: int = 3600) -> DataFrame:
     """Emit the playback time of a stream once ``fill`` chunks are buffered.
 
-    State: the ``fill`` earliest arrival times, emptied when playback has started.
+    State: the ``fill`` earliest arrival times, emptied when playback has started; a stream idle for ``ttl_s`` is forgotten.
     """
     def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         started, first = held.get if held.exists else (False, [])
@@ -114,33 +141,93 @@ def playback_start_stream(chunks: DataFrame, fill: int = 20, delay_ms: int = 380
         yield pd.DataFrame({STREAM: [key[0]], "ready_us": [seen[-1]]})
 
     src = chunks.select(STREAM, F.unix_micros("ts").alias("us"))
-    out = _stateful(src, [STREAM], step, f"{STREAM} {_kind(chunks)}, ready_us long", "started boolean, first array<long>")
+    out = _stateful(src, [STREAM], step, f"{STREAM} {_kind(chunks)}, ready_us long", "started boolean, first array<long>", ttl_s)
     return out.select(STREAM, F.timestamp_micros("ready_us").alias("ready_ts"),
                       F.timestamp_micros(F.col("ready_us") + delay_ms * 1000).alias("start_ts"))
 
 
 def buffer_status_stream(events: DataFrame, target: int = 15) -> DataFrame:
-    """Fill of each stream after every trigger, its status and percent of target."""
-    def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n = (held.get[0] if held.exists else 0) + sum(int(pdf["delta"].sum()) for pdf in rows)
-        held.update((n,))
-        yield pd.DataFrame({STREAM: [key[0]], "fill": [n]})
+    """Fill of each stream (produced minus consumed), its status and percent of target; for update mode.
 
-    out = _stateful(events.select(STREAM, "delta"), [STREAM], step, f"{STREAM} {_kind(events)}, fill long", "fill long")
-    return out.withColumns({"status": status_of(F.col("fill")), "percent": F.col("fill") / F.lit(target) * 100})
+    A plain aggregation, so a busy stream is summed before the shuffle; publish it with ``run.publish``.
+    """
+    fill = events.groupBy(STREAM).agg(F.sum("delta").cast("long").alias("fill"))
+    return fill.withColumns({"status": status_of(F.col("fill")), "percent": F.col("fill") / F.lit(target) * 100})
 
 
 def bounded_history_stream(chunks: DataFrame, value: str, n: int = 3000) -> DataFrame:
-    """Keep the latest n chunks per stream in state; emit what is held after each trigger."""
+    """The latest ``n`` chunks of each stream as changes: (stream, chunk, value, kept, version).
+
+    Each trigger names the rows that came in (``kept``) and those that fell out; of a chunk the highest version tells.  A chunk
+    below the window never enters; a repeated chunk replaces its value.  State: the ``n`` chunks and the stream's version.
+    """
     def step(key: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        have = dict(zip(*held.get)) if held.exists else {}
+        version, idx, vals = held.get if held.exists else (0, [], [])
+        before = dict(zip(idx, vals))
+        have = dict(before)
         for pdf in rows:
             have.update(zip(pdf[CHUNK].tolist(), pdf["value"].tolist()))
             if len(have) > n:
                 have = {i: have[i] for i in sorted(have)[-n:]}
-        held.update((list(have), list(have.values())))
-        yield pd.DataFrame({STREAM: [key[0]], "kept": [len(have)], "oldest": [min(have)], "newest": [max(have)]})
+        held.update((version + 1, list(have), list(have.values())))
+        came = [(i, v, True) for i, v in have.items() if i not in before or before[i] != v]
+        gone = [(i, v, False) for i, v in before.items() if i not in have]
+        out = pd.DataFrame(came + gone, columns=[CHUNK, "value", "kept"])
+        out.insert(0, STREAM, [key[0]] * len(out))
+        yield out.assign(version=version + 1)
 
     src = chunks.select(STREAM, CHUNK, F.col(value).cast("double").alias("value"))
-    return _stateful(src, [STREAM], step, f"{STREAM} {_kind(chunks)}, kept long, oldest long, newest long",
-                     "idx array<long>, vals array<double>")
+    return _stateful(src, [STREAM], step, f"{STREAM} {_kind(chunks)}, {CHUNK} long, value double, kept boolean, version long",
+                     "version long, idx array<long>, vals array<double>")
+
+
+def kept_history(changes: DataFrame) -> DataFrame:
+    """The rows that stand after the changes of :func:`bounded_history_stream`."""
+    last = F.max_by(F.struct("value", "kept"), "version").alias("l")
+    return changes.groupBy(STREAM, CHUNK).agg(last).where("l.kept").select(STREAM, CHUNK, "l.value")
+
+
+def ttl_cache_keys_stream(sets: DataFrame, key: str, ts: str, unique: str, ttl_s: int, watermark: str) -> DataFrame:
+    """Whether a key was still valid when it was set again, and when it expired, by event time: (key, unique, at, valid).
+
+    Rows wait in state until the watermark has passed them and are then taken in order of time, so rows may arrive in any
+    order within the watermark.  A key whose time runs out emits a row with a null ``unique`` and ``valid`` false, and leaves
+    the state.  State: the rows that wait, and the time of the last set.
+    """
+    kind, uid = _kind(sets, key), _kind(sets, unique)
+    ttl = ttl_s * 1_000_000
+
+    def step(k: Any, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, ids = held.get if held.exists else (None, [], [])
+        waiting = list(zip(at, ids))
+        if not held.hasTimedOut:
+            for pdf in rows:
+                waiting += zip(pdf["us"].tolist(), pdf[unique].tolist())
+        now = held.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        out = []
+        ripe = [w for w in waiting if w[0] < now]
+        for us, i in ripe:
+            if last is not None and us - last > ttl:
+                out.append((None, last + ttl, False))
+            out.append((i, us, last is not None and us - last <= ttl))
+            last = us
+        waiting = waiting[len(ripe):]
+        if last is not None and last + ttl < now and not (waiting and waiting[0][0] <= last + ttl):
+            out.append((None, last + ttl, False))
+            last = None
+        if waiting or last is not None:
+            held.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
+            due = min([w[0] for w in waiting] + ([last + ttl] if last is not None else []))
+            held.setTimeoutTimestamp(max(due // 1000, held.getCurrentWatermarkMs()) + 1)
+        elif held.exists:
+            held.remove()
+        if out:
+            pdf = pd.DataFrame(out, columns=[unique, "us", "valid"]).astype({unique: object})
+            pdf.insert(0, key, [k[0]] * len(out))
+            yield pdf
+
+    src = sets.withWatermark(ts, watermark).select(key, ts, F.col(unique), F.unix_micros(ts).alias("us"))
+    out = src.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {unique} {uid}, us long, valid boolean",
+                                                  "last long, at array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, unique, F.timestamp_micros("us").alias("at"), "valid")
