@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.segments import OrderedParts, salted_attach
@@ -114,20 +114,28 @@ def playback_lookup(events: DataFrame, frames: DataFrame, stream: str = "stream_
 
 
 def playback_latest(events: DataFrame, frames: DataFrame, stream: str, ts: str, event_id: str,
-                    frame_value: str) -> DataFrame:
-    """Events with the latest frame available at their time (as-of, ties see the frame).
+                    frame_value: str, bucket_s: int = 3600) -> DataFrame:
+    """Events with the latest frame available at their time (as-of, ties see the frame of highest value).
 
-    Both sides are merged in one ordered pass that splits hot streams.
+    Both sides meet by (stream, time bucket), so a busy stream spreads and nothing is ordered beyond a bucket.  A bucket also
+    gets one row with the last frame before it, found among the buckets' own last frames.  Events of a stream without a frame
+    so far have null; rows without a time see no frame and are none.
     """
-    both = (
-        events.select(stream, ts, F.lit(1).alias("_kind"), F.col(event_id).alias("_id"),
-                      F.lit(None).cast(frames.schema[frame_value].dataType).alias("_v"))
-        .unionByName(frames.select(stream, ts, F.lit(0).alias("_kind"), F.col(frame_value).cast("long").alias("_id"),
-                                   F.col(frame_value).alias("_v")))
-    )
-    parts = OrderedParts(both, [stream], [ts, "_kind", "_id"])
-    return parts.running("_v", "latest", "last").filter("_kind = 1").select(
-        stream, ts, F.col("_id").alias(event_id), F.col("latest").alias(frame_value))
+    slot = F.floor(F.unix_micros(ts) / F.lit(bucket_s * 1_000_000)).cast("long")
+    kind = frames.schema[frame_value].dataType
+    asked = events.select(stream, slot.alias("_slot"), ts, F.lit(2).alias("_kind"), F.col(event_id).alias("_id"), F.lit(None).cast(kind).alias("_v"))
+    shown = frames.where(F.col(ts).isNotNull()).select(stream, slot.alias("_slot"), ts, F.lit(1).alias("_kind"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"),
+                                                       F.col(frame_value).alias("_v"))
+    # The last frame of every bucket that has any row, and from these the last frame before each bucket.
+    ends = asked.select(stream, "_slot", ts, "_v").unionByName(shown.select(stream, "_slot", ts, "_v")).groupBy(stream, "_slot").agg(
+        F.max(F.when(F.col("_v").isNotNull(), F.struct(ts, "_v"))).alias("_end"))
+    carried = OrderedParts(ends, [stream], ["_slot"]).running("_end", "_before", "last", inclusive=False).where("_before is not null").select(
+        stream, "_slot", F.col(f"_before.{ts}").alias(ts), F.lit(0).alias("_kind"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"), F.col("_before._v").alias("_v"))
+    inside = Window.partitionBy(stream, "_slot").orderBy(F.col(ts).asc_nulls_first(), "_kind", F.col("_v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    both = asked.unionByName(shown).unionByName(carried)
+    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 2").select(
+        stream, ts, F.col("_id").alias(event_id), F.col("_v").alias(frame_value))
 
 
 def catalog_with_stats(catalog: DataFrame, stats: DataFrame, key: str = MODEL) -> DataFrame:

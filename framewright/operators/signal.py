@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import halo_segments, salted_attach, spread_join
+from framewright.operators.segments import OrderedParts, halo_segments, salted_attach, spread_join
 
 KEY = "clip_id"
 
@@ -146,6 +146,21 @@ def silence_gate(blocks: DataFrame, threshold: float = 0.001) -> DataFrame:
     return blocks.filter(F.exists("samples", lambda v: F.abs(v) > F.lit(threshold)))
 
 
+def silent_runs(blocks: DataFrame, threshold: float = 0.001) -> DataFrame:
+    """Runs of silent blocks: (clip, first block, last block, blocks).
+
+    A run starts where the block before is not silent and ends where the next is not, each an anti join on (clip, block).
+    An end meets its start as the last start before it, over range parts, so no clip is ordered in one task.
+    """
+    quiet = blocks.where(~F.exists("samples", lambda v: F.abs(v) > F.lit(threshold))).select(KEY, "block_idx").distinct()
+    beside = lambda step: quiet.join(quiet.select(KEY, (F.col("block_idx") + step).alias("block_idx")), [KEY, "block_idx"], "left_anti")
+    starts = beside(1).select(KEY, "block_idx", F.lit(0).alias("_kind"), F.col("block_idx").alias("_start"))
+    ends = beside(-1).select(KEY, "block_idx", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_start"))
+    paired = OrderedParts(starts.unionByName(ends), [KEY], ["block_idx", "_kind"]).running("_start", "first_block", "last")
+    return paired.where("_kind = 1").select(KEY, "first_block", F.col("block_idx").alias("last_block"),
+                                            (F.col("block_idx") - F.col("first_block") + 1).alias("blocks"))
+
+
 def fit_length(column: Column, n: int, zero: Column | None = None) -> Column:
     """Pad with zero or truncate an array to ``n`` items."""
     fill = F.lit(0.0).cast("float") if zero is None else zero

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.segments import OrderedParts, salted_attach
+from framewright.operators.segments import OrderedParts
 
 STAGES = ["audio_ms", "inference_ms", "composite_ms"]
 
@@ -23,32 +23,46 @@ def model_stats(log: DataFrame, by: str = "model_id") -> DataFrame:
     return out.withColumn("avg_ms", _ratio(F.col("total_ms"), F.col("requests")))
 
 
+_SKETCH, _MARGIN = 10_000, 0.001  # sketch: rank error below n/_SKETCH; brackets reach _MARGIN to each side
+
+
 def exact_quantiles(log: DataFrame, by: list[str], value: str, percents: list[float],
                     rule: str = "linear") -> DataFrame:
-    """Exact percentiles per group, one row per (group, percent).
+    """Exact percentiles per group of the values that are not null, one row per (group, percent).
 
-    ``rank`` takes the item at ``int((n-1)*p/100)``; ``linear`` interpolates.
-    Equal values are counted before the shuffle, and the ranks come from running
-    counts over range parts, so no group has to fit a task.
+    ``rank`` takes the item at ``int((n-1)*p/100)``; ``linear`` interpolates.  Two passes, for all percents at once.  A
+    mergeable sketch gives each percent a bracket that surely holds its ranks (in groups too small for the margin the bracket
+    is the whole group).  Then the values below each bracket are counted and only those inside, about 0.2 % of a group, are
+    counted by value and ordered, over range parts.  A null group is a group.
     """
-    counts = log.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    cum = OrderedParts(counts, by, [value]).running("_n", "_cum")
-    totals = log.groupBy(*by).agg(F.count("*").alias("_total"))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), ((F.col("_total") - 1) * F.lit(p / 100.0)).alias("pos"))
-                       for p in percents])
-    picks = totals.select(*by, F.explode(wanted).alias("w")).select(*by, "w.*")
+    rows = log.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    shares = [p / 100.0 for p in percents]
+    probes = [min(1.0, max(0.0, q + d)) for q in shares for d in (-_MARGIN, _MARGIN)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                   F.percentile_approx("_v", probes, _SKETCH).alias("_q"))
+    safe = F.col("_n") * (_MARGIN - 1.0 / _SKETCH) >= 2
+    brackets = sketch.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_n", F.array(*[F.struct(
+        F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(q)).alias("pos"),
+        F.when(safe, F.get("_q", 2 * i)).otherwise(F.col("_min")).alias("lo"),
+        F.when(safe, F.get("_q", 2 * i + 1)).otherwise(F.col("_max")).alias("hi")) for i, q in enumerate(shares)]).alias("_w"))
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        same = F.col(b).eqNullSafe(F.col(f"_b{i}"))
+        cond = cond & same
+    met = rows.join(brackets, cond)
+
+    # Values below a bracket are counted as one null, which comes first in the order of the values inside.
+    counts = met.select(*by, F.explode(F.transform(F.filter("_w", lambda w: F.col("_v") <= w["hi"]), lambda w: F.struct(
+        w["i"].alias("i"), w["pos"].alias("pos"), F.when(F.col("_v") >= w["lo"], F.col("_v")).alias("v")))).alias("w")).groupBy(
+        *by, F.col("w.i").alias("i"), F.col("w.v").alias("_v")).agg(F.count("*").alias("_c"), F.first("w.pos").alias("pos"))
+    ranked = OrderedParts(counts, [*by, "i"], ["_v"]).running("_c", "upto").withColumn("from", F.col("upto") - F.col("_c"))
     lo = F.floor(F.col("pos")).cast("long")
-    picks = picks.withColumn("rank", F.explode(F.array(lo, lo + 1) if rule == "linear" else F.array(lo)))
-    ladder = cum.select(*by, F.col(value).alias("_v"), (F.col("_cum") - F.col("_n")).alias("_from"), "_cum")
-    need = picks.groupBy(*by).agg(F.collect_list(F.struct("p", "pos", "rank")).alias("need"))
-    hits = (
-        salted_attach(ladder, need, by, ["_v"])
-        .withColumn("h", F.explode(F.filter("need", lambda t: (t["rank"] >= F.col("_from")) & (t["rank"] < F.col("_cum")))))
-        .select(*by, "h.*", "_v")
-    )
+    holds = lambda rank: (F.col("from") <= rank) & (rank < F.col("upto"))
     frac = F.max("pos") - F.floor(F.max("pos"))
-    low, high = F.min_by("_v", "rank"), F.max_by("_v", "rank")
-    return hits.groupBy(*by, "p").agg((low + (high - low) * frac if rule == "linear" else low).alias("value"))
+    low, high = F.max(F.when(holds(lo), F.col("_v"))), F.max(F.when(holds(lo + 1), F.col("_v")))
+    picked = ranked.where(holds(lo) | holds(lo + 1)).groupBy(*by, "i").agg(
+        (low + F.when(frac > 0, (high - low) * frac).otherwise(F.lit(0.0)) if rule == "linear" else low).alias("value"))
+    return picked.select(*by, F.get(F.array(*[F.lit(float(p)) for p in percents]), F.col("i")).alias("p"), "value")
 
 
 def latency_summary(log: DataFrame, by: list[str], value: str = "total_ms", rule: str = "linear") -> DataFrame:
@@ -56,12 +70,16 @@ def latency_summary(log: DataFrame, by: list[str], value: str = "total_ms", rule
     base = log.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
+    own = [F.col(b).alias(f"_o{i}") for i, b in enumerate(by)]
     middle = exact_quantiles(log, by, value, [50.0], "linear") if rule != "linear" else None
     tails = exact_quantiles(log, by, value, [50.0, 95.0, 99.0] if middle is None else [95.0, 99.0], rule)
     q = tails if middle is None else tails.unionByName(middle)
     at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    wide = q.groupBy(*by).agg(at(50.0).alias("median"), at(95.0).alias("p95"), at(99.0).alias("p99"))
-    return base.join(wide, by).withColumn("fps", F.lit(1000.0) / F.col("mean"))
+    wide = q.groupBy(*by).agg(at(50.0).alias("median"), at(95.0).alias("p95"), at(99.0).alias("p99")).select(*own, "median", "p95", "p99")
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_o{i}"))
+    return base.join(wide, same, "left").drop(*[f"_o{i}" for i in range(len(by))]).withColumn("fps", F.lit(1000.0) / F.col("mean"))
 
 
 def approx_latency(log: DataFrame, by: list[str], value: str = "total_ms", accuracy: int = 10000) -> DataFrame:
@@ -70,6 +88,20 @@ def approx_latency(log: DataFrame, by: list[str], value: str = "total_ms", accur
         *by, F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 
+def sketch_rank_errors(log: DataFrame, by: list[str], value: str = "total_ms", accuracy: int = 10000) -> DataFrame:
+    """Whether each percentile of :func:`approx_latency` has a rank within ``n/accuracy`` of its own, by counting."""
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = approx_latency(log, by, value, accuracy).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], *shares)
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    met = log.where(F.col(value).isNotNull()).join(found, cond)
+    n = F.count("*")
+    return met.groupBy(*by).agg(*[
+        ((F.count_if(F.col(value) < F.col(c)) <= F.lit(q) * n + n / accuracy) & (F.count_if(F.col(value) <= F.col(c)) >= F.lit(q) * n - n / accuracy)).alias(f"{c}_close")
+        for c, q in shares.items()])
+
+
 def warm_summary(log: DataFrame, by: str = "batch_size", order: tuple[str, ...] = ("ts", "request_id")) -> DataFrame:
     """Stage averages per batch size without its first (cold) request.
 

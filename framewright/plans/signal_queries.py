@@ -77,6 +77,13 @@ def a05(spark, sf):
     return kept.groupBy("clip_id").agg(F.count("*").alias("kept"), F.sum("block_idx").alias("idx_sum"))
 
 
+@query("a05_silent_runs", f"""WITH {SAMPLES_SQL}, b AS (SELECT clip_id, sample_idx // 20 AS i FROM samples GROUP BY ALL HAVING max(abs(value)) <= 0.79::FLOAT),
+g AS (SELECT clip_id, i, i - row_number() OVER (PARTITION BY clip_id ORDER BY i) AS run FROM b)
+SELECT clip_id, min(i) AS first_block, max(i) AS last_block, count(*) AS blocks FROM g GROUP BY clip_id, run""")
+def a05b(spark, sf):
+    return S.silent_runs(text_blocks(spark, sf, 20).where("n > 0"), 0.79)
+
+
 @query("a06_fit_length", f"""WITH {BL}
 SELECT clip_id, block_idx, len(x) <> 128 AS length_differed, {r(_wsum('x[1:128]'))} AS chk FROM blocks""")
 def a06(spark, sf):
