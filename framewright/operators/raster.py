@@ -1,8 +1,9 @@
 """Raster operators.
 
 Two layouts: *long* (frame_idx, y, x, b, g, r), one row per pixel, for relational
-work; *array*, one row per frame, for volume.  ``planes`` is CHW BGR in [0,1],
-``rgb`` is HWC bytes held as shorts.  A frame row is bounded by the picture size.
+work; *array*, one row per frame, for volume.  ``planes`` is CHW BGR in [0,1] as
+floats, ``rgb`` is HWC bytes as BINARY, which numpy reads in place.  A frame row is
+bounded by the picture size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +26,34 @@ def to_byte(v: Column) -> Column:
     return F.when(scaled < 0, F.lit(0)).when(scaled > 255, F.lit(255)).otherwise(scaled.cast("int")).cast("short")
 
 
+def _with_column(rows: pa.RecordBatch, drop: list[str], **new: pa.Array) -> pa.RecordBatch:
+    kept = [c for c in rows.schema.names if c not in drop and c not in new]
+    return pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *new.values()], names=[*kept, *new])
+
+
 def bgr_planes_to_pixels(frames: DataFrame, order: str = "bgr") -> DataFrame:
-    """``planes`` to ``rgb`` bytes, interleaved; ``order`` names the plane order."""
-    n = (F.col("h") * F.col("w")).cast("int")
+    """``planes`` to ``rgb`` bytes, interleaved; ``order`` names the plane order.
+
+    Values are times 255, clamped and truncated, NaN is 0.  Planes that are null or not of the frame's size give null.
+    """
     picks = [order.index(c) for c in "rgb"]
-    rgb = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(
-        *[to_byte(F.get("planes", n * p + i)) for p in picks])))
-    return frames.withColumn("rgb", rgb).drop("planes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            planes = rows.column("planes")
+            ends, flat, null = planes.offsets.to_numpy(), planes.values.to_numpy(zero_copy_only=False), planes.is_null().to_pylist()
+            out = []
+            for k, (h, w) in enumerate(zip(rows.column("h").to_pylist(), rows.column("w").to_pylist())):
+                p = flat[ends[k]:ends[k + 1]]
+                if null[k] or len(p) != 3 * h * w:
+                    out.append(None)
+                    continue
+                level = np.clip(np.nan_to_num(p.astype(np.float32) * np.float32(255), nan=0.0, posinf=255.0, neginf=0.0), 0, 255).astype(np.uint8)
+                out.append(level.reshape(3, h, w)[picks].transpose(1, 2, 0).tobytes())
+            yield _with_column(rows, ["planes"], rgb=pa.array(out, pa.binary()))
+
+    schema = T.StructType([*[f for f in frames.schema if f.name not in ("planes", "rgb")], T.StructField("rgb", T.BinaryType())])
+    return frames.mapInArrow(run, schema)
 
 
 def planes_to_long(frames: DataFrame) -> DataFrame:
@@ -47,8 +70,8 @@ def planes_to_long(frames: DataFrame) -> DataFrame:
 
 
 def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
-    """[h][w][c] bytes to another size: corner-aligned bilinear in float32, truncated."""
-    sh, sw = src.shape[:2]
+    """[..][h][w][c] bytes to another size: corner-aligned bilinear in float32, truncated."""
+    sh, sw = src.shape[-3:-1]
     fx = np.arange(w, dtype=np.float32) * np.float32(np.float32(sw) / np.float32(w))
     fy = np.arange(h, dtype=np.float32) * np.float32(np.float32(sh) / np.float32(h))
     x0, y0 = fx.astype(np.int64), fy.astype(np.int64)
@@ -56,22 +79,31 @@ def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
     x1, y1 = np.minimum(x0 + 1, sw - 1), np.minimum(y0 + 1, sh - 1)
     f = src.astype(np.float32)
     one = np.float32(1)
-    top = f[y0][:, x0] * (one - wx) + f[y0][:, x1] * wx
-    bottom = f[y1][:, x0] * (one - wx) + f[y1][:, x1] * wx
+    upper, lower = f.take(y0, -3), f.take(y1, -3)
+    top = upper.take(x0, -2) * (one - wx) + upper.take(x1, -2) * wx
+    bottom = lower.take(x0, -2) * (one - wx) + lower.take(x1, -2) * wx
     return (top * (one - wy) + bottom * wy).astype(np.int16)
 
 
 def resample_bilinear(frames: DataFrame, w: int, h: int) -> DataFrame:
-    """Resize ``rgb`` of every frame row; no shuffle."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["rgb"] = [resample_array(np.asarray(p).reshape(sh, sw, 3), w, h).reshape(-1)
-                          for p, sh, sw in zip(pdf["rgb"], pdf["h"], pdf["w"])]
-            pdf["h"], pdf["w"] = h, w
-            yield pdf
-
-    return frames.mapInPandas(run, frames.schema)
+    """Resize ``rgb`` of every frame row; no shuffle.  Pictures of one size are resized together; a null stays null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            rgb = rows.column("rgb")
+            shape = np.stack([rows.column("h").to_numpy(), rows.column("w").to_numpy()], axis=1)
+            null, out = np.array(rgb.is_null().to_pylist(), bool), np.full(rows.num_rows, None, object)
+            for sh, sw in np.unique(shape[~null], axis=0).tolist():
+                same = np.nonzero(~null & (shape == (sh, sw)).all(1))[0]
+                for at in np.array_split(same, max(1, len(same) * max(sh * sw, h * w) >> 20)):
+                    src = np.frombuffer(b"".join(rgb[i].as_buffer() for i in at.tolist()), np.uint8).reshape(len(at), sh, sw, 3)
+                    small = resample_array(src, w, h).astype(np.uint8)
+                    for i, picture in zip(at, small):
+                        out[i] = picture.tobytes()
+            size = lambda v, c: pa.array(np.full(rows.num_rows, v), rows.schema.field(c).type)
+            yield pa.RecordBatch.from_arrays([{"rgb": lambda: pa.array(out.tolist(), pa.binary()), "h": lambda: size(h, "h"), "w": lambda: size(w, "w")}.get(
+                c, lambda c=c: rows.column(c))() for c in rows.schema.names], names=rows.schema.names)
+
+    return frames.mapInArrow(run, frames.schema)
 
 
 def _target_grid(long: DataFrame, w: int, h: int) -> DataFrame:
@@ -179,39 +211,48 @@ def composite_frames(regions: DataFrame, rects: DataFrame, backgrounds: DataFram
     """Paste each region, resized to its rect, on its ring background.
 
     ``regions``: model_id, frame_idx, h, w, planes.  ``rects`` as in J2, and
-    ``backgrounds``: model_id, ring_idx, bg_h, bg_w, bg (rgb).  A frame without a
+    ``backgrounds``: model_id, ring_idx, bg_h, bg_w, bg (rgb bytes).  A frame without a
     rect keeps an error and no picture.  With ``border`` the region replaces the
     inside of the crop enlarged to ``w + 2*border`` first.
+
+    Rect and ring index are settled on (model, frame) first; regions become bytes before they move.
     """
-    looked = cyclic_join(strict_lookup(regions, rects), backgrounds)
+    plan = cyclic_join(strict_lookup(regions.select("model_id", "frame_idx").distinct(), rects), backgrounds.select("model_id", "ring_idx"))
+    looked = bgr_planes_to_pixels(regions).join(plan, ["model_id", "frame_idx"]).join(backgrounds, ["model_id", "ring_idx"])
     schema = T.StructType([looked.schema["model_id"], looked.schema["frame_idx"],
                            T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()),
-                           T.StructField("rgb", T.ArrayType(T.ShortType())), T.StructField("error", T.StringType())])
+                           T.StructField("rgb", T.BinaryType()), T.StructField("error", T.StringType())])
 
-    def paste(row) -> np.ndarray:
-        out = np.array(row.bg, dtype=np.int16).reshape(row.bg_h, row.bg_w, 3)
-        x1, y1, x2, y2 = int(row.x1), int(row.y1), int(row.x2), int(row.y2)
-        planes = np.asarray(row.planes, dtype=np.float32).reshape(3, row.h, row.w)[::-1]
-        patch = np.clip(planes * np.float32(255), 0, 255).astype(np.int16).transpose(1, 2, 0)
+    def paste(out: np.ndarray, patch: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> bytes:
         left, top = max(x1, 0), max(y1, 0)
-        right, bottom = min(x2, row.bg_w), min(y2, row.bg_h)
-        if right <= left or bottom <= top:
-            return out.reshape(-1)
-        if border:
-            box = resample_array(out[top:bottom, left:right], row.w + 2 * border, row.h + 2 * border)
-            box[border:border + row.h, border:border + row.w] = patch
-            patch = box
-        patch = resample_array(patch, x2 - x1, y2 - y1)
-        out[top:bottom, left:right] = patch[top - y1:bottom - y1, left - x1:right - x1]
-        return out.reshape(-1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pics = [None if row.error is not None else paste(row) for row in pdf.itertuples(index=False)]
-            yield pd.DataFrame({"model_id": pdf["model_id"], "frame_idx": pdf["frame_idx"], "h": pdf["bg_h"],
-                                "w": pdf["bg_w"], "rgb": pd.Series(pics, index=pdf.index, dtype=object), "error": pdf["error"]})
-
-    return looked.mapInPandas(run, schema)
+        right, bottom = min(x2, out.shape[1]), min(y2, out.shape[0])
+        if right > left and bottom > top:
+            if border:
+                h, w = patch.shape[:2]
+                box = resample_array(out[top:bottom, left:right], w + 2 * border, h + 2 * border)
+                box[border:border + h, border:border + w] = patch
+                patch = box
+            out[top:bottom, left:right] = resample_array(patch, x2 - x1, y2 - y1)[top - y1:bottom - y1, left - x1:right - x1]
+        return out.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ints = {c: rows.column(c).to_pylist() for c in ("h", "w", "bg_h", "bg_w", "x1", "y1", "x2", "y2")}
+            bg, rgb, failed = rows.column("bg"), rows.column("rgb"), rows.column("error").is_valid().to_pylist()
+            out = []
+            for k in range(rows.num_rows):
+                if failed[k] or not rgb[k].is_valid or not bg[k].is_valid:
+                    out.append(None)
+                    continue
+                at = {c: v[k] for c, v in ints.items()}
+                base = np.frombuffer(bg[k].as_buffer(), np.uint8).reshape(at["bg_h"], at["bg_w"], 3).copy()
+                patch = np.frombuffer(rgb[k].as_buffer(), np.uint8).reshape(at["h"], at["w"], 3)
+                out.append(paste(base, patch, *[at[c] for c in ("x1", "y1", "x2", "y2")]))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("model_id"), rows.column("frame_idx"), rows.column("bg_h").cast(pa.int32()), rows.column("bg_w").cast(pa.int32()),
+                 pa.array(out, pa.binary()), rows.column("error")], names=["model_id", "frame_idx", "h", "w", "rgb", "error"])
+
+    return looked.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- picture quality
@@ -242,15 +283,21 @@ def noise_of(g: np.ndarray) -> float:
     return float(np.abs(g - blur).mean())
 
 
+def gray_array(rgb: np.ndarray) -> np.ndarray:
+    """:func:`gray` of [h][w][3] bytes."""
+    return (rgb.astype(np.int32) @ np.array([4899, 9617, 1868], np.int32) + 8192) >> 14  # Fixed values, as in gray.
+
+
 def noise_level(frames: DataFrame) -> DataFrame:
-    """Noise of each frame row (frame_idx, h, w, gray array) with its band."""
+    """Noise of each frame row (frame_idx, h, w, rgb bytes) with its band; null without a picture."""
     @F.pandas_udf("double")
-    def noise(g: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([noise_of(np.asarray(v).reshape(a, b)) for v, a, b in zip(g, h, w)], dtype="float64")
+    def noise(rgb: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else noise_of(gray_array(np.frombuffer(v, np.uint8).reshape(a, b, 3)))
+                          for v, a, b in zip(rgb, h, w)], dtype="float64")
 
     n = F.col("noise")
-    return frames.select("frame_idx", noise("gray", "h", "w").alias("noise")).withColumn(
-        "band", F.when(n > 10, "high").when(n > 5, "moderate").otherwise("low"))
+    return frames.select("frame_idx", noise("rgb", "h", "w").alias("noise")).withColumn(
+        "band", F.when(n > 10, "high").when(n > 5, "moderate").when(n.isNotNull(), "low"))
 
 
 def contrast_and_concentration(long: DataFrame) -> DataFrame:

@@ -147,6 +147,12 @@ def weigh_flat(col: pd.Series) -> pd.Series:
         np.asarray(v, dtype=np.float64), np.arange(1, len(v) + 1))))
 
 
+@F.pandas_udf(T.LongType())
+def weigh_bytes(col: pd.Series) -> pd.Series:
+    """``sum (i+1)*byte[i]`` of each binary value, read in place."""
+    return pd.Series([None if v is None else int(np.frombuffer(v, np.uint8).astype(np.int64) @ np.arange(1, len(v) + 1)) for v in col], dtype="Int64")
+
+
 FEATURE_SPAN = 50
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.operators import raster as R
-from framewright.plans.adapters import div, r, rnd, spread, table, weigh_flat
+from framewright.plans.adapters import div, r, rnd, spread, table, weigh_bytes, weigh_flat
 from framewright.plans.registry import query
 
 S = 16
@@ -51,7 +51,7 @@ def _chk_sql(src: str, w: str) -> str:
 FROM pix GROUP BY 1""")
 def g11(spark, sf):
     out = R.bgr_planes_to_pixels(planes(spark, sf))
-    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh_flat("rgb").cast("long").alias("chk"))
+    return out.select("frame_idx", F.octet_length("rgb").cast("long").alias("n"), weigh_bytes("rgb").alias("chk"))
 
 
 def _bilinear_sql(w: int, h: int) -> str:
@@ -74,7 +74,7 @@ res AS (SELECT g2.frame_idx, ty AS y, tx AS x, {mix('b')}, {mix('g')}, {mix('r')
 FROM res GROUP BY 1""")
 def g12(spark, sf):
     out = R.resample_bilinear(R.bgr_planes_to_pixels(planes(spark, sf)).drop("p_size"), 11, 23)
-    return out.select("frame_idx", F.size("rgb").cast("long").alias("n"), weigh_flat("rgb").cast("long").alias("chk"))
+    return out.select("frame_idx", F.octet_length("rgb").cast("long").alias("n"), weigh_bytes("rgb").alias("chk"))
 
 
 @query("g12_resample_bilinear_long", f"WITH {PIX_SQL}, {_bilinear_sql(11, 23)} {_chk_sql('res', '11')}")
@@ -104,7 +104,9 @@ def _rects(spark, sf):
 
 def _backgrounds(spark, sf):
     k = F.col("s_suppkey")
-    bg = F.transform(F.sequence(F.lit(0), F.lit(B * B * 3 - 1)), lambda i: ((k * 11 + i) % 256).cast("short"))
+    # 256 bytes from 0 to 255 again and again, taken from the row's own start.
+    ring = F.lit(bytes(i % 256 for i in range(B * B * 3 + 256)))
+    bg = F.substring(ring, (k * 11 % 256 + 1).cast("int"), F.lit(B * B * 3))
     return table(spark, sf, "supplier").select(
         (k % 4).cast("string").alias("model_id"), div(k, 4).alias("ring_idx"), F.lit(B).alias("bg_h"), F.lit(B).alias("bg_w"), bg.alias("bg"))
 
@@ -137,8 +139,8 @@ def g14(spark, sf):
     regions = planes(spark, sf).drop("p_size").withColumn("model_id", (F.col("frame_idx") % 4).cast("string")) \
         .withColumn("frame_idx", div(F.col("frame_idx"), 4))
     out = R.composite_frames(regions, _rects(spark, sf), _backgrounds(spark, sf))
-    return out.select("model_id", "frame_idx", F.coalesce(F.size("rgb"), F.lit(0)).cast("long").alias("n"),
-                      F.coalesce(weigh_flat("rgb").cast("long"), F.lit(0).cast("long")).alias("chk"), "error")
+    return out.select("model_id", "frame_idx", F.coalesce(F.octet_length("rgb"), F.lit(0)).cast("long").alias("n"),
+                      F.coalesce(weigh_bytes("rgb"), F.lit(0).cast("long")).alias("chk"), "error")
 
 
 _LAB = "CASE WHEN (frame_idx + y * x) % 5 = 0 THEN 1 WHEN (frame_idx + y) % 7 = 0 THEN 2 ELSE 0 END"
@@ -212,11 +214,7 @@ bl AS (SELECT a.frame_idx, a.y, a.x, any_value(a.v) AS v, sum(ty.t * tx.t * b.v)
 n AS (SELECT frame_idx, avg(abs(v - blur)) AS noise FROM bl GROUP BY 1)
 SELECT frame_idx, {r('noise')} AS noise, CASE WHEN noise > 10 THEN 'high' WHEN noise > 5 THEN 'moderate' ELSE 'low' END AS band FROM n""")
 def q13(spark, sf):
-    n = S * S
-    pics = planes(spark, sf).select("frame_idx", "h", "w", F.transform("planes", R.to_byte).alias("p"))
-    level = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: R.gray(
-        F.get("p", i), F.get("p", i + n), F.get("p", i + 2 * n)))
-    return R.noise_level(pics.select("frame_idx", "h", "w", level.alias("gray"))).withColumn("noise", rnd(F.col("noise")))
+    return R.noise_level(R.bgr_planes_to_pixels(planes(spark, sf))).withColumn("noise", rnd(F.col("noise")))
 
 
 @query("q14_contrast_and_concentration", f"""WITH {PIX_SQL}, u AS (SELECT frame_idx, b AS v FROM pix UNION ALL SELECT frame_idx, g FROM pix UNION ALL SELECT frame_idx, r FROM pix),

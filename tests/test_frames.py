@@ -85,12 +85,26 @@ def test_composite_clips_at_the_border(spark):
     region = spark.createDataFrame([("m", 0, 1, 1, [0.0, 0.5, 1.0]), ("m", 1, 1, 1, [0.0, 0.0, 0.0])],
                                    "model_id string, frame_idx long, h int, w int, planes array<float>")
     rect = spark.createDataFrame([("m", 0, -1, -1, 1, 1)], "model_id string, frame_idx long, x1 int, y1 int, x2 int, y2 int")
-    bg = spark.createDataFrame([("m", 0, 2, 2, [7] * 12)], "model_id string, ring_idx long, bg_h int, bg_w int, bg array<smallint>")
+    bg = spark.createDataFrame([("m", 0, 2, 2, bytes([7] * 12))], "model_id string, ring_idx long, bg_h int, bg_w int, bg binary")
     out = {r.frame_idx: r for r in R.composite_frames(region, rect, bg).collect()}
-    assert out[0].rgb == [255, 127, 0] + [7] * 9 and out[0].error is None
+    assert list(out[0].rgb) == [255, 127, 0] + [7] * 9 and out[0].error is None
     assert out[1].rgb is None and out[1].error == "no crop rect for frame 1"
 
 
+def test_pictures_as_bytes(spark):
+    """Sizes that differ in one batch, planes of a wrong length, nulls and values out of range."""
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 1, 2, [0.0, 1.0, 0.5, 2.0, -1.0, 0.25]), (2, 1, 1, [nan, inf, -inf]), (3, 2, 2, [0.5]), (4, 1, 1, None)],
+                               "frame_idx long, h int, w int, planes array<float>").coalesce(1)
+    pics = R.bgr_planes_to_pixels(df)
+    got = {r.frame_idx: None if r.rgb is None else list(r.rgb) for r in pics.collect()}
+    assert got == {1: [0, 127, 0, 63, 255, 255], 2: [0, 255, 0], 3: None, 4: None}
+    small = {r.frame_idx: (r.h, r.w, None if r.rgb is None else list(r.rgb)) for r in R.resample_bilinear(pics, 1, 1).collect()}
+    assert small == {1: (1, 1, [0, 127, 0]), 2: (1, 1, [0, 255, 0]), 3: (1, 1, None), 4: (1, 1, None)}
+    noise = {r.frame_idx: r.band for r in R.noise_level(pics.where("frame_idx > 2")).collect()}
+    assert noise == {3: None, 4: None}
+
+
 def test_clamp_infinities(spark):
     df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (-0.0,), (300.0,), (12.5,)], "v double")
     assert [r[0] for r in df.select(C.clamp(F.col("v"), 0.0, 255.0)).collect()] == [255.0, 0.0, 0.0, 255.0, 12.5]
