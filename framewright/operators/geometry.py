@@ -76,9 +76,9 @@ def eye_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def denormalize_landmarks(points: DataFrame, mean: DataFrame, boxes: DataFrame) -> DataFrame:
     """Relative offsets plus the mean face, scaled by the box, truncated, moved to its origin.
 
-    ``mean`` has one row per landmark point (a fixed-size dimension).
+    ``mean`` has one row per landmark point; Spark broadcasts it if it is small.
     """
-    rel = points.join(F.broadcast(mean), "point_idx").join(boxes, FRAME)
+    rel = points.join(mean, "point_idx").join(boxes, FRAME)
     return rel.select(
         *FRAME, "point_idx",
         (((F.col("dx") + F.col("mx")) * F.col("w")).cast("int") + F.col("ox")).alias("x"),

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.segments import OrderedParts, halo_segments, salted_attach, spread_join
@@ -40,16 +40,23 @@ def to_samples(blocks: DataFrame, hop: int = 200) -> DataFrame:
 
 # ---------------------------------------------------------------- time domain
 
-def pre_emphasis(blocks: DataFrame, k: float = 0.97) -> DataFrame:
-    """``y[0]=x[0]``, ``y[i]=x[i]-k*x[i-1]`` across block edges."""
-    tails = blocks.select(KEY, (F.col("block_idx") + 1).alias("block_idx"),
-                          F.element_at("samples", -1).cast("double").alias("_prev"))
-    x = F.transform("samples", lambda v: v.cast("double"))
-    shifted = F.concat(F.array(F.coalesce("_prev", F.lit(0.0))),
-                       F.slice(x, 1, F.greatest(F.size("samples") - 1, F.lit(0))))
-    y = F.zip_with(x, shifted, lambda a, b: a - F.lit(k) * b)
-    return blocks.join(tails, [KEY, "block_idx"], "left").select(
-        KEY, "block_idx", "n", y.alias("samples"))
+def pre_emphasis(blocks: DataFrame, k: float = 0.97, span: int = 256) -> DataFrame:
+    """``y[0]=x[0]``, ``y[i]=x[i]-k*x[i-1]`` across block edges; after a missing block the signal starts anew.
+
+    Blocks meet their predecessor inside stretches of ``span`` blocks; only the last sample of a stretch is copied to the next.
+    """
+    last = F.struct("block_idx", F.try_element_at("samples", F.lit(-1)).alias("v"))
+    at = F.floor(F.col("block_idx") / F.lit(span)).cast("long")
+    rows = blocks.select(KEY, "block_idx", "n", "samples", at.alias("_at"), last.alias("_last"))
+    edges = rows.where((F.col("block_idx") + 1) % span == 0).select(
+        KEY, "block_idx", F.lit(None).cast("int").alias("n"), F.lit(None).cast(blocks.schema["samples"].dataType).alias("samples"), (F.col("_at") + 1).alias("_at"), "_last")
+    prev = F.lag("_last").over(Window.partitionBy(KEY, "_at").orderBy("block_idx"))
+    met = rows.unionByName(edges).withColumn("_prev", prev).where(F.col("samples").isNotNull())
+    before = F.when(F.col("_prev.block_idx") == F.col("block_idx") - 1, F.col("_prev.v"))
+    kind = blocks.schema["samples"].dataType.elementType
+    shifted = F.concat(F.array(F.coalesce(before, F.lit(0).cast(kind))), F.slice("samples", 1, F.greatest(F.size("samples") - 1, F.lit(0))))
+    y = F.zip_with("samples", F.slice(shifted, 1, F.size("samples")), lambda a, b: a.cast("double") - F.lit(k) * b.cast("double"))
+    return met.select(KEY, "block_idx", "n", y.alias("samples"))
 
 
 def _segment_rows(blocks: DataFrame, span: int, before: int, after: int) -> DataFrame:
@@ -324,11 +331,10 @@ def mel_project(spec: DataFrame, bank: np.ndarray) -> DataFrame:
 def mel_project_long(spec: DataFrame, filters: DataFrame) -> DataFrame:
     """The same in long form: (clip_id, frame_idx, bin, mag) to (.., mel, value).
 
-    The filters are a fixed-size dimension, hence the broadcast; bins of a frame
-    combine before the shuffle.
+    Bins of a frame combine before the shuffle; Spark broadcasts the filters if they are small.
     """
     return (
-        spec.join(F.broadcast(filters), "bin")
+        spec.join(filters, "bin")
         .groupBy(KEY, "frame_idx", "mel").agg(F.sum(F.col("mag") * F.col("w")).alias("value"))
     )
 
@@ -427,17 +433,25 @@ def validate_length(blocks: DataFrame, batch: int, win: int = 800, hop: int = 20
 
 
 def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
-                    hop: int = 200) -> DataFrame:
+                    hop: int = 200, span: int = 64) -> DataFrame:
     """Samples for ``batch + 15`` video frames, starting 8 frames early.
 
     ``requests`` is (request_id, clip_id, start_frame, batch).  A start past the
     end wraps modulo the clip length; the end is cut at the clip's end.  A request
     for an unknown or empty clip is one row with an error and no samples.
+
+    Blocks are gathered into stripes of ``span`` blocks once; they give the clip lengths, and a request meets the two or
+    three stripes it touches rather than each block.
     """
-    spf = sr * 40 // 1000
+    spf, width = sr * 40 // 1000, span * hop
+    stripe = F.floor(F.col("block_idx") / F.lit(span)).cast("long")
+    stripes = blocks.select(KEY, stripe.alias("_at"), "block_idx", "samples").repartition(KEY, "_at").groupBy(KEY, "_at").agg(
+        F.sort_array(F.collect_list(F.struct("block_idx", "samples"))).alias("b")).select(
+        KEY, "_at", F.flatten(F.transform("b", lambda b: b["samples"])).alias("samples"))
+    lengths = stripes.select(KEY, F.size("samples").cast("long").alias("n")).groupBy(KEY).agg(F.sum("n").alias("n_samples"))
     raw = F.greatest(F.col("start_frame") - 8, F.lit(0)).cast("long") * spf
     req = (
-        salted_attach(requests, clip_lengths(blocks), [KEY], ["request_id"], how="left")
+        salted_attach(requests, lengths, [KEY], ["request_id"], how="left")
         .withColumn("error", F.when(F.col("n_samples").isNull(), "no such clip").when(F.col("n_samples") == 0, "empty clip"))
         .withColumn("start", F.when(raw >= F.col("n_samples"), F.try_mod(raw, F.col("n_samples"))).otherwise(raw))
         .withColumn("stop", F.least(F.col("start") + (F.col("batch") + 15).cast("long") * spf,
@@ -445,19 +459,15 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
     )
     refused = req.filter("error is not null").select("request_id", KEY, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"),
                                                      F.lit(None).cast("array<float>").alias("samples"), "error")
-    wanted = req.filter("error is null").withColumn("block_idx", F.explode(F.sequence(
-        F.floor(F.col("start") / F.lit(hop)).cast("long"),
-        F.floor((F.col("stop") - 1) / F.lit(hop)).cast("long"))))
-    base = F.col("block_idx") * hop
-    a = F.greatest(F.col("start") - base, F.lit(0)).cast("int")
-    b = F.least(F.col("stop") - base, F.lit(hop)).cast("int")
+    wanted = req.filter("error is null").select("request_id", KEY, "start", "stop", F.explode(F.sequence(
+        F.floor(F.col("start") / F.lit(width)).cast("long"), F.floor((F.col("stop") - 1) / F.lit(width)).cast("long"))).alias("_at"))
+    a = F.greatest(F.col("start") - F.col("_at") * width, F.lit(0)).cast("int")
+    b = F.least(F.col("stop") - F.col("_at") * width, F.lit(width)).cast("int")
+    parts = wanted.join(stripes, [KEY, "_at"]).select("request_id", KEY, "start", "stop", "_at", F.slice("samples", a + 1, b - a).alias("part"))
     return (
-        wanted.join(blocks.select(KEY, "block_idx", "samples"), [KEY, "block_idx"])
-        .select("request_id", KEY, "start", "stop", "block_idx",
-                F.slice("samples", a + 1, b - a).alias("part"))
-        .repartition("request_id")
+        parts.repartition("request_id")
         .groupBy("request_id", KEY, "start", "stop")
-        .agg(F.sort_array(F.collect_list(F.struct("block_idx", "part"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "part"))).alias("parts"))
         .select("request_id", KEY, "start", "stop",
                 F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"), F.lit(None).cast("string").alias("error"))
         .unionByName(refused)

@@ -83,7 +83,7 @@ def batch_windows(df: DataFrame, vec: str, batch: int, start: int, size: int = 1
         F.array(*[F.get("rows", F.least(w + o, top))[vec] for o in range(size)]).alias("window")))
     return (
         per_clip.withColumn("error", F.when(~ok, F.concat(
-            F.lit(f"invalid start frame: {start} (total frames: "), F.col("n").cast("string"), F.lit(")"))))
+            F.lit(f"a start at {start} does not lie in a clip of "), F.col("n").cast("string"))))
         .withColumn("w", F.explode_outer(F.when(ok, windows)))
         .select(KEY, F.col("w.idx").alias("window_idx"), F.col("w.window").alias("window"), "error")
     )

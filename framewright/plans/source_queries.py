@@ -78,6 +78,15 @@ def s03(spark, sf):
     return S.read_crop_rects(spark, path, r"model=([^/]+)/")
 
 
+@query("s03_rejected_rects", """SELECT s_suppkey AS file, CASE s_suppkey % 6 WHEN 1 THEN 'empty' WHEN 2 THEN 'not readable' WHEN 3 THEN 'no rects' WHEN 4 THEN 'no rects' END AS reason
+FROM supplier WHERE s_suppkey % 6 BETWEEN 1 AND 4""")
+def s03b(spark, sf):
+    """Of six kinds of files two hold rects; the others are listed with the reason."""
+    kinds = F.array(*[F.lit(v) for v in ("[[1,2,3,4]]", "  ", "[[1,2", "[]", "{}", '{"0":{"rect":[1,2,3,4]}}')])
+    docs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), F.get(kinds, (F.col("s_suppkey") % 6).cast("int")).alias("value"))
+    return S.rejected_rects(docs).select("file", "reason")
+
+
 @query("s04_read_manifests", """SELECT s_name AS dataset_name, CASE s_suppkey % 3 WHEN 0 THEN '2.0' WHEN 1 THEN '1.0' ELSE 'unknown' END AS version,
   (CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 100 WHEN s_suppkey % 4 = 1 THEN s_nationkey + 200 WHEN s_suppkey % 4 = 2 THEN s_nationkey + 300 ELSE -1 END)::BIGINT AS frame_count FROM supplier""")
 def s04(spark, sf):
@@ -146,6 +155,13 @@ def s08(spark, sf):
     return back.withColumn("total_ms", rnd(F.col("total_ms")))
 
 
+@query("s09_parse_chunk_messages", _R01)
+def s09b(spark, sf):
+    """The messages as the value column of a message bus."""
+    raw = _messages(table(spark, sf, "events")).select(F.to_json(F.struct("*")).cast("binary").alias("value"))
+    return _r01_out(chunk_stream(S.parse_chunk_messages(raw)))
+
+
 @query("s09_read_chunk_stream", _R01)
 def s09(spark, sf):
     path = scratch_path(spark, "messages")

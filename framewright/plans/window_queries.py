@@ -52,7 +52,7 @@ want AS (SELECT clip_id, n, w, o FROM lens, range(8) a(w), range(16) b(o) WHERE
 got AS (SELECT want.clip_id, 5 + w AS window_idx, sum((o + 1) * v) AS chk FROM want JOIN steps
   ON steps.clip_id = want.clip_id AND frame_idx = least(5 + w + o, n - 1) GROUP BY 1, 2)
 SELECT clip_id, window_idx, {r('chk')} AS chk, NULL AS error FROM got
-UNION ALL SELECT clip_id, -1, NULL, 'invalid start frame: 5 (total frames: ' || n || ')' FROM lens WHERE n <= 5""")
+UNION ALL SELECT clip_id, -1, NULL, 'a start at 5 does not lie in a clip of ' || n FROM lens WHERE n <= 5""")
 def w02(spark, sf):
     out = W.batch_windows(step_series(spark, sf), "vec", batch=8, start=5)
     return out.select("clip_id", F.coalesce("window_idx", F.lit(-1)).alias("window_idx"),

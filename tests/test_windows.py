@@ -72,7 +72,7 @@ def test_center_pad_and_edge_pad(spark):
 def test_batch_windows_errors_and_tail(spark):
     out = W.batch_windows(ramp(spark, {1: 4, 2: 10}), "vec", batch=3, start=8, size=4).collect()
     bad = [r for r in out if r.error]
-    assert [(r.clip_id, r.error) for r in bad] == [(1, "invalid start frame: 8 (total frames: 4)")]
+    assert [(r.clip_id, r.error) for r in bad] == [(1, "a start at 8 does not lie in a clip of 4")]
     rest = {r.window_idx: [v[0] for v in r.window] for r in out if not r.error}
     assert rest == {8: [8.0, 9.0, 9.0, 9.0], 9: [9.0] * 4, 10: [9.0] * 4}
 
