@@ -57,7 +57,7 @@ def bgr_planes_to_pixels(frames: DataFrame, order: str = "bgr") -> DataFrame:
 
 
 def planes_to_long(frames: DataFrame) -> DataFrame:
-    """Array planes to one row per pixel, bytes per channel.
+    """Array planes to one row per pixel, bytes per channel; other columns stay.
 
     The pixel structs are built inside the frame row, so exploding them does not
     copy the planes once per pixel.
@@ -66,7 +66,8 @@ def planes_to_long(frames: DataFrame) -> DataFrame:
     pixels = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         F.floor(i / F.col("w")).cast("int").alias("y"), (i % F.col("w")).alias("x"),
         *[to_byte(F.get("planes", n * p + i)).alias(c) for p, c in enumerate("bgr")]))
-    return frames.select("frame_idx", "h", "w", F.explode(pixels).alias("p")).select("frame_idx", "h", "w", "p.*")
+    rest = [c for c in frames.columns if c != "planes"]
+    return frames.select(*rest, F.explode(pixels).alias("p")).select(*rest, "p.*")
 
 
 def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -302,10 +303,16 @@ def noise_level(frames: DataFrame) -> DataFrame:
 
 def contrast_and_concentration(long: DataFrame) -> DataFrame:
     """Standard deviation over channels, and the largest share of one grey level."""
-    std = pixel_stats(long).select("frame_idx", "std")
-    levels = long.groupBy("frame_idx", gray(F.col("b"), F.col("g"), F.col("r")).alias("level")).agg(F.count("*").alias("n"))
-    top = levels.groupBy("frame_idx").agg((F.max("n") * 100.0 / F.sum("n")).alias("top_percent"))
+    # Sums by grey level first, then by frame: one pass over the pixels.
+    total = (F.col("b") + F.col("g") + F.col("r")).cast("long")
+    squares = sum((F.col(c).cast("long") * F.col(c) for c in "bgr"), F.lit(0).cast("long"))
+    levels = long.groupBy("frame_idx", gray(F.col("b"), F.col("g"), F.col("r")).alias("level")).agg(
+        F.count("*").alias("n"), F.sum(total).alias("t"), F.sum(squares).alias("q"))
+    n = F.sum("n") * 3
+    mean = F.sum("t") / n
+    out = levels.groupBy("frame_idx").agg(F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))).alias("std"),
+                                          (F.max("n") * 100.0 / F.sum("n")).alias("top_percent"))
     s, p = F.col("std"), F.col("top_percent")
-    return std.join(top, "frame_idx").withColumns({
+    return out.withColumns({
         "contrast": F.when(s < 10, "very low").when(s < 30, "low").otherwise("good"),
         "concentration": F.when(p > 50, "very concentrated").when(p > 20, "concentrated").otherwise("good")})

@@ -60,6 +60,21 @@ def sliding_windows(df: DataFrame, vec: str, size: int = 16, strict: bool = Fals
     return gather_windows(df, vec, 0, size, "drop" if strict else "edge")
 
 
+def complete_windows(df: DataFrame, vec: str, size: int = 5, span: int = 256) -> DataFrame:
+    """For each row the ``size`` rows from its index on, null where one of them is missing.
+
+    The index may have gaps; it is unique in a clip.  Of a sorted segment the row ``size - 1`` places on tells whether the
+    window is complete.
+    """
+    span = max(span, size)
+    segs = halo_segments(df, F.col(vec), span, 0, size - 1, KEY, IDX)
+    rows = segs.select("*", F.explode(F.sequence(F.lit(0), F.size("rows") - 1)).alias("p")).withColumn("w", F.get("rows", F.col("p"))["i"])
+    whole = F.get("rows", F.col("p") + size - 1)["i"] == F.col("w") + size - 1
+    window = F.array(*[F.get("rows", F.col("p") + k)["v"] for k in range(size)])
+    return rows.where(F.floor(F.col("w") / F.lit(span)) == F.col("seg")).select(
+        KEY, F.col("w").alias("window_idx"), F.when(whole, window).alias("window"))
+
+
 def too_short(df: DataFrame, size: int = 16) -> DataFrame:
     """Clips a strict windowing must refuse."""
     return df.groupBy(KEY).agg((F.max(IDX) + 1).alias("n")).filter(F.col("n") < size).select(
@@ -162,16 +177,16 @@ def center_window(df: DataFrame, vec: str, size: int = 16) -> DataFrame:
     return got.select(KEY, F.slice(F.concat(kept, pad), 1, size).alias("window"))
 
 
-def edge_pad(df: DataFrame, vec: str) -> DataFrame:
-    """One copy of the first row before and of the last row after; indexes shift by one."""
-    base = df.select(KEY, IDX, F.col(vec).alias(vec))
-    last = base.groupBy(KEY).agg(F.max(IDX).alias(IDX))
-    tail = base.join(last, [KEY, IDX], "left_semi")
-    return (
-        base.withColumn(IDX, F.col(IDX) + 1)
-        .unionByName(base.filter(F.col(IDX) == 0))
-        .unionByName(tail.withColumn(IDX, F.col(IDX) + 2))
-    )
+def edge_pad(df: DataFrame, vec: str, span: int = 256) -> DataFrame:
+    """One copy of the first row before and of the last row after; indexes shift by one.
+
+    A row is the last of its clip if its segment, which also holds the first row of the next, has none after it.
+    """
+    segs = with_bounds(halo_segments(df, F.col(vec), span, 0, 1, KEY, IDX), span)
+    rows = segs.select(KEY, "seg", "hi", F.explode("rows").alias("r")).where(F.floor(F.col("r.i") / F.lit(span)) == F.col("seg"))
+    i = F.col("r.i")
+    at = F.array_compact(F.array(i + 1, F.when(i == 0, F.lit(0).cast("long")), F.when(i == F.col("hi"), i + 2)))
+    return rows.select(KEY, F.explode(at).alias(IDX), F.col("r.v").alias(vec))
 
 
 def context_windows(df: DataFrame, vec: str, before: int = 8, after: int = 8,

@@ -32,7 +32,7 @@ def planes(spark, sf):
 
 
 def long(spark, sf):
-    return R.planes_to_long(planes(spark, sf))
+    return R.planes_to_long(planes(spark, sf).drop("p_size"))
 
 
 def _chk(df, cols="bgr"):
@@ -197,8 +197,7 @@ def g19(spark, sf):
 SELECT frame_idx, {r('b')} AS b, {r('g')} AS g, {r('r')} AS r, CASE WHEN b > g + 20 AND b > r + 20 THEN 'strong' WHEN b > g + 10 THEN 'slight' ELSE 'none' END AS tint,
   CASE WHEN b > r THEN 'blue' WHEN r > g AND g > b THEN 'normal' ELSE 'unusual' END AS "order" FROM m""")
 def q12(spark, sf):
-    pics = planes(spark, sf)
-    px = R.planes_to_long(pics).join(pics.select("frame_idx", "p_size"), "frame_idx").withColumns({
+    px = R.planes_to_long(planes(spark, sf)).withColumns({
         "g": F.floor(F.col("g") * (F.col("p_size") % 3) / 2), "r": F.floor(F.col("r") * (F.col("p_size") % 4) / 3)})
     return R.tint_check(px).withColumns({c: rnd(F.col(c)) for c in "bgr"})
 

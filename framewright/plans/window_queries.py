@@ -41,6 +41,15 @@ def w01b(spark, sf):
     return _out(W.sliding_windows(step_series(spark, sf), "vec", strict=True))
 
 
+@query("w01_complete_windows", f"""WITH {STEPS_SQL}, g AS (SELECT * FROM steps WHERE frame_idx % 23 <> 7)
+SELECT a.clip_id, a.frame_idx AS window_idx, CASE WHEN count(*) = 5 THEN {r('sum((o + 1) * b.v)')} END AS chk
+FROM g a, range(5) t(o) JOIN g b ON b.clip_id = a.clip_id AND b.frame_idx = a.frame_idx + o GROUP BY 1, 2""")
+def w01d(spark, sf):
+    """Every 23rd frame is missing, so the windows that would hold it are null."""
+    out = W.complete_windows(step_series(spark, sf).where("frame_idx % 23 <> 7"), "vec")
+    return out.select("clip_id", "window_idx", rnd(_chk(F.col("window"))).alias("chk"))
+
+
 @query("w01_too_short", f"""WITH {STEPS_SQL} SELECT clip_id, n,
   n || ' of 16 frames' AS error FROM lens WHERE n < 16""")
 def w01c(spark, sf):

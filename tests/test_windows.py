@@ -32,6 +32,14 @@ def test_gather_equals_direct_indexing(spark, pad, lo, hi):
     assert got == want
 
 
+def test_complete_windows_on_an_index_with_gaps(spark):
+    have = {1: [0, 1, 2, 3, 4, 5, 9, 10, 11, 12, 13], 2: [3], 3: [i for i in range(200) if i % 31 != 30]}
+    rows = [(c, i, [float(i)]) for c, idx in have.items() for i in idx]
+    df = spark.createDataFrame(rows, "clip_id int, frame_idx long, vec array<float>").repartition(4)
+    got = {(r.clip_id, r.window_idx): None if r.window is None else [v[0] for v in r.window] for r in W.complete_windows(df, "vec", span=16).collect()}
+    assert got == {(c, i): [float(j) for j in range(i, i + 5)] if set(range(i, i + 5)) <= set(idx) else None for c, idx in have.items() for i in idx}
+
+
 def test_known_clock_starts(spark):
     got = as_dict(W.clock_aligned_windows(ramp(spark, {1: 100}), "vec", mode="offline"), "video_frame")
     assert {f: got[1, f][0] for f in (0, 1, 10, 24)} == {0: 0.0, 1: 3.0, 10: 32.0, 24: 76.0}
