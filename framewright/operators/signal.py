@@ -44,6 +44,7 @@ def pre_emphasis(blocks: DataFrame, k: float = 0.97, span: int = 256) -> DataFra
     """``y[0]=x[0]``, ``y[i]=x[i]-k*x[i-1]`` across block edges; after a missing block the signal starts anew.
 
     Blocks meet their predecessor inside stretches of ``span`` blocks; only the last sample of a stretch is copied to the next.
+    A block with null samples is no block.
     """
     last = F.struct("block_idx", F.try_element_at("samples", F.lit(-1)).alias("v"))
     at = F.floor(F.col("block_idx") / F.lit(span)).cast("long")
@@ -52,11 +53,25 @@ def pre_emphasis(blocks: DataFrame, k: float = 0.97, span: int = 256) -> DataFra
         KEY, "block_idx", F.lit(None).cast("int").alias("n"), F.lit(None).cast(blocks.schema["samples"].dataType).alias("samples"), (F.col("_at") + 1).alias("_at"), "_last")
     prev = F.lag("_last").over(Window.partitionBy(KEY, "_at").orderBy("block_idx"))
     met = rows.unionByName(edges).withColumn("_prev", prev).where(F.col("samples").isNotNull())
-    before = F.when(F.col("_prev.block_idx") == F.col("block_idx") - 1, F.col("_prev.v"))
-    kind = blocks.schema["samples"].dataType.elementType
-    shifted = F.concat(F.array(F.coalesce(before, F.lit(0).cast(kind))), F.slice("samples", 1, F.greatest(F.size("samples") - 1, F.lit(0))))
-    y = F.zip_with("samples", F.slice(shifted, 1, F.size("samples")), lambda a, b: a.cast("double") - F.lit(k) * b.cast("double"))
-    return met.select(KEY, "block_idx", "n", y.alias("samples"))
+    before = F.when(F.col("_prev.block_idx") == F.col("block_idx") - 1, F.col("_prev.v").cast("double"))
+    kept = met.select(KEY, "block_idx", "n", "samples", F.coalesce(before, F.lit(0.0)).alias("_before"))
+
+    def emphasise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            ends, flat = _list_rows(rows)
+            x = flat[ends[0]:ends[-1]].astype(np.float64)
+            shifted = np.concatenate([[0.0], x[:-1]])[:len(x)]
+            first = ends - ends[0]
+            some = np.diff(first) > 0
+            shifted[first[:-1][some]] = rows.column("_before").to_numpy()[some]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(KEY), rows.column("block_idx"), rows.column("n"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x - k * shifted))],
+                names=[KEY, "block_idx", "n", "samples"])
+
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    return kept.mapInArrow(emphasise, f"{KEY} {types[KEY]}, block_idx {types['block_idx']}, n {types['n']}, samples array<double>")
 
 
 def _segment_rows(blocks: DataFrame, span: int, before: int, after: int) -> DataFrame:
