@@ -1,13 +1,16 @@
 """Personal data with offsets into the source text, also when disguised.
 
-A transducer rewrites disguises and keeps, for each stretch of its output, the stretch of source it stands for:
-look-alike letters and full-width forms, invisible characters, "(at)" and "(dot)" in brackets, "name at host dot tld",
-and digits spelled as words.  The same detectors run on source and output; what only the output shows is mapped back.
+Three transducers run one after the other, each on what the one before it wrote, so disguises may be combined:
+characters (look-alike letters, full-width and styled forms, other digits, odd blanks and dashes, invisible
+characters), then signs ("(at)", "[dot]" in brackets of any kind, "name at host dot tld"), then digits spelled as words.  Each
+keeps, for every stretch of its output, the stretch of its input behind it; a span is taken back through all three
+to code points of the source.  The same detectors run on source and output.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,20 +30,24 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Look-alike letters and the letters they stand for.
+# Look-alike letters and the letters they stand for; dashes; invisible characters; spelled digits.
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝкмтвнАВЕКМНОРСТУХІЈЅοαρνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwkmtbhABEKMHOPCTYXIJSoapviktuxABEZHIKMNOPTYX"))
-_INVISIBLE = "­​‌‍⁠﻿"
+_DASHES = "‐‑‒–—−"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
             "dot": ".", "point": ".", "plus": "+"}
 
-_ODD = re.compile("[" + "".join(_LOOKALIKES) + _INVISIBLE + "！-～]")
-_BRACKETED = re.compile(r"\s?[(\[{<]\s?(at|dot)\s?[)\]}>]\s?", re.I)
-_BARE = re.compile(r"(?<![a-z0-9_%+-])[a-z0-9_%+-]++(?:(?: dot |\.)[a-z0-9_%+-]++)* at [a-z0-9-]++(?:(?: dot |\.)[a-z0-9-]++)*? dot [a-z0-9-]++(?: dot [a-z0-9-]++)*", re.I)
-_BARE_WORD = re.compile(r" (at|dot) ", re.I)
+_ODD = re.compile("[" + "".join(_LOOKALIKES) + _DASHES + _INVISIBLE + "   ！-～\U0001d400-\U0001d7ff٠-٩۰-۹०-९]")
+_BRACKETED = re.compile(r"\s?[(\[{<]\s?(at|dot|@|\.)\s?[)\]}>]\s?", re.I)
+_SIGN = {"at": "@", "@": "@", "dot": ".", ".": "."}
+_AT = re.compile(r"\sat\s|@", re.I)
+_HOST_PARTS = re.compile(r"[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)+", re.I)
+_DOT_WORD = re.compile(r"\sdot\s", re.I)
 _DIGIT_WORD = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
-_DIGIT_RUN = re.compile(rf"(?:\bplus[ -]+)?\b(?:{_DIGIT_WORD})\b(?:[ -]+(?:{_DIGIT_WORD}|dot|point|[0-9]++)\b)+", re.I)
+_BETWEEN = r"[\s,;/.-]++"
+_DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]++)?\b(?:(?:{_DIGIT_WORD})\b|[0-9]++(?=\s(?:dot|point)\s))(?:{_BETWEEN}(?:{_DIGIT_WORD}|dot|point|[0-9]++)\b)+", re.I)
 _DIGIT_PART = re.compile(r"[a-z]+|[0-9]+", re.I)
-_DIGIT_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ -]+(?:{_DIGIT_WORD}|dot|point|[0-9])", re.I)
+_DIGIT_HINT = re.compile(rf"\b(?:(?:{_DIGIT_WORD}){_BETWEEN}(?:{_DIGIT_WORD}|dot|point|[0-9])|[0-9]\s(?:dot|point)\s)", re.I)
 
 
 def _digits(s: str) -> str:
@@ -81,48 +88,111 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _rewrites(text: str) -> list[tuple[int, int, str]]:
-    """Source stretches and what they stand for, in order, not overlapping."""
-    found: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        for m in _ODD.finditer(text):
-            c = m.group()
-            found.append((*m.span(), _LOOKALIKES.get(c) or ("" if c in _INVISIBLE else chr(ord(c) - 0xFEE0))))
-    sign = {"at": "@", "dot": "."}
-    low = text.lower()
-    if "dot" in low or "at" in low:
-        found += [(*m.span(), sign[m.group(1).lower()]) for m in _BRACKETED.finditer(text)]
-    if " dot " in low and " at " in low:
-        for m in _BARE.finditer(text):
-            found += [(m.start() + w.start(), m.start() + w.end(), sign[w.group(1).lower()]) for w in _BARE_WORD.finditer(m.group())]
-    if _DIGIT_HINT.search(text):
-        for m in _DIGIT_RUN.finditer(text):
-            parts = [(p.start() + m.start(), p.end() + m.start(), _SPELLED.get(p.group().lower(), p.group())) for p in _DIGIT_PART.finditer(m.group())]
-            if sum(len(_digits(p[2])) for p in parts) >= 4:
-                for (a, b, to), nxt in zip(parts, [*parts[1:], (m.end(), 0, "")]):
-                    found.append((a, b, to))
-                    if nxt[0] > b:
-                        found.append((b, nxt[0], ""))  # separators inside a spelled number
-    found.sort()
-    out: list[tuple[int, int, str]] = []
-    for f in found:
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
+Edit = tuple[int, int, str]
+
+
+def _plain_character(c: str) -> str:
+    if c in _INVISIBLE:
+        return ""
+    if c in _DASHES:
+        return "-"
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
+    flat = unicodedata.normalize("NFKC", c)
+    return _LOOKALIKES.get(flat, flat)
+
+
+def _characters(text: str) -> list[Edit]:
+    return [] if text.isascii() else [(*m.span(), _plain_character(m.group())) for m in _ODD.finditer(text)]
+
+
+def _brackets(text: str) -> list[Edit]:
+    return [(*m.span(), _SIGN[m.group(1).lower()]) for m in _BRACKETED.finditer(text)]
+
+
+def _local_start(text: str, end: int, done: int) -> int:
+    """Where the name before ``end`` begins: name characters, with dots also as words."""
+    start = end
+    while start > done:
+        if text[start - 1] in _LOCAL:
+            start -= 1
+        elif start < end and start - 6 >= done and text[start - 6] in _LOCAL and _DOT_WORD.fullmatch(text, start - 5, start):
+            start -= 5
+        else:
+            break
+    return start
+
+
+def _bare_signs(text: str, bracketed: list[int]) -> list[Edit]:
+    """"name at host dot tld": a dot as a word, or in brackets before (``bracketed``: their places), gives the disguise away."""
+    out: list[Edit] = []
+    done = 0
+    for m in _AT.finditer(text):
+        host = _HOST_PARTS.match(text, m.end())
+        start = _local_start(text, m.start(), done) if host and m.start() >= done else m.start()
+        if start == m.start():
+            continue
+        dots = [(*d.span(), ".") for d in _DOT_WORD.finditer(text, start, host.end())]
+        told = bisect_right(bracketed, host.end() - 1) > bisect_right(bracketed, m.end() - 1)
+        if told or any(d[0] >= m.end() for d in dots):
+            out += [d for d in dots if d[1] <= m.start()] + [(*m.span(), "@")] + [d for d in dots if d[0] >= m.end()]
+            done = host.end()
     return out
 
 
-def _normalise(text: str, rewrites: list[tuple[int, int, str]]) -> tuple[str, list[int], list[tuple[int, int, bool]]]:
-    """Rewritten text; where each stretch begins in it; its source stretch and whether it was copied unchanged."""
-    parts, begins, sources, at, length = [], [], [], 0, 0
-    for a, b, to in [*rewrites, (len(text), len(text), "")]:
-        for s, e, piece, same in ((at, a, text[at:a], True), (a, b, to, False)):
-            if piece:
-                begins.append(length)
-                sources.append((s, e, same))
-                parts.append(piece)
-                length += len(piece)
-        at = b
-    return "".join(parts), begins, sources
+def _spelled_digits(text: str) -> list[Edit]:
+    """Runs of at least four digits with a word among them; a full stop between them stays, other separators go."""
+    out: list[Edit] = []
+    for m in _DIGIT_RUN.finditer(text) if _DIGIT_HINT.search(text) else ():
+        parts = [(*p.span(), _SPELLED.get(p.group().lower(), p.group())) for p in _DIGIT_PART.finditer(text, *m.span())]
+        if sum(len(_digits(p[2])) for p in parts) >= 4:
+            for (a, b, to), (nxt, _, after) in zip(parts, [*parts[1:], (m.end(), 0, "")]):
+                out.append((a, b, to))
+                if nxt > b:
+                    out.append((b, nxt, "." if "." in text[b:nxt] and to != "." != after else ""))
+    return out
+
+
+class Rewritten:
+    """A text after edits (in order, not overlapping), and the way from its code points back to those before."""
+
+    def __init__(self, text: str, edits: list[Edit]):
+        parts, self.begins, self.sources = [], [], []
+        at = length = 0
+        for a, b, to in [*edits, (len(text), len(text), "")]:
+            for start, end, piece, same in ((at, a, text[at:a], True), (a, b, to, False)):
+                if piece:
+                    self.begins.append(length)
+                    self.sources.append((start, end, same))
+                    parts.append(piece)
+                    length += len(piece)
+            at = b
+        self.text = "".join(parts)
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        """The stretch before the edits of the non-empty stretch a..b after them."""
+        i, j = bisect_right(self.begins, a) - 1, bisect_right(self.begins, b - 1) - 1
+        first, last = self.sources[i], self.sources[j]
+        return first[0] + (a - self.begins[i] if first[2] else 0), last[0] + (b - self.begins[j]) if last[2] else last[1]
+
+
+def _chain(text: str) -> list[Rewritten]:
+    """The steps that changed something, in order."""
+    steps: list[Rewritten] = []
+
+    def step(edits: list[Edit]) -> str:
+        if edits:
+            steps.append(Rewritten(steps[-1].text if steps else text, edits))
+        return steps[-1].text if steps else text
+
+    now = step(_characters(text))
+    edits = _brackets(now)
+    now = step(edits)
+    bracketed = [b for b, s in zip(steps[-1].begins, steps[-1].sources) if not s[2]] if edits else []
+    low = now.lower()
+    now = step(_bare_signs(now, bracketed) if "dot" in low or bracketed else [])
+    step(_spelled_digits(now))
+    return steps
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -131,14 +201,20 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     base = detect(text)
     out = [(*s, True) for s in base]
-    rewrites = _rewrites(text)
-    if rewrites:
-        plain, begins, sources = _normalise(text, rewrites)
+    steps = _chain(text)
+    if steps:
+        plain = steps[-1].text
+        held: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}  # base spans of a kind do not overlap
+        for kind, a, b in base:
+            held[kind][0].append(a)
+            held[kind][1].append(b)
         for kind, a, b in detect(plain):
-            i, j = bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1
-            start = sources[i][0] + (a - begins[i] if sources[i][2] else 0)
-            end = sources[j][0] + (b - begins[j]) if sources[j][2] else sources[j][1]
-            if any(not s[2] for s in sources[i:j + 1]) and not any(k == kind and s <= start and end <= e for k, s, e in base):
+            start, end = a, b
+            for step in reversed(steps):
+                start, end = step.back(start, end)
+            starts, ends = held[kind]
+            k = bisect_right(starts, start) - 1
+            if text[start:end] != plain[a:b] and not (k >= 0 and end <= ends[k]):
                 out.append((kind, start, end, False))
     return out
 
@@ -170,7 +246,11 @@ def digest_text(found: Column) -> Column:
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans become one mask."""
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans become one mask.
+
+    Of overlapping spans the one that starts first names the mask (then the shorter, then the kind in ASCII order).  Null, empty
+    and clean texts stay as they are; rows, repeated ones too, and the other columns, whatever their names, are unchanged.
+    """
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
