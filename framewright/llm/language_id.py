@@ -1,8 +1,9 @@
 """Language identification in two steps: the family first, then one-versus-one linear SVMs among its languages.
 
 Features are relative frequencies of hashed byte trigrams of the whole text, A-Z lower-cased.  All machines are linear
-SVMs (squared hinge loss, minibatch gradient steps) fitted on at most ``PER_LANGUAGE`` labelled texts per language,
-chosen by a hash, of which at most ``TRAIN_BYTES`` bytes each are read; prediction reads whole texts.
+SVMs (squared hinge loss, minibatch gradient steps) fitted on a sample of labelled rows chosen by a hash: at most
+``PER_LANGUAGE`` texts per language and about ``SAMPLE_ROWS`` in all (one per language at least).  Tasks count the trigrams of
+the sampled texts, whole ones; only those counts, at most 2^``BITS`` a text, come to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from framewright.llm.base import byte_texts, chunks
 
 BITS = 13
-PER_LANGUAGE, TRAIN_BYTES = 600, 4000
+PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
             "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
@@ -33,13 +34,9 @@ def _codes(data: bytes) -> np.ndarray:
     return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(7)) & np.uint32((1 << BITS) - 1)
 
 
-def _features(texts: list[bytes]) -> np.ndarray:
-    x = np.zeros((len(texts), 1 << BITS), np.float32)
-    for i, t in enumerate(texts):
-        c = _codes(b" " + t + b" ")
-        if len(c):
-            x[i] = np.bincount(c, minlength=1 << BITS) / len(c)
-    return x
+def _trigrams(text: bytes) -> np.ndarray:
+    """How often each hashed trigram occurs; a blank stands before and after the text."""
+    return np.bincount(_codes(b" " + text + b" "), minlength=1 << BITS)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 30) -> tuple[np.ndarray, float]:
@@ -60,15 +57,16 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 30) -> tuple[np.ndarray, fl
 class LanguageModel:
     """Family machines (one against the rest) and pair machines inside each family, as columns of one weight matrix."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str]):
+        """``x``: a row of relative trigram frequencies for each label in ``langs``."""
         self.langs = sorted(set(langs))
         family = {a: FAMILIES.get(a, a) for a in self.langs}
         self.families = sorted(set(family.values()))
         self.members = [[a for a in self.langs if family[a] == f] for f in self.families]
         self.pairs = [(a, b) for m in self.members for a, b in combinations(m, 2)]
         columns, bias = [], []
-        if texts:
-            x, lang = _features(texts), np.array(langs)
+        if langs:
+            lang = np.array(langs)
             fam = np.array([family[a] for a in langs])
             machines = [(np.ones(len(lang), bool), np.where(fam == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
             machines += [((lang == a) | (lang == b), np.where(lang == a, 1.0, -1.0)) for a, b in self.pairs]
@@ -80,12 +78,14 @@ class LanguageModel:
         self.bias = np.array(bias, np.float32)
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """(language, score) of each text; the score is the product of the logistic margins on the way."""
+        """(language, score) of each text; the score is the product of the logistic margins on the way.
+
+        The first of equal families wins; equal votes go to the larger sum of margins, then to the greater code.
+        """
         out = []
         family_at = len(self.families) if len(self.families) > 1 else 0
         for t in texts:
-            c = _codes(b" " + t + b" ")
-            n = np.bincount(c, minlength=1 << BITS).astype(np.float32)
+            n = _trigrams(t).astype(np.float32)
             margin = (n @ self.weights) / np.sqrt(float(n @ n)) + self.bias
             chance = 1 / (1 + np.exp(-4 * margin.astype(np.float64)))
             f = int(np.argmax(margin[:family_at])) if family_at else 0
@@ -105,26 +105,43 @@ class LanguageModel:
 
 
 def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on a bounded sample: per language the ``PER_LANGUAGE`` texts of lowest hash, cut to ``TRAIN_BYTES`` bytes."""
+    """Fit on a bounded sample of whole texts: per language those of lowest hash (see the module).
+
+    Rows without a label, null texts and texts without a letter teach nothing; without any row left the model predicts ``und``.
+    Repeated rows have one hash and may be taken as often as they occur; null keys and other columns do not matter.  Every
+    distinct label is a language and gets machines of its own, so the labels themselves have to fit the driver.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(
-        F.col(lang).alias("lang"), F.substring(F.encode(text, "UTF-8"), 1, TRAIN_BYTES).alias("text"), F.xxhash64(text, F.col(key).cast("string")).alias("h"))
-    langs = [r[0] for r in rows.select("lang").distinct().limit(1000).collect()]
-    if len(langs) == 1000:
-        raise ValueError("the label column does not look like languages")
-    # A threshold on the hash takes a few more than needed; the rest is settled by sorting that bounded rest.
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text, F.col(key).cast("string")).alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    keep = F.lit(False)
-    for a in langs:
-        limit = int(-2**63 + min(1.0, 1.3 * PER_LANGUAGE / counts[a] + 20 / counts[a]) * (2**64 - 1))
-        keep = keep | ((F.col("lang") == a) & (F.col("h") <= F.lit(min(limit, 2**63 - 1))))
-    sample = sorted((r.lang, r.h, bytes(r.text)) for r in rows.where(keep).collect())
-    texts, labels, seen = [], [], dict.fromkeys(langs, 0)
-    for a, _, t in sample:
-        if seen[a] < PER_LANGUAGE:
-            seen[a] += 1
-            texts.append(t)
-            labels.append(a)
-    return LanguageModel(texts, labels)
+    if not counts:
+        return LanguageModel(np.zeros((0, 1 << BITS), np.float32), [])
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
+    # A threshold on the hash takes a few more than needed; the rest is settled by sorting that bounded rest.
+    limits = docs.sparkSession.createDataFrame(pa.table(  # an Arrow table, so that Spark knows its size
+        {"lang": list(counts), "most": [min(1.0, (1.3 * each + 20) / n) * 2.0**64 - 2.0**63 for n in counts.values()]}))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            at, times = [], []
+            for t in byte_texts(part.column("text")):
+                n = _trigrams(t)
+                at.append(np.flatnonzero(n).astype("<u2").tobytes())
+                times.append(n[n > 0].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(at, pa.binary()), pa.array(times, pa.binary())],
+                                             names=["lang", "h", "at", "times"])
+
+    near = rows.join(limits, "lang").where(F.col("h").cast("double") <= F.col("most")).select("lang", "h", "text")
+    sample, seen = [], dict.fromkeys(counts, 0)
+    for r in sorted(near.mapInArrow(count, "lang string, h long, at binary, times binary").collect(), key=lambda r: (r.lang, r.h, bytes(r.at))):
+        if seen[r.lang] < each:
+            seen[r.lang] += 1
+            sample.append(r)
+    x = np.zeros((len(sample), 1 << BITS), np.float32)
+    for row, r in zip(x, sample):
+        n = np.frombuffer(r.times, "<u4")
+        row[np.frombuffer(r.at, "<u2")] = n / max(1, n.sum())
+    return LanguageModel(x, [r.lang for r in sample])
 
 
 def languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,7 +164,10 @@ def languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text:
 
 
 def identified(docs: DataFrame, model: LanguageModel, least: float = 0.3, text: str = "text") -> DataFrame:
-    """``docs`` without the texts whose language is ``und`` or whose score is below ``least``; columns as they were."""
+    """``docs`` without the texts whose language is ``und`` or whose score is below ``least``.
+
+    Null, empty and letterless texts go; repeated rows stay as often as they occur; columns are as they were, whatever their names.
+    """
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series, letters: pd.Series) -> pd.Series:
