@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` is called so in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

@@ -79,6 +79,9 @@ def test_one_per_component(messy, messy_rows):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     want = {k for k, _, c in expected_components(messy_rows) if k == c}
     assert set(ids) == want and ids.count(8) == 1
+    clash = messy.withColumnRenamed("h", "_stay").withColumnRenamed("n", "_TH")
+    kept = jaccard_join.one_per_component(clash)
+    assert kept.columns == clash.columns and sorted(map(str, ids)) == sorted(str(r.doc_id) for r in kept.select("doc_id").collect())
 
 
 def removed(rows, length):

@@ -56,6 +56,67 @@ def test_personal_base_by_brute_force():
         assert personal_data.detect(t) == base_personal(t)
 
 
+def disguised(kind, rng):
+    """A plain identifier and a form of it under any mixture of the three kinds of disguise."""
+    odd = {"a": "а", "e": "е", "o": "о", "c": "с", "1": "１", "5": "𝟓", "n": "n​", "i": "і"}
+    word = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    if kind == "email":
+        plain = rng.choice(["john@example.com", "jane.roe@mail.site.org", "n-5@one.net"])
+        at, dot = rng.choice([("@", None), ("(at)", "[dot]"), (" [ at ] ", "(.)"), (" at ", " dot "), ("（at）", "."), (" at ", "{dot}"), ("@", " dot ")])
+        cut = plain.index("@")
+        form = plain[:cut].replace(".", rng.choice([".", dot or "."])) + at + plain[cut + 1:].replace(".", dot or ".")
+    else:
+        plain = {"ip": "192.168.10.44", "card": "4111111111111111", "phone": "+15550142233"}[kind]
+        between = rng.choice([" ", ", ", "-", "\n"])
+        if rng.random() < 0.6:
+            form = between.join(word.get(c, {"+": "plus", ".": rng.choice(["dot", "point"])}.get(c)) for c in plain).replace("plus" + between, "plus ")
+            if kind == "ip":
+                form = between.join(between.join(word[c] for c in part) + (rng.choice([" dot", "[dot]", " point"]) if k < 3 else "") for k, part in enumerate(plain.split(".")))
+        else:
+            form = plain.replace(".", rng.choice([".", "[.]", "(dot)"]))
+    return plain, "".join(odd[c] if c in odd and rng.random() < 0.3 else c for c in form)
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "card", "phone"])
+def test_personal_mixed_disguises(kind):
+    rng = random.Random(3)
+    for _ in range(1500):
+        plain, form = disguised(kind, rng)
+        before, after = rng.choice([("Écrire: ", " !"), ("\n<<", ">> fin"), ("ж🙂 | ", " | z")])
+        got = [(a, b) for k, a, b, _ in personal_data.spans(before + form + after) if k == kind]
+        want = (len(before), len(before) + len(form))
+        assert want in got or (form.endswith("​") and (want[0], want[1] - 1) in got), (plain, form, got)
+
+
+def test_personal_rewriting_by_brute_force():
+    """Every step rewritten code point by code point, each carrying the source it came from."""
+    rng = random.Random(11)
+    bits = ["john", " at ", " dot ", "(at)", "[dot]", "（at）", "example", ".", "com", "@", "а", "​", "one", " ", ", ", "four", "１９２", "plus ", "7", "+", "-", "\n", "five five five five", " "]
+    changed = 0
+    for _ in range(8000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 16)))
+        cells = [(c, i, i + 1) for i, c in enumerate(t)]
+        for step in personal_data._chain(t):
+            done, at = [], 0
+            for start, (a, b, same) in zip(step.begins, step.sources):
+                if same:
+                    done += cells[a:b]
+                else:
+                    n = next((x for x in step.begins if x > start), len(step.text)) - start
+                    done += [(c, cells[a][1], cells[b - 1][2]) for c in step.text[start:start + n]]
+                assert a >= at
+                at = b
+            cells = done
+            assert "".join(c for c, _, _ in cells) == step.text
+        plain = "".join(c for c, _, _ in cells)
+        base = base_personal(t)
+        found = [(k, cells[a][1], cells[b - 1][2], plain[a:b]) for k, a, b in base_personal(plain)]
+        want = [(k, a, b) for k, a, b, p in found if t[a:b] != p and not any(k == x and s <= a and b <= e for x, s, e in base)]
+        changed += len(want)
+        assert [x[:3] for x in personal_data.spans(t)] == base + want
+    assert changed > 100
+
+
 def test_personal_data(messy, messy_rows, empty):
     got = personal_data.personal_data(messy).select("doc_id", personal_data.digest_text("spans")).collect()
     want = [(i, ",".join(f"{k}:{a}:{b}" for k, a, b, _ in personal_data.spans(t))) for i, t in messy_rows]
@@ -66,6 +127,8 @@ def test_personal_data(messy, messy_rows, empty):
 def test_masked(spark):
     df = spark.createDataFrame([(1, "x a@b.co y +1 555 555 5555"), (2, None), (3, "")], "doc_id long, text string")
     assert [r.text for r in personal_data.masked(df).orderBy("doc_id").collect()] == ["x <EMAIL> y <PHONE>", None, ""]
+    df = spark.createDataFrame([(1, "to john（at）exаmple dot com, or j\u200bohn@ex.com!")] * 2, "found long, text string")
+    assert [r.text for r in personal_data.masked(df).collect()] == ["to <EMAIL>, or <EMAIL>!"] * 2
 
 
 def base_secrets(t):
@@ -167,6 +230,26 @@ def test_language_cases(spark, messy, messy_rows, empty):
     assert language_id.identified(messy, one, 0.0).count() == sum(any(c.isalpha() for c in t or "") for _, t in messy_rows)
 
 
+def test_language_trains_on_whole_texts(spark):
+    """One header of 8 000 bytes opens every training text; what tells the languages apart comes after it."""
+    en, fr = "the house of the river is here and there ", "la maison de la rivière est dans le bois "
+    rows = [(i, "licence and warranty text " * 310 + t * (150 + i), a) for i in range(8) for a, t in (("en", en), ("fr", fr))]
+    model = language_id.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [a for a, _ in model.predict([r[1].encode() for r in rows])] == [r[2] for r in rows]
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Per language and in all; labels beyond a thousand and repeated rows are nothing special."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 3000)
+    taken = []
+    monkeypatch.setattr(language_id, "_svm", lambda x, y: taken.append(len(y)) or (np.zeros(x.shape[1], np.float32), 0.0))
+    language_id.fitted(spark.createDataFrame([(1, "one text", "en")] * 700 + [(i, f"text {i}", "de") for i in range(2000)], "doc_id long, text string, lang string"))
+    assert set(taken) == {1200}
+    monkeypatch.setattr(language_id, "LanguageModel", lambda x, langs: (x, langs))
+    x, langs = language_id.fitted(spark.createDataFrame([(i, f"text {i}", f"l{i % 1500}") for i in range(4500)], "doc_id long, text string, lang string"))
+    assert len(langs) == 3000 and len(set(langs)) == 1500 and np.allclose(x.sum(1), 1)
+
+
 def test_pitman_yor_scores(spark):
     got = QUERIES["op2_pitman_yor"](spark, "/root/testdata/sf0.01").toPandas()
     held = got[got.held_out]
