@@ -38,16 +38,42 @@ def expected_components(rows):
     return sorted(out, key=str)
 
 
+def test_prefixes_share_the_needed_lists():
+    """Any two sets at the threshold meet on as many prefix lists as either of them asks for."""
+    rng = np.random.default_rng(4)
+    for percent in (30, 75, 90, 100):
+        for _ in range(400):
+            union = rng.permutation(3000)[:rng.integers(1, 400)]
+            both = -(-percent * len(union) // 100)
+            cut = both + rng.integers(0, len(union) - both + 1)
+            x, y = np.sort(union[:cut]), np.sort(np.append(union[:both], union[cut:]))
+            prefix = [set(h[:len(h) - jaccard_join._common(len(h), percent) + jaccard_join.LISTS].tolist()) for h in (x, y)]
+            assert len(prefix[0] & prefix[1]) >= max(min(jaccard_join.LISTS, jaccard_join._common(len(h), percent)) for h in (x, y))
+
+
 def test_jaccard_messy(messy, messy_rows, empty):
     got = jaccard_join.jaccard_components(messy).collect()
     assert sorted(map(tuple, got), key=str) == expected_components(messy_rows)
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_other_thresholds(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:300 - 9 * i] + [f"x{rng.randrange(99999)}" for _ in range(9 * i)])) for i in range(16)] + [(40, "w0 w1"), (41, "w0 W1"), (42, None)]
+    sets = [sets_of(t) for _, t in rows]
+    for percent in (40, 95):
+        comp = components(len(rows), lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))  # noqa: B023
+        want = {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[i]) for i in range(len(rows))}
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_jaccard_long_lists(spark, monkeypatch):
     """More near copies than a list merged by a join holds, in several blocks, and a passage that all documents share."""
     monkeypatch.setattr(jaccard_join, "MERGED", 6)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 700)
     rng = random.Random(2)
     base, passage = [f"w{rng.randrange(999)}" for _ in range(120)], " ".join(f"p{i}" for i in range(50))
     rows = []
