@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,22 +57,161 @@ def bgr_planes_to_pixels(frames: DataFrame, order: str = "bgr") -> DataFrame:
     return frames.mapInArrow(run, schema)
 
 
+def _levels(flat: np.ndarray) -> np.ndarray:
+    """:func:`to_byte` of an array; NaN is 255."""
+    v = flat * np.float32(255)
+    return np.clip(np.where(np.isnan(v), 255, v), 0, 255).astype(np.int16)
+
+
+def _listed(rows: pa.RecordBatch, name: str, values: np.ndarray, null: np.ndarray | None) -> pa.ListArray:
+    """Lists like those of the column, with other values."""
+    col = rows.column(name)
+    sizes = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, np.diff(col.offsets.to_numpy()))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values, mask=null), mask=col.is_null())
+
+
+def plane_bytes(frames: DataFrame) -> DataFrame:
+    """``planes`` in [0,1] to 0..255 as :func:`to_byte` gives them; other columns stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            flat = rows.column("planes").flatten()
+            null = flat.is_null().to_numpy(zero_copy_only=False)
+            yield _with_column(rows, [], planes=_listed(rows, "planes", _levels(flat.fill_null(0).to_numpy()), null))
+
+    rest = [f for f in frames.schema if f.name != "planes"]
+    return frames.mapInArrow(run, T.StructType([*rest, T.StructField("planes", T.ArrayType(T.ShortType()))]))
+
+
+def mask_planes(frames: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """Zero the pixels of a rectangle in every plane (bytes, with the frame's ``h`` and ``w``); :func:`mask_region` on pixel rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            col = rows.column("planes")
+            sizes = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, np.diff(col.offsets.to_numpy()))
+            flat = col.flatten()
+            i = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ph, pw = (np.repeat(np.maximum(rows.column(c).cast(pa.int64()).fill_null(0).to_numpy(), 1), sizes) for c in "hw")
+            py, px = i % (ph * pw) // pw, i % pw
+            inside = (px >= x) & (px < x + w) & (py >= y) & (py < y + h)
+            null = flat.is_null().to_numpy(zero_copy_only=False) & ~inside
+            yield _with_column(rows, [], planes=_listed(rows, "planes", np.where(inside, 0, flat.fill_null(0).to_numpy()).astype(np.int16), null))
+
+    rest = [f for f in frames.schema if f.name != "planes"]
+    return frames.mapInArrow(run, T.StructType([*rest, T.StructField("planes", T.ArrayType(T.ShortType()))]))
+
+
+PIXELS = 1 << 18  # pixel rows of one Arrow batch, about
+
+
 def planes_to_long(frames: DataFrame) -> DataFrame:
     """Array planes to one row per pixel, bytes per channel; other columns stay.
 
-    The pixel structs are built inside the frame row, so exploding them does not
-    copy the planes once per pixel.
+    Values are times 255, clamped and truncated, NaN is 255.  A value that is null or not there gives a null channel; a frame
+    without a size has no pixel.
     """
-    n = (F.col("h") * F.col("w")).cast("int")
-    pixels = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        F.floor(i / F.col("w")).cast("int").alias("y"), (i % F.col("w")).alias("x"),
-        *[to_byte(F.get("planes", n * p + i)).alias(c) for p, c in enumerate("bgr")]))
     rest = [c for c in frames.columns if c != "planes"]
-    return frames.select(*rest, F.explode(pixels).alias("p")).select(*rest, "p.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            h, w = (rows.column(c).cast(pa.int64()).fill_null(0).to_numpy() for c in "hw")
+            count = np.maximum(h, 0) * np.maximum(w, 0)
+            planes = rows.column("planes")
+            ends = planes.offsets.to_numpy()
+            held = np.where(planes.is_null().to_numpy(zero_copy_only=False), 0, np.diff(ends))
+            values = planes.values
+            absent = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
+            flat = values.to_numpy(zero_copy_only=False)
+            flat = flat if flat.dtype in (np.float32, np.float64) else flat.astype(np.float64)
+            total = np.cumsum(count)
+            lo = 0
+            while lo < rows.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PIXELS, "right")))
+                own = np.repeat(np.arange(lo, hi), count[lo:hi])
+                i = np.arange(len(own)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
+                out = [rows.column(c).take(pa.array(own)) for c in rest]
+                out += [pa.array((i // w[own]).astype(np.int32)), pa.array((i % w[own]).astype(np.int32))]
+                for p in range(3):
+                    at = count[own] * p + i
+                    missing = at >= held[own]
+                    at = np.where(missing, 0, ends[own] + at)
+                    level = _levels(flat[at]) if len(flat) else np.zeros(len(at), np.int16)
+                    if absent is not None:
+                        missing |= absent[at]
+                    out.append(pa.array(level, mask=missing))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays(out, names=[*rest, "y", "x", "b", "g", "r"])
+                lo = hi
+
+    schema = T.StructType([*[frames.schema[c] for c in rest], *[T.StructField(c, T.IntegerType()) for c in "yx"],
+                           *[T.StructField(c, T.ShortType()) for c in "bgr"]])
+    return frames.mapInArrow(run, schema)
+
+
+_FIXED = {T.ByteType(): np.int8, T.ShortType(): np.int16, T.IntegerType(): np.int32, T.LongType(): np.int64, T.FloatType(): np.float32,
+          T.DoubleType(): np.float64, T.BooleanType(): np.bool_}
 
 
-def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
-    """[..][h][w][c] bytes to another size: corner-aligned bilinear in float32, truncated."""
+def _gathered(long: DataFrame, cols: list[str], tops: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, type]]:
+    """(frame_idx, chunks): the ``cols`` of a frame's pixel rows, in chunks, and the largest of each of ``tops``; and their numpy types.
+
+    A chunk holds a column as the bytes of its values, and a byte a value for nulls.  Pixels that stand together in an Arrow
+    batch become one chunk before they move, so that a frame whose pixels come together moves as one row; in any other
+    order chunks are smaller.  A frame is bounded by its picture.
+    """
+    rows = long.where("frame_idx is not null").select("frame_idx", *tops, *cols)
+    kinds = {c: _FIXED[rows.schema[c].dataType] for c in cols}
+    parts = [*cols, *[f"{c}_null" for c in cols]]
+
+    def raw(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if not part.num_rows:
+                continue
+            frame = part.column("frame_idx").to_numpy(zero_copy_only=False)
+            if (frame[1:] < frame[:-1]).any():
+                order = np.argsort(frame, kind="stable")
+                part, frame = part.take(pa.array(order)), frame[order]
+            first = np.append(0, np.nonzero(frame[1:] != frame[:-1])[0] + 1)
+            ends, none = np.append(first, len(frame)), np.zeros(len(first) + 1, np.int64)
+            out = [part.column("frame_idx").take(pa.array(first))]
+            out += [pa.array(np.maximum.reduceat(part.column(c).cast(pa.int64()).fill_null(0).to_numpy(), first)) for c in tops]
+            out += [raw(np.ascontiguousarray(part.column(c).fill_null(kinds[c](0)).to_numpy(zero_copy_only=False).astype(kinds[c], copy=False)), ends) for c in cols]
+            # Columns without a null send no bytes for them.
+            out += [raw(part.column(c).is_null().to_numpy(zero_copy_only=False), ends) if part.column(c).null_count else raw(np.zeros(0, bool), none) for c in cols]
+            yield pa.RecordBatch.from_arrays(out, names=["frame_idx", *tops, *parts])
+
+    schema = T.StructType([rows.schema["frame_idx"], *[T.StructField(c, T.LongType()) for c in tops], *[T.StructField(c, T.BinaryType()) for c in parts]])
+    return rows.mapInArrow(run, schema).groupBy("frame_idx").agg(*[F.max(c).alias(c) for c in tops], F.collect_list(F.struct(*parts)).alias("chunks")), kinds
+
+
+def _chunk_values(rows: pa.RecordBatch, name: str, kinds: dict[str, type]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray | None]]:
+    """Row of each gathered pixel, its values by column, and where they are null (nothing for a column without nulls)."""
+    chunks = rows.column(name)
+    held = chunks.flatten()
+    owner = np.repeat(np.arange(rows.num_rows), np.diff(chunks.offsets.to_numpy()))
+
+    def raw(c: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        col = held.field(c)
+        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+        data = col.buffers()[2]
+        values = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].copy().view(kind) if data is not None else np.zeros(0, kind)
+        return values, np.diff(ends) // np.dtype(kind).itemsize
+
+    values, nulls = {}, {}
+    for c, kind in kinds.items():
+        values[c], size = raw(c, kind)
+        flags, known = raw(f"{c}_null", np.bool_)
+        nulls[c] = None
+        if len(flags):
+            nulls[c] = np.zeros(len(values[c]), bool)
+            nulls[c][np.repeat(known > 0, size)] = flags
+    return np.repeat(owner, size), values, nulls
+
+
+def resample_array(src: np.ndarray, w: int, h: int, kind: type = np.int16, any_of: bool = False) -> np.ndarray:
+    """[..][h][w][c] bytes to another size: corner-aligned bilinear in float32, truncated; ``any_of`` takes the largest of the four."""
     sh, sw = src.shape[-3:-1]
     fx = np.arange(w, dtype=np.float32) * np.float32(np.float32(sw) / np.float32(w))
     fy = np.arange(h, dtype=np.float32) * np.float32(np.float32(sh) / np.float32(h))
@@ -81,9 +221,11 @@ def resample_array(src: np.ndarray, w: int, h: int) -> np.ndarray:
     f = src.astype(np.float32)
     one = np.float32(1)
     upper, lower = f.take(y0, -3), f.take(y1, -3)
+    if any_of:
+        return np.maximum(np.maximum(upper.take(x0, -2), upper.take(x1, -2)), np.maximum(lower.take(x0, -2), lower.take(x1, -2)))
     top = upper.take(x0, -2) * (one - wx) + upper.take(x1, -2) * wx
     bottom = lower.take(x0, -2) * (one - wx) + lower.take(x1, -2) * wx
-    return (top * (one - wy) + bottom * wy).astype(np.int16)
+    return (top * (one - wy) + bottom * wy).astype(kind)
 
 
 def resample_bilinear(frames: DataFrame, w: int, h: int) -> DataFrame:
@@ -107,47 +249,79 @@ def resample_bilinear(frames: DataFrame, w: int, h: int) -> DataFrame:
     return frames.mapInArrow(run, frames.schema)
 
 
-def _target_grid(long: DataFrame, w: int, h: int) -> DataFrame:
-    sizes = long.groupBy("frame_idx").agg(F.max("w").alias("sw"), F.max("h").alias("sh"))
-    return sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))) \
-        .withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+def resample_bilinear_long(long: DataFrame, w: int, h: int) -> DataFrame:
+    """The same on pixel rows (with their frame's ``h`` and ``w``).
+
+    A target pixel is there if one of its four neighbours is; a channel is null where one of them is missing or null.
+    """
+    cols = ["y", "x", "b", "g", "r"]
+    frames, kinds = _gathered(long, cols, ("h", "w"))
+
+    def pictures(at: np.ndarray, y: np.ndarray, x: np.ndarray, bgr: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """[frames][sh][sw][b, g, r] with NaN for what is missing, and which pixels are there; of repeated pixels the largest counts."""
+        src, there = np.full((*shape, 3), np.nan, np.float32), np.zeros(shape, bool)
+        there[at, y, x] = True
+        if there.sum() == len(at):
+            src[at, y, x] = bgr
+        else:
+            np.fmax.at(src, (at, y, x), bgr)
+        return src, there
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            owner, v, null = _chunk_values(rows, "chunks", kinds)
+            size = np.stack([rows.column(c).to_numpy() for c in "hw"], axis=1)
+            y, x = (v[c] if null[c] is None else np.where(null[c], -1, v[c]) for c in "yx")
+            inside = (y >= 0) & (x >= 0) & (y < size[owner, 0]) & (x < size[owner, 1])
+            bgr = np.stack([v[c].astype(np.float32) if null[c] is None else np.where(null[c], np.nan, v[c]).astype(np.float32) for c in "bgr"], axis=1)
+            for sh, sw in np.unique(size[(size > 0).all(1)], axis=0).tolist():
+                same = np.nonzero((size == (sh, sw)).all(1))[0]
+                for part in np.array_split(same, max(1, len(same) * max(sh * sw, h * w) >> 18)):
+                    place = np.full(rows.num_rows, -1)
+                    place[part] = np.arange(len(part))
+                    lo, hi = np.searchsorted(owner, (part[0], part[-1] + 1))
+                    use = lo + np.nonzero(inside[lo:hi] & (place[owner[lo:hi]] >= 0))[0]
+                    src, there = pictures(place[owner[use]], y[use], x[use], bgr[use], (len(part), sh, sw))
+                    with np.errstate(invalid="ignore"):
+                        out = resample_array(src, w, h, np.float32).reshape(-1, 3)
+                    some = np.ones(len(out), bool) if there.all() else resample_array(
+                        there[..., None] * np.float32(1), w, h, np.float32, any_of=True).reshape(-1) > 0
+                    frame, (ty, tx) = np.repeat(part, h * w), np.divmod(np.tile(np.arange(h * w), len(part)), w)
+                    frame, ty, tx, out = frame[some], ty[some], tx[some], out[some]
+                    gone = np.isnan(out)
+                    level = np.where(gone, 0, out).astype(np.int16)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("frame_idx").take(pa.array(frame)), *[pa.array(np.full(len(frame), n, np.int32)) for n in (h, w)],
+                         pa.array(ty.astype(np.int32)), pa.array(tx.astype(np.int32)), *[pa.array(level[:, k], mask=gone[:, k]) for k in range(3)]],
+                        names=["frame_idx", "h", "w", *cols])
+
+    schema = T.StructType([long.schema["frame_idx"], *[T.StructField(c, T.IntegerType()) for c in ("h", "w", "y", "x")],
+                           *[T.StructField(c, T.ShortType()) for c in "bgr"]])
+    return frames.mapInArrow(run, schema)
 
-def resample_bilinear_long(long: DataFrame, w: int, h: int) -> DataFrame:
-    """The same on pixel rows: each target pixel meets its four neighbours by equality."""
-    f32 = lambda c: c.cast("float")
-    grid = _target_grid(long, w, h).withColumns({
-        "fx": f32(F.col("tx")) * f32(f32(F.col("sw")) / f32(F.lit(w))),
-        "fy": f32(F.col("ty")) * f32(f32(F.col("sh")) / f32(F.lit(h)))})
-    x0, y0 = F.col("fx").cast("int"), F.col("fy").cast("int")
-    corners = F.array(*[F.struct(F.lit(dy * 2 + dx).alias("k"), F.least(y0 + dy, F.col("sh") - 1).alias("y"),
-                                 F.least(x0 + dx, F.col("sw") - 1).alias("x")) for dy in (0, 1) for dx in (0, 1)])
-    want = grid.withColumns({"wx": f32(F.col("fx") - f32(x0)), "wy": f32(F.col("fy") - f32(y0))}) \
-        .withColumn("c", F.explode(corners)).select("frame_idx", "ty", "tx", "wx", "wy", "c.k", "c.y", "c.x")
-    got = want.join(long.select("frame_idx", "y", "x", "b", "g", "r"), ["frame_idx", "y", "x"])
-    pick = lambda ch, k: f32(F.max(F.when(F.col("k") == k, F.col(ch))))
-    corner = got.groupBy("frame_idx", "ty", "tx").agg(
-        F.max("wx").alias("wx"), F.max("wy").alias("wy"),
-        *[pick(ch, k).alias(f"{ch}{k}") for ch in "bgr" for k in range(4)])
-    one, wx, wy = f32(F.lit(1)), F.col("wx"), F.col("wy")
-
-    def blend(ch: str) -> Column:
-        top = F.col(f"{ch}0") * (one - wx) + F.col(f"{ch}1") * wx
-        bottom = F.col(f"{ch}2") * (one - wx) + F.col(f"{ch}3") * wx
-        return (top * (one - wy) + bottom * wy).cast("short").alias(ch)
-
-    return corner.select("frame_idx", F.lit(h).alias("h"), F.lit(w).alias("w"),
-                         F.col("ty").alias("y"), F.col("tx").alias("x"), *[blend(c) for c in "bgr"])
+
+def _targets(at: Column, source: Column, n: int) -> Column:
+    """Targets of 0 to n - 1 whose source position, ``int(target * (source / n))``, is ``at``; null if there are none."""
+    ratio = source.cast("double") / F.lit(float(n))
+
+    def first(p: Column) -> Column:
+        """Least target whose position is ``p`` or more; the quotient may be off by one."""
+        near = F.ceil(p / ratio).cast("int")
+        reach = lambda t: (t * ratio).cast("int") >= p
+        return F.greatest(F.when(reach(near - 1), near - 1).when(reach(near), near).otherwise(near + 1), F.lit(0))
+
+    lo, hi = first(at), F.least(first(at + 1) - 1, F.lit(n - 1))
+    return F.when(lo <= hi, F.sequence(lo, hi))
 
 
 def resample_nearest(long: DataFrame, w: int, h: int) -> DataFrame:
-    """Source pixel ``int(dst*ratio)`` per axis, one equi-join."""
-    grid = _target_grid(long, w, h)
-    want = grid.select(
-        "frame_idx", "ty", "tx",
-        (F.col("ty") * (F.col("sh").cast("double") / F.lit(float(h)))).cast("int").alias("y"),
-        (F.col("tx") * (F.col("sw").cast("double") / F.lit(float(w)))).cast("int").alias("x"))
-    return want.join(long.select("frame_idx", "y", "x", "b", "g", "r"), ["frame_idx", "y", "x"]).select(
+    """Source pixel ``int(dst*ratio)`` per axis: each pixel row (with its frame's ``h`` and ``w``) is copied to its targets, without a join."""
+    inside = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))
+    rows = long.where(inside & F.col("frame_idx").isNotNull())
+    down = rows.withColumn("ty", F.explode(_targets(F.col("y"), F.col("h"), h)))
+    return down.withColumn("tx", F.explode(_targets(F.col("x"), F.col("w"), w))).select(
         "frame_idx", F.lit(h).alias("h"), F.lit(w).alias("w"), F.col("ty").alias("y"), F.col("tx").alias("x"), "b", "g", "r")
 
 
@@ -165,20 +339,79 @@ def mask_region(long: DataFrame, x: int = 5, y: int = 5, w: int = 310, h: int =
 
 
 def label_guard(pred: DataFrame, original: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keep the original where the label pixel is (0,0,255) or white."""
-    key = ["frame_idx", "y", "x"]
-    lab = labels.select(*key, F.when((F.col("r") == 255) & (F.col("b") == F.col("g")) & F.col("b").isin(0, 255),
-                                     F.lit(True)).otherwise(False).alias("_keep"))
-    old = original.select(*key, *[F.col(c).alias(f"_{c}") for c in "bgr"])
-    return pred.join(old, key).join(lab, key).select(
-        *key, *[F.when(F.col("_keep"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in "bgr"])
+    """Keep the original where the label pixel is (0,0,255) or white; pixels that are not in all three are left out.
+
+    The three meet by frame, as rows of whole pictures, not by pixel.
+    """
+    keep = F.coalesce((F.col("r") == 255) & (F.col("b") == F.col("g")) & F.col("b").isin(0, 255), F.lit(False))
+    key, bgr = ["y", "x"], ["b", "g", "r"]
+    (new, new_kinds), (old, old_kinds) = _gathered(pred, [*key, *bgr]), _gathered(original, [*key, *bgr])
+    lab, lab_kinds = _gathered(labels.select("frame_idx", *key, keep.alias("keep")), [*key, "keep"])
+    sides = new.withColumnRenamed("chunks", "new").join(old.withColumnRenamed("chunks", "old").hint("merge"), "frame_idx").join(
+        lab.withColumnRenamed("chunks", "lab").hint("merge"), "frame_idx")
+    wide = [(T.ByteType(), pa.int8()), (T.ShortType(), pa.int16()), (T.IntegerType(), pa.int32()), (T.LongType(), pa.int64())]
+    rank = {c: max([k for k, _ in wide].index(df.schema[c].dataType) for df in (pred, original)) for c in bgr}
+    kinds = {c: wide[k][1] for c, k in rank.items()}
+    schema = T.StructType([pred.schema["frame_idx"], *[pred.schema[c] for c in key], *[T.StructField(c, wide[rank[c]][0]) for c in bgr]])
+
+    def pixels(rows: pa.RecordBatch, name: str, kinds: dict[str, type]) -> pa.Table:
+        owner, v, null = _chunk_values(rows, name, kinds)
+        return pa.table({"f": owner, **{c: pa.array(v[c], mask=null[c]) for c in kinds}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = ["f", *key]
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            new, old, mark = pixels(rows, "new", new_kinds), pixels(rows, "old", old_kinds), pixels(rows, "lab", lab_kinds)
+            if all(t.select(at).equals(new.select(at)) for t in (old, mark)) and _ordered(new, at):
+                met = new.append_column("keep", mark.column("keep"))
+                for c in bgr:
+                    met = met.append_column(f"_{c}", old.column(c))
+            else:
+                met = new.join(old.rename_columns([*at, *[f"_{c}" for c in bgr]]), at, join_type="inner").join(mark, at, join_type="inner")
+            picked = [pc.if_else(met.column("keep"), met.column(f"_{c}").cast(kinds[c]), met.column(c).cast(kinds[c])) for c in bgr]
+            done = pa.table([rows.column("frame_idx").take(met.column("f").combine_chunks()), *[met.column(c) for c in key], *picked],
+                            names=["frame_idx", *key, *bgr])
+            yield from done.combine_chunks().to_batches(max_chunksize=PIXELS)
+
+    return sides.mapInArrow(run, schema)
+
+
+def _ordered(pixels: pa.Table, at: list[str]) -> bool:
+    """Whether the columns ``at`` rise from row to row, so that no pixel occurs twice, and hold no null."""
+    if any(pixels.column(c).null_count for c in at):
+        return False
+    more, same = np.zeros(max(len(pixels) - 1, 0), bool), np.ones(max(len(pixels) - 1, 0), bool)
+    for step in (np.diff(pixels.column(c).to_numpy()) for c in at):
+        more |= same & (step > 0)
+        same &= step == 0
+    return bool(more.all())
 
 
 def six_channel_input(reference: DataFrame, masked: DataFrame, key: str = "frame_idx") -> DataFrame:
     """Reference planes then masked planes, bytes over 255."""
-    unit = lambda c: F.transform(c, lambda v: (v / F.lit(255.0)).cast("float"))
-    return reference.select(key, unit("planes").alias("_a")).join(
-        masked.select(key, unit("planes").alias("_b")), key).select(key, F.concat("_a", "_b").alias("channels"))
+    both = reference.select(key, F.col("planes").alias("_a")).join(masked.select(key, F.col("planes").alias("_b")).hint("merge"), key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            a, b = rows.column("_a"), rows.column("_b")
+            size = lambda c: np.where(c.is_null().to_numpy(zero_copy_only=False), 0, np.diff(c.offsets.to_numpy()))
+            na, nb = size(a), size(b)
+            ends = np.append(0, np.cumsum(na + nb))
+            # Where a value goes: behind the values of earlier rows, those of ``_b`` behind the row's ``_a``.
+            to = np.concatenate([np.repeat(ends[:-1] - (np.cumsum(na) - na), na) + np.arange(na.sum()),
+                                 np.repeat(ends[:-1] + na - (np.cumsum(nb) - nb), nb) + np.arange(nb.sum())])
+            values = pa.concat_arrays([a.flatten(), b.flatten()])
+            null = values.is_null().to_numpy(zero_copy_only=False)
+            flat, gone = np.empty(len(values), np.float32), np.empty(len(values), bool)
+            flat[to] = (values.cast(pa.float64()).fill_null(0).to_numpy() / 255.0).astype(np.float32)
+            gone[to] = null
+            whole = (a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([rows.column(key), pa.ListArray.from_arrays(
+                pa.array(ends.astype(np.int32)), pa.array(flat, mask=gone), mask=pa.array(whole))], names=[key, "channels"])
+
+    return both.mapInArrow(run, T.StructType([reference.schema[key], T.StructField("channels", T.ArrayType(T.FloatType()))]))
 
 
 def pixel_stats(long: DataFrame) -> DataFrame:
@@ -199,11 +432,11 @@ def region_means(long: DataFrame, corner: int = 10, size: int = 20, half: int =
     inside = lambda v, lo, hi: (v >= lo) & (v < hi)
     y, x = F.col("y"), F.col("x")
     near, far = corner, corner + size
-    hits = F.array_compact(F.array(
-        F.when(inside(y, near, far) & inside(x, near, far), F.lit("top_left")),
-        F.when(inside(y, cy - half, cy + half) & inside(x, cx - half, cx + half), F.lit("center")),
-        F.when(inside(y, h - far, h - near) & inside(x, w - far, w - near), F.lit("bottom_right"))))
-    return long.withColumn("region", F.explode(hits)).groupBy("frame_idx", "region").agg(
+    areas = {"top_left": inside(y, near, far) & inside(x, near, far),
+             "center": inside(y, cy - half, cy + half) & inside(x, cx - half, cx + half),
+             "bottom_right": inside(y, h - far, h - near) & inside(x, w - far, w - near)}
+    hits = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in areas.items()]))
+    return long.where(areas["top_left"] | areas["center"] | areas["bottom_right"]).withColumn("region", F.explode(hits)).groupBy("frame_idx", "region").agg(
         *[F.avg(c).alias(c) for c in "bgr"])
 
 
@@ -218,8 +451,9 @@ def composite_frames(regions: DataFrame, rects: DataFrame, backgrounds: DataFram
 
     Rect and ring index are settled on (model, frame) first; regions become bytes before they move.
     """
-    plan = cyclic_join(strict_lookup(regions.select("model_id", "frame_idx").distinct(), rects), backgrounds.select("model_id", "ring_idx"))
-    looked = bgr_planes_to_pixels(regions).join(plan, ["model_id", "frame_idx"]).join(backgrounds, ["model_id", "ring_idx"])
+    # Sizes of made payloads are guessed far too low, so no side of these joins may be broadcast.
+    plan = cyclic_join(strict_lookup(regions.select("model_id", "frame_idx").distinct(), rects.hint("merge")), backgrounds.select("model_id", "ring_idx").hint("merge"))
+    looked = bgr_planes_to_pixels(regions).join(plan.hint("merge"), ["model_id", "frame_idx"]).join(backgrounds.hint("merge"), ["model_id", "ring_idx"])
     schema = T.StructType([looked.schema["model_id"], looked.schema["frame_idx"],
                            T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()),
                            T.StructField("rgb", T.BinaryType()), T.StructField("error", T.StringType())])
