@@ -325,29 +325,61 @@ def stft_magnitude(blocks: DataFrame, n_fft: int = 800, hop: int = 200, center:
                      span=span, dtype=dtype)
 
 
+def _mel_kernel(bank: np.ndarray):
+    """Function from the lists of a column to [rows][mels] values and where they are null, for a :func:`mel_matrix`."""
+    width, reach = bank.shape[1], bank != 0
+
+    def project(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, np.diff(col.offsets.to_numpy()))
+        flat = col.flatten()
+        gone = flat.is_null().to_numpy(zero_copy_only=False)
+        values = flat.fill_null(0).to_numpy().astype(np.float64, copy=False)
+        if (size == width).all():
+            mag, missing = values.reshape(-1, width), gone.reshape(-1, width)
+        else:
+            mag, missing = np.zeros((len(size), width)), np.ones((len(size), width), bool)
+            i = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+            row, use = np.repeat(np.arange(len(size)), size), i < width
+            mag[row[use], i[use]], missing[row[use], i[use]] = values[use], gone[use]
+        out, null = mag @ bank.T, np.zeros((len(mag), len(bank)), bool)
+        # A value that is not finite or not there touches only the filters that reach it.
+        for r in np.nonzero(missing.any(1) | ~np.isfinite(mag).all(1))[0]:
+            null[r] = (reach & missing[r]).any(1)
+            out[r] = [np.dot(mag[r][on], w[on]) for w, on in zip(bank, reach)]
+        return out, null
+
+    return project
+
+
 def mel_project(spec: DataFrame, bank: np.ndarray) -> DataFrame:
     """``mel[j] = sum_k mag[k]*w[j][k]`` on magnitudes, without leaving the row.
 
-    ``bank`` is :func:`mel_matrix`; only the taps of each filter enter the plan,
-    as one constant of fixed size.
+    ``bank`` is :func:`mel_matrix`.  Filters that reach past the magnitudes of a frame are null.
     """
-    first, taps = [], []
-    for row in bank:
-        on = np.flatnonzero(row)
-        lo, hi = (int(on[0]), int(on[-1]) + 1) if len(on) else (0, 1)
-        first.append(lo)
-        taps.append([float(w) for w in row[lo:hi]])
-    mel = F.zip_with(F.lit(first), F.lit(taps), lambda lo, w: F.aggregate(
-        F.zip_with(F.slice("mag", lo + 1, F.size(w)), w, lambda m, x: m * x),
-        F.lit(0.0), lambda acc, v: acc + v))
-    return spec.select(KEY, "frame_idx", mel.alias("mel"))
-
-
-def mel_project_long(spec: DataFrame, filters: DataFrame) -> DataFrame:
-    """The same in long form: (clip_id, frame_idx, bin, mag) to (.., mel, value).
-
-    Bins of a frame combine before the shuffle; Spark broadcasts the filters if they are small.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project = _mel_kernel(bank)
+        for rows in batches:
+            out, null = project(rows.column("mag"))
+            ends = pa.array(np.arange(0, out.size + 1, len(bank), np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column(KEY), rows.column("frame_idx"), pa.ListArray.from_arrays(
+                ends, pa.array(out.reshape(-1), mask=null.reshape(-1)))], names=[KEY, "frame_idx", "mel"])
+
+    kind = {c: spec.schema[c].dataType.simpleString() for c in (KEY, "frame_idx")}
+    return spec.select(KEY, "frame_idx", "mag").mapInArrow(run, f"{KEY} {kind[KEY]}, frame_idx {kind['frame_idx']}, mel array<double>")
+
+
+def mel_project_long(spec: DataFrame, filters: DataFrame | np.ndarray) -> DataFrame:
+    """The same in long form, (clip_id, frame_idx, mel, value).
+
+    Whole frames (clip_id, frame_idx, mag[]) with a :func:`mel_matrix` are projected in their row and nothing is shuffled; a filter
+    without a value has no row.  Rows (clip_id, frame_idx, bin, mag) with a :func:`mel_filterbank` are joined and summed: bins of a frame
+    combine before the shuffle, which moves a row per frame and filter; Spark broadcasts the filters if they are small.
     """
+    if isinstance(filters, np.ndarray):
+        wide = mel_project(spec, filters[filters.any(axis=1)])
+        number = F.array(*[F.lit(int(j)) for j in np.flatnonzero(filters.any(axis=1))])
+        return wide.select(KEY, "frame_idx", F.posexplode("mel").alias("at", "value")).where("value is not null").select(
+            KEY, "frame_idx", F.get(number, F.col("at")).alias("mel"), "value")
     return (
         spec.join(filters, "bin")
         .groupBy(KEY, "frame_idx", "mel").agg(F.sum(F.col("mag") * F.col("w")).alias("value"))

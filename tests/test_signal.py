@@ -106,3 +106,24 @@ def test_db_variants(spark):
     assert [r[0] for r in df.select(S.db_range_error(F.col("s"))).collect()] == [False, False, False, True]
     back = df.filter("s <= 0").select("s", S.denormalize_db(S.normalize_db(F.col("s"))).alias("d")).collect()
     assert all(r.s == pytest.approx(r.d) for r in back)
+
+
+def test_mel_of_whole_frames_moves_no_frame(spark):
+    """Long form of whole frames: the same values as by the join, odd frames by filter, and no shuffle."""
+    bank = S.mel_matrix(16000, 80, 20, 55.0, 7600.0)
+    rng = np.random.default_rng(3)
+    frames = [(1, i, rng.random(41).tolist()) for i in range(30)]
+    whole = spark.createDataFrame(frames, "clip_id long, frame_idx long, mag array<double>")
+    got = {(r.frame_idx, r.mel): r.value for r in S.mel_project_long(whole, bank).collect()}
+    joined = S.mel_project_long(whole.select("clip_id", "frame_idx", F.posexplode("mag").alias("bin", "mag")), S.mel_filterbank(spark, 16000, 80, 20, 55.0, 7600.0))
+    want = {(r.frame_idx, r.mel): r.value for r in joined.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Exchange" not in S.mel_project_long(whole, bank)._jdf.queryExecution().executedPlan().toString()
+    x = frames[0][2]
+    odd = spark.createDataFrame([(1, 0, x), (1, 1, x[:20]), (1, 2, [*x[:30], None, *x[31:]]), (1, 3, [*x[:30], float("nan"), *x[31:]]), (1, 4, None), (1, 5, x + [9.0])],
+                                "clip_id long, frame_idx long, mag array<double>")
+    mel = {r.frame_idx: r.mel for r in S.mel_project(odd, bank).collect()}
+    at30, past = bank[:, 30] != 0, (bank[:, 20:] != 0).any(1)
+    assert np.allclose(mel[5], mel[0]) and mel[4] == [None] * 20
+    assert [v is None for v in mel[1]] == past.tolist() and [v is None for v in mel[2]] == at30.tolist()
+    assert [bool(np.isnan(v)) for v in mel[3]] == at30.tolist()
