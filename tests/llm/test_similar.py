@@ -247,3 +247,34 @@ def test_embeddings(spark, monkeypatch):
         want.append((r[0], sum(linked(i, j) for j in range(len(rows)) if j != i), low, r[0] is not None and r[0] == low))
     assert got == sorted(want, key=str) and any(w[1] > 2 for w in want)
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_jaccard_pairs_are_compared_on_one_list():
+    """Whatever lists two sets share, exactly one of the block pairs compares them; equal components and sizes too far apart are left out."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(-9, 9, 7)) for _ in range(24)]
+    n, root = rng.integers(60, 100, 24), rng.integers(0, 9, 24)
+    seen = {}
+    for s in range(-9, 9):
+        for i in range(2):
+            for j in range(i, 2):
+                who = [m for m in range(24) if s in lists[m] and m % 2 in (i, j)]
+                rows = pd.DataFrame({"s": s, "sig": who, "n": n[who], "root": root[who], "first": [m % 2 == i for m in who], "inner": i == j,
+                                     "lists": [lists[m] for m in who]})
+                if not len(rows):
+                    continue
+                kept = jaccard_join._needed(75)(rows)
+                for part in (rows, kept):
+                    found = set()
+                    if len(part):
+                        left, right, pairs = jaccard_join._to_compare(part, 75)
+                        found = {frozenset((part.sig.iloc[left[a]], part.sig.iloc[right[b]])) for a, b in zip(*np.nonzero(pairs))}
+                    if part is kept:
+                        assert found == whole and set(part.sig) == set().union(*found)
+                    whole = found
+                for p in whole:
+                    seen[p] = seen.get(p, 0) + 1
+    want = {frozenset((a, b)) for a in range(24) for b in range(a) if root[a] != root[b] and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]) and set(lists[a]) & set(lists[b])}
+    assert set(seen) == want and set(seen.values()) == {1}
