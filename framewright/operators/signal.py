@@ -168,19 +168,31 @@ def silence_gate(blocks: DataFrame, threshold: float = 0.001) -> DataFrame:
     return blocks.filter(F.exists("samples", lambda v: F.abs(v) > F.lit(threshold)))
 
 
-def silent_runs(blocks: DataFrame, threshold: float = 0.001) -> DataFrame:
+def silent_runs(blocks: DataFrame, threshold: float = 0.001, span: int = 1024) -> DataFrame:
     """Runs of silent blocks: (clip, first block, last block, blocks).
 
-    A run starts where the block before is not silent and ends where the next is not, each an anti join on (clip, block).
-    An end meets its start as the last start before it, over range parts, so no clip is ordered in one task.
+    Runs are found inside stretches of ``span`` blocks.  Only those that touch the edge of their stretch may go on in the next: of
+    these a run starts where none ends just before and ends where none starts just after, each an anti join, and an end
+    meets its start as the last start before it, over range parts, so no clip is ordered in one task.
     """
-    quiet = blocks.where(~F.exists("samples", lambda v: F.abs(v) > F.lit(threshold))).select(KEY, "block_idx").distinct()
-    beside = lambda step: quiet.join(quiet.select(KEY, (F.col("block_idx") + step).alias("block_idx")), [KEY, "block_idx"], "left_anti")
-    starts = beside(1).select(KEY, "block_idx", F.lit(0).alias("_kind"), F.col("block_idx").alias("_start"))
-    ends = beside(-1).select(KEY, "block_idx", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_start"))
+    at = F.floor(F.col("block_idx") / F.lit(span)).cast("long")
+    quiet = blocks.where(~F.exists("samples", lambda v: F.abs(v) > F.lit(threshold))).select(KEY, "block_idx", at.alias("_at")).repartition(
+        KEY, "_at").dropDuplicates([KEY, "_at", "block_idx"])
+    place = F.row_number().over(Window.partitionBy(KEY, "_at").orderBy("block_idx"))
+    runs = quiet.withColumn("_run", F.col("block_idx") - place).groupBy(KEY, "_at", "_run").agg(
+        F.min("block_idx").alias("first_block"), F.max("block_idx").alias("last_block")).select(KEY, "first_block", "last_block")
+    edge = (F.pmod("first_block", F.lit(span)) == 0) | (F.pmod(F.col("last_block") + 1, F.lit(span)) == 0)
+    touching = runs.where(edge)
+    # A clip that is null is one like any other.
+    same = F.col(KEY).eqNullSafe(F.col("_clip"))
+    other = touching.select(F.col(KEY).alias("_clip"), F.col("first_block").alias("_first"), F.col("last_block").alias("_last"))
+    starts = touching.join(other, same & (F.col("_last") + 1 == F.col("first_block")), "left_anti").select(
+        KEY, F.col("first_block").alias("block_idx"), F.lit(0).alias("_kind"), F.col("first_block").alias("_start"))
+    ends = touching.join(other, same & (F.col("_first") - 1 == F.col("last_block")), "left_anti").select(
+        KEY, F.col("last_block").alias("block_idx"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_start"))
     paired = OrderedParts(starts.unionByName(ends), [KEY], ["block_idx", "_kind"]).running("_start", "first_block", "last")
-    return paired.where("_kind = 1").select(KEY, "first_block", F.col("block_idx").alias("last_block"),
-                                            (F.col("block_idx") - F.col("first_block") + 1).alias("blocks"))
+    whole = paired.where("_kind = 1").select(KEY, "first_block", F.col("block_idx").alias("last_block"))
+    return whole.unionByName(runs.where(~edge)).withColumn("blocks", F.col("last_block") - F.col("first_block") + 1)
 
 
 def fit_length(column: Column, n: int, zero: Column | None = None) -> Column:

@@ -135,11 +135,16 @@ def _clock_segments(df: DataFrame, vec: str, rate: int, fps: int, size: int, ahe
     return segs.filter(f_lo <= f_hi), f_lo, f_hi
 
 
-def _clock_rows(f: Column, rate: int, fps: int, size: int) -> list[Column]:
-    """The ``size`` vectors of clock frame f: end-clamped, start floored at 0, last row repeated."""
+def _clock_start(f: Column, rate: int, fps: int, size: int) -> Column:
+    """First row of clock frame f's window: moved back at the clip's end, 0 at least."""
     n = F.col("hi") + 1
     nominal = F.floor(f * rate / F.lit(fps)).cast("long")
-    start = F.greatest(F.when(nominal + size > n, n - size).otherwise(nominal), F.lit(0))
+    return F.greatest(F.when(nominal + size > n, n - size).otherwise(nominal), F.lit(0))
+
+
+def _clock_rows(f: Column, rate: int, fps: int, size: int) -> list[Column]:
+    """The ``size`` vectors of clock frame f: end-clamped, start floored at 0, last row repeated."""
+    start = _clock_start(f, rate, fps, size)
     top = (F.col("hi") - F.col("lo")).cast("int")
     return [F.get("rows", F.least((start + j - F.col("lo")).cast("int"), top))["v"] for j in range(size)]
 
@@ -157,7 +162,8 @@ def segmented_windows(df: DataFrame, vec: str, t: int = 5, rate: int = 80, fps:
     """For frame i the windows at clock frames i-1 .. i+3; null at i=0 or for clips shorter than a window."""
     segs, f_lo, f_hi = _clock_segments(df, vec, rate, fps, size, t - 1, span, "offline", None)
     ok = (F.col("w") >= 1) & (F.col("hi") + 1 >= size)
-    window = F.when(ok, F.array(*[F.array(*_clock_rows(F.col("w") - 1 + k, rate, fps, size)) for k in range(t)]))
+    # Clips of a window or more have all its rows, so each window is a slice.
+    window = F.when(ok, F.array(*[F.slice("rows.v", (_clock_start(F.col("w") - 1 + k, rate, fps, size) - F.col("lo") + 1).cast("int"), size) for k in range(t)]))
     return _window_rows(segs, f_lo, f_hi, "video_frame", window)
 
 
@@ -205,8 +211,10 @@ def forward_slice(df: DataFrame, vec: str, size: int = 3) -> DataFrame:
     return gather_windows(df, vec, -1, size - 1, "edge")
 
 
-def transpose_window(window: Column, width: int) -> Column:
-    """[steps][width] to [width][steps]."""
+def transpose_window(window: Column, width: int, steps: int | None = None) -> Column:
+    """[steps][width] to [width][steps].  With ``steps``, for windows that all have so many, the places are taken one by one in compiled code."""
+    if steps is not None:
+        return F.when(window.isNotNull(), F.array(*[F.array(*[F.get(F.get(window, j), m) for j in range(steps)]) for m in range(width)]))
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                        lambda m: F.transform(window, lambda row: F.get(row, m)))
 

@@ -140,11 +140,34 @@ def weigh(vec: Column) -> Column:
         F.lit(0.0), lambda a, b: a + b)
 
 
-@F.pandas_udf(T.DoubleType())
-def weigh_flat(col: pd.Series) -> pd.Series:
+def _weighed(col: pa.Array, weights: np.ndarray | None) -> pa.Array:
+    """Sum of each list's values times ``weights``, or times their places from 1 on; null for a null list."""
+    null = col.is_null().to_numpy(zero_copy_only=False)
+    size = np.where(null, 0, np.diff(col.offsets.to_numpy()))
+    flat, at = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64), _within(size)
+    out, some = np.zeros(len(size)), size > 0
+    if len(flat):
+        out[some] = np.add.reduceat(flat * (at + 1 if weights is None else weights[at]), (np.cumsum(size) - size)[some])
+    return pa.array(out, mask=null)
+
+
+@F.arrow_udf(T.DoubleType())
+def weigh_flat(col: pa.Array) -> pa.Array:
     """:func:`weigh` for long flat arrays, over Arrow."""
-    return col.map(lambda v: None if v is None else float(np.dot(
-        np.asarray(v, dtype=np.float64), np.arange(1, len(v) + 1))))
+    return _weighed(col, None)
+
+
+def weigh_grid(*shape: int):
+    """Function of a flattened grid of (up to) this shape: the sum of its values, each times its places from 1 on along all axes."""
+    weights = np.ones(1)
+    for n in shape:
+        weights = np.multiply.outer(weights, np.arange(1, n + 1)).reshape(-1)
+
+    @F.arrow_udf(T.DoubleType())
+    def weighed(col: pa.Array) -> pa.Array:
+        return _weighed(col, weights)
+
+    return weighed
 
 
 @F.pandas_udf(T.LongType())

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from framewright.operators import windows as W
 from framewright.plans.adapters import (
-    CLIPS_SQL, FEATURES_SQL, STEPS_SQL, features, r, rnd, step_series, table, text_blocks, weigh,
+    CLIPS_SQL, FEATURES_SQL, STEPS_SQL, features, r, rnd, step_series, table, text_blocks, weigh, weigh_flat, weigh_grid,
 )
 from framewright.plans.registry import query
 
 
+_GRID, _STACK = weigh_grid(16, 4), weigh_grid(5, 16, 4)
+
+
 def _chk(window):
-    """``sum (j+1) * weigh(row j)`` over the rows of a window."""
-    return F.aggregate(F.transform(window, lambda v, j: weigh(v) * (j + 1)), F.lit(0.0), lambda a, b: a + b)
+    """``sum (j+1) * weigh(row j)`` over the rows of a window, up to 16 of four values."""
+    return _GRID(F.flatten(window))
 
 
 def _windows_sql(lo: int, hi: int, pad: str) -> str:
@@ -161,7 +164,7 @@ got AS (SELECT st.clip_id, f, sum((k + 1) * (j + 1) * v) AS chk FROM st, range(1
 SELECT fr.clip_id, fr.f AS video_frame, {r('chk')} AS chk FROM fr LEFT JOIN got ON got.clip_id = fr.clip_id AND got.f = fr.f""")
 def w10(spark, sf):
     out = W.segmented_windows(step_series(spark, sf), "vec")
-    chk = F.aggregate(F.transform("window", lambda w, k: _chk(w) * (k + 1)), F.lit(0.0), lambda a, b: a + b)
+    chk = _STACK(F.flatten(F.flatten("window")))
     return out.select("clip_id", "video_frame", rnd(chk).alias("chk"))
 
 
@@ -170,8 +173,8 @@ SELECT w.clip_id, w.frame_idx AS window_idx, {r('sum((o + 1) * list_sum(x.q) + 1
 FROM steps w JOIN lens USING (clip_id), range(16) a(o) JOIN steps x ON x.clip_id = w.clip_id AND x.frame_idx = least(w.frame_idx + o, n - 1) GROUP BY 1, 2""")
 def w11(spark, sf):
     out = W.sliding_windows(step_series(spark, sf), "vec")
-    flat = F.flatten(W.transpose_window(F.col("window"), 4))
-    return out.select("clip_id", "window_idx", rnd(weigh(flat)).alias("chk"))
+    flat = F.flatten(W.transpose_window(F.col("window"), 4, 16))
+    return out.select("clip_id", "window_idx", rnd(weigh_flat(flat)).alias("chk"))
 
 
 @query("w11_reshape_check", """WITH t AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'ave' WHEN 1 THEN 'hubert'
@@ -201,7 +204,7 @@ def w12(spark, sf):
     out = W.clamped_features(req, features(spark, sf), "feature").withColumn(
         "tile", W.tile_feature(F.col("feature")))
     return out.select("request_id", "clip_id", "src_idx", F.size("tile").cast("long").alias("n"),
-                      rnd(weigh(F.col("tile")), 4).alias("chk"))
+                      rnd(weigh_flat("tile"), 4).alias("chk"))
 
 
 @query("w13_replicate_feature", f"""WITH {FEATURES_SQL}

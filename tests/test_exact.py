@@ -68,3 +68,12 @@ def test_few_files_per_key(spark, tmp):
     for key in "012":
         assert len([f for f in os.listdir(tmp / "t" / "frames" / f"model_id={key}") if f.endswith(".parquet")]) <= 2
     assert spark.read.parquet(str(tmp / "t" / "frames")).count() == 3000
+
+
+def test_silent_runs_over_the_edges_of_stretches(spark):
+    """Runs that fill whole stretches, touch an edge, repeat a block or belong to no clip; few stretches are ordered at all."""
+    quiet = {1: [*range(0, 13), 15, 16, 19, *range(20, 24), 30], 2: [3, 4, 8], None: [7, 8]}
+    rows = [(c, b, 1, [0.0]) for c, bs in quiet.items() for b in bs] + [(1, 13, 1, [0.5]), (1, 4, 1, [0.0])]
+    df = spark.createDataFrame(rows, "clip_id int, block_idx long, n int, samples array<double>").repartition(3)
+    got = sorted(((r.clip_id or 0, r.first_block, r.last_block, r.blocks) for r in signal.silent_runs(df, span=4).collect()))
+    assert got == [(0, 7, 8, 2), (1, 0, 12, 13), (1, 15, 16, 2), (1, 19, 23, 5), (1, 30, 30, 1), (2, 3, 4, 2), (2, 8, 8, 1)]

@@ -102,3 +102,19 @@ def test_chunk_windows_reject(spark):
         2: "wants 17 chunks, has 16", 3: "wants 16 chunks, has 0"}
     assert sorted((r.window_idx, r.window[0][0], r.saved_share) for r in out if not r.error) == [
         (0, 0.0, 15 / 32), (1, 1.0, 15 / 32)]
+
+
+def test_transposed_windows_of_known_steps(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]), (2, None)], "k int, window array<array<double>>")
+    got = {r.k: r.t for r in df.select("k", W.transpose_window(F.col("window"), 2, 3).alias("t")).collect()}
+    assert got == {1: [[1.0, 3.0, 5.0], [2.0, 4.0, 6.0]], 2: None}
+    assert "lambda" not in df.select(W.transpose_window(F.col("window"), 2, 3))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weighed_grids(spark):
+    from framewright.plans.adapters import weigh_flat, weigh_grid
+
+    rows = [(1, [1.0, 2.0, 3.0, 4.0]), (2, []), (3, None), (4, [5.0]), (5, [1.0, None])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").coalesce(1)
+    got = {r.k: (r.a, r.b) for r in df.select("k", weigh_flat("v").alias("a"), weigh_grid(2, 2)("v").alias("b")).collect()}
+    assert got[1] == (30.0, 1 + 4 + 6 + 16) and got[2] == (0.0, 0.0) and got[3] == (None, None) and got[4] == (5.0, 5.0)
