@@ -492,22 +492,19 @@ def validate_length(blocks: DataFrame, batch: int, win: int = 800, hop: int = 20
 
 
 def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
-                    hop: int = 200, span: int = 64) -> DataFrame:
+                    hop: int = 200, span: int = 256, reach: int = 64) -> DataFrame:
     """Samples for ``batch + 15`` video frames, starting 8 frames early.
 
     ``requests`` is (request_id, clip_id, start_frame, batch).  A start past the
     end wraps modulo the clip length; the end is cut at the clip's end.  A request
     for an unknown or empty clip is one row with an error and no samples.
 
-    Blocks are gathered into stripes of ``span`` blocks once; they give the clip lengths, and a request meets the two or
-    three stripes it touches rather than each block.
+    Blocks are gathered once into stripes of ``span`` blocks that also hold the next ``reach`` blocks, so a request for up to ``reach``
+    blocks is cut out of the one stripe it starts in: requests travel, samples do not.  Only the parts of longer requests are gathered.
     """
     spf, width = sr * 40 // 1000, span * hop
-    stripe = F.floor(F.col("block_idx") / F.lit(span)).cast("long")
-    stripes = blocks.select(KEY, stripe.alias("_at"), "block_idx", "samples").repartition(KEY, "_at").groupBy(KEY, "_at").agg(
-        F.sort_array(F.collect_list(F.struct("block_idx", "samples"))).alias("b")).select(
-        KEY, "_at", F.flatten(F.transform("b", lambda b: b["samples"])).alias("samples"))
-    lengths = stripes.select(KEY, F.size("samples").cast("long").alias("n")).groupBy(KEY).agg(F.sum("n").alias("n_samples"))
+    stripes = _segment_rows(blocks, span, 0, reach).select(KEY, F.col("seg").alias("_at"), "samples")
+    lengths = blocks.select(KEY, F.size("samples").cast("long").alias("n")).groupBy(KEY).agg(F.sum("n").alias("n_samples"))
     raw = F.greatest(F.col("start_frame") - 8, F.lit(0)).cast("long") * spf
     req = (
         salted_attach(requests, lengths, [KEY], ["request_id"], how="left")
@@ -518,19 +515,27 @@ def slice_for_batch(blocks: DataFrame, requests: DataFrame, sr: int = 16000,
     )
     refused = req.filter("error is not null").select("request_id", KEY, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"),
                                                      F.lit(None).cast("array<float>").alias("samples"), "error")
-    wanted = req.filter("error is null").select("request_id", KEY, "start", "stop", F.explode(F.sequence(
-        F.floor(F.col("start") / F.lit(width)).cast("long"), F.floor((F.col("stop") - 1) / F.lit(width)).cast("long"))).alias("_at"))
-    a = F.greatest(F.col("start") - F.col("_at") * width, F.lit(0)).cast("int")
-    b = F.least(F.col("stop") - F.col("_at") * width, F.lit(width)).cast("int")
-    parts = wanted.join(stripes, [KEY, "_at"]).select("request_id", KEY, "start", "stop", "_at", F.slice("samples", a + 1, b - a).alias("part"))
-    return (
+    good = req.filter("error is null").select("request_id", KEY, "start", "stop")
+    first = F.floor(F.col("start") / F.lit(width)).cast("long")
+    one = F.col("stop") - first * width <= width + reach * hop
+
+    def cut(wanted: DataFrame, last: Column) -> DataFrame:
+        """Wanted rows, up to sample ``last`` of their stripe, with their samples of it."""
+        a = F.greatest(F.col("start") - F.col("_at") * width, F.lit(0)).cast("int")
+        b = (F.least(F.col("stop"), last) - F.col("_at") * width).cast("int")
+        return wanted.join(stripes, [KEY, "_at"]).select("request_id", KEY, "start", "stop", "_at", F.slice("samples", a + 1, b - a).alias("part"))
+
+    whole = cut(good.where(one).withColumn("_at", first), F.col("stop"))
+    parts = cut(good.where(~one).withColumn("_at", F.explode(F.sequence(first, F.floor((F.col("stop") - 1) / F.lit(width)).cast("long")))),
+                (F.col("_at") + 1) * width)
+    joined = (
         parts.repartition("request_id")
         .groupBy("request_id", KEY, "start", "stop")
         .agg(F.sort_array(F.collect_list(F.struct("_at", "part"))).alias("parts"))
-        .select("request_id", KEY, "start", "stop",
-                F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"), F.lit(None).cast("string").alias("error"))
-        .unionByName(refused)
+        .select("request_id", KEY, "start", "stop", F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"))
     )
+    return whole.select("request_id", KEY, "start", "stop", F.col("part").alias("samples")).unionByName(joined).withColumn(
+        "error", F.lit(None).cast("string")).unionByName(refused)
 
 
 def rate_check(clips: DataFrame, expected: int = 16000) -> DataFrame:
