@@ -76,9 +76,10 @@ def eye_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def denormalize_landmarks(points: DataFrame, mean: DataFrame, boxes: DataFrame) -> DataFrame:
     """Relative offsets plus the mean face, scaled by the box, truncated, moved to its origin.
 
-    ``mean`` has one row per landmark point; Spark broadcasts it if it is small.
+    ``mean`` has one row per landmark point; Spark broadcasts it if it is small.  Boxes, one row a frame, are the hashed side: points are not
+    sorted, and points that are dealt by frame stay where they are.
     """
-    rel = points.join(mean, "point_idx").join(boxes, FRAME)
+    rel = points.join(boxes.hint("shuffle_hash"), FRAME).join(mean, "point_idx")
     return rel.select(
         *FRAME, "point_idx",
         (((F.col("dx") + F.col("mx")) * F.col("w")).cast("int") + F.col("ox")).alias("x"),

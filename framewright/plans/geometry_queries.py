@@ -13,10 +13,11 @@ LMS_SQL = """lms AS (SELECT 'm' || (o_custkey % 8) AS model_id, o_orderkey AS fr
 
 
 def landmarks(spark, sf):
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    """Dealt by frame before the points are made, so that what goes by frame moves no points."""
+    model = F.concat(F.lit("m"), (F.col("o_custkey") % 8).cast("string"))
+    o = spread(table(spark, sf, "orders").select(model.alias("model_id"), F.col("o_orderkey").alias("frame_idx"), "o_orderkey", "o_custkey"), "model_id", "frame_idx")
     return o.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(109)))).select(
-        F.concat(F.lit("m"), (F.col("o_custkey") % 8).cast("string")).alias("model_id"),
-        F.col("o_orderkey").alias("frame_idx"), F.col("p").alias("point_idx"),
+        "model_id", "frame_idx", F.col("p").alias("point_idx"),
         ((F.col("o_orderkey") * 31 + F.col("p") * F.col("p") * 17) % 640).cast("int").alias("x"),
         ((F.col("o_custkey") * 7 + F.col("p") * 29) % 480).cast("int").alias("y"))
 

@@ -41,3 +41,10 @@ def test_long_slices_are_put_together_over_stripes(spark):
         for r in S.slice_for_batch(blocks, req, span=span, reach=reach).collect():
             start = max(0, {1: 0, 2: 9, 5: 20, 30: 10, 31: 8}[r.request_id] - 8) * 640
             np.testing.assert_array_equal(np.float32(r.samples), x[start:start + (r.request_id + 15) * 640])
+
+
+def test_boxes_go_to_points_dealt_by_frame(spark):
+    """1.6 million points of 15 000 frames stay where they are; only orders and boxes move."""
+    from framewright.plans import registry
+
+    assert moved(spark, registry.all_queries()["g06_denormalize_landmarks"](spark, "/root/testdata/sf0.01")) < 3
