@@ -22,12 +22,23 @@ KEY = "clip_id"
 # ---------------------------------------------------------------- layout
 
 def to_blocks(samples: DataFrame, hop: int = 200) -> DataFrame:
-    """Long form (clip_id, sample_idx, value) to blocks of ``hop`` samples."""
+    """Long form (clip_id, sample_idx, value) to blocks of ``hop`` samples.
+
+    Places and values are collected as two lists of plain numbers, 8 bytes a sample, and paired after the shuffle; the place of a
+    value that is null is stored as ``-1 - place``, because lists leave nulls out.
+    """
+    place = F.coalesce(F.col("sample_idx") - F.col("block_idx") * hop, F.lit(0)).cast("int")
+    value = F.col("value").cast("float")
+    pair = lambda p, v: F.struct(F.when(p < 0, -1 - p).otherwise(p).alias("p"), F.when(p >= 0, v).alias("v"))
+    first = F.get("p", F.lit(0))
+    in_order = (first >= 0) & (F.col("p") == F.sequence(first, first + F.size("p") - 1))
+    pairs = F.when(F.array_min("p") >= 0, F.arrays_zip("p", "v")).otherwise(F.zip_with("p", "v", pair))
     return (
-        samples.groupBy(KEY, F.floor(F.col("sample_idx") / F.lit(hop)).cast("long").alias("block_idx"))
-        .agg(F.sort_array(F.collect_list(F.struct("sample_idx", "value"))).alias("s"))
-        .select(KEY, "block_idx", F.size("s").alias("n"),
-                F.transform("s", lambda s: s["value"].cast("float")).alias("samples"))
+        samples.withColumn("block_idx", F.floor(F.col("sample_idx") / F.lit(hop)).cast("long"))
+        .groupBy(KEY, "block_idx")
+        .agg(F.collect_list(F.when(value.isNull(), -1 - place).otherwise(place)).alias("p"), F.collect_list(F.coalesce(value, F.lit(0).cast("float"))).alias("v"))
+        .select(KEY, "block_idx", F.size("p").alias("n"),
+                F.when(in_order, F.col("v")).otherwise(F.transform(F.sort_array(pairs), lambda s: s["v"])).alias("samples"))
     )
 
 

@@ -48,3 +48,16 @@ def test_boxes_go_to_points_dealt_by_frame(spark):
     from framewright.plans import registry
 
     assert moved(spark, registry.all_queries()["g06_denormalize_landmarks"](spark, "/root/testdata/sf0.01")) < 3
+
+
+def test_samples_move_as_plain_numbers(spark):
+    """3 million samples of few values, in order."""
+    samples = spark.range(3_000_000).select((F.col("id") % 50).alias("clip_id"), F.floor(F.col("id") / 50).alias("sample_idx"), (F.col("id") % 7 / 8).alias("value"))
+    assert moved(spark, S.to_blocks(samples)) < 18
+
+
+def test_blocks_of_samples_with_gaps_copies_and_nulls(spark):
+    rows = [("a", 3, 0.5), ("a", 1, None), ("a", 0, 0.25), ("a", 3, 0.125), ("a", 3, None), ("a", 5, 1.0), (None, 4, 2.0), ("b", None, 3.0), ("b", None, None)]
+    got = S.to_blocks(spark.createDataFrame(rows, "clip_id string, sample_idx long, value double").repartition(4), 4).collect()
+    assert {(r.clip_id, r.block_idx, r.n, tuple(r.samples)) for r in got} == {
+        ("a", 0, 5, (0.25, None, None, 0.125, 0.5)), ("a", 1, 1, (1.0,)), (None, 1, 1, (2.0,)), ("b", None, 2, (None, 3.0))}
