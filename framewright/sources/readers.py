@@ -73,13 +73,22 @@ def read_pcm_clips(spark: SparkSession, path: str, hop: int = 200) -> DataFrame:
 
 
 def read_landmarks(spark: SparkSession, path: str, frame_pattern: str = r"(\d+)\.lms$",
-                   model_pattern: str | None = None) -> DataFrame:
+                   model_pattern: str | None = None, packed: bool = False) -> DataFrame:
     """One text file per frame, one ``x y`` line per point; floats truncated to int.
 
-    The frame and model come from the file path by the given patterns.
+    The frame and model come from the file path by the given patterns.  ``packed`` says that ``path`` is Parquet whose rows
+    (path, value) are such files, which spares a large set the cost of opening each.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    name = F.input_file_name()
+    if packed:
+        files = spark.read.schema("path string, value string").parquet(path)
+    else:
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return parse_landmarks(files, frame_pattern, model_pattern)
+
+
+def parse_landmarks(files: DataFrame, frame_pattern: str = r"(\d+)\.lms$", model_pattern: str | None = None) -> DataFrame:
+    """The points of (path, value) rows that are landmark files."""
+    name = F.col("path")
     model = F.regexp_extract(name, model_pattern, 1) if model_pattern else F.lit("default")
     lines = F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")
     points = files.select(model.alias("model_id"), F.regexp_extract(name, frame_pattern, 1).cast("long").alias("frame_idx"),
@@ -125,9 +134,9 @@ def manifest_columns(docs: DataFrame) -> DataFrame:
                        count.alias("frame_count"), "videos")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Package JSON files, one object per file."""
-    docs = spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+def read_manifests(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Package JSON files, one object per file; ``packed`` ones hold an object per line."""
+    docs = spark.read.schema(MANIFEST).option("multiLine", str(not packed).lower()).option("recursiveFileLookup", "true").json(path)
     return manifest_columns(docs)
 
 
