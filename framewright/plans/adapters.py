@@ -157,6 +157,12 @@ def weigh_flat(col: pa.Array) -> pa.Array:
     return _weighed(col, None)
 
 
+@F.arrow_udf(T.DoubleType())
+def total_flat(col: pa.Array) -> pa.Array:
+    """Sum of each list, over Arrow."""
+    return _weighed(col, np.ones(int(np.diff(col.offsets.to_numpy()).max(initial=0))))
+
+
 def weigh_grid(*shape: int):
     """Function of a flattened grid of (up to) this shape: the sum of its values, each times its places from 1 on along all axes."""
     weights = np.ones(1)

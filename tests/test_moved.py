@@ -61,3 +61,10 @@ def test_blocks_of_samples_with_gaps_copies_and_nulls(spark):
     got = S.to_blocks(spark.createDataFrame(rows, "clip_id string, sample_idx long, value double").repartition(4), 4).collect()
     assert {(r.clip_id, r.block_idx, r.n, tuple(r.samples)) for r in got} == {
         ("a", 0, 5, (0.25, None, None, 0.125, 0.5)), ("a", 1, 1, (1.0,)), (None, 1, 1, (2.0,)), ("b", None, 2, (None, 3.0))}
+
+
+def test_totals_of_lists(spark):
+    from framewright.plans.adapters import total_flat
+
+    df = spark.createDataFrame([(1, [1.0, 2.5]), (2, []), (3, None), (4, [4.0])], "k int, v array<double>").coalesce(1)
+    assert {r.k: r.t for r in df.select("k", total_flat("v").alias("t")).collect()} == {1: 3.5, 2: 0.0, 3: None, 4: 4.0}
