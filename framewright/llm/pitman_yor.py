@@ -12,7 +12,8 @@ Seating is sampled by Gibbs on the number of tables of each dish in each restaur
 generalised Stirling numbers, for up to ``EXACT`` customers; later ones are seated in turn, in blocks of doubling size.
 The weights of a dish and of its parent are averaged over samples, so the averaged predictive probabilities still add up.
 
-Word pairs are dealt out by the hash of the pair, so the restaurant of a frequent word is spread over all parts; its
+Texts are cut into batches that number their words and pairs of words themselves.  Only hashes of pairs are dealt out to be counted;
+the answers name for each pair one batch that is to seat it, so the restaurant of a frequent word is spread over all batches; its
 customers and tables are sums.  Between the rounds, all pairs are seated given those sums.
 
 Spelling restaurants are dealt out by their last two bytes, so a context and its parents down to that length sit together.
@@ -22,7 +23,6 @@ What is above (at most 65,536 dishes of one-byte contexts) is seated on the driv
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import byte_texts, chunks, mix, word_hashes, words
+from framewright.llm.base import byte_texts, chunks, mix
 from framewright.session import written
 
 EXACT = 48
@@ -42,7 +42,7 @@ WORD, CONTEXT = 5, 6
 PART_PAIRS = 1_000_000  # pairs asked of one part of the hash range
 MODEL_ROWS = 2_000_000  # rows of the model broadcast at a time
 COUNT_ROWS = 200_000  # words or n-grams a task holds before it passes them on
-BATCH = 3 << 20  # bytes of text in one batch of word counts
+BATCH = 12 << 20  # bytes of text in one batch of word counts
 END = b"\n"
 
 
@@ -65,35 +65,6 @@ def _mark(kind: int = 0) -> bytes:
     return bytes([14 + kind])
 
 
-def _types(rows: DataFrame) -> DataFrame:
-    """(word, h, n): distinct words of all texts, a mark first, and their training tokens; the end is the empty word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt: Counter[bytes] = Counter()
-        others: set[bytes] = set()
-
-        def out() -> pa.RecordBatch:
-            ws = [*learnt, *(others - learnt.keys())]
-            n = [*learnt.values()]
-            return pa.RecordBatch.from_arrays([pa.array([_mark() + w for w in ws], pa.binary()), pa.array(word_hashes(ws).view(np.int64)),
-                                               pa.array(n + [0] * (len(ws) - len(n)), pa.int64())], names=["word", "h", "n"])
-
-        for part in chunks(batches, "text"):
-            for t, held in zip(byte_texts(part.column("text")), part.column("held").to_pylist()):
-                ws = [*words(t), b""]
-                if held:
-                    others.update(ws)
-                else:
-                    learnt.update(ws)
-            if len(learnt) + len(others) > COUNT_ROWS:
-                yield out()
-                learnt.clear()
-                others.clear()
-        yield out()
-
-    return rows.select("text", "held").mapInArrow(run, "word binary, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
-
-
 def _counts(types: DataFrame) -> DataFrame:
     """(code, n): five-byte sequences in the spellings of the words, one spelling for each of their ``t`` tables."""
 
@@ -132,38 +103,47 @@ def _stirling(d: float) -> np.ndarray:
 _STIRLING = [_stirling(d) for d in DISCOUNT]
 
 
-def seat(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, p: np.ndarray, level: int, rng: np.random.Generator,
-         total: np.ndarray | None = None) -> np.ndarray:
-    """New table numbers of all dishes: c customers, t tables now, restaurant number, probability under the parent.
+_WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, EXACT)
+
 
-    ``total`` has the tables of each restaurant if it has more dishes than those given."""
+def seat(c: np.ndarray, others: np.ndarray, lp: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    """New table numbers of all dishes: c customers, tables of the others in the restaurant, log of the probability under the parent.
+
+    Dishes of about as many customers are drawn together, so a dish costs what its customers need."""
     d, theta, log_s = DISCOUNT[level], STRENGTH[level], _STIRLING[level]
-    total = np.bincount(ctx, t) if total is None else total
     out = np.ones_like(c)
-    many = np.nonzero(c > 1)[0]
-    steps = np.arange(1, EXACT + 1)
-    for at in np.array_split(many, max(1, len(many) // 20_000 + 1)):
-        if not len(at):
-            continue
-        others = total[ctx[at]] - t[at]
-        first = np.minimum(c[at], EXACT)
-        with np.errstate(divide="ignore"):
-            opened = np.cumsum(np.log(theta + d * (others[:, None] + steps - 1)), axis=1)
-            weight = log_s[first][:, 1:] + opened + steps * np.log(p[at])[:, None]
-        weight += rng.gumbel(size=weight.shape)
-        tables = weight.argmax(1) + 1
-        seated, left = first.astype(np.float64), (c[at] - first).astype(np.int64)
-        while left.any():
-            block = np.minimum(left, np.maximum(1, seated.astype(np.int64)))
-            middle = seated + block / 2
-            new = (theta + d * (others + tables)) * p[at]
-            chance = np.clip(new / (new + np.maximum(middle - d * tables, 1e-9)), 0, 1)
-            tables = tables + rng.binomial(block, chance)
-            seated, left = seated + block, left - block
-        out[at] = tables
+    first = np.minimum(c, EXACT)
+    order = np.argsort(first.astype(np.int8), kind="stable")
+    cuts = np.searchsorted(first[order], _WIDTHS, "right")
+    for width, start, stop in zip(_WIDTHS[1:], cuts, cuts[1:]):
+        steps = np.arange(1, width + 1)
+        for k in range(start, stop, max(1, 400_000 // width)):
+            at = order[k:min(stop, k + max(1, 400_000 // width))]
+            weight = np.log(theta + d * (others[at][:, None] + (steps - 1)))
+            np.cumsum(weight, axis=1, out=weight)
+            weight += log_s[first[at], 1:width + 1]
+            weight += steps * lp[at][:, None]
+            weight -= weight.max(1, keepdims=True)
+            np.cumsum(np.exp(weight, out=weight), axis=1, out=weight)
+            tables = np.minimum(1 + (weight <= (rng.random(len(at)) * weight[:, -1])[:, None]).sum(1), first[at])
+            seated, left, p = first[at].astype(np.float64), (c[at] - first[at]).astype(np.int64), np.exp(lp[at])
+            while left.any():
+                block = np.minimum(left, np.maximum(1, seated.astype(np.int64)))
+                middle = seated + block / 2
+                new = (theta + d * (others[at] + tables)) * p
+                chance = np.clip(new / (new + np.maximum(middle - d * tables, 1e-9)), 0, 1)
+                tables = tables + rng.binomial(block, chance)
+                seated, left = seated + block, left - block
+            out[at] = tables
     return out
 
 
+def _reseated(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, p: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    """``seat`` for whole restaurants: t tables now, restaurant number, probability under the parent."""
+    t = np.minimum(t, c)
+    return np.minimum(seat(c, np.bincount(ctx, t)[ctx] - t if len(c) else t, np.log(p), level, rng), c)
+
+
 class _Level:
     """Dishes of all restaurants of one context length: key is context and dish."""
 
@@ -212,7 +192,7 @@ class _Tree:
         p = self.probabilities([x.weights() for x in self.levels])
         for k, x in enumerate(self.levels):
             above = self.top[(x.key & np.uint64(0xFFFF)).astype(np.int64)] if k == 2 else p[k + 1][self.parent[k]]
-            x.t = np.minimum(seat(x.c, np.minimum(x.t, x.c), x.ctx, above, x.level, self.rng), x.c)
+            x.t = _reseated(x.c, x.t, x.ctx, above, x.level, self.rng)
             if k < 2:
                 self.levels[k + 1].c = np.bincount(self.parent[k], x.t, len(self.levels[k + 1].key)).astype(np.int64)
 
@@ -247,9 +227,9 @@ def _top(rows: list, sweeps: int = 6) -> np.ndarray:
         if s >= sweeps // 2:
             acc, kept = acc + p, kept + 1
         if len(key):
-            one.t = np.minimum(seat(one.c, one.t, one.ctx, base[(key & np.uint64(255)).astype(np.int64)], 1, rng), one.c)
+            one.t = _reseated(one.c, one.t, one.ctx, base[(key & np.uint64(255)).astype(np.int64)], 1, rng)
             root.c = np.bincount(up, one.t, len(root.key)).astype(np.int64)
-            root.t = np.minimum(seat(root.c, np.minimum(root.t, root.c), root.ctx, np.full(len(root.key), 1 / 256), 0, rng), root.c)
+            root.t = _reseated(root.c, root.t, root.ctx, np.full(len(root.key), 1 / 256), 0, rng)
     return (acc / kept).ravel()
 
 
@@ -395,65 +375,158 @@ def _log_sum(own: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    """Numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+def _unpack(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    raw = np.frombuffer(bytearray(zstandard.ZstdDecompressor().decompress(data)), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    return _pack(x.astype(np.uint64))
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return _pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return _unpack(data).astype(np.int64)
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+def _layout(some: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of the words, a zero first, their bytes)."""
+    _, ends, data = some.buffers()
+    ends = np.frombuffer(ends, np.int64)[some.offset:some.offset + len(some) + 1]
+    return ends - ends[0], np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+
+
+def _words(lens: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _pack_words(some: pa.LargeBinaryArray) -> bytes:
+    ends, data = _layout(some)
+    lens = np.ascontiguousarray(np.diff(ends).view(np.uint8).reshape(len(some), 8).T)
+    return zstandard.ZstdCompressor(1).compress(len(some).to_bytes(8, "little") + lens.tobytes() + data.tobytes())
+
+
+def _unpack_words(data: bytes) -> pa.LargeBinaryArray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    return _words(np.ascontiguousarray(raw[8:8 + 8 * n].reshape(8, n).T).view(np.int64).ravel(), raw[8 + 8 * n:].copy())
+
+
+def _hashes(some: pa.LargeBinaryArray) -> np.ndarray:
+    """64-bit hashes of words: mixed sums of numbers that stand for a byte at its place."""
+    ends, data = _layout(some)
+    lens = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], lens)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(((place << 8) | data).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+        return mix(sums[ends[1:]] - sums[ends[:-1]] + lens.astype(np.uint64))
+
+
+def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
 def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(mix(before) + word)
 
 
-def _pairs(asked: DataFrame) -> DataFrame:
-    """(part, what, u, w, n): training counts of word pairs, added up by their hash.
+def _edges(parts: int) -> np.ndarray:
+    return np.array([(2**64 * k) // parts for k in range(parts)], np.uint64)
 
-    A pair seen once has one table, so what it adds to its context (what 1) and to its word (what 2) is summed here;
-    pairs seen more often (what 0) are rows of their own.
-    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        u, w = (np.concatenate([np.frombuffer(x, np.uint64) for x in frame[k]]) for k in ("u", "w"))
-        _, first, at = np.unique(_pair_hash(u, w), return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in frame["c"]])).astype(np.int64)
-        u, w = u[first], w[first]
-        once = n == 1
-        (a, ca), (b, cb) = np.unique(u[once], return_counts=True), np.unique(w[once], return_counts=True)
-        many = ~once
-        zero = lambda x: np.zeros(len(x), np.uint64)
-        return pd.DataFrame({"part": int(frame["part"].iloc[0]), "what": np.repeat([0, 1, 2], [many.sum(), len(a), len(b)]),
-                             "u": np.concatenate([u[many], a, zero(b)]).view(np.int64), "w": np.concatenate([w[many], zero(a), b]).view(np.int64),
-                             "n": np.concatenate([n[many], ca, cb])})
+def _slices(v: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, start, end) of the parts that sorted hashes fall into."""
+    cuts = np.searchsorted(v, edges).tolist() + [len(v)]
+    return [(k, cuts[k], cuts[k + 1]) for k in range(len(edges)) if cuts[k + 1] > cuts[k]]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct values, a place of each, the number of the value at each place)."""
+    place = np.argsort(x)
+    v = x[place]
+    new = np.concatenate([[True], v[1:] != v[:-1]])[:len(x)]
+    at = np.empty(len(x), np.int64)
+    at[place] = np.cumsum(new) - 1
+    return v[new], place[new], at
+
+
+def _tokens(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of all texts, each text's followed by its end, an empty word; tokens of each text."""
+    joined = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    inside = (joined != 32) & ((joined < 9) | (joined > 13))
+    change = np.diff(np.concatenate([[False], inside]).view(np.int8))
+    starts, stops = np.nonzero(change == 1)[0], np.nonzero(change == -1)[0]  # a blank ends the last text
+    before = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    lens = np.insert(stops - starts, before, 0)
+    return _words(lens, joined[inside]), np.diff(before, prepend=0) + 1
+
+
+class _Batch:
+    """Some texts: their distinct words in the order of their hashes and, after ``pair``, their distinct pairs of words in that of theirs.
+
+    ``c`` has how often each pair occurs in texts that are learnt from; ``ids`` the word of each token, ``at`` the pair that ends in it."""
+
+    def __init__(self, words_: bytes, ids: bytes, n: np.ndarray, held: np.ndarray):
+        some = _unpack_words(words_)
+        hashes = _hashes(some)
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.hashes, self.ids = some.take(pa.array(order)), hashes[order], place[_unpack(ids, np.uint32)]
+        self.learnt = np.repeat(~held, n)
+
+    def count(self) -> np.ndarray:
+        """How often each word occurs in texts that are learnt from."""
+        return np.bincount(self.ids[self.learnt], minlength=len(self.hashes))
+
+    def pair(self) -> _Batch:
+        w = self.ids
+        u = np.concatenate([w[-1:], w[:-1]])  # an end stands before every text and ends the last
+        self.v, one, self.at = _distinct(_pair_hash(self.hashes[u], self.hashes[w]))
+        self.u, self.w = u[one], w[one]
+        self.c = np.bincount(self.at[self.learnt], minlength=len(self.v))
+        return self
 
-    return written(asked.groupBy("part").applyInPandas(run, "part int, what int, u long, w long, n long"), "score-pairs")
 
+def _columns(part: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in part.columns))
 
-def _seated(rows: DataFrame, names: list[str], level: int, sweeps: int, kept: int, seed: int) -> DataFrame:
-    """``rows`` with t, the tables after the last sweep, and mean, their average over the last ``kept`` sweeps.
 
-    They have n (customers), t (tables so far), total (tables of the restaurant) and p (probability under the parent)."""
+def _seated(rows: DataFrame, names: list[str], sweeps: int, kept: int, seed: int) -> DataFrame:
+    """``rows`` of words with t, the tables after the last sweep, and mean, their average over the last ``kept`` sweeps.
+
+    They have c (customers), total (tables of the restaurant) and lp (log10 probability under the parent)."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = None
         for part in data:
-            n, t, total, p = (part.column(k).to_numpy() for k in ("n", "t", "total", "p"))
-            if not len(n):
+            c, total, lp = (part.column(k).to_numpy() for k in ("c", "total", "lp"))
+            if not len(c):
                 continue
-            rng = rng or np.random.default_rng([seed, len(n), int(n.sum()), int(np.abs(total).sum()) % 2**31])
-            t, mean = np.minimum(t, n), np.zeros(len(n))
+            rng = rng or np.random.default_rng([seed, len(c), int(c.sum()), int(np.abs(total).sum()) % 2**31])
+            t, mean = np.minimum(c, 1), np.zeros(len(c))
             others = total - t
             for k in range(sweeps):
-                t = np.minimum(seat(n, t, np.arange(len(n)), p, level, rng, others + t), n)
+                t = np.minimum(seat(c, others, lp * np.log(10), WORD, rng), c)
                 mean += t if k >= sweeps - kept else 0
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array(t.astype(np.int64)), pa.array(mean / kept)], names=[*names, "t", "mean"])
 
-    return rows.select(*names, *(k for k in ("n", "t", "total", "p") if k not in names)).mapInArrow(
-        run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", t long, mean double")
+    return rows.select(*names, *(k for k in ("c", "total", "lp") if k not in names)).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", t long, mean double")
 
 
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -467,102 +540,195 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
 
     def batch(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as numbers of distinct pairs, pairs as numbers of distinct words, both in the order of their hashes."""
+        """Texts as numbers of their distinct words, the most frequent first."""
         for part in chunks(data, "text", BATCH):
-            number: dict[bytes, int] = {b"": 0}
-            ids = [np.array([number.setdefault(w, len(number)) for w in words(t)] + [0], np.int64) for t in byte_texts(part.column("text"))]
-            held = part.column("held").to_pylist()
-            n = np.array([len(x) for x in ids])
-            hashes = word_hashes([*number])
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            hashes = hashes[order]
-            w = place[np.concatenate(ids)]
-            u = np.concatenate([[place[0]], w[:-1]])  # an end stands before every text
-            both, at = np.unique(u * len(order) + w, return_inverse=True)
-            learnt = np.bincount(at[np.repeat(~np.array(held, bool), n)], minlength=len(both))
-            u, w = both // len(order), both % len(order)
-            by = np.argsort(_pair_hash(hashes[u], hashes[w]), kind="stable")
-            to = np.empty(len(by), np.uint32)
-            to[by] = np.arange(len(by), dtype=np.uint32)
+            spelt, n = _tokens(byte_texts(part.column("text")))
+            coded = spelt.dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(-np.bincount(code), kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)), pa.array([held]),
-                 pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([_pack(to[at])], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
-                 *(pa.array([_pack(x[by].astype(np.uint32))], pa.binary()) for x in (u, w, learnt)), pa.array([len(by)], pa.int64())],
-                names=["bid", "keys", "held", "n", "ids", "hashes", "u", "w", "learnt", "pairs"])
-
-    batches = written(rows.mapInArrow(batch, f"bid string, keys array<{kind}>, held array<boolean>, n array<long>, ids binary, hashes binary, u binary, w binary, learnt binary, pairs long"), "score-batches")
-    types = written(_types(rows), "score-words")
-    n_all, v_all = (int(x or 0) for x in types.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
-    asks = int(batches.agg(F.sum("pairs")).first()[0] or 0)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asks // PART_PAIRS + 1)
-    edges = np.array([(2**64 * k) // parts for k in range(parts)], np.uint64)
-
-    def slices(v: np.ndarray) -> list[tuple[int, int, int]]:
-        """(part, start, end) of the parts that sorted hashes fall into."""
-        cuts = np.searchsorted(v, edges).tolist() + [len(v)]
-        return [(k, cuts[k], cuts[k + 1]) for k in range(parts) if cuts[k + 1] > cuts[k]]
-
-    def learn(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                [pa.array([uuid.uuid4().hex]), pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)), pa.array([part.column("held").to_pylist()]),
+                 pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([_pack_words(coded.dictionary.take(pa.array(order)))], pa.binary()), pa.array([_pack(place[code])], pa.binary()),
+                 pa.array([int(n.sum())], pa.int64())], names=["bid", "keys", "held", "n", "words", "ids", "tokens"])
+
+    batches = written(rows.mapInArrow(batch, f"bid string, keys array<{kind}>, held array<boolean>, n array<long>, words binary, ids binary, tokens long"), "score-batches")
+    asks = int(batches.agg(F.sum("tokens")).first()[0] or 0)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Hash ranges that pairs and words are dealt to.
+    pair_edges = _edges(max(min(few, asks // 100_000 + 1), asks // PART_PAIRS + 1))
+    word_edges = _edges(max(min(few, asks // 400_000 + 1), asks // (4 * PART_PAIRS) + 1))
+
+    def ask(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in data:
+            for bid, held, n, some, ids in _columns(part):
+                b = _Batch(some, ids, np.array(n), np.array(held, bool)).pair()
+                own = _slices(b.v, pair_edges)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), pa.array([_pack_sorted(b.v[x:y]) for _, x, y in own], pa.binary()),
+                                                  pa.array([_pack_counts(b.c[x:y]) for _, x, y in own], pa.binary())], names=["part", "bid", "v", "c"])
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        """Training counts of the pairs of one hash range.
+
+        Those seen more than once are numbered, and one of the batches that learnt a pair, by the pair's hash, is to seat it."""
+        frame = frame.sort_values("bid")
+        asked = [_unpack_sorted(x) for x in frame["v"]]
+        c = np.concatenate([_unpack_counts(x) for x in frame["c"]])
+        v, _, at = _distinct(np.concatenate(asked))
+        n = np.bincount(at, c).astype(np.int64)
+        number = np.cumsum(n > 1) - 1
+        many = (n > 1)[at]
+        some = np.nonzero(many & (c > 0))[0]
+        some = some[np.argsort(at[some], kind="stable")]
+        pair, start, size = np.unique(at[some], return_index=True, return_counts=True)
+        mine = np.zeros(len(at), bool)
+        mine[some[start + (v[pair] % size.astype(np.uint64)).astype(np.int64)]] = True
+        ends = np.cumsum([len(x) for x in asked])
+        cut = [slice(e - len(x), e) for e, x in zip(ends, asked)]
+        return pd.DataFrame({"bid": frame["bid"], "part": frame["part"], "n": [_pack_counts(n[at[k]]) for k in cut], "g": [_pack_sorted(number[at[k]][many[k]]) for k in cut],
+                             "mine": [_pack(mine[k][many[k]].astype(np.uint8)) for k in cut]})
+
+    replies = written(batches.select("bid", "held", "n", "words", "ids").mapInArrow(ask, "part int, bid string, v binary, c binary").groupBy("part").applyInPandas(
+        counted, "bid string, part int, n binary, g binary, mine binary"), "score-replies")
+
+    def gathered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """What a batch learns from: tables of pairs seen once by their words, and the pairs it is to seat."""
+        right = right.sort_values("part")
+        out = []
+        for r in left.itertuples():
+            b = _Batch(r.words, r.ids, np.asarray(r.n), np.asarray(r.held, bool)).pair()
+            n = _joined([_unpack_counts(x) for x in right["n"]])
+            parts = np.repeat(right["part"].to_numpy(), [len(_unpack(x)) for x in right["n"]])
+            own = _joined([_unpack(x, np.uint8) for x in right["mine"]], np.uint8) > 0
+            at, g = np.nonzero(n > 1)[0][own], _joined([_unpack_sorted(x) for x in right["g"]], np.uint64)[own]
+            once, size = (n == 1) & (b.c > 0), len(b.hashes)
+            cuts = [(k, y - x) for k, x, y in _slices(b.hashes, word_edges)]
+            out.append([r.bid, *(_pack_counts(np.bincount(x[once], minlength=size)) for x in (b.u, b.w)),
+                        *(_pack_counts(np.array([c[k] for c in cuts])) for k in (0, 1)), *(_pack_counts(x) for x in (parts[at], g, b.u[at], b.w[at], n[at]))])
+        return pd.DataFrame(out, columns=names)
+
+    names = ["bid", "once_u", "once_w", "wparts", "sizes", "parts", "g", "u", "w", "n"]
+    mine = written(batches.select("bid", "held", "n", "words", "ids").groupBy("bid").cogroup(replies.groupBy("bid")).applyInPandas(
+        gathered, "bid string, " + ", ".join(f"{k} binary" for k in names[1:])), "score-mine")
+
+    def tables(size: int, once: np.ndarray, at: np.ndarray, t: np.ndarray, weight: int = 1) -> np.ndarray:
+        return once * weight + np.bincount(at, t, size).astype(np.int64)
+
+    def start(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the words' tables if every pair has one."""
+        for part in data:
+            for bid, once_u, once_w, wparts, sizes, u, w in _columns(part):
+                once_u, once_w, u, w, to, ends = (_unpack_counts(x) for x in (once_u, once_w, u, w, wparts, sizes))
+                sums, ends = [tables(len(once), once, x, np.ones(len(x))) for once, x in ((once_u, u), (once_w, w))], np.cumsum(ends)
+                cut = [slice(x, y) for x, y in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([bid] * len(to)), pa.array([1] * len(to), pa.int32()), pa.array(to.astype(np.int32)), *(
+                    pa.array([_pack_counts(x[k]) for k in cut], pa.binary()) for x in (*sums, np.zeros(len(once_u))))], names=["bid", "what", "to", "a", "b", "c"])
+
+    def deal(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in data:
-            for hashes, u, w, learnt in zip(*(part.column(c).to_pylist() for c in ("hashes", "u", "w", "learnt"))):
-                v, c = np.frombuffer(hashes, np.uint64), _unpack(learnt, np.uint32)
-                some = c > 0
-                u, w, c = v[_unpack(u, np.uint32)[some]], v[_unpack(w, np.uint32)[some]], c[some]
-                own = slices(_pair_hash(u, w))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), *(
-                    pa.array([f(x[a:b]) for _, a, b in own], pa.binary()) for x, f in ((u, np.ndarray.tobytes), (w, np.ndarray.tobytes), (c, _pack)))], names=["part", "u", "w", "c"])
-
-    pairs = _pairs(batches.select("hashes", "u", "w", "learnt").mapInArrow(learn, "part int, u binary, w binary, c binary"))
-    once_u = pairs.where("what = 1").groupBy(F.col("u").alias("h")).agg(F.sum("n").alias("once"))
-    once_w = pairs.where("what = 2").groupBy(F.col("w").alias("h")).agg(F.sum("n").alias("once"))
-    many = pairs.where("what = 0").select("part", "u", "w", "n", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
-    # Customers of each word as a context; each pair starts with one table.
-    context = written(many.groupBy(F.col("u").alias("h")).agg(F.sum("n").alias("n")).join(once_u, "h", "full").select(
-        "h", (F.coalesce("n", F.lit(0)) + F.coalesce("once", F.lit(0))).alias("cu"), F.coalesce("once", F.lit(0)).alias("once")), "score-contexts")
-    once_w = written(once_w, "score-once")
+            for bid, held, n, some, ids in _columns(part):
+                b = _Batch(some, ids, np.array(n), np.array(held, bool))
+                count, own = b.count(), _slices(b.hashes, word_edges)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), pa.array([_pack_words(b.words[x:y]) for _, x, y in own], pa.binary()),
+                                                  pa.array([_pack_counts(count[x:y]) for _, x, y in own], pa.binary())], names=["wpart", "bid", "a", "b"])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        """The words of one hash range in one row, and for each batch which of them it has."""
+        lists = [_unpack_words(x) for x in frame["a"]]
+        some = pa.concat_arrays(lists)
+        _, one, at = _distinct(_hashes(some))
+        n = np.bincount(at, np.concatenate([_unpack_counts(x) for x in frame["b"]]))
+        ends = np.cumsum([len(x) for x in lists])
+        return pd.DataFrame({"wpart": int(frame["wpart"].iloc[0]), "bid": ["", *frame["bid"]], "a": [_pack_words(some.take(pa.array(one))), *(_pack_sorted(at[e - len(x):e]) for e, x in zip(ends, lists))],
+                             "b": [_pack_counts(n), *([b""] * len(lists))], "tokens": [int(n.sum()), *([0] * len(lists))], "known": [int((n > 0).sum()), *([0] * len(lists))]})
+
+    dealt = written(batches.select("bid", "held", "n", "words", "ids").mapInArrow(deal, "wpart int, bid string, a binary, b binary").groupBy("wpart").applyInPandas(
+        merged, "wpart int, bid string, a binary, b binary, tokens long, known long"), "score-words")
+    n_all, v_all = (int(x or 0) for x in dealt.agg(F.sum("tokens"), F.sum("known")).first())
+    askers = dealt.where("bid <> ''").select("wpart", "bid", "a")
+
+    def word_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """(wpart, k, word, n, lp, c, tu, kept): n tokens of each word, c tables in all contexts, tu tables as a context, and their sum over the kept sweeps.
+
+        Every training token is followed by another or stands before a text, so n is also the customers of a word as a context."""
+        head, subs = left[left["bid"] == ""].iloc[0], left[left["bid"] != ""]
+        some, n = _unpack_words(head["a"]).to_pylist(), _unpack_counts(head["b"])
+        at, right = np.concatenate([_unpack_sorted(x).astype(np.int64) for x in subs.sort_values("bid")["a"]]), right.sort_values("bid")
+        tu, c, kept = (np.bincount(at, np.concatenate([_unpack_counts(x) for x in right[k]]), len(n)).astype(np.int64) for k in "abc")
+        # Until spellings are counted a byte costs one digit.
+        return pd.DataFrame({"wpart": int(head["wpart"]), "k": np.arange(len(n)), "word": [_mark() + w for w in some], "n": n, "lp": [-1.0 - len(w) for w in some], "c": c, "tu": tu, "kept": kept})
+
+    kinds = "wpart int, k int, word binary, n long, lp double, c long, tu long, kept long"
     d, theta = DISCOUNT[WORD], STRENGTH[WORD]
 
-    def customers(seats: DataFrame) -> DataFrame:
-        """(h, c): the tables of a word in all contexts, which are its customers in the restaurant above them."""
-        return seats.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t")).join(once_w, "h", "full").select(
-            "h", (F.coalesce("t", F.lit(0)) + F.coalesce("once", F.lit(0))).alias("c"))
+    def state(seats: DataFrame) -> DataFrame:
+        return dealt.select("wpart", "bid", "a", "b").groupBy("wpart").cogroup(seats.where("what = 1").groupBy("to")).applyInPandas(word_rows, kinds)
 
-    def tables_of(seats: DataFrame, t: str) -> DataFrame:
-        """(h, cu, tu): customers and tables of each word as a context."""
-        return context.join(seats.groupBy(F.col("u").alias("h")).agg(F.sum(t).alias("t")), "h", "left").select(
-            "h", "cu", (F.coalesce("t", F.lit(0)) + F.col("once")).alias("tu"))
+    def unigrams(now: DataFrame, names: list[str], total: float, seed: int) -> tuple[DataFrame, float, float]:
+        """Words with their tables; their customers and tables in all."""
+        out = written(_seated(now.withColumn("total", F.lit(total)), names, BURN_IN + SAMPLES, SAMPLES, seed), "score-unigrams")
+        return out, *(float(x or 0) for x in out.agg(F.sum("c"), F.sum("mean")).first())
 
-    def above(lp: Column, c: int, total: float) -> Column:
+    def above(c: float, total: float) -> Column:
         """log10 probability of each word in the restaurant of all words, with ``mean`` tables."""
-        own = F.greatest(F.coalesce("c", F.lit(0)) - d * F.coalesce("mean", F.lit(0.0)), F.lit(0.0))
-        rest = lp + float(np.log10(theta + d * total))
+        own = F.greatest(F.col("c") - d * F.col("mean"), F.lit(0.0))
+        rest = F.col("lp") + float(np.log10(theta + d * total))
         # log10(own + 10 ** rest), from the larger of the two
         top = F.when(own > 0, F.greatest(F.log10(own), rest)).otherwise(rest)
         return top + F.log10(F.when(own > 0, F.pow(F.lit(10.0), F.log10(own) - top)).otherwise(0.0) + F.pow(F.lit(10.0), rest - top)) - float(np.log10(theta + c))
 
-    def unigrams(seats: DataFrame, spelt: DataFrame, total: float | None, seed: int, kept: int) -> tuple[DataFrame, int, float]:
-        """(word, h, n, lp, c, t, mean) of all words, their customers, and their tables."""
-        counted = customers(seats)
-        c_all, v = (float(x or 0) for x in counted.agg(F.sum("c"), F.count("*")).first())
-        known = spelt.join(counted, "h").select("word", "h", "n", "lp", "c", F.lit(1).cast("long").alias("t"),
-                                               F.lit(v if total is None else total).alias("total"), F.greatest(F.pow(F.lit(10.0), "lp"), F.lit(1e-300)).alias("p"))
-        seated = _seated(known.withColumnsRenamed({"n": "tokens", "c": "n"}), ["h", "n"], WORD, BURN_IN + kept, kept, seed)
-        out = written(spelt.join(seated.select("h", F.col("n").alias("c"), "t", "mean"), "h", "left"), "score-unigrams")
-        return out, int(c_all), float(out.agg(F.sum("mean")).first()[0] or 0)
-
-    total, seats = None, many
-    # Until spellings are counted a byte costs one digit.
-    start = types.withColumn("lp", -F.length("word").cast("double"))
+    sent = "bid string, what int, to int, a binary, b binary, c binary"
+
+    def told(words_now: DataFrame, real: type) -> DataFrame:
+        """To every batch, of its words: p, tokens, and tables as a context (their sum over the kept sweeps if there is one)."""
+
+        def tell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            right = right.sort_values("k")
+            at = [_unpack_sorted(x).astype(np.int64) for x in left["a"]]
+            p, n, t = right["p"].to_numpy().astype(real), right["n"].to_numpy(), right["t"].to_numpy()
+            return pd.DataFrame({"bid": left["bid"], "what": 1, "to": left["wpart"], "a": [_pack(p[k]) for k in at], "b": [_pack_counts(n[k]) for k in at], "c": [_pack_counts(t[k]) for k in at]})
+
+        return askers.groupBy("wpart").cogroup(words_now.groupBy("wpart")).applyInPandas(tell, sent)
+
+    def seating(seed: int, last: bool):  # noqa: ANN202
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """The pairs a batch is to seat; sums of its words' tables to the words, and after the last round those of its pairs to the pairs."""
+            out = []
+            own, right = right[right["what"] == 0], right[right["what"] == 1].sort_values("to")
+            for r in left.itertuples():
+                n, u, w = (_unpack_counts(x) for x in (r.n, r.u, r.w))
+                lp = np.concatenate([_unpack(x, np.float32) for x in right["a"]]).astype(np.float64)[w] * np.log(10)
+                total = np.concatenate([_unpack_counts(x) for x in right["c"]])
+                t = _unpack_counts(own["a"].iloc[0]) if len(own) else np.ones(len(n), np.int64)
+                others, kept = total[u] - t, np.zeros(len(n), np.int64)
+                rng = np.random.default_rng([seed, int(r.bid[:8], 16)])
+                for k in range(BURN_IN + SAMPLES):
+                    t = np.minimum(seat(n, others, lp, CONTEXT, rng), n)
+                    kept += t if k >= BURN_IN else 0
+                once_u, once_w, size = _unpack_counts(r.once_u), _unpack_counts(r.once_w), len(total)
+                sums = [tables(size, once_u, u, t), tables(size, once_w, w, t), tables(size, once_u, u, kept, SAMPLES)]
+                ends = np.cumsum(_unpack_counts(r.sizes))
+                out += [(r.bid, 1, to, *(_pack_counts(s[x:y]) for s in sums)) for to, x, y in zip(_unpack_counts(r.wparts), [0, *ends], ends)]
+                if not last:
+                    out.append((r.bid, 0, -1, _pack_counts(t), b"", b""))
+                    continue
+                parts, g = _unpack_counts(r.parts), _unpack(r.g)
+                cuts = [*np.nonzero(np.diff(parts, prepend=-1))[0], len(parts)]
+                out += [(r.bid, 2, parts[x], _pack_sorted(g[x:y]), _pack_counts(kept[x:y]), b"") for x, y in zip(cuts, cuts[1:])]
+            return pd.DataFrame(out, columns=["bid", "what", "to", "a", "b", "c"])
+
+        return run
+
+    seats = mine.select("bid", "once_u", "once_w", "wparts", "sizes", "u", "w").mapInArrow(start, sent)
+    total, short = float(v_all), ["wpart", "k", "n", "lp", "c", "tu"]
     for r in range(ROUNDS):
-        words_now, c_all, total = unigrams(seats, start, total, r, SAMPLES)
-        p = words_now.select(F.col("h").alias("w"), F.pow(F.lit(10.0), above(F.col("lp"), c_all, total)).alias("p"))
-        now = tables_of(seats, "t").select(F.col("h").alias("u"), F.col("tu").cast("double").alias("total"))
-        asked = seats.drop("mean").join(now, "u").join(p, "w").withColumn("p", F.greatest("p", F.lit(1e-300)))
-        seats = written(_seated(asked, ["part", "u", "w", "n"], CONTEXT, BURN_IN + SAMPLES, SAMPLES, 50 + r), "score-seats")
+        words_now, c_all, total = unigrams(state(seats), short, total, r)
+        news = told(words_now.select("wpart", "k", above(c_all, total).alias("p"), "n", F.col("tu").alias("t")), np.float32)
+        seats = written(mine.groupBy("bid").cogroup((news.unionByName(seats.where("what = 0")) if r else news).groupBy("bid")).applyInPandas(
+            seating(50 + r, r == ROUNDS - 1), sent), "score-seats")
 
-    words_now, _, total = unigrams(seats, start, total, 90, SAMPLES)
+    words_now, _, total = unigrams(state(seats), ["wpart", "k", "word", "n", "c", "kept"], total, 90)
     model, top = fitted(words_now)
     blocks = _blocks(model)
 
@@ -585,88 +751,43 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             b = built(block.value)
             for part in data:
                 lp = part.column("lp").to_numpy() + b.spelled(part.column("word").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("word", "h", "n")), pa.array(lp)], names=["word", "h", "n", "lp"])
+                yield part.set_column(part.schema.get_field_index("lp"), "lp", pa.array(lp))
         return run
 
-    spelt = types.withColumn("lp", F.lit(0.0))
-    for bundles in blocks:  # one block unless the model is large
-        spelt = written(spelt.mapInArrow(word_spelling(shared(bundles)), "word binary, h long, n long, lp double"), "score-spelt")
-
-    last, c_all, total = unigrams(seats, spelt, total, 91, SAMPLES)
-    # Where each word's hash falls among the parts is found as it is for the batches.
-    final = last.select("h", "n", above(F.col("lp"), c_all, total).alias("p")).join(tables_of(seats, "mean"), "h", "left").select(
-        "h", "n", "p", F.coalesce("cu", F.lit(0)).alias("cu"), F.coalesce("tu", F.lit(0.0)).alias("tu"))
+    spelt = words_now.select("wpart", "k", "word", "n", F.lit(0.0).alias("lp"), "c", "kept")
+    for k, bundles in enumerate(blocks):  # one block unless the model is large
+        spelt = (written(spelt, "score-spelt") if k else spelt).mapInArrow(word_spelling(shared(bundles)), spelt.schema)
 
-    def placed(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in data:
-            k = np.searchsorted(edges, part.column("h").to_numpy().view(np.uint64), "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *part.columns], names=["part", *part.schema.names])
+    last, c_all, total = unigrams(spelt, ["wpart", "k", "n", "lp", "c", "kept"], total, 91)
+    by_word = told(last.select("wpart", "k", above(c_all, total).alias("p"), "n", F.col("kept").alias("t")), np.float64)
 
-    model_words = final.mapInArrow(placed, "part int, h long, n long, p double, cu long, tu double")
+    def tell_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """To every batch, of its pairs seen more than once: their tables, summed over the kept sweeps."""
+        kept = np.zeros(1 + max((int(_unpack_sorted(x)[-1]) for x in right["a"]), default=-1), np.int64)
+        for g, t in zip(right["a"], right["b"]):
+            kept[_unpack_sorted(g).astype(np.int64)] = _unpack_counts(t)
+        return pd.DataFrame({"bid": left["bid"], "what": 2, "to": left["part"], "a": left["n"], "b": [_pack_counts(kept[_unpack_sorted(x).astype(np.int64)]) for x in left["g"]], "c": b""})
 
-    def ask_words(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in data:
-            for bid, hashes in zip(*(part.column(c).to_pylist() for c in ("bid", "hashes"))):
-                v = np.frombuffer(hashes, np.uint64)
-                own = slices(v)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), pa.array([v[a:b].tobytes() for _, a, b in own], pa.binary())], names=["part", "bid", "v"])
-
-    def ask_pairs(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in data:
-            for bid, hashes, u, w, learnt in zip(*(part.column(c).to_pylist() for c in ("bid", "hashes", "u", "w", "learnt"))):
-                v, c = np.frombuffer(hashes, np.uint64), _unpack(learnt, np.uint32)
-                h = _pair_hash(v[_unpack(u, np.uint32)], v[_unpack(w, np.uint32)])
-                own = slices(h)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([bid] * len(own)), *(
-                    pa.array([f(x[a:b]) for _, a, b in own], pa.binary()) for x, f in ((h, np.ndarray.tobytes), (c, _pack)))], names=["part", "bid", "v", "c"])
-
-    columns = "part int, bid string, what int, a binary, b binary, c binary, d binary"
-
-    def answered(ask: pd.DataFrame, what: int, values: list[np.ndarray]) -> pd.DataFrame:
-        ends = np.cumsum([len(x) // 8 for x in ask["v"]])[:-1]
-        out = {name: [x.tobytes() for x in np.split(v, ends)] for name, v in zip("abcd", values)}
-        return pd.DataFrame({"part": ask["part"], "bid": ask["bid"], "what": what, **{name: out.get(name, b"") for name in "abcd"}})
-
-    def tell_words(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask):
-            return pd.DataFrame(columns=["part", "bid", "what", "a", "b", "c", "d"])
-        h = have["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        at = order[np.searchsorted(h[order], np.concatenate([np.frombuffer(x, np.uint64) for x in ask["v"]]))]
-        return answered(ask, 0, [have[k].to_numpy()[at] for k in ("n", "p", "cu", "tu")])
-
-    def tell_pairs(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        """Customers beyond the discounts: pairs seen once have one table, those seen more often were seated."""
-        if not len(ask):
-            return pd.DataFrame(columns=["part", "bid", "what", "a", "b", "c", "d"])
-        v, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in ask["v"]]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in ask["c"]]))
-        own = np.where(n > 0, n - DISCOUNT[CONTEXT], 0.0)
-        if len(have):
-            h = _pair_hash(have["u"].to_numpy().view(np.uint64), have["w"].to_numpy().view(np.uint64))
-            own[np.searchsorted(v, h)] = have["n"].to_numpy() - DISCOUNT[CONTEXT] * have["mean"].to_numpy()
-        return answered(ask, 1, [own[at]])
-
-    by_word = batches.select("bid", "hashes").mapInArrow(ask_words, "part int, bid string, v binary").groupBy("part").cogroup(model_words.groupBy("part")).applyInPandas(tell_words, columns)
-    by_pair = batches.select("bid", "hashes", "u", "w", "learnt").mapInArrow(ask_pairs, "part int, bid string, v binary, c binary").groupBy("part").cogroup(
-        seats.select("part", "u", "w", "n", "mean").groupBy("part")).applyInPandas(tell_pairs, columns)
+    by_pair = replies.select("part", "bid", "n", "g").groupBy("part").cogroup(seats.where("what = 2").select("to", "a", "b").groupBy("to")).applyInPandas(tell_pairs, sent)
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        right = right.sort_values("part")
-        one, two = right[right["what"] == 0], right[right["what"] == 1]
-        count, p, cu, tu = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in one[name])]) for name, k in (("a", np.int64), ("b", np.float64), ("c", np.int64), ("d", np.float64)))
-        own = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in two["a"])])
+        right = right.sort_values("to")
+        one, two = right[right["what"] == 1], right[right["what"] == 2]
+        p, count, kept = _joined([_unpack(x, np.float64) for x in one["a"]], float), *(_joined([_unpack_counts(x) for x in one[k]]) for k in "bc")
+        n_pair = _joined([_unpack_counts(x) for x in two["a"]])
+        d, theta = DISCOUNT[CONTEXT], STRENGTH[CONTEXT]
+        own = np.where(n_pair > 0, n_pair - d, 0.0)  # customers beyond the discounts
+        own[n_pair > 1] -= d * (_joined([_unpack_counts(x) for x in two["b"]]) / SAMPLES - 1)
         for r in left.itertuples():
-            ids, n, u, w = _unpack(r.ids, np.uint32), np.asarray(r.n), _unpack(r.u, np.uint32), _unpack(r.w, np.uint32)
+            n = np.asarray(r.n)
+            b = _Batch(r.words, r.ids, n, np.asarray(r.held, bool)).pair()
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            known, logs = (count[w] > 0).astype(np.int64), np.log10(count[w] + 1.0)
-            d, theta = DISCOUNT[CONTEXT], STRENGTH[CONTEXT]
-            lp = _log_sum(own, np.log10(theta + d * tu[u]) + p[w]) - np.log10(theta + cu[u])
+            lp = _log_sum(own, np.log10(theta + d * kept[b.u] / SAMPLES) + p[b.w]) - np.log10(theta + count[b.u])
             out.append(pd.DataFrame({
-                "key": list(r.keys), "held_out": list(r.held), "n_tokens": n, "n_known": np.add.reduceat(known[ids], starts), "train_tokens": n_all,
-                "base_score": np.add.reduceat(logs[ids], starts) - n * np.log10(n_all + v_all + 1.0), "score": np.add.reduceat(lp[ids], starts)}))
+                "key": list(r.keys), "held_out": list(r.held), "n_tokens": n, "n_known": np.add.reduceat((count > 0).astype(np.int64)[b.ids], starts), "train_tokens": n_all,
+                "base_score": np.add.reduceat(np.log10(count + 1.0)[b.ids], starts) - n * np.log10(n_all + v_all + 1.0), "score": np.add.reduceat(lp[b.at], starts)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return batches.select("bid", "keys", "held", "n", "ids", "u", "w").groupBy("bid").cogroup(by_word.unionByName(by_pair).groupBy("bid")).applyInPandas(
+    return batches.select("bid", "keys", "held", "n", "words", "ids").groupBy("bid").cogroup(by_word.unionByName(by_pair).groupBy("bid")).applyInPandas(
         summed, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)

@@ -272,6 +272,50 @@ def test_pitman_yor_cases(spark, messy, messy_rows, empty, monkeypatch):
     assert pitman_yor.scored(messy, F.lit(True)).count() == len(messy_rows)  # nothing to learn from
 
 
+def test_pitman_yor_scratch(spark):
+    """What is written between the steps stays small beside the texts."""
+    from pathlib import Path
+
+    from framewright.session import shared_dir
+
+    files = lambda: {f: f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet") if f.is_file()}
+    docs, before = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), files()
+    assert pitman_yor.scored(docs, docs.doc_id % 7 == 2).count() == docs.count()
+    kept = sum(n for f, n in files().items() if f not in before)
+    assert kept < 4 * sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+
+
+def test_pitman_yor_counts_pairs(spark, monkeypatch):
+    """Without discounts and with next to nothing for the parent a training token costs its share of the tokens after the one before it."""
+    import pyspark.sql.functions as F
+
+    monkeypatch.setattr(pitman_yor, "BATCH", 300)  # many batches
+    monkeypatch.setattr(pitman_yor, "DISCOUNT", (*pitman_yor.DISCOUNT[:6], 0.0))
+    monkeypatch.setattr(pitman_yor, "STRENGTH", (*pitman_yor.STRENGTH[:6], 1e-12))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "B", "the", "é", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30))) for _ in range(150)] + [None, "", " \t", "a a a"]
+    tokens = [[b"", *(t or "").encode().lower().split(), b""] for t in texts]
+    held = [i % 5 == 3 for i in range(len(texts))]
+    pairs = Counter(x for ws, h in zip(tokens, held) if not h for x in zip(ws, ws[1:]))
+    after = Counter(x for ws, h in zip(tokens, held) if not h for x in ws[:-1])
+    got = pitman_yor.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 5 == 3).collect()
+    for r in got:
+        if not r.held_out:
+            assert np.isclose(r.score, sum(np.log10(pairs[x] / after[x[0]]) for x in zip(tokens[r.doc_id], tokens[r.doc_id][1:])), atol=1e-6)
+
+
+def test_pitman_yor_words():
+    """Tokens are what bytes.split gives; words keep their bytes and hashes wherever they stand."""
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = [bytes(rng.choice(b" \t\n\r\x0b\x0cabAZ\xc3\xa9\x1f\x85") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 6))]
+        got, n = pitman_yor._tokens(texts)
+        assert got.to_pylist() == [w for t in texts for w in (*t.lower().split(), b"")] and n.tolist() == [len(t.split()) + 1 for t in texts]
+        k = rng.randrange(len(got))
+        assert pitman_yor._unpack_words(pitman_yor._pack_words(got[k:])).equals(got[k:])
+        assert (pitman_yor._hashes(got[k:]) == pitman_yor._hashes(got)[k:]).all()
+
+
 def test_long_unknown_words_cost_their_bytes(spark):
     import pyspark.sql.functions as F
 
