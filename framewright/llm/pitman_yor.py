@@ -42,7 +42,7 @@ WORD, CONTEXT = 5, 6
 PART_PAIRS = 1_000_000  # pairs asked of one part of the hash range
 MODEL_ROWS = 2_000_000  # rows of the model broadcast at a time
 COUNT_ROWS = 200_000  # words or n-grams a task holds before it passes them on
-BATCH = 12 << 20  # bytes of text in one batch of word counts
+BATCH = 6 << 20  # bytes of text in one batch; tasks hold about twenty times as much
 END = b"\n"
 
 
@@ -468,8 +468,8 @@ def _tokens(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """The words of all texts, each text's followed by its end, an empty word; tokens of each text."""
     joined = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
     inside = (joined != 32) & ((joined < 9) | (joined > 13))
-    change = np.diff(np.concatenate([[False], inside]).view(np.int8))
-    starts, stops = np.nonzero(change == 1)[0], np.nonzero(change == -1)[0]  # a blank ends the last text
+    change = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, stops = change[::2], change[1::2]  # a blank ends the last text
     before = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
     lens = np.insert(stops - starts, before, 0)
     return _words(lens, joined[inside]), np.diff(before, prepend=0) + 1
@@ -506,27 +506,17 @@ def _columns(part: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in part.columns))
 
 
-def _seated(rows: DataFrame, names: list[str], sweeps: int, kept: int, seed: int) -> DataFrame:
-    """``rows`` of words with t, the tables after the last sweep, and mean, their average over the last ``kept`` sweeps.
+def _seated(c: np.ndarray, total: float, lp: np.ndarray, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of words after the last sweep, and their average over the kept sweeps.
 
-    They have c (customers), total (tables of the restaurant) and lp (log10 probability under the parent)."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = None
-        for part in data:
-            c, total, lp = (part.column(k).to_numpy() for k in ("c", "total", "lp"))
-            if not len(c):
-                continue
-            rng = rng or np.random.default_rng([seed, len(c), int(c.sum()), int(np.abs(total).sum()) % 2**31])
-            t, mean = np.minimum(c, 1), np.zeros(len(c))
-            others = total - t
-            for k in range(sweeps):
-                t = np.minimum(seat(c, others, lp * np.log(10), WORD, rng), c)
-                mean += t if k >= sweeps - kept else 0
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array(t.astype(np.int64)), pa.array(mean / kept)], names=[*names, "t", "mean"])
-
-    return rows.select(*names, *(k for k in ("c", "total", "lp") if k not in names)).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", t long, mean double")
+    They have c customers and the log10 probability lp under the parent; the restaurant has ``total`` tables."""
+    rng = np.random.default_rng(seed)
+    t, mean = np.minimum(c, 1), np.zeros(len(c))
+    others = total - t
+    for k in range(BURN_IN + SAMPLES):
+        t = np.minimum(seat(c, others, lp * np.log(10), WORD, rng), c)
+        mean += t if k >= BURN_IN else 0
+    return t, mean / SAMPLES
 
 
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -659,15 +649,24 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         # Until spellings are counted a byte costs one digit.
         return pd.DataFrame({"wpart": int(head["wpart"]), "k": np.arange(len(n)), "word": [_mark() + w for w in some], "n": n, "lp": [-1.0 - len(w) for w in some], "c": c, "tu": tu, "kept": kept})
 
-    kinds = "wpart int, k int, word binary, n long, lp double, c long, tu long, kept long"
+    kinds = {"wpart": "int", "k": "int", "word": "binary", "n": "long", "lp": "double", "c": "long", "tu": "long", "kept": "long", "t": "long", "mean": "double"}
     d, theta = DISCOUNT[WORD], STRENGTH[WORD]
 
-    def state(seats: DataFrame) -> DataFrame:
-        return dealt.select("wpart", "bid", "a", "b").groupBy("wpart").cogroup(seats.where("what = 1").groupBy("to")).applyInPandas(word_rows, kinds)
+    def schema(names: list[str]) -> str:
+        return ", ".join(f"{k} {kinds[k]}" for k in names)
 
-    def unigrams(now: DataFrame, names: list[str], total: float, seed: int) -> tuple[DataFrame, float, float]:
-        """Words with their tables; their customers and tables in all."""
-        out = written(_seated(now.withColumn("total", F.lit(total)), names, BURN_IN + SAMPLES, SAMPLES, seed), "score-unigrams")
+    def state(seats: DataFrame, names: list[str], total: float, seed: int) -> tuple[DataFrame, float, float]:
+        """Words seated anew given the tables of all pairs; their customers and tables in all."""
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            x = word_rows(left, right)
+            x["t"], x["mean"] = _seated(x["c"].to_numpy(), total, x["lp"].to_numpy(), [seed, int(x["wpart"].iloc[0])])
+            return x[names]
+
+        return counted_words(dealt.select("wpart", "bid", "a", "b").groupBy("wpart").cogroup(seats.where("what = 1").groupBy("to")).applyInPandas(run, schema(names)))
+
+    def counted_words(now: DataFrame) -> tuple[DataFrame, float, float]:
+        out = written(now, "score-unigrams")
         return out, *(float(x or 0) for x in out.agg(F.sum("c"), F.sum("mean")).first())
 
     def above(c: float, total: float) -> Column:
@@ -721,14 +720,14 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         return run
 
     seats = mine.select("bid", "once_u", "once_w", "wparts", "sizes", "u", "w").mapInArrow(start, sent)
-    total, short = float(v_all), ["wpart", "k", "n", "lp", "c", "tu"]
+    total, short = float(v_all), ["wpart", "k", "n", "lp", "c", "tu", "mean"]
     for r in range(ROUNDS):
-        words_now, c_all, total = unigrams(state(seats), short, total, r)
+        words_now, c_all, total = state(seats, short, total, r)
         news = told(words_now.select("wpart", "k", above(c_all, total).alias("p"), "n", F.col("tu").alias("t")), np.float32)
         seats = written(mine.groupBy("bid").cogroup((news.unionByName(seats.where("what = 0")) if r else news).groupBy("bid")).applyInPandas(
             seating(50 + r, r == ROUNDS - 1), sent), "score-seats")
 
-    words_now, _, total = unigrams(state(seats), ["wpart", "k", "word", "n", "c", "kept"], total, 90)
+    words_now, _, total = state(seats, ["wpart", "k", "word", "n", "c", "kept", "t", "mean"], total, 90)
     model, top = fitted(words_now)
     blocks = _blocks(model)
 
@@ -746,19 +745,25 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             value["block"] = _Block(*value.pop("model"))
         return value["block"]
 
-    def word_spelling(block):  # noqa: ANN001, ANN202
+    def word_spelling(block, names: list[str], tables_before: float):  # noqa: ANN001, ANN202
         def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = built(block.value)
             for part in data:
-                lp = part.column("lp").to_numpy() + b.spelled(part.column("word").to_pylist())
-                yield part.set_column(part.schema.get_field_index("lp"), "lp", pa.array(lp))
+                if not part.num_rows:
+                    continue
+                c, lp = part.column("c").to_numpy(), part.column("lp").to_numpy() + b.spelled(part.column("word").to_pylist())
+                new = {"lp": pa.array(lp)}
+                if "mean" in names:
+                    seed = [91, part.column("wpart")[0].as_py(), part.column("k")[0].as_py()]
+                    new |= dict(zip(("t", "mean"), map(pa.array, _seated(c, tables_before, lp, seed))))
+                yield pa.RecordBatch.from_arrays([new[k] if k in new else part.column(k) for k in names], names=names)
         return run
 
     spelt = words_now.select("wpart", "k", "word", "n", F.lit(0.0).alias("lp"), "c", "kept")
-    for k, bundles in enumerate(blocks):  # one block unless the model is large
-        spelt = (written(spelt, "score-spelt") if k else spelt).mapInArrow(word_spelling(shared(bundles)), spelt.schema)
-
-    last, c_all, total = unigrams(spelt, ["wpart", "k", "n", "lp", "c", "kept"], total, 91)
+    for bundles in blocks[:-1]:  # one block unless the model is large
+        spelt = written(spelt.mapInArrow(word_spelling(shared(bundles), spelt.columns, total), spelt.schema), "score-spelt")
+    short = ["wpart", "k", "n", "lp", "c", "kept", "mean"]
+    last, c_all, total = counted_words(spelt.mapInArrow(word_spelling(shared(blocks[-1]), short, total), schema(short)))
     by_word = told(last.select("wpart", "k", above(c_all, total).alias("p"), "n", F.col("kept").alias("t")), np.float64)
 
     def tell_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
