@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, embedding_dedup, jaccard_join, suffix_dedup
 
@@ -152,6 +153,24 @@ def test_repeat_groups_list_all_occurrences(spark):
     assert any(shared.endswith(k[-100:]) and v == {1, 2, 3} for k, v in longest.items())
 
 
+def test_suffix_hot_surroundings_in_many_tasks(spark):
+    """Rows of one surrounding that is most of the input leave in many partitions, with the same result."""
+    rng = random.Random(6)
+    rows = [(1, "ab" * 6000), (2, "".join(rng.choice("cdef ") for _ in range(900))), (3, "ab" * 300 + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for cover in (True, False):
+            found = suffix_dedup._repeats(suffix_dedup._rows(docs, "doc_id", "text"), "bigint", 400, cover)
+            sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert max(sizes) < 0.5 * sum(sizes) and len(sizes) > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(tuple, suffix_dedup.without_repeats(docs, 400).select(cols).collect()), key=str) == removed(rows, 400)
+
+
 def test_maximal_repeats_by_brute_force():
     rng = random.Random(4)
     for _ in range(150):
