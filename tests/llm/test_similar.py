@@ -171,6 +171,16 @@ def test_suffix_hot_surroundings_in_many_tasks(spark):
     assert sorted(map(tuple, suffix_dedup.without_repeats(docs, 400).select(cols).collect()), key=str) == removed(rows, 400)
 
 
+def test_join_of_a_hot_key_in_many_pieces(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(900)], "h long, ctx long")
+    one = rows.groupBy("h").agg(F.count("*").alias("m"))
+    hot = one.where("m > 300")
+    dealt = suffix_dedup._dealt(rows, hot, ["h"], ["ctx"])
+    assert {r.h: r.n > 50 for r in dealt.groupBy("h").agg(F.countDistinct("piece").alias("n")).collect()} == {h: h == 1 for h in range(7)}
+    got = dealt.join(suffix_dedup._copies(one, hot, ["h"]), ["h", "piece"]).drop("piece")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(one, "h").collect()))
+
+
 def test_maximal_repeats_by_brute_force():
     rng = random.Random(4)
     for _ in range(150):
