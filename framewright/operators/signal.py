@@ -25,28 +25,40 @@ def to_blocks(samples: DataFrame, hop: int = 200) -> DataFrame:
     """Long form (clip_id, sample_idx, value) to blocks of ``hop`` samples.
 
     Places and values are collected as two lists of plain numbers, 8 bytes a sample, and paired after the shuffle; the place of a
-    value that is null is stored as ``-1 - place``, because lists leave nulls out.
+    value that is null is stored as ``-1 - place``, because lists leave nulls out.  With a column ``empty``, rows that have it
+    set are no samples: their block is there, and has none if no other row is in it.
     """
     place = F.coalesce(F.col("sample_idx") - F.col("block_idx") * hop, F.lit(0)).cast("int")
     value = F.col("value").cast("float")
+    at, level = F.when(value.isNull(), -1 - place).otherwise(place), F.coalesce(value, F.lit(0).cast("float"))
+    if "empty" in samples.columns:
+        at, level = F.when(~F.col("empty"), at), F.when(~F.col("empty"), level)
     pair = lambda p, v: F.struct(F.when(p < 0, -1 - p).otherwise(p).alias("p"), F.when(p >= 0, v).alias("v"))
     first = F.get("p", F.lit(0))
     in_order = (first >= 0) & (F.col("p") == F.sequence(first, first + F.size("p") - 1))
     pairs = F.when(F.array_min("p") >= 0, F.arrays_zip("p", "v")).otherwise(F.zip_with("p", "v", pair))
     return (
         samples.withColumn("block_idx", F.floor(F.col("sample_idx") / F.lit(hop)).cast("long"))
+        .select(KEY, "block_idx", at.alias("p"), level.alias("v"))
         .groupBy(KEY, "block_idx")
-        .agg(F.collect_list(F.when(value.isNull(), -1 - place).otherwise(place)).alias("p"), F.collect_list(F.coalesce(value, F.lit(0).cast("float"))).alias("v"))
+        .agg(F.collect_list("p").alias("p"), F.collect_list("v").alias("v"))
         .select(KEY, "block_idx", F.size("p").alias("n"),
-                F.when(in_order, F.col("v")).otherwise(F.transform(F.sort_array(pairs), lambda s: s["v"])).alias("samples"))
+                F.when((F.size("p") == 0) | in_order, F.col("v")).otherwise(F.transform(F.sort_array(pairs), lambda s: s["v"])).alias("samples"))
     )
 
 
-def to_samples(blocks: DataFrame, hop: int = 200) -> DataFrame:
-    """Blocks to long form."""
-    return blocks.select(KEY, "block_idx", F.posexplode("samples").alias("pos", "v")).select(
-        KEY, (F.col("block_idx") * hop + F.col("pos")).alias("sample_idx"),
-        F.col("v").cast("double").alias("value"))
+def to_samples(blocks: DataFrame, hop: int = 200, mark_empty: bool = False) -> DataFrame:
+    """Blocks to long form.
+
+    ``mark_empty`` adds the column ``empty`` and, for each block without samples, one row that has it set, at the place of the
+    block's first sample and without a value; otherwise such blocks have no rows.
+    """
+    if not mark_empty:
+        return blocks.select(KEY, "block_idx", F.posexplode("samples").alias("pos", "v")).select(
+            KEY, (F.col("block_idx") * hop + F.col("pos")).alias("sample_idx"), F.col("v").cast("double").alias("value"))
+    return blocks.where("samples is not null").select(KEY, "block_idx", F.posexplode_outer("samples").alias("pos", "v")).select(
+        KEY, (F.col("block_idx") * hop + F.coalesce("pos", F.lit(0))).alias("sample_idx"),
+        F.col("v").cast("double").alias("value"), F.col("pos").isNull().alias("empty"))
 
 
 # ---------------------------------------------------------------- time domain
