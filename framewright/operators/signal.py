@@ -225,8 +225,8 @@ def fit_length(column: Column, n: int, zero: Column | None = None) -> Column:
 
 
 def fit_clip_blocks(blocks: DataFrame, n: int) -> DataFrame:
-    """First ``n`` samples of each block-held chunk, zero-padded, with a flag."""
-    return blocks.select(KEY, "block_idx", fit_length(F.col("samples"), n).alias("samples"),
+    """First ``n`` samples of each block-held chunk, zero-padded, with a flag and how many are the chunk's own."""
+    return blocks.select(KEY, "block_idx", F.size(F.slice("samples", 1, n)).alias("n"), fit_length(F.col("samples"), n).alias("samples"),
                          (F.size("samples") != n).alias("length_differed"))
 
 

@@ -15,7 +15,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["a01_to_blocks", "a02_pre_emphasis", "a04_peak_normalize"])
+@pytest.mark.parametrize("name", ["a01_to_blocks", "a02_pre_emphasis", "a04_peak_normalize", "a06_fit_length"])
 def test_texts_without_samples(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
